@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -95,14 +96,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_spans(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_spans(rows: list[bytes], blanks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of the rows, then start, end and row of each word ``[^\\x20\\x09-\\x0D]+``."""
     data = np.frombuffer(b"".join(rows), np.uint8)
     ends_of = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
     if not len(data):
         none = np.zeros(0, np.int64)
         return data, none, none, none
-    blank = SPACE[data]
+    blank = blanks[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[ends_of] = True
     cut[0] = True
@@ -140,3 +145,43 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def column_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def _tables(key: str, table: np.ndarray, block: int):
+    for at in range(0, len(table), block):
+        part = table[at : at + block]
+        if part.any():
+            yield f"{key}/{at // block}", zstandard.compress(pack(part.astype("<i8")), 1)
+
+
+def table_batches(tables: dict[str, np.ndarray], block: int = 1024):
+    """Count tables of one task as rows (key/block, compressed counts); blocks without counts are left out."""
+    rows = [x for key, table in tables.items() for x in _tables(key, table, block)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["key", "counts"])
+
+
+def _add(batches):
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(zstandard.decompress(blob), "<i8")
+            if key in sums:
+                sums[key] += part
+            else:
+                sums[key] = part.copy()
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array([zstandard.compress(pack(x), 1) for x in sums.values()])], names=["key", "counts"])
+
+
+TABLE_ROWS = "key string, counts binary"
+
+
+def sum_tables(parts: DataFrame, size: int, block: int = 1024) -> dict[str, np.ndarray]:
+    """The tables of all tasks added up. Their size is fixed by the model, not by the input, so the driver holds them."""
+    out: dict[str, np.ndarray] = {}
+    for row in parts.repartition("key").mapInArrow(_add, TABLE_ROWS).toLocalIterator():
+        key, _, at = row["key"].rpartition("/")
+        part = np.frombuffer(zstandard.decompress(row["counts"]), "<i8")
+        out.setdefault(key, np.zeros(size, np.int64))[int(at) * block : int(at) * block + len(part)] = part
+    return out

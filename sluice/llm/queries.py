@@ -15,9 +15,61 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.store import read_store, store_path, write_store
+
+    path = store_path(spark)
+    write_store(table(spark, sf_dir, "documents"), path)
+    return read_store(spark, path)
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.topk import quantised, top_k
+
+    vectors = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.common import Scratch
+    from sluice.llm.warc import read_warc, write_warc
+
+    path = Scratch(spark, "warc").path("archives")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_best_fit_packing,)}
+    return {f.__name__: f for f in (op3_exact_top_k, op6_content_store, op7_warc, op8_language_id, op10_best_fit_packing)}
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+WARC_SQL = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_top_k": TOP_K_SQL, "op7_warc": WARC_SQL}
