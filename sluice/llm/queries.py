@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,21 @@ def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.pii import BASE, find_pii, listed
+
+    spans = find_pii(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return spans.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.topk import quantised, top_k
 
@@ -46,7 +62,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_top_k, op6_content_store, op7_warc, op8_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_exact_top_k, op6_content_store, op7_warc, op8_language_id, op10_best_fit_packing)}
 
 
 TOP_K_SQL = """
