@@ -9,8 +9,6 @@ never exploded into a row for each token, and no vocabulary is held in one place
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -159,15 +157,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = max(1, chunks // fold)
     place = F.xxhash64("doc_id", "text")
     rows = rows.withColumn("chunk", F.when(F.col("tuning"), -1 - F.pmod(place, F.lit(apart))).otherwise(F.pmod(place, F.lit(chunks))))
-    requests = rows.select("chunk", "learned", "text").groupBy("chunk").applyInArrow(partial(_request, buckets=chunks), "bucket long, chunk long, keys binary, counts binary")
-    replies = scratch.table(requests.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, counts binary, n long, v long"), "replies")
+    requests = rows.select("chunk", "learned", "text").groupBy("chunk").applyInArrow(lambda rows: _request(rows, chunks), "bucket long, chunk long, keys binary, counts binary")
+    replies = scratch.table(requests.groupBy("bucket").applyInArrow(lambda rows: _answer(rows), "chunk long, bucket long, counts binary, n long, v long"), "replies")
     sizes = replies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, v = sizes["n"], sizes["v"]
     answers = replies.select("chunk", "bucket", "counts")
     tuned = rows.where("tuning").select("chunk", "text").groupBy("chunk").cogroup(answers.where("chunk < 0").groupBy("chunk"))
-    cells = tuned.applyInArrow(partial(_cells, n=n), "context long, pair long, single long, times long").groupBy("context", "pair", "single").agg(F.sum("times").alias("times")).collect()
+    cells = tuned.applyInArrow(lambda own, counts: _cells(own, counts, n), "context long, pair long, single long, times long").groupBy("context", "pair", "single").agg(F.sum("times").alias("times")).collect()
     context, pair, single, times = (np.array([r[k] for r in cells], np.int64) for k in ("context", "pair", "single", "times"))
     value = lambda level: np.where(level > -999, 2.0 ** (level / CELL), 0.0)
     weights = expectation_maximisation(context, np.stack([value(pair), value(single), np.full(len(pair), 1 / (v + 1))], axis=1), times)
     dealt = rows.select("chunk", "doc_id", "held_out", "text").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return dealt.applyInArrow(partial(_score, n=n, v=v, weights=weights), SCORED)
+    return dealt.applyInArrow(lambda own, counts: _score(own, counts, n, v, weights), SCORED)

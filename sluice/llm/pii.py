@@ -114,7 +114,8 @@ def candidate_features(text: Column, span: Column, kind: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """Spans of all further generators, which may overlap, with their features."""
-    return F.concat(*(F.transform(found(text, k), lambda s, k=k: candidate_features(text, s, k)) for k in ADDED))
+    one = lambda kind: F.transform(found(text, kind), lambda s: candidate_features(text, s, kind))
+    return F.concat(*map(one, ADDED))
 
 
 def training_rows(spark: SparkSession) -> DataFrame:
@@ -221,9 +222,13 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
     bar = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {'double(\"Infinity\")' if v == float('inf') else f'{v:.6f}D'}" for k, v in thresholds.items()) + " END"
     rows = rows.withColumn("pii_scored", F.expr(f"filter(transform(pii_wide, c -> struct(c.kind AS kind, c.start AS start, c.`end` AS `end`, {total} AS score, {bar} AS bar)), s -> s.score >= s.bar)"))
     rows = rows.withColumn("pii_added", F.expr("filter(pii_scored, a -> NOT exists(pii_scored, b -> b.start < a.`end` AND a.start < b.`end` AND (b.score > a.score OR b.score = a.score AND (b.start < a.start OR b.start = a.start AND b.kind < a.kind))))"))
-    named = [F.transform(F.col(f"pii_base.{k}"), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in BASE]
-    extra = [F.transform(F.filter("pii_added", lambda s, k=k: s["kind"] == k), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in ADDED]
-    return rows.select(*keep, text.alias("whole_text"), F.concat(*named, *extra).alias("pii"))
+    named = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans = [named(F.col(f"pii_base.{k}"), k) for k in BASE] + [named(of_kind(F.col("pii_added"), k), k) for k in ADDED]
+    return rows.select(*keep, text.alias("whole_text"), F.concat(*spans).alias("pii"))
+
+
+def of_kind(spans: Column, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
 def redact(text: Column, spans: Column) -> Column:

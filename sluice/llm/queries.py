@@ -16,6 +16,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.decontam import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.store import read_store, store_path, write_store
 
@@ -31,12 +43,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sluice.llm.pii import BASE, find_pii, listed
+    from sluice.llm.pii import BASE, find_pii, listed, of_kind
 
     spans = find_pii(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "pii")
-    base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return spans.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    counts = [F.size(of_kind(F.col("pii"), k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return spans.select("doc_id", *counts, F.sha2(listed(of_kind(F.col("pii"), *BASE)).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +73,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_exact_top_k, op6_content_store, op7_warc, op8_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op10_best_fit_packing)}
 
 
 TOP_K_SQL = """
