@@ -152,7 +152,7 @@ def _cut(batches, vocabulary: str, capacity: int):
         for first, last in pieces(rows, 4 << 20):
             out = []
             for doc, coded in zip(ids[first:last], encoder.encode(rows[first:last])):
-                coded += b"\0\0\0\0"
+                coded = coded.tobytes() + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[at : at + 4 * capacity]
                     length = len(part) // 4

@@ -26,6 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 #: Digests that a writing task remembers; a chunk it meets again after that is dropped by the exchange instead.
 SEEN = 500_000
+END = np.zeros(1, "<u4")
 PART = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 RECIPE = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("local_start", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
 
@@ -69,13 +70,13 @@ def _chunk(batches, vocabulary: str, width: str):
     encoder, task, serial, seen = Encoder.get(vocabulary, True), TaskContext.get().partitionId(), 0, set()
     for batch in batches:
         ids, rows = batch.column(0).to_pylist(), byte_rows(batch.column(1))
-        for first, last in pieces(rows, 2 << 20):
-            coded = [c + b"\0\0\0\0" for c in encoder.encode(rows[first:last])]
-            stream = np.frombuffer(b"".join(coded), "<u4")
+        for first, last in pieces(rows, 4 << 20):
+            coded = encoder.encode(rows[first:last])
+            stream = np.concatenate([x for c in coded for x in (c, END)])
             cuts, narrow, step, at = rolling_cuts(stream), memoryview(stream.astype(width).tobytes()), np.dtype(width).itemsize, 0
             out: list[tuple] = []
             for doc, c in zip(ids[first:last], coded):
-                end, digests = at + len(c) // 4, []
+                end, digests = at + len(c) + 1, []
                 n, begin = end - at, at
                 for stop in chunk_ends(at, end, cuts):
                     payload = bytes(narrow[begin * step : stop * step])

@@ -2,7 +2,7 @@
 
 Both public BPE vocabularies split text before merging, and no split part crosses from a non-blank into a blank or
 from a letter into a punctuation mark. So a text's ids are those of its segments, one after another; the library
-encodes a segment when a worker first meets it.
+encodes a segment when a worker first meets it. Equal segments are found by hash and then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -11,19 +11,47 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 
-#: Segments kept by a Python worker; beyond that the memory is emptied.
-MEMO_SEGMENTS = 900_000
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-MARKS = re.escape(",.!?;:%*#&$")
+from sluice.llm.common import BYTE_EXACT, SPACE, ragged, span_hash
+
+#: Segments that a Python worker keeps; those it meets first are the common ones.
+MEMO_SEGMENTS = 1_000_000
 #: Blank to the library but not ASCII blank; a text that holds one is encoded in one go.
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _OPEN: dict = {}
+_code = np.arange(256)
+LETTER = (_code >= 65) & (_code <= 90) | (_code >= 97) & (_code <= 122)
+MARK = (_code > 32) & (_code < 127) & ~LETTER & ~((_code >= 48) & (_code <= 57))
+#: Second bytes of the Latin-1 letters, whose first byte is 0xC3; the two others are signs.
+LATIN = (_code >= 0x80) & (_code != 0x97) & (_code != 0xB7)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
+    return out
+
+
+def segment_spans(data: np.ndarray, row_starts: np.ndarray, blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each segment. ``blanks``: leading blanks are part of it (byte-level BPE), else left out."""
+    blank = SPACE[data]
+    letter = LETTER[data] | LATIN[data] & (_before(data) == 0xC3)
+    cut = MARK[data] & _before(letter)
+    cut |= (blank & ~_before(blank)) if blanks else (blank != _before(blank))
+    cut[row_starts[row_starts < len(data)]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(data))
+    if blanks:
+        return starts, ends
+    word = ~blank[starts]
+    return starts[word], ends[word]
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``blanks``: whether blanks are part of segments (byte-level BPE)."""
+    """Ids of whole texts. ``blanks``: whether blanks are part of segments (byte-level BPE)."""
 
     def __init__(self, vocabulary: str, blanks: bool):
         from tokenizers import Tokenizer
@@ -32,9 +60,6 @@ class Encoder:
         self.tool = Tokenizer.from_file(vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary))
         self.tool.encode_special_tokens = True
         self.blanks, self.memo = blanks, {}
-        lead = "[\t-\r ]*" if blanks else ""
-        tail = "|[\t-\r ]+" if blanks else ""
-        self.segment = re.compile(f"{lead}[{LETTERS}]+(?=[{MARKS}])|{lead}[^\t-\r ]+{tail}")
 
     @classmethod
     def get(cls, vocabulary: str, blanks: bool) -> Encoder:
@@ -43,20 +68,41 @@ class Encoder:
             _OPEN[vocabulary, blanks] = cls(vocabulary, blanks)
         return _OPEN[vocabulary, blanks]
 
-    def _learn(self, segments: list[str]) -> None:
+    def _whole(self, row: bytes) -> np.ndarray:
+        return np.array(self.tool.encode(row.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, segments: list[bytes]) -> dict[bytes, bytes]:
+        new = {}
         for at in range(0, len(segments), 50_000):
             part = segments[at : at + 50_000]
-            for s, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[s] = array("I", e.ids).tobytes()
-
-    def encode(self, rows: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text."""
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo.clear()
-        split = []
-        for row in rows:
-            text = (row if self.blanks else row.lower()).decode("utf-8", "replace")
-            whole = self.blanks and not text.isascii() and OTHER_BLANKS.search(text)
-            split.append([text] if whole else self.segment.findall(text))
-        self._learn(list(set().union(*split) - self.memo.keys()))
-        return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
+            for s, e in zip(part, self.tool.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)):
+                new[s] = array("I", e.ids).tobytes()
+        if len(self.memo) < MEMO_SEGMENTS:
+            self.memo.update(new)
+        return new
+
+    def encode(self, rows: list[bytes]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text as unsigned 32-bit integers."""
+        odd = {i for i, r in enumerate(rows) if self.blanks and not r.isascii() and OTHER_BLANKS.search(r.decode("utf-8", "replace")) or b"\x1c" in r or b"\x1d" in r or b"\x1e" in r or b"\x1f" in r}
+        plain = [b"" if i in odd else r if self.blanks else r.lower() for i, r in enumerate(rows)]
+        joined = b"".join(plain)
+        data = np.frombuffer(joined, np.uint8)
+        row_ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        starts, ends = segment_spans(data, np.concatenate(([0], row_ends[:-1])), self.blanks) if len(data) else (np.zeros(0, np.int64),) * 2
+        which, distinct = pd.factorize(span_hash(data, starts, ends, BYTE_EXACT)) if len(starts) else (np.zeros(0, np.int64), np.zeros(0))
+        first = np.zeros(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        own, size = first[which], ends - starts
+        if not (np.array_equal(size, size[own]) and np.array_equal(data[ragged(starts, size)], data[ragged(starts[own], size)])):
+            return [self._whole(r) for r in rows]  # two segments share a hash
+        keys = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        coded = list(map(self.memo.get, keys))
+        new = self._learn([k for k, c in zip(keys, coded) if c is None])
+        coded = [c if c is not None else new[k] for k, c in zip(keys, coded)]
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begins = np.cumsum(lengths) - lengths
+        stream = flat[ragged(begins[which], lengths[which])]
+        row = np.searchsorted(row_ends, starts, side="right")
+        cuts = np.cumsum(np.bincount(row, lengths[which], len(rows)).astype(np.int64))
+        return [self._whole(rows[i]) if i in odd else part for i, part in enumerate(np.split(stream, cuts[:-1]))]
