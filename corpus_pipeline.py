@@ -1,8 +1,65 @@
-"""Corpus preparation as stages that each call one operator; every stage works on all its predecessor kept."""
+"""Corpus preparation as stages that each call one operator; every stage works on all its predecessor kept.
 
-STAGES = []
+Stages but the last return the columns of documents; the last returns the packing of what remains.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm.common import shared_dir
+from sluice.llm.decontam import find_contamination
+from sluice.llm.jaccard import near_duplicates
+from sluice.llm.langid import UNDETERMINED, identify
+from sluice.llm.packing import pack_documents
+from sluice.llm.pii import find_pii, redact
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of its letters that a document's language must label.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determined language, or without one that labels half of their letters, go."""
+    found = identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id, once."""
+    kept = near_duplicates(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    found = find_pii(docs, keep=("doc_id", "lang", "source"))
+    text = redact(F.col("whole_text"), F.col("pii"))
+    return found.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicate", near_duplicate), ("decontaminate", decontaminate), ("pii", pii), ("pack", pack)]
+#: Language identification, tokenization and packing are no SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs, where = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/sluice/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
+        docs = spark.read.parquet(f"{where}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack_documents
 
@@ -73,7 +79,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing)}
 
 
 TOP_K_SQL = """
