@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets are one class. Similar classes (equal minimum hash) form groups of bounded size. The
 matrix holds, for each token, the groups whose union of prefix tokens contains it; prefixes are taken in one global
-order, rare tokens first, so linked documents share a prefix token. A query's count of matrix hits in a group bounds
-its overlap with every member: groups that cannot reach the threshold are not opened. An opened group is bounded again
-by its whole token union, then members are compared exactly. Links are turned into components where they are found.
+order, rare tokens first, so linked documents share a prefix token. The count of matrix hits that two groups have in
+common bounds the overlap of any query in one with any member of the other: a group that cannot reach the threshold is
+not opened. In an opened group each query is bounded again by the whole token union, then members are compared exactly. Links are turned into components where they are found.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pack, pieces, ragged, span_hash, sum_tables, table_batches, word_spans
+from sluice.llm.common import TABLE_ROWS, U64, Scratch, bounded_batches, byte_rows, mix, pack, pieces, ragged, span_hash, sum_tables, table_batches, task, word_spans
 from sluice.llm.components import components, forest
 
 #: Counters of token frequency; they only set the global order, so collisions cost time, never links.
 COUNTERS = 1 << 21
-#: Members of a group and queries that a task compares with it at a time; larger ones are split, none is cut off.
-MEMBERS, QUERIES = 128, 1024
+#: Tokens of a group's members and queries that a task compares with it at a time; larger ones are split, none is cut.
+MEMBER_TOKENS, QUERIES = 200_000, 1024
 SETS = "doc_id long, n int, d1 long, d2 long, least long, prefix array<long>"
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -55,6 +55,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+@task
 def _count(batches, size: int):
     table = np.zeros(COUNTERS, np.int64)
     shift = U64(64 - COUNTERS.bit_length() + 1)
@@ -78,6 +79,7 @@ def digests(tokens: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix(tokens + s).sum(dtype=U64).astype(np.int64)) for s in _STEP[:2])
 
 
+@task
 def _sets(batches, size: int, percent: int, classes):
     shift = U64(64 - COUNTERS.bit_length() + 1)
     for batch in batches:
@@ -95,7 +97,8 @@ def _sets(batches, size: int, percent: int, classes):
                     kind = classes.value[(tokens >> shift).astype(np.int64)]
                     order = np.argsort(kind, kind="stable")[:take]  # tokens are sorted already
                     prefix.append(tokens[order].astype(np.int64))
-                    least.append(int(mix(tokens ^ _STEP[4]).min().astype(np.int64)))
+                    common = tokens[kind > 0]  # of a text that mostly repeats elsewhere, what is its own names no group
+                    least.append(int(mix((common if 2 * len(common) >= len(tokens) else tokens) ^ _STEP[4]).min().astype(np.int64)))
                 else:
                     prefix.append(np.zeros(0, np.int64))
                     least.append(0)
@@ -104,6 +107,7 @@ def _sets(batches, size: int, percent: int, classes):
             yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(least, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "least", "prefix"])
 
 
+@task
 def _with_sets(batches, size: int):
     """Rows (gid, part, member, doc_id, d1, text) with the whole token set; rows whose text is not of that class go."""
     for batch in batches:
@@ -137,6 +141,7 @@ def compare(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.n
     return links
 
 
+@task
 def _verify(batches, percent: int):
     key, members, queries, found = None, [], [], []
 
@@ -169,6 +174,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Repeated rows are each returned; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = sum_tables(rows.select("text").mapInArrow(partial(_count, size=size), TABLE_ROWS), COUNTERS, 1 << 14).get("", np.zeros(COUNTERS, np.int64))
@@ -178,25 +184,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("least").alias("least"), F.first("prefix").alias("prefix"))
     reps = scratch.table(reps, "classes")
-    # Groups of more than MEMBERS are dealt into blocks; their list is small, and broadcast only if its size allows.
-    large = scratch.table(reps.groupBy("least").agg(F.count("*").alias("size")).where(f"size > {MEMBERS}"), "large")
+    # Groups of more than MEMBER_TOKENS are dealt into blocks; their list is broadcast only if its size allows.
+    large = scratch.table(reps.groupBy("least").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).where(f"size > {MEMBER_TOKENS} AND sets > 1").drop("sets"), "large")
     large = F.broadcast(large) if large.count() <= 100_000 else large
-    block = F.coalesce(F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("size") * 2 / MEMBERS)), F.lit(0))
+    block = F.coalesce(F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("size") / MEMBER_TOKENS)), F.lit(0))
     grouped = reps.join(large, "least", "left").select("doc", "n", "d1", F.xxhash64("least", block).alias("gid"), "prefix")
     grouped = scratch.table(grouped, "grouped")
     scratch.drop("classes", "large")
 
     posts = grouped.select(F.explode("prefix").alias("token"), "doc", "n", "gid")
     shared = posts.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("token")
-    posts = scratch.table(posts.join(shared, "token"), "posts")
-    matrix = posts.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("gid", "target")
-    near = posts.join(matrix, "token").where(f"gid > target AND 100 * n >= {percent} * low AND {percent} * n <= 100 * high")
-    hits = near.groupBy("doc", "n", "target").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # Both prefixes hold all but needed(n) - 1 tokens: a link needs this many hits, least at either end of the sizes.
-    need = lambda b: F.lit(percent) * (F.col("n") + b) / F.lit(100 + percent) - F.lit(percent) * F.greatest("n", b) / F.lit(100)
-    low = F.greatest("low", F.ceil(F.col("n") * F.lit(percent) / 100 - 1e-9))
-    high = F.least("high", F.floor(F.col("n") * 100 / F.lit(percent) + 1e-9))
-    opened = scratch.table(hits.where(F.col("hits") >= F.least(need(low), need(high)) - 1e-6).select("doc", "target"), "opened")
+    matrix = posts.join(shared, "token").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = scratch.table(matrix, "matrix")
+    other = matrix.toDF("token", "target", "t_low", "t_high")
+    near = matrix.join(other, "token").where(f"gid > target AND 100 * high >= {percent} * t_low AND {percent} * low <= 100 * t_high")
+    hits = near.groupBy("gid", "target").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("t_low").alias("t_low"), F.max("t_high").alias("t_high"))
+    # Both prefixes hold all but needed(n) - 1 tokens, so sets of a and b tokens need this many hits. It is concave:
+    # over the sizes of two groups it is least in a corner, or 0 where some sizes lie at the limit of what can link.
+    need = lambda a, b: F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent) - F.lit(percent) * F.greatest(a, b) / F.lit(100)
+    inside = f"100 * low >= {percent} * t_high AND 100 * t_low >= {percent} * high"
+    bound = F.when(F.expr(inside), F.least(*(need(a, b) for a in ("low", "high") for b in ("t_low", "t_high")))).otherwise(F.lit(0.0))
+    pairs = scratch.table(hits.where(F.col("hits") >= bound - 1e-6).select("gid", "target"), "pairs")
+    opened = scratch.table(grouped.select("doc", "gid").join(pairs, "gid").select("doc", "target"), "opened")
 
     asked = opened.groupBy("target").agg(F.count("*").alias("queries")).withColumnRenamed("target", "gid")
     info = grouped.groupBy("gid").agg(F.count("*").alias("members")).join(asked, "gid", "left")

@@ -63,7 +63,7 @@ def shingles(text, k):
 def test_near_duplicates(docs, rows, size, percent, monkeypatch):
     from sluice.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "MEMBERS", 4)  # so that groups are split
+    monkeypatch.setattr(jaccard, "MEMBER_TOKENS", 200)  # so that groups are split
     monkeypatch.setattr(jaccard, "QUERIES", 8)
     sets = {}
     for i, text, *_ in rows:
