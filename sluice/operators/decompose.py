@@ -46,7 +46,7 @@ def decompose(edges: DataFrame, source: int = SOURCE, sink: int = SINK) -> DataF
             return found
         depth = len(sizes) - 1
         graph = scratch.table(level_arcs(arcs, levels, depth, sink), f"graph-{turn}")
-        flow = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
+        flow, _ = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
         paths = scratch.table(split_level_flow(flow, depth, source).withColumn("round", F.lit(turn)).select("round", "path", "amount"), f"paths-{turn}")
         found = found.unionByName(paths)
         used = flow.select("src", "dst", "flow")

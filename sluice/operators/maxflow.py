@@ -20,6 +20,8 @@ from sluice.plans.config import SINK, SOURCE
 from sluice.plans.scratch import Scratch
 
 UNBOUNDED = (1 << 63) - 1
+#: Levels that one plan may span.
+LAZY_DEPTH = 4
 
 
 @dataclass
@@ -58,43 +60,60 @@ def level_arcs(arcs: DataFrame, levels: DataFrame, depth: int, sink: int = SINK)
     return arcs.join(tail, "src").join(head, "dst").where("level = before").select("level", "src", "dst", "res")
 
 
-def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE, sink: int = SINK) -> DataFrame:
-    """level, src, dst, flow: a flow through the level graph that uses at least one whole way."""
-    spark = scratch.spark
+def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE, sink: int = SINK) -> tuple[DataFrame, int]:
+    """level, src, dst, flow: a flow through the level graph that uses at least one whole way; and its value.
+
+    Each pass is one plan over all levels where these are few, whose shuffles Spark reuses; deep graphs are written
+    level by level, so that plans stay small.
+    """
     names = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         names.append(f"{label}/{name}")
         return scratch.table(df, names[-1])
 
-    at = lambda k: graph.where(F.col("level") == k).drop("level")
-    potential = ends(spark, sink).select(F.col("v").alias("dst"), F.lit(UNBOUNDED).alias("p"))
-    alive: list[DataFrame] = []
-    for k in range(depth - 1, -1, -1):
-        usable = keep(at(k).join(potential, "dst").select("src", "dst", F.least("res", "p").alias("cap")), f"alive-{k}")
-        alive.insert(0, usable)
-        potential = usable.groupBy(F.col("src").alias("dst")).agg(F.sum("cap").alias("p"))
-    inflow = potential.where(F.col("dst") == source).select(F.col("dst").alias("src"), F.col("p").alias("x"))
-    dealt: list[DataFrame] = []
-    for k in range(depth):
-        rows = prefix_sums(alive[k].join(inflow, "src"), "src", "dst", "cap", most)
-        given = F.greatest(F.lit(0), F.least(F.col("cap"), F.col("x") - F.col("before"))).cast("bigint")
-        dealt.append(keep(rows.select("src", "dst", given.alias("flow")).where("flow > 0"), f"dealt-{k}"))
-        inflow = dealt[-1].groupBy(F.col("dst").alias("src")).agg(F.sum("flow").alias("x"))
-    kept = dealt[-1]
-    done = [kept.select(F.lit(depth - 1).alias("level"), "src", "dst", "flow")]
-    for k in range(depth - 2, -1, -1):
-        passed = kept.groupBy(F.col("src").alias("dst")).agg(F.sum("flow").alias("x"))
+    def one_pass(name: str, order, step) -> dict[int, DataFrame]:
+        """The rows of every level, each from those of the level before in this pass."""
+        rows: dict[int, DataFrame] = {}
+        last = None
+        for k in order:
+            rows[k] = last = step(k, last) if depth <= LAZY_DEPTH else keep(step(k, last), f"{name}-{k}")
+        if depth <= LAZY_DEPTH:
+            whole = keep(by_level(rows), name)
+            rows = {k: whole.where(F.col("level") == k).drop("level") for k in rows}
+        return rows
+
+    def by_level(rows: dict[int, DataFrame]) -> DataFrame:
+        out = None
+        for k, df in rows.items():
+            out = df.withColumn("level", F.lit(k)) if out is None else out.unionByName(df.withColumn("level", F.lit(k)))
+        return out
+
+    def potential(k: int, after: DataFrame | None) -> DataFrame:
+        p = ends(scratch.spark, sink).select(F.col("v").alias("dst"), F.lit(UNBOUNDED).alias("p")) if after is None else after.groupBy(F.col("src").alias("dst")).agg(F.sum("cap").alias("p"))
+        return graph.where(F.col("level") == k).join(p, "dst").select("src", "dst", F.least("res", "p").alias("cap"))
+
+    alive = one_pass("alive", range(depth - 1, -1, -1), potential)
+
+    def forward(k: int, before: DataFrame | None) -> DataFrame:
+        x = alive[0].groupBy("src").agg(F.sum("cap").alias("x")) if before is None else before.groupBy(F.col("dst").alias("src")).agg(F.sum("flow").alias("x"))
+        rows = prefix_sums(alive[k].join(x, "src"), "src", "dst", "cap", most)
+        return rows.select("src", "dst", F.greatest(F.lit(0), F.least(F.col("cap"), F.col("x") - F.col("before"))).cast("bigint").alias("flow")).where("flow > 0")
+
+    dealt = one_pass("dealt", range(depth), forward)
+
+    def trim(k: int, after: DataFrame | None) -> DataFrame:
+        if after is None:
+            return dealt[k]
+        passed = after.groupBy(F.col("src").alias("dst")).agg(F.sum("flow").alias("x"))
         rows = prefix_sums(dealt[k].join(passed, "dst"), "dst", "src", "flow", most)
-        given = F.greatest(F.lit(0), F.least(F.col("flow"), F.col("x") - F.col("before"))).cast("bigint")
-        kept = keep(rows.select("src", "dst", given.alias("flow")).where("flow > 0"), f"kept-{k}")
-        done.insert(0, kept.select(F.lit(k).alias("level"), "src", "dst", "flow"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    out = scratch.table(out, f"{label}/flow")
+        return rows.select("src", "dst", F.greatest(F.lit(0), F.least(F.col("flow"), F.col("x") - F.col("before"))).cast("bigint").alias("flow")).where("flow > 0")
+
+    kept = one_pass("kept", range(depth - 1, -1, -1), trim)
+    gained = F.coalesce(F.sum(F.when(F.col("src") == source, F.col("flow"))), F.lit(0))
+    out, got = scratch.counted(by_level(kept).select("level", "src", "dst", "flow"), f"{label}/flow", gained=gained)
     scratch.drop(*names)
-    return out
+    return out, got["gained"]
 
 
 def apply_flow(edges: DataFrame, delta: DataFrame) -> DataFrame:
@@ -140,8 +159,7 @@ def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.
             return FlowResult(edges, None, value, None, turn, False, metrics)
         depth = len(sizes) - 1
         graph = scratch.table(level_arcs(arcs, levels, depth, sink), f"graph-{turn}")
-        delta = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
-        gained = delta.where(F.col("src") == source).agg(F.coalesce(F.sum("flow"), F.lit(0))).first()[0]
+        delta, gained = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
         value += gained
         turn += 1
         edges = scratch.table(apply_flow(edges, delta), f"edges-{turn}")

@@ -16,23 +16,21 @@ def bfs_levels(arcs: DataFrame, start: DataFrame, stop: int | None = None, max_d
     Vertices that are not reached are left out. With ``stop`` the search ends after the level that holds it.
     """
     scratch = scratch or Scratch(arcs.sparkSession, "bfs")
-    frontier = scratch.table(start.select(F.col("v").cast("bigint").alias("v"), F.lit(0).alias("d")).distinct(), f"{label}/d=0")
-    schema, sizes, met, depth = frontier.schema, [frontier.count()], False, 0
-    if stop is not None:
-        met = not frontier.where(F.col("v") == stop).isEmpty()
-    while sizes[-1] and not met and (max_depth is None or depth < max_depth):
+    goal = F.count_if(F.col("v") == (stop if stop is not None else F.lit(None).cast("bigint")))
+    first = start.select(F.col("v").cast("bigint").alias("v"), F.lit(0).alias("d")).distinct()
+    frontier, got = scratch.counted(first, f"{label}/d=0", n=F.count(F.lit(1)), met=goal)
+    schema, sizes, depth = frontier.schema, [got["n"]], 0
+    while sizes[-1] and not got["met"] and (max_depth is None or depth < max_depth):
         seen = scratch.spark.read.schema("v bigint").option("recursiveFileLookup", "true").parquet(scratch.path(label))
         depth += 1
         near = arcs.join(frontier.select(F.col("v").alias("src")), "src").select(F.col("dst").alias("v")).distinct()
-        frontier = scratch.table(near.join(seen, "v", "left_anti").withColumn("d", F.lit(depth)), f"{label}/d={depth}")
-        goal = F.count_if(F.col("v") == stop) if stop is not None else F.lit(0)
-        got = frontier.agg(F.count("*").alias("n"), goal.alias("met")).first()
+        new = near.join(seen, "v", "left_anti").withColumn("d", F.lit(depth))
+        frontier, got = scratch.counted(new, f"{label}/d={depth}", n=F.count(F.lit(1)), met=goal)
         sizes.append(got["n"])
-        met = got["met"] > 0
     if not sizes[-1] and len(sizes) > 1:
         sizes.pop()
     found = scratch.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(scratch.path(label))
-    return found, sizes, met
+    return found, sizes, got["met"] > 0
 
 
 def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(label))
         return self.read(df.schema, label)
 
+    def counted(self, df: DataFrame, label: str, **figures) -> tuple[DataFrame, dict]:
+        """``table`` and aggregates over its rows, taken while they are written."""
+        seen = Observation()
+        out = self.table(df.observe(seen, *(c.alias(k) for k, c in figures.items())), label)
+        return out, seen.get
+
     def read(self, schema, label: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(label))
 
