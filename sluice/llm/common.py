@@ -2,48 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.plans.scratch import Scratch, shared_dir  # noqa: F401
+
 U64 = np.uint64
 #: Text bytes hashed at a time; bounds the numpy temporaries of a Python worker (about 40 bytes each).
 PIECE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Rows and bytes of a batch between Spark and Python, at most; texts can be very long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage; survives lost executors, unlike a local checkpoint."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to what Python workers hold comfortably."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
 
-    def path(self, label: str) -> str:
-        return f"{self.root}/{label}"
+def task(f):
+    """A partition function whose worker gives its freed memory back when the task ends; workers are kept by Spark."""
 
-    def table(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` and read it back."""
-        where = self.path(label)
-        df.write.mode("overwrite").option("compression", codec).parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
 
-    def drop(self, *labels: str) -> None:
-        """Delete tables that no later step reads."""
-        for label in labels:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(label))
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    return run
 
 
 def byte_rows(column: pa.Array) -> list[bytes]:
@@ -87,7 +87,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_POWERS["up"]) < n:
-        size = max(n, 2 * len(_POWERS["up"]), PIECE_BYTES + 4096)
+        size = -(-n // PIECE_BYTES) * PIECE_BYTES + 4096
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -121,13 +121,28 @@ def word_spans(rows: list[bytes], blanks: np.ndarray = SPACE) -> tuple[np.ndarra
     return data, starts, ends, np.searchsorted(ends_of, starts, side="right")
 
 
+def span_blocks(starts: np.ndarray, ends: np.ndarray):
+    """Consecutive slices (first, last) of spans that cover about PIECE_BYTES; a longer span stands alone."""
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE_BYTES, side="right")))
+        yield first, last
+        first = last
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_FOLDED) -> np.ndarray:
-    """A 64-bit hash of each span, the same wherever the span stands."""
-    up, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(table[data] * up[:-1], out=sums[1:], dtype=U64)
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span, the same wherever the span stands. Spans ascend and don't overlap."""
+    out = np.empty(len(starts), U64)
+    for a, b in span_blocks(starts, ends):
+        base = starts[a]
+        own = data[base : ends[b - 1]]
+        s, e = starts[a:b] - base, ends[a:b] - base
+        up, down = powers(len(own) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(own) + 1, U64)
+            np.cumsum(table[own] * up[:-1], out=sums[1:], dtype=U64)
+            out[a:b] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return out
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -161,6 +176,7 @@ def table_batches(tables: dict[str, np.ndarray], block: int = 1024):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["key", "counts"])
 
 
+@task
 def _add(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch
+from sluice.llm.common import Scratch, task
 
 
 def find(parent: dict, x):
@@ -32,6 +32,7 @@ def forest(pairs) -> list[tuple[int, int]]:
     return [(x, r) for x in list(parent) if (r := find(parent, x)) != x]
 
 
+@task
 def _contract(batches):
     """The stars of the edges of a block; equal components, fewer edges and shorter ways."""
     for batch in batches:

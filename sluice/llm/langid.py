@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import LETTER, TABLE_ROWS, U64, byte_rows, mix, pieces, ragged, span_hash, sum_tables, table_batches, word_spans
+from sluice.llm.common import LETTER, TABLE_ROWS, U64, bounded_batches, byte_rows, mix, pieces, ragged, span_hash, sum_tables, table_batches, task, word_spans
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -72,6 +72,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return np.concatenate(words), np.concatenate(buckets), LEAD_SCRIPT[lead]
 
 
+@task
 def _learn(batches):
     tables: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -151,12 +152,13 @@ def label_words(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.nda
     return labels
 
 
+@task
 def _predict(batches, model):
     model = model.value
     langs, log, scripts = model["langs"], model["log"], model["scripts"]
     for batch in batches:
         rows = byte_rows(batch.column(2))
-        for first, last in pieces(rows, 8 << 20):
+        for first, last in pieces(rows, 4 << 20):
             held = rows[first:last]
             kept, owner, weights = [], [], []
             for a, b in pieces(held) if langs else []:
@@ -202,6 +204,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Repeated rows each get a row; an empty table gives none.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     remainder = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(fold))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(remainder != held, F.lit(False)).alias("learned"))
     model = spark.sparkContext.broadcast(train(rows.where("learned")))

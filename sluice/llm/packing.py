@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, byte_rows, pieces
+from sluice.llm.common import Scratch, bounded_batches, byte_rows, pieces, task
 from sluice.llm.tokens import Encoder
 
 CAPACITY = 2048
@@ -145,6 +145,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
     return dict(zip(("size", "rank", "sequence", "offset"), table.T)) | {"sequences": np.array([sequence])}
 
 
+@task
 def _cut(batches, vocabulary: str, capacity: int):
     encoder, seen, task = Encoder.get(vocabulary, False), defaultdict(int), TaskContext.get().partitionId()
     for batch in batches:
@@ -164,6 +165,7 @@ def _cut(batches, vocabulary: str, capacity: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+@task
 def _place(batches, runs: dict[str, np.ndarray]):
     key = runs["size"] << 40 | runs["rank"]
     for batch in batches:
@@ -180,6 +182,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are the end id alone; equal rows are packed each by itself; an empty table gives no rows; a null id is kept.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = scratch.table(rows.mapInArrow(partial(_cut, vocabulary=vocabulary, capacity=capacity), PIECES), "pieces")

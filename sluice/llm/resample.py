@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pieces, span_hash, sum_tables, table_batches, word_spans
+from sluice.llm.common import TABLE_ROWS, U64, Scratch, bounded_batches, byte_rows, mix, pieces, span_hash, sum_tables, table_batches, task, word_spans
 
 BUCKETS = 1 << 16
 SMOOTH = 1.0
@@ -38,6 +38,7 @@ def features(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, row[:-1][row[:-1] == row[1:]]]), (mix(both) & U64(BUCKETS - 1)).astype(np.int64)
 
 
+@task
 def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -49,6 +50,7 @@ def _count(batches):
     yield from table_batches({"raw": raw, "target": target})
 
 
+@task
 def _weigh(batches, ratio):
     for batch in batches:
         rows = byte_rows(batch.column(1))
@@ -87,6 +89,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: s
     Without target rows all weights are 0. Repeated rows draw the same key; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "resample")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = good.where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import U64, Scratch, byte_rows, column_batch, mix, pieces, powers
+from sluice.llm.common import U64, Scratch, bounded_batches, byte_rows, column_batch, mix, pieces, powers, task
 from sluice.llm.tokens import Encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,7 @@ WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 #: Digests that a writing task remembers; a chunk it meets again after that is dropped by the exchange instead.
 SEEN = 500_000
 END = np.zeros(1, "<u4")
+TOKEN_HASH = mix((np.arange(1 << 16, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 PART = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 RECIPE = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("local_start", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
 
@@ -47,7 +48,7 @@ def rolling_cuts(ids: np.ndarray) -> np.ndarray:
     up, down = powers(len(ids) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(ids) + 1, U64)
-        np.cumsum(mix((ids.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)) * up[:-1], out=sums[1:], dtype=U64)
+        np.cumsum(TOKEN_HASH[ids & (len(TOKEN_HASH) - 1)] * up[:-1], out=sums[1:], dtype=U64)
         rolled = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(ids) - WINDOW + 1])
     return np.flatnonzero(rolled & U64((1 << CUT_BITS) - 1) == 0) + WINDOW
 
@@ -66,6 +67,7 @@ def chunk_ends(first: int, last: int, cuts: np.ndarray) -> list[int]:
     return ends
 
 
+@task
 def _chunk(batches, vocabulary: str, width: str):
     encoder, task, serial, seen = Encoder.get(vocabulary, True), TaskContext.get().partitionId(), 0, set()
     for batch in batches:
@@ -93,6 +95,7 @@ def _chunk(batches, vocabulary: str, width: str):
                 yield column_batch(PART, **dict(zip(PART.names, zip(*out[i : i + 4000]))))
 
 
+@task
 def _once(batches):
     """Equal chunks meet in one partition; the first is kept."""
     seen: set[bytes] = set()
@@ -106,6 +109,7 @@ def _once(batches):
         yield batch.filter(pa.array(keep))
 
 
+@task
 def _number(batches):
     part, start = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -117,6 +121,7 @@ def _number(batches):
         start = int(ends[-1]) if len(n) else start
 
 
+@task
 def _manifest(batches):
     roots: dict[int, list[bytes]] = {}
     totals: dict[int, int] = {}
@@ -135,6 +140,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     empty store; a null id sorts first.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     width = "<u2" if Encoder.get(vocabulary, True).tool.get_vocab_size() <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "kind int, key binary, doc_id long, n_tokens long, payload binary"
@@ -175,6 +181,7 @@ def crc_join(first: int, second: int, second_bytes: int) -> int:
     return _mul(_shift(8 * second_bytes), first) ^ second
 
 
+@task
 def _check(batches, width: str):
     for batch in batches:
         keys, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -188,6 +195,7 @@ def _check(batches, width: str):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["key", "n", "crc"])
 
 
+@task
 def _rebuild(batches):
     for batch in batches:
         part, start, doc, n_said, root, chunks = (batch.column(i).to_pylist() for i in range(6))
@@ -208,6 +216,7 @@ def _rebuild(batches):
 
 def read_store(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each document of the store: doc_id, start, n_tokens, ids_crc32, all from the files, verified."""
+    bounded_batches(spark)
     width = "<u2" if Encoder.get(vocabulary, True).tool.get_vocab_size() <= 1 << 16 else "<u4"
     objects = spark.read.schema("key binary, payload binary, kind int").parquet(f"{path}/objects").where("kind = 0").select("key", "payload")
     chunks = objects.mapInArrow(partial(_check, width=width), "key binary, n long, crc long")

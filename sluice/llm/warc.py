@@ -7,6 +7,7 @@ by pointer jumping, so magic inside a payload is never reached. The chain must e
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.common import bounded_batches, task
+
 MAGIC = b"WARC/1.1\r\n"
 #: Shorter payloads are always written in full.
 LEAST_REVISIT = 100
@@ -50,7 +53,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit("\r\n"),
     )
     written = records.select(F.concat(head, F.col("block")).alias("value"))
-    written.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    written.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,11 +104,12 @@ def records(data: bytes):
         yield number(b"WARC-Record-ID"), head[b"WARC-Type"].decode(), number(b"WARC-Refers-To"), head[b"WARC-Payload-Digest"][7:].decode(), payload, size
 
 
+@task
 def _read(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             out = []
-            for page, kind, refers, digest, payload, size in records(batch.column(0)[i].as_py()):
+            for page, kind, refers, digest, payload, size in records(gzip.decompress(batch.column(0)[i].as_py())):
                 if payload is not None and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"the payload of page {page} does not match its digest")
                 out.append((page, size, digest, kind, refers))
@@ -115,5 +119,6 @@ def _read(batches):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
