@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import TABLE_ROWS, U64, Scratch, bounded_batches, byte_rows, mix, pack, pieces, ragged, span_hash, sum_tables, table_batches, task, word_spans
+from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pack, pieces, prepare, ragged, span_hash, sum_tables, table_batches, task, word_spans
 from sluice.llm.components import components, forest
 
 #: Counters of token frequency; they only set the global order, so collisions cost time, never links.
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Repeated rows are each returned; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = sum_tables(rows.select("text").mapInArrow(partial(_count, size=size), TABLE_ROWS), COUNTERS, 1 << 14).get("", np.zeros(COUNTERS, np.int64))
@@ -204,11 +204,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     need = lambda a, b: F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent) - F.lit(percent) * F.greatest(a, b) / F.lit(100)
     inside = f"100 * low >= {percent} * t_high AND 100 * t_low >= {percent} * high"
     bound = F.when(F.expr(inside), F.least(*(need(a, b) for a in ("low", "high") for b in ("t_low", "t_high")))).otherwise(F.lit(0.0))
-    pairs = scratch.table(hits.where(F.col("hits") >= bound - 1e-6).select("gid", "target"), "pairs")
+    pairs = hits.where(F.col("hits") >= bound - 1e-6).select("gid", "target")
+    # The members of the smaller group are the queries.
+    sizes = scratch.table(grouped.groupBy("gid").agg(F.count("*").alias("members")), "sizes")
+    pairs = pairs.join(sizes, "gid").join(sizes.toDF("target", "t_members"), "target")
+    turned = F.col("members") > F.col("t_members")
+    pairs = scratch.table(pairs.select(F.when(turned, F.col("target")).otherwise(F.col("gid")).alias("gid"), F.when(turned, F.col("gid")).otherwise(F.col("target")).alias("target")), "pairs")
     opened = scratch.table(grouped.select("doc", "gid").join(pairs, "gid").select("doc", "target"), "opened")
 
     asked = opened.groupBy("target").agg(F.count("*").alias("queries")).withColumnRenamed("target", "gid")
-    info = grouped.groupBy("gid").agg(F.count("*").alias("members")).join(asked, "gid", "left")
+    info = sizes.join(asked, "gid", "left")
     info = scratch.table(info.where("members > 1 OR queries IS NOT NULL").select("gid", F.greatest(F.lit(1), F.ceil(F.coalesce("queries", F.lit(0)) / QUERIES)).cast("int").alias("parts")), "info")
     members = grouped.select("doc", "d1", "gid").join(info, "gid").select("gid", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(True).alias("member"), "doc", "d1")
     queries = opened.withColumnRenamed("target", "gid").join(info, "gid").join(grouped.select("doc", "d1"), "doc")
