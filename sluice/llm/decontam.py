@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BYTE_EXACT, SPACE, U64, bounded_batches, byte_rows, mix, pieces, powers, ragged, task
+from sluice.llm.common import BYTE_EXACT, SPACE, U64, byte_rows, mix, pieces, powers, prepare, ragged, task
 
 Q, WINDOW, STRIDE = 10, 100, 50
 #: One edit for so many bytes of a window.
@@ -181,7 +181,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     its edit budget appear. Null and empty texts and items have no match, nor have items under Q bytes; repeated rows
     give repeated rows; empty tables give none.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     found = [rows.mapInArrow(partial(_find, index=index), FOUND) for index in indexes(docs.sparkSession, items, item_id_col, item_text_col)]
     out = found[0]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import LETTER, TABLE_ROWS, U64, bounded_batches, byte_rows, mix, pieces, ragged, span_hash, sum_tables, table_batches, task, word_spans
+from sluice.llm.common import LETTER, TABLE_ROWS, U64, byte_rows, mix, pieces, prepare, ragged, span_hash, sum_tables, table_batches, task, word_spans
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Repeated rows each get a row; an empty table gives none.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     remainder = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(fold))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(remainder != held, F.lit(False)).alias("learned"))
     model = spark.sparkContext.broadcast(train(rows.where("learned")))

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import U64, Scratch, byte_rows, mix, pack, pieces, span_hash, word_spans
+from sluice.llm.common import U64, Scratch, byte_rows, mix, pack, pieces, prepare, span_hash, word_spans
 
 #: Text of a chunk, in bytes.
 CHUNK_BYTES = 6 << 20
@@ -148,6 +148,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    prepare(spark)
     scratch = Scratch(spark, "lm")
     remainder = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(fold))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("learned"), F.coalesce(remainder == tuning, F.lit(False)).alias("tuning"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, bounded_batches, byte_rows, pieces, task
+from sluice.llm.common import Scratch, byte_rows, pieces, prepare, task
 from sluice.llm.tokens import Encoder
 
 CAPACITY = 2048
@@ -182,7 +182,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are the end id alone; equal rows are packed each by itself; an empty table gives no rows; a null id is kept.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = scratch.table(rows.mapInArrow(partial(_cut, vocabulary=vocabulary, capacity=capacity), PIECES), "pieces")

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import TABLE_ROWS, U64, Scratch, bounded_batches, byte_rows, mix, pieces, span_hash, sum_tables, table_batches, task, word_spans
+from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pieces, prepare, span_hash, sum_tables, table_batches, task, word_spans
 
 BUCKETS = 1 << 16
-SMOOTH = 1.0
+#: Made-up occurrences of each feature at its rate in the raw corpus: what the target shows of rare features is shrunk.
+SMOOTH = 64.0
 #: Weights are those of so many tokens at a document's mean rate, so that length alone neither draws nor rejects.
-TOKENS = 64.0
+TOKENS = 256.0
 #: Share of the rows that is drawn.
 SHARE = 0.5
 BINS = 4096
@@ -89,15 +90,15 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: s
     Without target rows all weights are 0. Repeated rows draw the same key; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark, "resample")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = good.where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(good, "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
     tables = sum_tables(marked.mapInArrow(_count, TABLE_ROWS), BUCKETS)
-    raw, target = (tables.get(k, np.zeros(BUCKETS, np.int64)) + SMOOTH for k in ("raw", "target"))
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if "target" in tables else np.zeros(BUCKETS)
+    raw, target = (tables.get(k, np.zeros(BUCKETS, np.int64)).astype(float) for k in ("raw", "target"))
+    ratio = np.log((target + SMOOTH) / (raw * target.sum() / max(raw.sum(), 1) + SMOOTH))
     weighed = rows.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("salt")).mapInArrow(partial(_weigh, ratio=spark.sparkContext.broadcast(ratio)), "doc_id long, salt long, n_features long, log_ratio double, log_weight double")
     uniform = (F.pmod("salt", F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     keyed = scratch.table(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("salt"), "keys")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import U64, Scratch, bounded_batches, byte_rows, column_batch, mix, pieces, powers, task
+from sluice.llm.common import U64, Scratch, byte_rows, column_batch, mix, pieces, powers, prepare, task
 from sluice.llm.tokens import Encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -140,7 +140,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     empty store; a null id sorts first.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     width = "<u2" if Encoder.get(vocabulary, True).tool.get_vocab_size() <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = "kind int, key binary, doc_id long, n_tokens long, payload binary"
@@ -216,7 +216,7 @@ def _rebuild(batches):
 
 def read_store(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each document of the store: doc_id, start, n_tokens, ids_crc32, all from the files, verified."""
-    bounded_batches(spark)
+    prepare(spark)
     width = "<u2" if Encoder.get(vocabulary, True).tool.get_vocab_size() <= 1 << 16 else "<u4"
     objects = spark.read.schema("key binary, payload binary, kind int").parquet(f"{path}/objects").where("kind = 0").select("key", "payload")
     chunks = objects.mapInArrow(partial(_check, width=width), "key binary, n long, crc long")

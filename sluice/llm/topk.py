@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.llm.common import prepare
+
 #: Rows of a shard and queries of a block; a task holds one of each.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 2048
 PROBE = 8
@@ -97,7 +99,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     0. Repeated ids: each row is a candidate of its own and each query row is answered once for its id. Empty tables
     give no rows. Scores are exact while they stay under 2**53.
     """
-    spark = vectors.sparkSession
+    prepare(vectors.sparkSession)
     clean = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).alias("vector")).where(f"{name} IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
     rows, asked = clean(vectors, "vec_id"), clean(queries, "query_id").dropDuplicates(["query_id"])
     n_rows, n_asked = rows.count(), asked.count()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, task
+from sluice.llm.common import prepare, task
 
 MAGIC = b"WARC/1.1\r\n"
 #: Shorter payloads are always written in full.
@@ -119,6 +119,6 @@ def _read(batches):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    bounded_batches(spark)
+    prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
