@@ -194,6 +194,11 @@ def path_round_flow(spark, sf_dir):
     return _value(spark, max_flow(edges))
 
 
+def path_round_metrics(spark, sf_dir):
+    rows = path_rounds(graph_b(spark, sf_dir), FlowConfig(kept_paths=2), rounds=3)[1]
+    return spark.createDataFrame(rows, "round int, name string, value bigint")
+
+
 def flow_conservation(spark, sf_dir):
     return conservation_violations(max_flow(graph_b(spark, sf_dir)).edges).agg(F.count("*").alias("violations"))
 
@@ -208,7 +213,7 @@ def duality_gap(spark, sf_dir):
 
 
 def queries() -> dict:
-    every = (edge_build, degree, symmetrised, bfs_levels, bfs_level_histogram, reachable_set, terminal_pick, capacity_merge, residual_arcs, one_hop_extend, topk_paths, random_k_paths, saturated_filter, two_hop_meet, greedy_acceptance, adjacency_scan, dimacs_scan, folded_ids, tree_max_flow, max_flow_unit, max_flow_capacitated, min_cut_side, flow_metrics, flow_paths, path_round_flow, flow_conservation, flow_capacity, duality_gap)
+    every = (edge_build, degree, symmetrised, bfs_levels, bfs_level_histogram, reachable_set, terminal_pick, capacity_merge, residual_arcs, one_hop_extend, topk_paths, random_k_paths, saturated_filter, two_hop_meet, greedy_acceptance, adjacency_scan, dimacs_scan, folded_ids, tree_max_flow, max_flow_unit, max_flow_capacitated, min_cut_side, flow_metrics, flow_paths, path_round_flow, path_round_metrics, flow_conservation, flow_capacity, duality_gap)
     return {f.__name__: f for f in every}
 
 

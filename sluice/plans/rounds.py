@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sluice.operators.build import arcs_of, attach_terminals, merge_parallel, pick_terminals, symmetrise, terminals_of, unit_edges
 from sluice.operators.maxflow import FlowResult, apply_flow, flow_value, max_flow
-from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, extend, meet, seed_paths
+from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, extend, meet, not_forwarded, seed_paths
 from sluice.operators.traverse import bfs_levels
-from sluice.plans.config import SINK, SOURCE, FlowConfig
+from sluice.plans.config import RANDOM_PATHS, SINK, SOURCE, FlowConfig
 from sluice.plans.scratch import Scratch
 
 
@@ -41,24 +41,41 @@ def solve(arcs: DataFrame, config: FlowConfig, terminals: DataFrame | None = Non
 def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int = 8) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """Bidirectional rounds: paths grow from both terminals, meet, and are accepted; a valid flow and its metrics.
 
-    Path lists are cut to ``kept_paths`` a vertex, so this may stop short of the maximum; the sweeps finish it.
+    A path is offered to each neighbour once. Path lists are cut to ``kept_paths`` a vertex, so this may stop short of
+    the maximum; the sweeps finish it. Metrics of each side: paths offered (extended), kept, cut off (truncated) and
+    lost to saturated arcs, and vertices that gained their first path (moves) or lost their last (lost_vertices).
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
     edges = scratch.table(edges, "edges-0")
-    s, t, metrics = seed_paths(spark, SOURCE), seed_paths(spark, SINK), []
-    kept = min(config.kept_paths, 8)
+    one = F.count(F.lit(1))
+    sides = {"source": seed_paths(spark, SOURCE), "sink": seed_paths(spark, SINK)}
+    sent: dict[str, DataFrame | None] = {"source": None, "sink": None}
+    kept, metrics = min(config.kept_paths, RANDOM_PATHS), []
     for turn in range(1, rounds + 1):
-        arcs = arcs_of(edges)
-        s = scratch.table(best_paths(s.unionByName(extend(s, arcs)).distinct(), kept), f"s-{turn}")
-        t = scratch.table(best_paths(t.unionByName(extend(t, arcs, backward=True)).distinct(), kept), f"t-{turn}")
-        taken = scratch.table(accept(meet(s, t), arcs), f"accepted-{turn}")
-        got = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("flow")).first()
-        metrics += [(turn, "accepted_paths", got["n"]), (turn, "path_flow", got["flow"])]
+        arcs, vertices = arcs_of(edges), {}
+        for side, paths in sides.items():
+            offers = extend(paths, arcs, backward=side == "sink")
+            if sent[side] is not None:
+                offers = not_forwarded(offers, sent[side])
+            offers, offered = scratch.counted(offers, f"{side}-offers-{turn}", n=one)
+            sent[side] = offers.select("path", "v") if sent[side] is None else sent[side].unionByName(offers.select("path", "v"))
+            before = paths.unionByName(offers).distinct()
+            sides[side], left = scratch.counted(best_paths(before, kept), f"{side}-{turn}", n=one)
+            vertices[side] = sides[side].select("v").distinct().count()
+            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", before.count() - left["n"]), (turn, f"{side}_moves", vertices[side] - paths.select("v").distinct().count())]
+        candidates, met = scratch.counted(meet(sides["source"], sides["sink"]), f"met-{turn}", n=one)
+        taken, got = scratch.counted(accept(candidates, arcs), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
+        metrics += [(turn, "candidates", met["n"]), (turn, "accepted_paths", got["n"]), (turn, "accepted_flow", got["flow"]), (turn, "dropped", met["n"] - got["n"])]
         if got["n"]:
-            edges = scratch.table(apply_flow(edges, as_delta(taken)), f"edges-{turn}")
-            s, t = (scratch.table(bottlenecks(p, arcs_of(edges)), f"{name}-left-{turn}") for name, p in (("s", s), ("t", t)))
-        elif turn > 2 and not got["n"] and metrics[-3][2] == 0:
+            delta, changed = scratch.counted(as_delta(taken), f"delta-{turn}", n=one)
+            metrics.append((turn, "changed_arcs", changed["n"]))
+            edges = scratch.table(apply_flow(edges, delta), f"edges-{turn}")
+            for side, paths in sides.items():
+                whole = paths.count()
+                sides[side], left = scratch.counted(bottlenecks(paths, arcs_of(edges)), f"{side}-left-{turn}", n=one)
+                metrics += [(turn, f"{side}_saturated", whole - left["n"]), (turn, f"{side}_lost_vertices", vertices[side] - sides[side].select("v").distinct().count())]
+        elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):
             break
     return edges, metrics
 
