@@ -20,8 +20,8 @@ from sluice.llm.common import BYTE_EXACT, SPACE, U64, byte_rows, mix, pieces, po
 Q, WINDOW, STRIDE = 10, 100, 50
 #: One edit for so many bytes of a window.
 PER_EDIT = 12
-#: Items held by a worker at a time, in bytes; more are searched for in further passes.
-ITEM_BYTES = 16 << 20
+#: Items held by a worker at a time, in bytes (their index takes up to 70 times that); more take further passes.
+ITEM_BYTES = 1 << 20
 FILTER_BITS = 22
 FOUND = "doc_id long, item_id long, windows int, item_windows int, start long, end long, edits int"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -75,8 +75,8 @@ class Index:
         sizes = np.array([len(h) for h in hashes], np.int64)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         order = np.argsort(flat, kind="stable")
-        self.window = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.offset = ragged(np.zeros(len(sizes), np.int64), sizes)[order]
+        self.window = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
+        self.offset = ragged(np.zeros(len(sizes), np.int64), sizes)[order].astype(np.int32)
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.keys >> U64(64 - FILTER_BITS)] = True
@@ -126,9 +126,8 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int
         text, k, base = index.windows[w], int(index.budget[w]), int(starts[r])
         if (r, w) in out and not out[r, w][2]:
             continue
-        own = diagonal[(window == w) & (row == r)] if len(window) < 64 else None
         low, high = b * (k + 1), (b + 2) * (k + 1) - 1
-        exact = _verbatim(data, text, low, high, hashes, index, w) if own is None or len(own) else None
+        exact = verbatim(data, text, max(low, base), min(high + len(text) + 1, int(ends[r])))
         if exact is not None:
             out[r, w] = (exact - base, exact - base + len(text), 0)
             continue
@@ -140,10 +139,10 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int
     return [(r, w, *v) for (r, w), v in out.items()]
 
 
-def _verbatim(data: np.ndarray, text: np.ndarray, low: int, high: int, hashes: np.ndarray, index: Index, w: int) -> int | None:
-    """Where the window stands unchanged on a diagonal of the band."""
-    place = data[max(low, 0) : high + len(text) + 1].tobytes().find(text.tobytes())
-    return max(low, 0) + place if place >= 0 else None
+def verbatim(data: np.ndarray, text: np.ndarray, begin: int, end: int) -> int | None:
+    """Where the window stands unchanged between two places."""
+    place = data[begin : max(begin, end)].tobytes().find(text.tobytes())
+    return begin + place if place >= 0 else None
 
 
 @task

@@ -268,6 +268,15 @@ def test_decontamination(spark, empty):
     assert decontam.find_contamination(docs, bench.where("false")).count() == 0
 
 
+def test_windows_are_found_in_their_own_row():
+    from sluice.llm.decontam import Index, normal_all, search
+
+    text = b"the quick brown fox jumps over the lazy dog and runs away from all the others there"
+    rows = [text, text[:40] + b"z" + text[41:], text]
+    data, starts = normal_all(rows)
+    assert sorted((r, start, end, edits) for r, _, start, end, edits in search(data, starts, Index([(1, text)]))) == [(0, 0, len(text), 0), (1, 0, len(text), 1), (2, 0, len(text), 0)]
+
+
 def distance(window, text):
     """Fewest edits of the window against any part of the text."""
     row = [0] * (len(text) + 1)
