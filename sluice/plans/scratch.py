@@ -7,13 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
+#: The temporary folder of each application that has none set.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder of this machine only where it is unset, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        if own not in _OWN:
+            _OWN[own] = "file://" + tempfile.mkdtemp(prefix="sluice-")
+        path = _OWN[own]
     return path.rstrip("/")
 
 
