@@ -20,7 +20,7 @@ from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pack, pi
 from sluice.llm.components import components, forest
 
 #: Counters of token frequency; they only set the global order, so collisions cost time, never links.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 22
 #: Tokens of a group's members and queries that a task compares with it at a time; larger ones are split, none is cut.
 MEMBER_TOKENS, QUERIES = 200_000, 1024
 SETS = "doc_id long, n int, d1 long, d2 long, least long, prefix array<long>"
@@ -63,13 +63,13 @@ def _count(batches, size: int):
         rows = byte_rows(batch.column(0))
         for a, b in pieces(rows):
             tokens = np.concatenate(shingle_sets(rows[a:b], size) or [np.zeros(0, U64)])
-            table += np.bincount((tokens >> shift).astype(np.int64), minlength=COUNTERS)
+            np.add.at(table, (tokens >> shift).astype(np.int64), np.int64(1))
     yield from table_batches({"": table}, 1 << 14)
 
 
 def frequency_class(counts: np.ndarray) -> np.ndarray:
-    """0 for counters near the mean, then one more for each doubling."""
-    base = max(8.0, 4.0 * counts.mean())
+    """0 for counters that chance may fill so far (Poisson, six deviations), then one more for each doubling."""
+    base = counts.mean() + 6 * np.sqrt(counts.mean()) + 2
     return np.floor(np.log2(np.maximum(counts / base, 0.5)) + 1).astype(np.uint8)
 
 
