@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import pathlib
+import sys
 import tempfile
 import zipfile
 
@@ -41,11 +42,20 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Modules whose tasks use the remembered segments of ``tokens``.
+ENCODING = ("sluice.llm.packing", "sluice.llm.store")
+
+
 def task(f):
-    """A partition function whose worker gives its freed memory back when the task ends; workers are kept by Spark."""
+    """A partition function whose worker gives its freed memory back when the task ends; workers are kept by Spark.
+
+    A worker that turns from encoding to another operator forgets its segments first.
+    """
 
     @functools.wraps(f)
     def run(*args, **kwargs):
+        if f.__module__ not in ENCODING and "sluice.llm.tokens" in sys.modules:
+            sys.modules["sluice.llm.tokens"].forget()
         try:
             yield from f(*args, **kwargs)
         finally:

@@ -111,3 +111,8 @@ class Encoder:
         stream = flat[ragged(begins[which], lengths[which])]
         cuts = np.concatenate(([0], np.cumsum(lengths[which])))[np.searchsorted(starts, row_ends)]
         return [self._whole(rows[i]) if i in odd else part for i, part in enumerate(np.split(stream, cuts[:-1]))]
+
+
+def forget() -> None:
+    """Drop this process's encoders and what they remember."""
+    _OPEN.clear()
