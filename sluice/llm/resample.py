@@ -22,6 +22,8 @@ BUCKETS = 1 << 16
 SMOOTH = 64.0
 #: Weights are those of so many tokens at a document's mean rate, so that length alone neither draws nor rejects.
 TOKENS = 256.0
+#: Labelled good documents that the target model is fitted on, at most; a seeded random sample where there are more.
+TARGET_ROWS = 100_000
 #: Share of the rows that is drawn.
 SHARE = 0.5
 BINS = 4096
@@ -40,10 +42,11 @@ def features(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @task
-def _count(batches):
+def _count(batches, ids):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        wanted, rows = np.asarray(batch.column(0)), byte_rows(batch.column(1))
+        wanted, rows = batch.column(0).is_valid().to_numpy(zero_copy_only=False), byte_rows(batch.column(1))
+        wanted &= np.isin(np.asarray(batch.column(0).fill_null(0), np.int64), ids.value)
         for a, b in pieces(rows):
             row, bucket = features(rows[a:b])
             raw += np.bincount(bucket, minlength=BUCKETS)
@@ -85,7 +88,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """doc_id, n_features, log_ratio, log_weight, gumbel_key, selected of every row.
 
-    Target documents are those that some label calls good (quality 1) and none calls toxic. ceil(share * rows) rows
+    Target documents are those that some label calls good (quality 1) and none calls toxic, up to TARGET_ROWS. ceil(share * rows) rows
     are selected; equal keys at the limit are all kept. Null and empty texts weigh 0 and take part in the draw.
     Without target rows all weights are 0. Repeated rows draw the same key; an empty table gives no rows.
     """
@@ -93,10 +96,10 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: s
     prepare(spark)
     scratch = Scratch(spark, "resample")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    good = good.where("quality = 1 AND toxic = 0").select("doc_id", F.lit(True).alias("target"))
+    good = good.where("quality = 1 AND toxic = 0").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TARGET_ROWS)
+    ids = spark.sparkContext.broadcast(np.array(sorted(r["doc_id"] for r in good.collect()), np.int64))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = rows.join(good, "doc_id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-    tables = sum_tables(marked.mapInArrow(_count, TABLE_ROWS), BUCKETS)
+    tables = sum_tables(rows.mapInArrow(partial(_count, ids=ids), TABLE_ROWS), BUCKETS)
     raw, target = (tables.get(k, np.zeros(BUCKETS, np.int64)).astype(float) for k in ("raw", "target"))
     ratio = np.log((target + SMOOTH) / (raw * target.sum() / max(raw.sum(), 1) + SMOOTH))
     weighed = rows.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("salt")).mapInArrow(partial(_weigh, ratio=spark.sparkContext.broadcast(ratio)), "doc_id long, salt long, n_features long, log_ratio double, log_weight double")
