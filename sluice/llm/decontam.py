@@ -4,6 +4,10 @@ Items are cut into overlapping windows, each with a budget of edits. A text with
 shares at least m + 1 - q - k * q of its q-grams with it, on diagonals that differ by at most k. So shared q-grams are
 counted in diagonal bands 2 * (k + 1) wide that overlap by half; only regions that reach the bound are aligned, and
 the alignment is confined to their band.
+
+Windows begin at fixed places of an item. So that it doesn't matter where a copied passage begins, the same lemma is
+also asked of every place of an item: hits of a band are sorted by their place in the item, and each stretch in which
+enough of them lie within one passage's length is aligned for all starts it allows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,11 @@ from sluice.llm.common import BYTE_EXACT, SPACE, U64, byte_rows, mix, pieces, po
 Q, WINDOW, STRIDE = 10, 100, 50
 #: One edit for so many bytes of a window.
 PER_EDIT = 12
-#: Items held by a worker at a time, in bytes (their index takes up to 70 times that); more take further passes.
+#: Bytes and edits of the passages looked for at every place of an item; the lemma asks for the same 11 q-grams of each.
+PASSAGES = ((60, 4), (100, 8))
+#: Starts aligned at a time.
+STARTS = 4096
+#: Items held by a worker at a time, in bytes (their index takes up to 100 times that); more take further passes.
 ITEM_BYTES = 1 << 20
 FILTER_BITS = 22
 FOUND = "doc_id long, item_id long, windows int, item_windows int, start long, end long, edits int"
@@ -61,14 +69,19 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items, self.windows, self.of, self.at = [], [], [], []
+        self.names, self.texts = [], []
         for item, text in items:
             text = normal(text)
+            if len(text) >= Q:
+                self.names.append(item)
+                self.texts.append(np.frombuffer(text, np.uint8))
             starts = list(range(0, max(1, len(text) - WINDOW + 1), STRIDE))
             if len(text) > WINDOW and starts[-1] + WINDOW < len(text):
                 starts.append(len(text) - WINDOW)
             for s in starts if len(text) >= Q else []:
                 self.windows.append(np.frombuffer(text[s : s + WINDOW], np.uint8))
                 self.items.append(item)
+                self.of.append(len(self.names) - 1)
                 self.at.append(s)
         self.per_item = dict(zip(*map(list, np.unique(np.array(self.items, np.int64), return_counts=True)))) if self.items else {}
         hashes = [gram_hash(w) for w in self.windows]
@@ -78,6 +91,18 @@ class Index:
         self.window = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
         self.offset = ragged(np.zeros(len(sizes), np.int64), sizes)[order].astype(np.int32)
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        # The same q-grams by their place in the whole item: windows cover an item, so both have the same keys.
+        hashes = [gram_hash(t) for t in self.texts]
+        sizes = np.array([len(h) for h in hashes], np.int64)
+        flat = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+        order = np.argsort(flat, kind="stable")
+        self.lengths = sizes + Q - 1
+        self.whole = np.concatenate([np.zeros(0, np.uint8), *self.texts])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.text = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
+        self.place = ragged(np.zeros(len(sizes), np.int64), sizes)[order].astype(np.int32)
+        self.text_first = np.searchsorted(flat[order], self.keys, side="left")
+        self.text_count = np.searchsorted(flat[order], self.keys, side="right") - self.text_first
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.keys >> U64(64 - FILTER_BITS)] = True
         self.budget = np.array([budget(len(w)) for w in self.windows], np.int64)
@@ -103,13 +128,18 @@ def aligned(window: np.ndarray, region: np.ndarray, low: int, high: int, limit:
     return int(row[best]), int(diagonals[best]) + len(window)
 
 
-def search(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(row, window, start, end, edits) of every window found; positions in the row's normal form."""
+def shared(data: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Where q-grams of the items stand, and which keys of the index they are."""
     hashes = gram_hash(data)
     at = np.flatnonzero(index.filter[hashes >> U64(64 - FILTER_BITS)]) if len(index.keys) else np.zeros(0, np.int64)
     key = np.minimum(np.searchsorted(index.keys, hashes[at]), max(len(index.keys) - 1, 0))
     real = index.keys[key] == hashes[at] if len(at) else np.zeros(0, bool)
-    at, key = at[real], key[real]
+    return at[real], key[real]
+
+
+def search(data: np.ndarray, starts: np.ndarray, index: Index, hits: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(row, window, start, end, edits) of every window found; positions in the row's normal form."""
+    at, key = shared(data, index) if hits is None else hits
     post = ragged(index.first[key], index.count[key]) if len(key) else np.zeros(0, np.int64)
     if not len(post):
         return []
@@ -119,7 +149,9 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int
     row = np.searchsorted(starts, at, side="right") - 1
     step = index.budget[window] + 1
     band = np.concatenate([diagonal // step, diagonal // step - 1])  # band b: diagonals b * step to (b + 2) * step - 1
-    cell, which, count = np.unique(np.stack([np.tile(row, 2), np.tile(window, 2), band], axis=1), axis=0, return_inverse=True, return_counts=True)
+    key = cells(np.tile(row, 2), np.tile(window, 2), band, len(index.windows))
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    cell = np.stack([np.tile(row, 2)[first], np.tile(window, 2)[first], band[first]], axis=1)
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
     ends = np.append(starts[1:] - 1, len(data) - 1)
     for r, w, b in cell[count >= index.bound[cell[:, 1]]].tolist():
@@ -139,12 +171,129 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int
     return [(r, w, *v) for (r, w), v in out.items()]
 
 
+def cells(row: np.ndarray, which: np.ndarray, band: np.ndarray, number: int) -> np.ndarray:
+    """One number for each row, window or item (of so many) and band, in that order."""
+    low = int(band.min())
+    return (row.astype(np.int64) * number + which) * (int(band.max()) - low + 1) + (band - low)
+
+
+def passages(data: np.ndarray, starts: np.ndarray, index: Index, hits: tuple[np.ndarray, np.ndarray], spans: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(row, text of the index, start, end, edits) of passages that begin anywhere in an item.
+
+    ``spans`` holds, for a row and text, the part that is found already; passages inside it add nothing and are passed
+    over, and it grows with those found.
+    """
+    at, key = hits
+    post = ragged(index.text_first[key], index.text_count[key])
+    if not len(post):
+        return []
+    at = np.repeat(at, index.text_count[key])
+    text, place = index.text[post], index.place[post].astype(np.int64)
+    diagonal = at - place
+    row = np.searchsorted(starts, at, side="right") - 1
+    ends, out, runs = np.append(starts[1:] - 1, len(data) - 1), [], {}
+
+    def note(r: int, t: int, start: int, end: int, edits: int) -> None:
+        a, b = spans.get((r, t), (start, end))
+        spans[r, t] = (min(a, start), max(b, end))
+        out.append((r, t, start, end, edits))
+
+    # Unchanged passages: q-grams one after the other on one diagonal.
+    size = min(p for p, _ in PASSAGES)
+    same = cells(row, text, diagonal, len(index.texts))
+    order = np.lexsort((place, same))
+    broken = np.flatnonzero((np.diff(same[order]) != 0) | (np.diff(place[order]) != 1))
+    first, last = np.append(0, broken + 1), np.append(broken, len(order) - 1)
+    long = last - first >= size - Q
+    for i, j in zip(order[first[long]].tolist(), order[last[long]].tolist()):
+        base = int(starts[row[i]])
+        note(int(row[i]), int(text[i]), int(at[i]) - base, int(at[j]) + Q - base, 0)
+        runs.setdefault((int(row[i]), int(text[i])), []).append((int(diagonal[i]), int(place[i]), int(place[j]) + Q))
+
+    for size, most in PASSAGES:
+        own = np.flatnonzero(index.lengths[text] >= size)
+        if not len(own):
+            continue
+        step, more = most + 1, size - Q - most * Q  # the last of as many hits as the lemma asks for is this far on
+        band = diagonal[own] // step
+        both, band = np.tile(own, 2), np.concatenate([band, band - 1])
+        cell = cells(row[both], text[both], band, len(index.texts))
+        order = np.lexsort((place[both], cell))
+        cell, where, band, both = cell[order], place[both][order], band[order], both[order]
+        dense = np.flatnonzero((cell[more:] == cell[: len(cell) - more]) & (where[more:] - where[: len(where) - more] <= size - Q))
+        if not len(dense):
+            continue
+        low, high, cell = where[dense + more] - (size - Q), where[dense], cell[dense]  # starts of passages that hold them
+        cut = np.flatnonzero((np.diff(cell) != 0) | (low[1:] > high[:-1] + 1))
+        found = []
+        for a, b in zip(np.append(0, cut + 1).tolist(), np.append(cut, len(dense) - 1).tolist()):
+            i = int(both[dense[a]])
+            r, t, shift = int(row[i]), int(text[i]), int(band[dense[a]]) * step
+            base, end = int(starts[r]), int(ends[r])
+            p = np.arange(max(0, int(low[a])), min(int(high[b]), int(index.lengths[t]) - size) + 1)
+            for d, x, y in runs.get((r, t), ()):
+                if shift <= d < shift + 2 * step:
+                    p = p[(p < x) | (p + size > y)]
+            if (r, t) in spans:
+                s, e = spans[r, t]
+                p = p[(np.maximum(p + shift - base, 0) < s) | (np.minimum(p + shift + 2 * step - 1 + size, end) - base > e)]
+            if len(p):
+                found.append((p, *(np.full(len(p), x) for x in (r, t, base, end, shift))))
+        if found:
+            p, r, t, base, end, shift = map(np.concatenate, zip(*found))
+            for part in range(0, len(p), STARTS):
+                own = slice(part, part + STARTS)
+                which, stop, edits = anywhere(index.whole, p[own] + index.begins[t[own]], size, data, p[own] + shift[own], base[own], end[own], 2 * step, most)
+                for k, x, n in zip((which + part).tolist(), stop.tolist(), edits.tolist()):
+                    x -= int(base[k])
+                    note(int(r[k]), int(t[k]), max(0, x - size), x, n)
+    return out
+
+
+def anywhere(text: np.ndarray, begin: np.ndarray, size: int, data: np.ndarray, first: np.ndarray, base: np.ndarray, end: np.ndarray, width: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the passages that begin at these places of the items are within the limit, where they end, and their edits.
+
+    The same recurrence as ``aligned`` for many passages side by side, on so many diagonals from ``first`` on, between
+    ``base`` and ``end`` of the data.
+    """
+    steps = np.arange(width)
+    which, at, base, end = np.arange(len(begin)), first[:, None] + steps, base[:, None], end[:, None]
+    row = np.where((at >= base) & (at <= end), 0, limit + 1)
+    for i in range(size):
+        inside = (at >= base) & (at < end)
+        same = data[np.clip(at, 0, len(data) - 1)] == text[begin + i][:, None]
+        step = np.where(inside, row + ~same, limit + 1)
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # the passage's byte is missing
+        row = np.minimum.accumulate(step - steps, axis=1) + steps  # bytes of the data are extra
+        at = at + 1
+        row[(at < base) | (at > end)] = limit + 1
+        alive = row.min(axis=1) <= limit
+        if not alive.all():
+            which, row, at, begin, base, end = (x[alive] for x in (which, row, at, begin, base, end))
+            if not len(which):
+                break
+    best = row.argmin(axis=1)
+    each = np.arange(len(which))
+    return which, at[each, best], row[each, best]
+
+
 def verbatim(data: np.ndarray, text: np.ndarray, begin: int, end: int) -> int | None:
     """Where the window stands unchanged between two places."""
     place = data[begin : max(begin, end)].tobytes().find(text.tobytes())
     return begin + place if place >= 0 else None
 
 
+def matches(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item, 1 for a window and 0 for another passage, start, end, edits) of all that is found."""
+    hits = shared(data, index)
+    out, spans = [], {}
+    for r, w, start, end, edits in search(data, starts, index, hits):
+        out.append((r, index.items[w], 1, start, end, edits))
+        a, b = spans.get((r, index.of[w]), (start, end))
+        spans[r, index.of[w]] = (min(a, start), max(b, end))
+    return out + [(r, index.names[t], 0, start, end, edits) for r, t, start, end, edits in passages(data, starts, index, hits, spans)]
+
+
 @task
 def _find(batches, index):
     index = index.value
@@ -155,9 +304,9 @@ def _find(batches, index):
         for a, b in pieces(rows):
             data, starts = normal_all(rows[a:b])
             by: dict[tuple[int, int], list] = {}
-            for r, w, start, end, edits in search(data, starts, index):
-                by.setdefault((r, index.items[w]), []).append((start, end, edits))
-            out += [(ids[a + r], item, len(x), int(index.per_item[item]), min(y[0] for y in x), max(y[1] for y in x), min(y[2] for y in x)) for (r, item), x in by.items()]
+            for r, item, window, start, end, edits in matches(data, starts, index):
+                by.setdefault((r, item), []).append((window, start, end, edits))
+            out += [(ids[a + r], item, sum(y[0] for y in x), int(index.per_item[item]), min(y[1] for y in x), max(y[2] for y in x), min(y[3] for y in x)) for (r, item), x in by.items()]
         if out:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
@@ -177,7 +326,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """doc_id, item_id, windows found and in the item, start, end (bytes of the normal form), edits: one row a pair.
 
     Texts are compared with A-Z folded and blanks as one space. Only documents that hold a window of an item within
-    its edit budget appear. Null and empty texts and items have no match, nor have items under Q bytes; repeated rows
+    its edit budget appear, or a passage of one of PASSAGES, wherever it begins in the item; a pair with passages only
+    has 0 windows. Start and end enclose all that is found, edits are the fewest. Null and empty texts and items have no match, nor have items under Q bytes; repeated rows
     give repeated rows; empty tables give none.
     """
     prepare(docs.sparkSession)

@@ -309,6 +309,43 @@ def test_q_gram_search_finds_all_within_budget():
             assert found[0][4] == distance(index.windows[0].tobytes(), normal(whole))
 
 
+def test_passages_are_found_wherever_they_begin(spark):
+    from sluice.llm.decontam import PASSAGES, find_contamination
+
+    size, rng = PASSAGES[0][0], random.Random(12)
+    item = " ".join(sentence(rng, "en", 60).split())
+    cuts = list(range(1, len(item) - size, 7))
+    texts = [(i, sentence(rng, "fr", 20) + "q" + item[at : at + size] + "q" + sentence(rng, "de", 20)) for i, at in enumerate(cuts)]
+    docs = spark.createDataFrame(texts + [(1000, sentence(rng, "en", 60))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in find_contamination(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == set(range(len(cuts)))
+    for i, at in enumerate(cuts):
+        place = texts[i][1].encode().index(b"q" + item[at : at + size].encode() + b"q") + 1
+        assert got[i]["item_id"] == 7 and got[i]["edits"] == 0 and got[i]["start"] <= place and got[i]["end"] >= place + size
+
+
+def test_passages_are_found_within_their_edits_only():
+    from sluice.llm.decontam import PASSAGES, Index, matches, normal_all
+
+    rng, seen = random.Random(14), collections.Counter()
+    for _ in range(40):
+        item = bytes(rng.choices(b"abcdefgh", k=rng.choice([70, 110, 150])))
+        size, most = rng.choice(PASSAGES)
+        at = rng.randrange(max(1, len(item) - size))
+        text = bytearray(item[at : at + size])
+        for place in sorted(rng.sample(range(len(text)), rng.randint(0, most + 2)), reverse=True):
+            text[place : place + rng.randint(0, 1)] = rng.choice([b"", b"z", b"k"])
+        whole = bytes(rng.choices(b"mnopqrst", k=40)) + bytes(text) + bytes(rng.choices(b"mnopqrst", k=40))
+        index = Index([(1, item)])
+        data, starts = normal_all([b"other text", whole, item[:9]])
+        found = matches(data, starts, index)
+        want = any(distance(item[p : p + n], whole) <= k for n, k in PASSAGES for p in range(len(item) - n + 1))
+        want = want or any(distance(w.tobytes(), whole) <= k for w, k in zip(index.windows, index.budget))
+        assert {r for r, *_ in found} == ({1} if want else set())
+        seen[want] += 1
+    assert min(seen[True], seen[False]) >= 5
+
+
 def ids_of(name, text, whole):
     from tokenizers import Tokenizer
     import public_tokenizers
