@@ -4,7 +4,8 @@ Documents with equal shingle sets are one class. Similar classes (equal minimum
 matrix holds, for each token, the groups whose union of prefix tokens contains it; prefixes are taken in one global
 order, rare tokens first, so linked documents share a prefix token. The count of matrix hits that two groups have in
 common bounds the overlap of any query in one with any member of the other: a group that cannot reach the threshold is
-not opened. In an opened group each query is bounded again by the whole token union, then members are compared exactly. Links are turned into components where they are found.
+not opened. In an opened group each query is bounded again by the whole token union, then members are compared exactly. Links are counted
+and turned into spanning links where they are found.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _sets(batches, size: int, percent: int, classes):
 
 @task
 def _with_sets(batches, size: int):
-    """Rows (gid, part, member, doc_id, d1, text) with the whole token set; rows whose text is not of that class go."""
+    """Rows (gid, part, member, doc_id, d1, text, copies) with the whole token set; rows whose text is not of that class go."""
     for batch in batches:
         rows = byte_rows(batch.column(5))
         for a, b in pieces(rows):
@@ -119,7 +120,7 @@ def _with_sets(batches, size: int):
             keep = np.array([named[r] == d for r, d in zip(rows[a:b], batch.column(4)[a:b].to_pylist())])
             part = batch.slice(a, b - a)
             tokens = pa.array([pack(sets[r]) if k else b"" for r, k in zip(rows[a:b], keep)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), tokens], names=["gid", "part", "member", "doc_id", "tokens"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), tokens, part.column(6)], names=["gid", "part", "member", "doc_id", "tokens", "copies"]).filter(pa.array(keep))
 
 
 def compare(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -141,33 +142,56 @@ def compare(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.n
     return links
 
 
+def link_counts(links: list[tuple[int, int]], queries: set[int], copies: dict[int, int], first: bool) -> dict[int, int]:
+    """Documents that each class is linked with in this part of a group.
+
+    A query comes once, so its link counts for both ends; the links of members with each other come in both directions
+    and again in every part, so they count in the first part only.
+    """
+    out: dict[int, int] = {}
+    for a, b in links:
+        if a in queries:
+            out[b] = out.get(b, 0) + copies[a]
+        if a in queries or first:
+            out[a] = out.get(a, 0) + copies[b]
+    return out
+
+
 @task
 def _verify(batches, percent: int):
-    key, members, queries, found = None, [], [], []
+    """Spanning links (a, b) of each part of a group, and rows (a, a, n) with the number of documents that a is linked with."""
+    key, members, queries, copies, seen, found = None, [], [], {}, set(), []
 
     def flush():
-        out = forest(compare(members, queries, percent)) if members else []
-        members.clear()
-        queries.clear()
-        return out
+        links = compare(members, queries, percent) if members else []
+        counts = link_counts(links, {doc for doc, _ in queries}, copies, key is None or key[1] == 0)
+        for x in (members, queries, copies, seen):
+            x.clear()
+        return [(a, b, 0) for a, b in forest(links)] + [(a, a, n) for a, n in counts.items()]
 
     for batch in batches:
-        gids, parts, roles, docs, blobs = (batch.column(i).to_pylist() for i in range(5))
-        for gid, part, member, doc, blob in zip(gids, parts, roles, docs, blobs):
+        gids, parts, roles, docs, blobs, numbers = (batch.column(i).to_pylist() for i in range(6))
+        for gid, part, member, doc, blob, number in zip(gids, parts, roles, docs, blobs, numbers):
             if (gid, part) != key:
                 found += flush()
                 key = (gid, part)
+            if (doc, blob) in seen:  # a repeated row
+                continue
+            seen.add((doc, blob))
+            copies[doc] = number
             (members if member else queries).append((doc, np.frombuffer(blob, U64)))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=["a", "b", "n"])
             found = []
     if found := flush():
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=["a", "b", "n"])
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included) of every row.
 
+    With ``count_links`` also n_links: how many other documents (distinct ids) the row's set is linked with.
+
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; a set is the distinct shingles of ``size`` words, or the whole
     sequence where there are fewer. Sets link when 100 * intersection >= percent * union. Rows without words or text
     have no shingle and link with nothing. Rows with a null id are kept, link with nothing and have a null component.
@@ -182,13 +206,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = scratch.table(rows.mapInArrow(partial(_sets, size=size, percent=percent, classes=classes), SETS), "sets")
 
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("least").alias("least"), F.first("prefix").alias("prefix"))
+    reps = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.count_distinct("doc_id").alias("copies"), F.first("least").alias("least"), F.first("prefix").alias("prefix"))
     reps = scratch.table(reps, "classes")
     # Groups of more than MEMBER_TOKENS are dealt into blocks; their list is broadcast only if its size allows.
     large = scratch.table(reps.groupBy("least").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).where(f"size > {MEMBER_TOKENS} AND sets > 1").drop("sets"), "large")
     large = F.broadcast(large) if large.count() <= 100_000 else large
     block = F.coalesce(F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("size") / MEMBER_TOKENS)), F.lit(0))
-    grouped = reps.join(large, "least", "left").select("doc", "n", "d1", F.xxhash64("least", block).alias("gid"), "prefix")
+    grouped = reps.join(large, "least", "left").select("doc", "n", "d1", "copies", F.xxhash64("least", block).alias("gid"), "prefix")
     grouped = scratch.table(grouped, "grouped")
     scratch.drop("classes", "large")
 
@@ -215,15 +239,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     asked = opened.groupBy("target").agg(F.count("*").alias("queries")).withColumnRenamed("target", "gid")
     info = sizes.join(asked, "gid", "left")
     info = scratch.table(info.where("members > 1 OR queries IS NOT NULL").select("gid", F.greatest(F.lit(1), F.ceil(F.coalesce("queries", F.lit(0)) / QUERIES)).cast("int").alias("parts")), "info")
-    members = grouped.select("doc", "d1", "gid").join(info, "gid").select("gid", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(True).alias("member"), "doc", "d1")
-    queries = opened.withColumnRenamed("target", "gid").join(info, "gid").join(grouped.select("doc", "d1"), "doc")
-    queries = queries.select("gid", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.lit(False).alias("member"), "doc", "d1")
-    work = members.unionByName(queries).join(rows.withColumnRenamed("doc_id", "doc"), "doc").select("gid", "part", "member", "doc", "d1", "text")
-    filled = work.mapInArrow(partial(_with_sets, size=size), "gid long, part int, member boolean, doc_id long, tokens binary")
-    links = filled.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(partial(_verify, percent=percent), "a long, b long")
+    members = grouped.select("doc", "d1", "copies", "gid").join(info, "gid").select("gid", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(True).alias("member"), "doc", "d1", "copies")
+    queries = opened.withColumnRenamed("target", "gid").join(info, "gid").join(grouped.select("doc", "d1", "copies"), "doc")
+    queries = queries.select("gid", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.lit(False).alias("member"), "doc", "d1", "copies")
+    work = members.unionByName(queries).join(rows.withColumnRenamed("doc_id", "doc"), "doc").select("gid", "part", "member", "doc", "d1", "text", "copies")
+    filled = work.mapInArrow(partial(_with_sets, size=size), "gid long, part int, member boolean, doc_id long, tokens binary, copies long")
+    links = filled.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(partial(_verify, percent=percent), "a long, b long, n long")
+    if count_links:
+        links = scratch.table(links, "links")
     found = components(links, scratch)
 
     classes_of = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")).join(found, "node", "left")
+    if count_links:
+        classes_of = classes_of.join(grouped.select(F.col("doc").alias("node"), "n", "d1", "copies"), ["node", "n", "d1"], "left")
+        counted = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+        classes_of = classes_of.join(counted, "node", "left")
     joined = sets.select("doc_id", "n", "d1", "d2").join(classes_of, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id"))
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id"))
+    out = [F.col("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id")]
+    if count_links:  # copies of the row's own set are linked with it, unless it has none or no id
+        others = F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0))
+        out.append(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(others).cast("long").alias("n_links"))
+    return joined.select(*out)

@@ -45,7 +45,7 @@ def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.jaccard import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85, count_links=True)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,21 @@ def test_near_duplicates(docs, rows, size, percent, monkeypatch):
     assert collections.Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (3, 60)])
+def test_links_are_counted(docs, rows, size, percent, monkeypatch):
+    from sluice.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "MEMBER_TOKENS", 200)  # groups are split, and queries dealt into several parts
+    monkeypatch.setattr(jaccard, "QUERIES", 2)
+    sets = {i: shingles(text, size) for i, text, *_ in rows if i is not None}
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    n_links = {i: sum(i != j and linked(s, t) for j, t in sets.items()) for i, s in sets.items()}
+    assert len(set(n_links.values())) > 3
+    got = jaccard.near_duplicates(docs, size, percent, count_links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert collections.Counter((r["doc_id"], r["n_links"]) for r in got.collect()) == collections.Counter((i, n_links.get(i, 0)) for i, *_ in rows)
+
+
 def test_near_duplicates_long_chain(spark):
     """Components are followed along a chain of links, whatever group a document falls into."""
     from sluice.llm.jaccard import near_duplicates
