@@ -1,6 +1,7 @@
 """Corpus preparation as stages that each call one operator; every stage works on all its predecessor kept.
 
-Stages but the last return the columns of documents; the last returns the packing of what remains.
+Stages but the last return the columns of documents; the last returns the packing of what remains. A row stays or goes
+by its own text, also where its id is null or repeats with another text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import shared_dir
+from sluice.llm.common import Scratch, shared_dir
 from sluice.llm.decontam import find_contamination
 from sluice.llm.jaccard import near_duplicates
 from sluice.llm.langid import UNDETERMINED, identify
@@ -23,21 +24,43 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language, or without one that labels half of their letters, go."""
-    found = identify(docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents without a determined language, or without one that labels half of their letters, go; texts are known by their hash."""
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    found = identify(hashed, carry=("hash",)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.hash").distinct()
+    return hashed.join(found, "hash", "left_semi").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id, once."""
-    kept = near_duplicates(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near duplicates stays: that with the smallest id, once.
+
+    Rows with a null id link with nothing and stay. Different texts of one id are documents of their own; all but one
+    of them (that with the least hash) rank behind every id.
+    """
+    named, key = keyed(spark, docs.where("doc_id IS NOT NULL"))
+    kept = near_duplicates(named, size=5, percent=80, id_col=key).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = named.join(kept, key, "left_semi").dropDuplicates([key]).select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, and the column that tells their texts apart: the id, or a new key where ids repeat with other texts."""
+    scratch, texts = Scratch(spark, "keys"), docs.select("doc_id", F.xxhash64("text").alias("hash"))
+    several = texts.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
+    several = scratch.table(several.select("doc_id", "least"), "several")
+    if several.isEmpty():
+        return docs, "doc_id"
+    others = texts.join(several, "doc_id").where("hash <> least").select("doc_id", "hash").distinct()
+    last = docs.agg(F.max("doc_id")).first()[0]
+    others = scratch.table(others.withColumn("other", F.lit(last) + 1 + F.monotonically_increasing_id()), "others")
+    named = docs.withColumn("hash", F.xxhash64("text")).join(others, ["doc_id", "hash"], "left")
+    return named.withColumn("key", F.coalesce("other", "doc_id")), "key"
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold a passage of a benchmark item go; texts are known by their hash."""
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    found = find_contamination(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="hash").select(F.col("doc_id").alias("hash")).distinct()
+    return hashed.join(found, "hash", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

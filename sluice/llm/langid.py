@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.llm.common import LETTER, TABLE_ROWS, U64, byte_rows, mix, pieces, prepare, ragged, span_hash, sum_tables, table_batches, task, word_spans
 
@@ -192,20 +193,23 @@ def _predict(batches, model):
                 turns = [] if empty else [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist()]
                 spans.append([{"first_word": t, "n_words": n - t, "lang": langs[own[t]]} for t, n in zip(turns, [*turns[1:], len(own)])])
             span = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], pa.array(picked, pa.string()), pa.array(sure, pa.float64()), pa.array(spans, span)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
+            carried = [batch.column(k).slice(first, last - first) for k in range(3, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(1)[first:last], pa.array(picked, pa.string()), pa.array(sure, pa.float64()), pa.array(spans, span), *carried], names=["doc_id", "held_out", "lang_pred", "score", "spans", *(["row"] if carried else [])])
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, held: int = 2) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, held: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the letters), spans (first_word, n_words, lang) of every row.
 
     Learns from rows whose crc32(id as text) mod ``fold`` is not ``held`` and whose text and label are not null; the
     label, source and id are no inputs of a prediction. ``und`` with score 0 and no span if the text is null, empty
     or has no letter, or if there was nothing to learn from. A row with a null id is predicted, not learned from.
-    Repeated rows each get a row; an empty table gives none.
+    Repeated rows each get a row; an empty table gives none. Columns in ``carry`` come along as a struct ``row``.
     """
     spark = docs.sparkSession
     prepare(spark)
     remainder = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(fold))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(remainder != held, F.lit(False)).alias("learned"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(remainder != held, F.lit(False)).alias("learned"), *([F.struct(*carry).alias("row")] if carry else []))
     model = spark.sparkContext.broadcast(train(rows.where("learned")))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>")
+    schema = StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>")
+    rows = rows.drop("lang", "learned")
+    return rows.mapInArrow(partial(_predict, model=model), StructType([*schema, *rows.schema[3:]]))

@@ -617,3 +617,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where("doc_id = 104").first()["text"].endswith(" [EMAIL]")
     packed = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert {r["doc_id"] for r in packed} == seen[3]
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    item = sentence(rng, "en", 40)
+    text = [sentence(rng, lang, 60) for lang in ["en", "fr", "de"] * 20]
+    plain = [(i, t, "en fr de".split()[i % 3], "s", 1) for i, t in enumerate(text)]
+    clean, leak, one, two, three = sentence(rng, "en", 50), sentence(rng, "en", 30) + " " + item, sentence(rng, "en", 55), sentence(rng, "fr", 55), sentence(rng, "de", 55)
+    odd = [(None, clean, "en", "s", 1), (None, leak, "en", "s", 1), (None, "12 34", None, "s", 1), (None, None, None, None, None)]
+    odd += [(100, one, "en", "s", 1), (100, two, "fr", "s", 1), (100, three + " " + item, "de", "s", 1), (100, "12 34", "de", "s", 1), (100, two, "fr", "s", 1), (100, text[0] + " more", "en", "s", 1)]
+    spark.createDataFrame(plain + odd, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/out-{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/out-{k}")
+        seen.append(collections.Counter((r["doc_id"], r["text"]) for r in docs.collect()))
+    rows = collections.Counter(r[:2] for r in plain)
+    first = rows + collections.Counter(r[:2] for r in odd if r[1] not in (None, "12 34"))
+    second = first - collections.Counter([(100, two), (100, text[0] + " more")])
+    assert seen == [first, second, second - collections.Counter([(None, leak), (100, three + " " + item)])]
