@@ -2,8 +2,10 @@
 
 A rolling hash cuts each document's id stream into chunks, so shared passages give equal chunks wherever they stand.
 ``objects`` holds each distinct chunk once under its SHA-256; ``recipes`` lists, in ascending document order, the
-chunks of each document with their Merkle root; ``manifest`` has the Merkle root of each recipe file. Reading checks
-every chunk against its name and every document against its root.
+chunks of each document with a root over id, length and chunks; ``manifest`` has, for each recipe file, the number of
+documents and tokens and the Merkle root of its documents in order, and the same for the whole store. Reading checks
+every chunk against its name, every document against its root, every recipe file against the manifest, and the
+manifest against the root of the store: what is missing, repeated, swapped, moved or altered raises.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ END = np.zeros(1, "<u4")
 TOKEN_HASH = mix((np.arange(1 << 16, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 PART = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 RECIPE = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("local_start", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
+RECIPE_ROWS = "part int, doc_id long, n_tokens long, local_start long, digests binary, root binary"
+MANIFEST = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+MANIFEST_ROWS = "part int, n_docs long, n_tokens long, root binary"
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -41,6 +46,12 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def document_root(doc_id: int | None, n_tokens: int, digests: list[bytes]) -> bytes:
+    """Root of a document: its id, its length and its chunks in order."""
+    name = b"\0" if doc_id is None else b"\1" + doc_id.to_bytes(8, "big", signed=True)
+    return hashlib.sha256(b"\2" + name + n_tokens.to_bytes(8, "big") + merkle(digests)).digest()
+
+
 def rolling_cuts(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last WINDOW ids asks for a cut."""
     if len(ids) < WINDOW:
@@ -109,32 +120,52 @@ def _once(batches):
         yield batch.filter(pa.array(keep))
 
 
+def split_digests(packed: bytes) -> list[bytes]:
+    return [packed[i : i + 32] for i in range(0, len(packed), 32)]
+
+
 @task
 def _number(batches):
     part, start = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = np.asarray(batch.column(1), np.int64)
         ends = start + np.cumsum(n)
-        lists = batch.column(2).to_pylist()
-        roots = [merkle([d[i : i + 32] for i in range(0, len(d), 32)]) for d in lists]
+        docs, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        roots = [document_root(i, size, split_digests(d)) for i, size, d in zip(docs, n.tolist(), lists)]
         yield column_batch(RECIPE, part=np.full(len(n), part, np.int32), doc_id=batch.column(0), n_tokens=n, local_start=ends - n, digests=lists, root=roots)
         start = int(ends[-1]) if len(n) else start
 
 
 @task
 def _manifest(batches):
+    """What the recipes say of each of their files: documents, tokens, and the root of the documents in order."""
     roots: dict[int, list[bytes]] = {}
     totals: dict[int, int] = {}
     for batch in batches:
-        for part, n, root in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            roots.setdefault(part, []).append(root)
-            totals[part] = totals.get(part, 0) + n
+        for part, start, doc, n, digests in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if start != totals.get(part, 0):
+                raise ValueError(f"recipe file {part} has a gap or an overlap at token {start}")
+            roots.setdefault(part, []).append(document_root(doc, n, split_digests(digests)))
+            totals[part] = start + n
     keys = list(roots)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([totals[k] for k in keys], pa.int64()), pa.array([merkle(roots[k]) for k in keys], pa.binary())], names=["part", "n_tokens", "root"])
+    columns = ([*keys], [len(roots[k]) for k in keys], [totals[k] for k in keys], [merkle(roots[k]) for k in keys])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, MANIFEST.types)], schema=MANIFEST)
+
+
+def manifest_of(spark: SparkSession, path: str) -> list[tuple[int, int, int, bytes]]:
+    """(part, documents, tokens, root) of the recipe files as they are now, ascending; as many rows as there are files."""
+    rows = spark.read.schema(RECIPE_ROWS).parquet(f"{path}/recipes").select("part", "local_start", "doc_id", "n_tokens", "digests")
+    rows = rows.repartition("part").sortWithinPartitions("part", "local_start").mapInArrow(_manifest, MANIFEST_ROWS)
+    return sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in rows.collect())
 
 
-def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> None:
-    """Encode every whole text, append id 0, and write objects, recipes and manifest under ``path``.
+def store_row(parts: list[tuple[int, int, int, bytes]]) -> tuple[int, int, int, bytes]:
+    """The manifest's row of the whole store, as part -1."""
+    return (-1, sum(p[1] for p in parts), sum(p[2] for p in parts), merkle([root for *_, root in parts]))
+
+
+def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> str:
+    """Encode every whole text, append id 0, and write objects, recipes and manifest under ``path``; returns the store's root.
 
     Null and empty texts are the end id alone; equal rows have a recipe each and share chunks; an empty table gives an
     empty store; a null id sorts first.
@@ -148,11 +179,12 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     parts.repartition("key").mapInArrow(_once, kinds).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = spark.read.schema(kinds).parquet(f"{path}/objects").where("kind = 1")
     ordered = recipes.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "n_tokens", "payload")
-    ordered.mapInArrow(_number, "part int, doc_id long, n_tokens long, local_start long, digests binary, root binary").write.parquet(f"{path}/recipes")
-    done = spark.read.parquet(f"{path}/recipes").select("part", "n_tokens", "root", "local_start")
-    done.repartition("part").sortWithinPartitions("part", "local_start").select("part", "n_tokens", "root").mapInArrow(_manifest, "part int, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(_number, RECIPE_ROWS).write.parquet(f"{path}/recipes")
+    parts = manifest_of(spark, path)
+    spark.createDataFrame([*parts, store_row(parts)], MANIFEST_ROWS).coalesce(1).write.parquet(f"{path}/manifest")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/objects/kind=1")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return store_row(parts)[3].hex()
 
 
 def _mul(a: int, b: int) -> int:
@@ -207,25 +239,45 @@ def _rebuild(batches):
                 leaves.append(c["key"])
                 crc = crc_join(crc, c["crc"], 4 * c["n"])
                 total += c["n"]
-            if merkle(leaves) != want or total != said:
+            if total != said or document_root(d, total, leaves) != want:
                 raise ValueError(f"document {d} does not match its recipe")
             totals.append(total)
             sums.append(crc)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(totals, pa.int64()), pa.array(sums, pa.int64())], names=["part", "local_start", "doc_id", "n_tokens", "ids_crc32"])
 
 
-def read_store(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row for each document of the store: doc_id, start, n_tokens, ids_crc32, all from the files, verified."""
+def verify_manifest(spark: SparkSession, path: str, root: str | None = None) -> list[tuple[int, int, int, bytes]]:
+    """The manifest's rows of the recipe files; ValueError unless recipes, manifest and store root (if given) agree."""
+    written = sorted((r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in spark.read.schema(MANIFEST_ROWS).parquet(f"{path}/manifest").collect())
+    if not written or written[0] != store_row(written[1:]):
+        raise ValueError("the manifest does not match the root of the store")
+    if root is not None and written[0][3].hex() != root:
+        raise ValueError("the store is not the one asked for")
+    found = manifest_of(spark, path)
+    if found != written[1:]:
+        bad = sorted({p[0] for p in set(found) ^ set(written[1:])})
+        raise ValueError(f"recipe files {bad} do not match the manifest")
+    return found
+
+
+def read_store(spark: SparkSession, path: str, vocabulary: str = VOCABULARY, root: str | None = None) -> DataFrame:
+    """One row for each document of the store: doc_id, start, n_tokens, ids_crc32, all from the files, verified.
+
+    Raises where the recipes differ from the manifest or the store's root from ``root``; the rows raise where a chunk
+    or a document is not what its name or root says.
+    """
     prepare(spark)
+    parts = verify_manifest(spark, path, root)
     width = "<u2" if Encoder.get(vocabulary, True).tool.get_vocab_size() <= 1 << 16 else "<u4"
     objects = spark.read.schema("key binary, payload binary, kind int").parquet(f"{path}/objects").where("kind = 0").select("key", "payload")
     chunks = objects.mapInArrow(partial(_check, width=width), "key binary, n long, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(RECIPE_ROWS).parquet(f"{path}/recipes")
     steps = recipes.select("part", "local_start", "doc_id", "n_tokens", "root", F.posexplode(F.expr("transform(sequence(0, length(digests) div 32 - 1), i -> substring(digests, i * 32 + 1, 32))")).alias("pos", "key"))
     found = steps.join(chunks, "key", "left").groupBy("part", "local_start", "doc_id", "n_tokens", "root").agg(F.collect_list(F.struct("pos", "key", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))).alias("chunks"))
     rebuilt = found.select("part", "local_start", "doc_id", "n_tokens", "root", "chunks").mapInArrow(_rebuild, "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long")
-    before = spark.read.parquet(f"{path}/manifest").selectExpr("part", "sum(n_tokens) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - n_tokens AS before")
-    return rebuilt.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    starts = np.cumsum([0, *(n for _, _, n, _ in parts)]).tolist()
+    before = spark.createDataFrame([(p[0], at) for p, at in zip(parts, starts)], "part int, before long")
+    return rebuilt.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store_path(spark: SparkSession) -> str:

@@ -416,6 +416,41 @@ def test_store_notices_damage(spark, tmp_path):
         store.read_store(spark, path).collect()
 
 
+@pytest.mark.parametrize("damage", ["remove", "remove file", "swap", "reorder", "repeat", "length", "nothing"])
+def test_manifest_notices_damaged_recipes(spark, docs, tmp_path, damage):
+    import shutil
+
+    from sluice.llm import store
+
+    path = f"file://{tmp_path}/s"
+    root = store.write_store(docs.where("doc_id BETWEEN 1 AND 40").repartition(3), path)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    ids = sorted(r["doc_id"] for r in recipes.collect())
+    a, b = ids[10], ids[11]
+    start, length = (dict(map(tuple, recipes.select("doc_id", c).collect())) for c in ("local_start", "n_tokens"))
+    other = F.when(F.col("doc_id") == a, b).when(F.col("doc_id") == b, a).otherwise(F.col("doc_id"))
+    at = F.when(F.col("doc_id") == a, start[a] + length[b]).when(F.col("doc_id") == b, start[a]).otherwise(F.col("local_start"))
+    changed = {
+        "remove": recipes.where(F.col("doc_id") != ids[-1]),
+        "remove file": recipes.where(F.col("part") != recipes.agg(F.max("part")).first()[0]),
+        "swap": recipes.withColumn("doc_id", other),
+        "reorder": recipes.withColumn("local_start", at),
+        "repeat": recipes.unionByName(recipes.where(F.col("doc_id") == a)),
+        "length": recipes.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == ids[-1], 1).otherwise(0)),
+        "nothing": recipes,
+    }[damage]
+    changed.write.parquet(f"{path}/recipes2")
+    shutil.rmtree(tmp_path / "s/recipes")
+    shutil.move(tmp_path / "s/recipes2", tmp_path / "s/recipes")
+    if damage == "nothing":
+        assert store.read_store(spark, path, root=root).count() == len(ids)
+        with pytest.raises(ValueError, match="not the one asked for"):
+            store.read_store(spark, path, root="00")
+    else:
+        with pytest.raises(Exception, match="manifest|gap or an overlap"):
+            store.read_store(spark, path).collect()
+
+
 def test_crc_join_and_cuts():
     from sluice.llm.store import LEAST, MOST, chunk_ends, crc_join, rolling_cuts
 
