@@ -489,16 +489,70 @@ def test_warc(spark):
     assert warc.read_warc(spark, bare).count() == 0
 
 
-def test_broken_chains_are_refused():
-    from sluice.llm.warc import candidates, reachable
-
-    good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
-    for data in (good[:-1], b"x" + good, good + b"junk", b"WARC/1.1\r\nNo-Length: 1\r\n\r\n"):
-        starts, _, nexts = candidates(data)
-        with pytest.raises(ValueError):  # noqa: PT011
-            reachable(starts, nexts, len(data))
-    starts, _, nexts = candidates(good * 5)
-    assert reachable(starts, nexts, 5 * len(good)).tolist() == list(range(5))
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of 40,000 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "40000", "spark.sql.files.openCostInBytes": "1000"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_file_over_several_tasks(spark, tmp_path, small_ranges, compression):
+    """One file in many ranges; payloads full of magic, of whole records, of parts of the magic, some longer than ranges."""
+    from sluice.llm import warc
+
+    rng = random.Random(7)
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: {}\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    parts = ["WARC/1.1\r\n", "WARC/1.", "WARC/1.1\r", "W", "WARC/1.WARC/1.1\r\n", "\r\n\r\n", "é", inner.format(3), inner.format(40), inner.format(10**17), "some text "]
+    data = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 40, 300])))) for i in range(150)]
+    data += [(200, "WARC/1.1\r\n" * 30_000), (201, "y" * 130_000), (202, inner.format(9) * 1000), (203, "WARC/1.1\r\n"), (204, "z")]
+    pages = spark.createDataFrame(data, "page_id bigint, html string").withColumn("url", F.lit("u"))
+    path = f"file://{tmp_path}/a"
+    warc.write_warc(pages.coalesce(1), path, compression=compression)
+    lines = warc.read_lines(spark, path)
+    assert (lines.select("file", "block").distinct().count() > 10) == (compression == "none")
+    got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, path).collect())
+    assert got == collections.Counter((i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest()) for i, h in data)
+
+
+def test_long_payload_of_magic(spark, tmp_path):
+    from sluice.llm import warc
+
+    body = "WARC/1.1\r\nContent-Length: 10\r\n\r\n" * 530_000
+    assert len(body) > 16 << 20
+    path = f"file://{tmp_path}/a"
+    warc.write_warc(spark.createDataFrame([(1, body), (2, "after")], "page_id bigint, html string").withColumn("url", F.lit("u")).coalesce(1), path)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read_warc(spark, path).collect()) == [(1, len(body)), (2, 5)]
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    from sluice.llm import warc
+
+    warc.write_warc(spark.createDataFrame([(i, "u", f"page {i} WARC/1.1\r\n" + "x" * 50) for i in range(5)], "page_id bigint, url string, html string").coalesce(1), f"file://{tmp_path}/a")
+    good = next((tmp_path / "a").glob("part*")).read_bytes()
+    for k, data in enumerate((good[:-1], b"x" + good, good + b"junk", good + warc.MAGIC, good[10:], good.replace(b"page 3", b"page 4"), b"no record", warc.MAGIC, good.replace(b"Content-Length: ", b"Contend-Length: "))):
+        (tmp_path / f"b{k}").mkdir()
+        (tmp_path / f"b{k}/part-0").write_bytes(data)
+        with pytest.raises(Exception, match="breaks off|does not match"):
+            warc.read_warc(spark, f"file://{tmp_path}/b{k}").collect()
+
+
+def test_chains_by_pointer_jumping(spark):
+    from sluice.llm.common import Scratch
+    from sluice.llm.warc import chain_entries, exits, reached
+
+    starts, nexts = np.array([0, 5, 7, 12, 20]), np.array([7, 9, 20, 13, 31])
+    assert reached(starts, nexts, 0).tolist() == [True, False, True, False, True]
+    assert exits(starts, nexts).tolist() == [31, 9, 31, 13, 31]
+    assert exits(starts[:0], nexts[:0]).tolist() == []
+    steps = spark.createDataFrame([("f", 10 * i, 10 * i + 10) for i in range(9)] + [("g", 0, 4), ("f", 3, 20)], "file string, start long, leave long")
+    met = chain_entries(steps.where("start = 0").select("file", "start"), steps, 4, Scratch(spark, "t"))
+    assert sorted(map(tuple, met.collect())) == [("f", 10 * i) for i in range(10)] + [("g", 0), ("g", 4)]
 
 
 def test_language_id(spark, docs, rows, empty):
