@@ -227,27 +227,44 @@ def test_max_score_prunes_and_is_exact():
         assert rows.tolist() == want.tolist() and scores.tolist() == (query @ terms)[want].tolist()
 
 
-def test_language_model(docs, rows, empty):
+@pytest.mark.parametrize(("size", "direct", "only"), [(4000, 1024, None), (1500, 3, None), (1 << 20, 1024, None), (4000, 1024, range(60, 75))])
+def test_language_model(docs, rows, empty, monkeypatch, size, direct, only):
+    """Counts, weights and scores against token-by-token versions; one or many chunks, asking in one step or two."""
     from sluice.llm import lm
 
-    got = collections.defaultdict(list)
-    lm_chunk, lm.CHUNK_BYTES = lm.CHUNK_BYTES, 4000
-    try:
-        for r in lm.score_documents(docs).collect():
-            got[r["doc_id"]].append(r)
-    finally:
-        lm.CHUNK_BYTES = lm_chunk
+    seen = []
+    learn = lm.expectation_maximisation
+    monkeypatch.setattr(lm, "CHUNK_BYTES", size)
+    monkeypatch.setattr(lm, "DIRECT", direct)
+    monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: seen.append(learn(*a)) or seen[-1])
+    if only is not None:  # none of these has the remainder that tunes
+        only = [i for i in only if zlib.crc32(str(i).encode()) % 10 != 1]
+        docs, rows = docs.where(F.col("doc_id").isin(only)), [r for r in rows if r[0] in only]
+    got = collections.Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm.score_documents(docs).collect())
+    weights = seen[-1]
     tokens = [(i, [*words(t), "\n"]) for i, t, *_ in rows]
-    left = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    learned = [(i, w) for i, w in tokens if i is not None and not left(i)]
+    left = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 10
+    learned = [(i, w) for i, w in tokens if left(i) not in (None, 0)]
     count = collections.Counter(x for _, w in learned for x in w)
+    pairs = collections.Counter(p for _, w in learned for p in zip(["\n", *w], w))
     n, v = sum(count.values()), len(count)
-    assert sum(map(len, got.values())) == len(rows)
+    kind = lambda c: min(int(math.log2(c)) + 1, lm.CONTEXTS - 1) if c > 0 else 0
+    tune = [w for i, w in learned if left(i) == 1] or [w for _, w in learned]
+    cells = [(kind(count[h] - 1), (pairs[h, x] - 1) / max(count[h] - 1, 1), (count[x] - 1) / (n - 1)) for w in tune for h, x in zip(["\n", *w], w)]
+    want = learn(np.array([c[0] for c in cells]), np.array([[p, s, 1 / (v + 1)] for _, p, s in cells]), np.ones(len(cells)))
+    assert np.abs(weights - want).max() < 0.01 and np.allclose(weights.sum(axis=1), 1)
+    expected = collections.Counter()
     for i, w in tokens:
         base = sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        assert any((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (left(i), len(w), sum(count[x] > 0 for x in w), n) and math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0 for r in got[i])
-    scored = [r for i, x in got.items() if left(i) for r in x if r["n_tokens"] > 5]
-    assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
+        score = 0.0
+        for h, x in zip(["\n", *w], w):
+            a, b, c = weights[kind(count[h])]
+            score += math.log10(a * pairs[h, x] / max(count[h], 1) + b * count[x] / n + c / (v + 1))
+        expected[i, left(i) == 0, len(w), sum(count[x] > 0 for x in w), n, round(base, 6), round(score, 6)] += 1
+    near = lambda c: sorted((str(k[0]), *k[1:5], round(k[5], 3), round(k[6], 3), m) for k, m in c.items())
+    assert near(got) == near(expected)
+    scored = [k for k in got if left(k[0]) == 0 and k[2] > 5]
+    assert only or sum(k[6] for k in scored) > sum(k[5] for k in scored)
     assert lm.score_documents(empty).count() == 0
 
 
