@@ -1,9 +1,10 @@
 """Importance resampling of documents toward a target.
 
 Two generative models over hashed word unigrams and bigrams, one of target documents and one of the raw corpus, give
-each document a log importance weight; adding Gumbel noise to it and keeping the k largest draws k documents without
-replacement in proportion to their weights. The k-th largest key is found by refining histograms, so no task or
-driver holds the keys.
+each document a log importance weight, the ratio of the two for its whole text; adding Gumbel noise to it and keeping
+the k largest draws k documents without replacement in proportion to their weights. A target document is weighed by
+models without itself, so that it gains nothing from having been learned. The k-th largest key is found by refining
+histograms, so no task or driver holds the keys.
 """
 
 from __future__ import annotations
@@ -19,9 +20,7 @@ from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pieces,
 
 BUCKETS = 1 << 16
 #: Made-up occurrences of each feature at its rate in the raw corpus: what the target shows of rare features is shrunk.
-SMOOTH = 64.0
-#: Weights are those of so many tokens at a document's mean rate, so that length alone neither draws nor rejects.
-TOKENS = 256.0
+SMOOTH = 4.0
 #: Labelled good documents that the target model is fitted on, at most; a seeded random sample where there are more.
 TARGET_ROWS = 100_000
 #: Share of the rows that is drawn.
@@ -54,16 +53,39 @@ def _count(batches, ids):
     yield from table_batches({"raw": raw, "target": target})
 
 
+def log_ratios(raw: np.ndarray, target: np.ndarray, raw_total: float, target_total: float) -> np.ndarray:
+    """Log ratio of the target model to the raw one for features with these counts."""
+    return np.log((target + SMOOTH) / (raw * target_total / max(raw_total, 1) + SMOOTH))
+
+
+def without_itself(bucket: np.ndarray, raw: np.ndarray, target: np.ndarray, raw_total: float, target_total: float) -> float:
+    """Log ratio of a target document's features by models from which its own counts are deleted."""
+    own, times = np.unique(bucket, return_counts=True)
+    n = len(bucket)
+    return float(times @ log_ratios(raw[own] - times, target[own] - times, raw_total - n, target_total - n))
+
+
 @task
-def _weigh(batches, ratio):
+def _weigh(batches, model):
+    raw, target, ids = model.value
+    totals = raw.sum(), target.sum()
+    ratio = log_ratios(raw, target, *totals)
     for batch in batches:
         rows = byte_rows(batch.column(1))
-        total, n = np.zeros(len(rows)), np.zeros(len(rows))
+        learned = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & np.isin(np.asarray(batch.column(0).fill_null(0), np.int64), ids)
+        weight, n = np.zeros(len(rows)), np.zeros(len(rows))
         for a, b in pieces(rows):
             row, bucket = features(rows[a:b])
-            total[a:b] = np.bincount(row, ratio.value[bucket], b - a)
+            weight[a:b] = np.bincount(row, ratio[bucket], b - a)
             n[a:b] = np.bincount(row, minlength=b - a)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(total), pa.array(TOKENS * total / np.maximum(n, 1))], names=["doc_id", "salt", "n_features", "log_ratio", "log_weight"])
+            known = learned[a:b][row]
+            of, own = row[known], bucket[known]
+            order = np.argsort(of, kind="stable")
+            of, own = of[order], own[order]
+            at = np.flatnonzero(np.diff(of, prepend=-1))
+            for first, last in zip(at, [*at[1:], len(of)]):
+                weight[a + of[first]] = without_itself(own[first:last], raw, target, *totals)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(weight)], names=["doc_id", "salt", "n_features", "log_weight"])
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:
@@ -86,11 +108,13 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """doc_id, n_features, log_ratio, log_weight, gumbel_key, selected of every row.
+    """doc_id, n_features, log_weight, gumbel_key, selected of every row.
 
-    Target documents are those that some label calls good (quality 1) and none calls toxic, up to TARGET_ROWS. ceil(share * rows) rows
-    are selected; equal keys at the limit are all kept. Null and empty texts weigh 0 and take part in the draw.
-    Without target rows all weights are 0. Repeated rows draw the same key; an empty table gives no rows.
+    Target documents are those that some label calls good (quality 1) and none calls toxic, up to TARGET_ROWS. The
+    weight is the log ratio of a document's hashed word unigrams and bigrams under the target and the raw model.
+    ceil(share * rows) rows are selected; equal keys at the limit are all kept. Null and empty texts weigh 0 and take
+    part in the draw. Without target rows all weights are 0. Repeated rows draw the same key; a null id is no target;
+    an empty table gives no rows. Other columns play no part.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -101,8 +125,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tables = sum_tables(rows.mapInArrow(partial(_count, ids=ids), TABLE_ROWS), BUCKETS)
     raw, target = (tables.get(k, np.zeros(BUCKETS, np.int64)).astype(float) for k in ("raw", "target"))
-    ratio = np.log((target + SMOOTH) / (raw * target.sum() / max(raw.sum(), 1) + SMOOTH))
-    weighed = rows.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("salt")).mapInArrow(partial(_weigh, ratio=spark.sparkContext.broadcast(ratio)), "doc_id long, salt long, n_features long, log_ratio double, log_weight double")
+    model = spark.sparkContext.broadcast((raw, target, ids.value))
+    salted = rows.select("doc_id", "text", F.xxhash64("doc_id", F.lit(seed)).alias("salt"))
+    weighed = salted.mapInArrow(partial(_weigh, model=model), "doc_id long, salt long, n_features long, log_weight double")
     uniform = (F.pmod("salt", F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
     keyed = scratch.table(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("salt"), "keys")
     n = keyed.count()

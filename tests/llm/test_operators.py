@@ -609,20 +609,38 @@ def test_viterbi_and_its_shortcut():
 
 
 def test_resampling(spark, docs, rows, empty):
-    from sluice.llm.resample import kth_largest, resample
+    """Weights against models of plain word counts, bucket by bucket; the draw against the sorted keys."""
+    from sluice.llm.resample import SMOOTH, features, kth_largest, resample
 
     labels = spark.createDataFrame([(i, int(lang == "en"), 0) for i, _, lang, *_ in rows[:90]] + [(None, 1, 0), (1, None, None)], "doc_id bigint, quality int, toxic int")
     got = resample(docs, labels, 0.4).collect()
     assert len(got) == len(rows)
+
+    def grams(text):
+        w = words(text)
+        return [*((x,) for x in w), *zip(w, w[1:])]
+
+    every = {g for _, t, *_ in rows for g in grams(t)}
+    bucket = {g: int(features([" ".join(g).encode()])[1][-1]) for g in every}
+    counted = [collections.Counter(bucket[g] for g in grams(t)) for _, t, *_ in rows]
+    good = {i for i, _, lang, *_ in rows[:90] if lang == "en"}
+    raw, target = (sum((c for c, r in zip(counted, rows) if keep(r[0])), collections.Counter()) for keep in (lambda i: True, good.__contains__))
+    want = collections.Counter()
+    for (i, *_), own in zip(rows, counted):
+        out = own if i in good else {}
+        size, left = sum(raw.values()) - sum(out.values()), sum(target.values()) - sum(out.values())
+        weight = sum(n * math.log((target[b] - out.get(b, 0) + SMOOTH) / ((raw[b] - out.get(b, 0)) * left / size + SMOOTH)) for b, n in own.items())
+        want[i, sum(own.values()), round(weight, 6) + 0.0] += 1
+    assert collections.Counter((r["doc_id"], r["n_features"], round(r["log_weight"], 6) + 0.0) for r in got) == want
     english = {i for i, _, lang, *_ in rows[:120] if lang == "en"}
-    mean = lambda keep: np.mean([r["log_ratio"] / max(r["n_features"], 1) for r in got if r["doc_id"] is not None and r["doc_id"] < 120 and (r["doc_id"] in english) == keep])
+    mean = lambda keep: np.mean([r["log_weight"] / max(r["n_features"], 1) for r in got if r["doc_id"] is not None and r["doc_id"] < 120 and (r["doc_id"] in english) == keep])
     assert mean(True) > mean(False)
     want = math.ceil(0.4 * len(rows))
     assert want <= sum(r["selected"] for r in got) <= want + 3
     keys = sorted((r["gumbel_key"] for r in got), reverse=True)
     assert {r["gumbel_key"] for r in got if r["selected"]} == set(keys[:want])
     assert resample(empty, labels).count() == 0
-    assert all(r["log_ratio"] == 0 for r in resample(docs, labels.where("false")).collect())
+    assert all(r["log_weight"] == 0 for r in resample(docs, labels.where("false")).collect())
     df = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 2, 5, 5, 1e9, -3]], "x double")
     assert [kth_largest(df, "x", k) for k in range(1, 9)] == [1e9, 5, 5, 2, 1, 1, 1, -3]
 
