@@ -288,12 +288,12 @@ def test_decontamination(spark, empty):
     cases = [(100, plain[0][1] + " " + items[0][1] + " " + plain[1][1]), (101, items[1][1].upper().replace(" ", "\n ")), (102, edited), (103, plain[2][1] + items[3][1][: len(items[3][1]) // 2 + 60]), (104, None), (105, ""), (106, items[4][1] + items[5][1]), (106, items[4][1] + items[5][1])]
     docs = spark.createDataFrame(plain + cases, "doc_id bigint, text string").withColumns({"item_id": F.lit(1), "windows": F.lit(2)})
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(5))
-    for size in (decontam.ITEM_BYTES, 700):
-        keep, decontam.ITEM_BYTES = decontam.ITEM_BYTES, size
+    for size, wide in ((decontam.ITEM_BYTES, decontam.FILTER_BYTES), (700, 1500), (700, decontam.FILTER_BYTES)):
+        keep, decontam.ITEM_BYTES, decontam.FILTER_BYTES = (decontam.ITEM_BYTES, decontam.FILTER_BYTES), size, wide
         try:
             got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontam.find_contamination(docs, bench).collect())
         finally:
-            decontam.ITEM_BYTES = keep
+            decontam.ITEM_BYTES, decontam.FILTER_BYTES = keep
         assert {k: n for k, n in got.items() if k[0] >= 100} == {(100, 0): 1, (101, 1): 1, (102, 2): 1, (103, 3): 1, (106, 4): 2, (106, 5): 2}
         assert not [k for k in got if k[0] < 100]
     assert decontam.find_contamination(empty, bench).count() == 0
@@ -306,7 +306,7 @@ def test_windows_are_found_in_their_own_row():
     text = b"the quick brown fox jumps over the lazy dog and runs away from all the others there"
     rows = [text, text[:40] + b"z" + text[41:], text]
     data, starts = normal_all(rows)
-    assert sorted((r, start, end, edits) for r, _, start, end, edits in search(data, starts, Index([(1, text)]))) == [(0, 0, len(text), 0), (1, 0, len(text), 1), (2, 0, len(text), 0)]
+    assert sorted((r, *found) for (r, _), found in search(data, starts, Index([(1, text)])).items()) == [(0, 0, len(text), 0), (1, 0, len(text), 1), (2, 0, len(text), 0)]
 
 
 def distance(window, text):
@@ -332,13 +332,13 @@ def test_q_gram_search_finds_all_within_budget():
         whole = bytes(rng.choices(b"mnopqrst", k=60)) + bytes(text) + bytes(rng.choices(b"mnopqrst", k=60))
         index = Index([(1, window)])
         data, starts = normal_all([whole])
-        found = search(data, starts, index)
+        found = list(search(data, starts, index).values())
         from sluice.llm.decontam import normal
 
         want = distance(index.windows[0].tobytes(), normal(whole)) <= index.budget[0]
         assert bool(found) == want
-        if found and found[0][4]:
-            assert found[0][4] == distance(index.windows[0].tobytes(), normal(whole))
+        if found and found[0][2]:
+            assert found[0][2] == distance(index.windows[0].tobytes(), normal(whole))
 
 
 def test_passages_are_found_wherever_they_begin(spark):
@@ -378,6 +378,49 @@ def test_passages_are_found_within_their_edits_only():
     assert min(seen[True], seen[False]) >= 5
 
 
+def test_runs_and_blocks_change_nothing(monkeypatch):
+    """Texts with long runs, hits in small blocks and parts of the index: the same pairs as with all at once."""
+    from sluice.llm import decontam
+    from sluice.llm.decontam import Index, matches, normal_all
+
+    rng, seen = random.Random(23), 0
+    for _ in range(8):
+        pieces = [bytes(rng.choices(b"abc-", k=rng.randint(1, 5))) * rng.randint(1, 400) for _ in range(4)] + [bytes(rng.choices(b"abcdefgh ", k=90)) for _ in range(2)]
+        items = [(i, b"".join(rng.choices(pieces, k=2))[: rng.randint(8, 400)]) for i in range(6)] + [(9, pieces[0][:300]), (10, pieces[0][:300])]
+        rows = [b"".join(rng.choices(pieces, k=4)) for _ in range(5)] + [b"", items[0][1]]
+        data, starts = normal_all(rows)
+        with monkeypatch.context() as m:
+            m.setattr(decontam, "PERIODS", 0)
+            m.setattr(decontam, "POSTINGS", 1 << 40)
+            whole = matches(data, starts, Index(items))
+        with monkeypatch.context() as m:
+            m.setattr(decontam, "POSTINGS", rng.choice([5000, 30_000]))
+            parts = matches(data, starts, Index(items))
+        fewest = lambda found: {k: min(x[5] for x in found if x[:2] == k) for k in {x[:2] for x in found}}
+        assert fewest(whole) == fewest(parts)
+        count = lambda found: collections.Counter(x[:2] for x in set(found) if x[2])
+        assert set(count(whole)) == set(count(parts))
+        edge = lambda found, k: (min(x[3] for x in found if x[:2] == k), max(x[4] for x in found if x[:2] == k))
+        assert all(a[0] >= 0 and a[1] <= len(normal_all([rows[k[0]]])[0]) for k in fewest(parts) for a in [edge(parts, k)])
+        seen += len(fewest(whole))
+    assert seen > 30
+
+
+def test_long_text_of_one_byte():
+    """5 MB of one byte against items of it: bounded memory, time in proportion to what differs."""
+    import time
+
+    from sluice.llm.decontam import Index, matches, normal_all
+
+    index = Index([(1, b"a" * 100), (2, b"a" * 5000 + b"b"), (3, b"-" * 40), (4, b"ab" * 60)])
+    data, starts = normal_all([b"a" * 5_000_000, b"x" + b"-" * 1_000_000, b"ab" * 500_000 + b" " + b"- " * 100_000])
+    began = time.time()
+    found = matches(data, starts, index)
+    assert {x[:2] for x in found} >= {(0, 1), (0, 2), (1, 3), (2, 4)} and (0, 3) not in {x[:2] for x in found}
+    assert min(x[3] for x in found if x[:2] == (0, 1)) == 0 and max(x[4] for x in found if x[:2] == (0, 1)) == 5_000_000
+    assert time.time() - began < 60
+
+
 def ids_of(name, text, whole):
     from tokenizers import Tokenizer
     import public_tokenizers
