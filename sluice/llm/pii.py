@@ -1,71 +1,129 @@
 """Personal data: generators propose overlapping spans, boosted trees score them, calibrated thresholds select.
 
 Everything that touches documents is DataFrame expressions. Base spans follow fixed formats and always stay. Further
-generators propose wide spans (numbers, secrets, written-out addresses); features of format and context go through
-boosted trees that are written as one SQL expression. The trees are fitted on a bounded set of labelled sentences
-made from templates, so they do not depend on the corpus.
+generators propose wide spans (numbers, secrets, passwords, written-out addresses); features of format and context go
+through boosted trees that are written as one SQL expression. The trees are fitted on a bounded set of labelled
+sentences made from forms, so they do not depend on the corpus; thresholds are calibrated on forms not fitted on.
+Positions and overlaps come from scans by doubling (round k looks 2**k elements back), so a text costs n log n in the
+number of its spans.
 """
 
 from __future__ import annotations
 
+import json
+import random
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans are listed; the first four are the base formats.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("number", "secret", "address")
+ADDED = ("number", "secret", "password", "address")
 #: Stand for a dot between domain characters and for a separator between digits; the texts' own are replaced before.
 DOT, JOIN, OTHER = "\x01", "\x02", "\x03"
 DOMAIN, LOCAL = "A-Za-z0-9-", "A-Za-z0-9._%+" + DOT + "-"
+_AT, _DOT = (rf"(?: ?[(\[{{<] ?(?i:{w}) ?[)\]}}>] ?| (?i:{w}) )" for w in ("at", "dot"))
 PATTERNS = {
     # Equal to the stated formats, without nested repetition: no backtracking over long runs and no deep recursion.
     "email": f"(?:(?<![{LOCAL}])|\\G)[{LOCAL}]++@[{DOMAIN}]++{DOT}[A-Za-z0-9{DOT}-]*+",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": f"[0-9][0-9{JOIN}]++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![A-Za-z0-9.])[(]?[0-9][0-9 ().-]{5,30}[0-9](?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]? ?(?:at|AT) ?[)\]]? ?[A-Za-z0-9-]{1,63} ?[(\[]? ?(?:dot|DOT) ?[)\]]? ?[A-Za-z]{2,12}(?![A-Za-z0-9])",
+    "number": r"(?<![A-Za-z0-9.])[(]?[0-9][0-9 ().-]{6,}+",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
+    "password": r"""(?i)(?<![A-Za-z0-9!#-&*+./?@^_~-])(?=[A-Za-z0-9!#-&*+./?@^_~-]{6})(?<=(?:pass|word|wd|phrase|secret|key|token|code|pin)["']{0,1} {0,1}(?:[:=]|is) {0,1}["']{0,1})[A-Za-z0-9!#-&*+./?@^_~-]++""",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + _AT + "[A-Za-z0-9-]++(?:(?:" + _DOT + r"|\.)[A-Za-z0-9-]++){1,8}+",
 }
-#: A text needs a match of this before the pattern itself is tried.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "number": "[0-9][0-9 ().-]{5}", "secret": "[0-9]", "address": r"(?i)[(\[ ]dot[)\] ]"}
-CONTEXT = 40
+#: A text needs a match of this before the pattern itself is tried; every match of the pattern holds one.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "number": "[0-9][0-9 ().-]{6}", "secret": "[0-9]", "password": r"(?i)(?:pass|word|wd|phrase|secret|key|token|code|pin)[\"']? ?(?:[:=]|is)", "address": r"(?i)[ (\[{<]at[ )\]}>]"}
+#: Code points of context; of a block of text in ``redact``.
+CONTEXT, BLOCK = 40, 4096
 CUES = {
-    "about_phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|whatsapp|contact)\b",
-    "about_account": r"(?i)\b(?:card|visa|mastercard|amex|credit|account|acct|iban|ssn|social security|passport|tax id|licen[cs]e no)\b",
-    "about_secret": r"(?i)(?:password|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer|credential)",
-    "about_other": r"(?i)\b(?:version|build|isbn|issn|order|invoice|page|pages|years?|sku|part|commit|sha1|sha256|md5|checksum|revision|digest|figure|lines?|items?|price|total|score|from|between)\b",
-    "about_mail": r"(?i)\b(?:e-?mail|mail|write|reach|contact|address|me|us)\b",
+    "about_phone": r"(?i)\b(?:phone|tel|telephone|call|called|mobile|mob|cell|fax|sms|text|whatsapp|contact|ring|rang|dial|hotline|reach|number)\b",
+    "about_account": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|account|acct|iban|ssn|social security|passport|tax id|national id|licen[cs]e no|routing|sort code)\b",
+    "about_secret": r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|\bkey\b|auth|bearer|credential)",
+    "about_hash": r"(?i)(?:\b(?:commit|checksum|digest|hash|revision|rev|blob|tree|etag|uuid|guid|fingerprint|object|request|trace|session)\b|sha-?[0-9]|md5|/)",
+    "about_other": r"(?i)\b(?:version|build|isbn|issn|order|invoice|pages?|years?|sku|part|figure|lines?|items?|price|total|score|from|between|ticket|issue|section|lot|serial|id|ids|values?|population|since|until|dated?)\b",
+    "about_mail": r"(?i)\b(?:e-?mail|mail|write|reach|contact|address|me|us|send|ask)\b",
+    "assigned": r"""(?:[:=]|=>|\bis) ?["'`]?$""",
+    "quoted": r"""["'`]$""",
+}
+FORMAT = ("length", "digits", "upper", "lower", "separators", "spaces", "dots", "groups", "first_group", "last_group", "turns", "distinct", "vowels", "hexadecimal", "uuid", "prefixed", "date", "zero", "brackets", "luhn", "inside")
+FEATURES = (*(f"is_{k}" for k in ADDED), *FORMAT, *CUES)
+#: Public prefixes of access keys.
+PREFIXED = r"^(?:gh[pousr]_|github_pat_|glpat-|AKIA|ASIA|AIza|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|npm_|eyJ|ya29)"
+DATE = r"^(?:[12][0-9]{3}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ][0-9]{4}|[12][0-9]{3} ?- ?[12][0-9]{3})(?:[ .-].*)?$"
+#: Forms of labelled sentences, by kind: 1 are to be redacted, 0 are not. '#' a digit, '9' one of 1-9, '~' a hexadecimal
+#: digit, '?' a lower-case letter, '^' an upper-case letter, '*' a letter or digit. '|' parts alternatives, {word} draws from WORDS.
+WORDS = {
+    "phone": "call|phone:|tel|my mobile|fax|ring|dial|text me on|reach us at|contact|sms|the number is|hotline|whatsapp",
+    "account": "ssn|account no|card number|passport|social security|tax id|national id|acct|sort code|iban|credit card",
+    "secret": "password|api key|api_key|secret|access_key|auth token|client_secret|private key|bearer|credential|passphrase|secret key",
+    "set": " = | = '|: |=|: '| is |=\"| ",
+    "hash": "commit|sha1|md5|checksum|digest|hash|revision|blob|etag|fingerprint|object|sha256:|tree",
+    "other": "order|version|build|invoice|pages|lines|items|total|score|ticket|issue|section|lot|serial|part|id|values|population",
+    "plain": "the|and then|they saw|it was|a|with|of|we had|near|about|so|there were",
+    "mail": "mail|write to|email|reach|contact|send it to|ask",
+    "end": "today|please|.|,| soon|and| now|'|\"|;|) |",
 }
-FEATURES = ("is_number", "is_secret", "is_address", "length", "digits", "letters", "separators", "groups", "mixed", "brackets", "luhn", *CUES)
-#: Labelled sentences: 1 holds the span to redact, 0 does not. '#' a digit, '~' a hexadecimal digit, '?' a letter.
-TEMPLATES = (
-    (1, "call me at (###) ###-#### today"), (1, "phone: ###-###-#### thanks"), (1, "my mobile ### ### #### and"), (1, "fax #### ######, office"),
-    (1, "tel ##.##.##.##.## soon"), (1, "her ssn ###-##-#### was"), (1, "passport ######### issued"), (1, "card #### ###### ##### amex"),
-    (1, "account no ########## at the"), (1, "contact ###.###.#### now"), (1, "social security ###-##-#### on"), (1, "iban ## #### #### #### ####"),
-    (1, 'password = "~~~~~~~~~~~~~~~~~~~~" in'), (1, "api key: ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ end"), (1, 'token = "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"'), (1, "secret ?#?~?#?~?#?~?#?~?#?~ kept"),
-    (1, "auth bearer ?~#?~#?~#?~#?~#?~#?~#? for"), (1, "access_key=?#??#??#??#??#??#?? used"), (1, "write to ????? (at) ?????? (dot) com please"), (1, "email ????.??? [at] ??????? [dot] org"),
-    (1, "mail me: ?????? at ????? dot net today"), (1, "reach ????## (at) ????? dot com"),
-    (0, "order ########## shipped"), (0, "version #.##.####.# of"), (0, "isbn ###-#-##-######-# print"), (0, "pages ####-#### in"), (0, "from ####-#### to ####"),
-    (0, "invoice ######## paid"), (0, "build ########## ok"), (0, "items #### #### #### left"), (0, "commit ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ merged"), (0, "sha1 ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ file"),
-    (0, "md5 ~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~ of"), (0, "total ####.## ####.## ####"), (0, "the ####### ####### people"), (0, "score ### - ### in ####"), (0, "lines ######-###### read"),
-    (0, "they ?????????????#???????? went"), (0, "path ????-?????-?????-####-???? here"), (0, "see ?????/??????/????##/??????? there"), (0, "looked at the dot on maps"), (0, "at ????? dot plots show"),
-    (0, "he was at ?????? dot ???? again"), (0, "a value ########## here"), (0, "between ######## and ########"), (0, "checksum ~~~~~~~~~~~~~~~~~~~~~~~~ good"),
+FORMS = (
+    (1, "{phone} (9##) ###-####"), (1, "{phone} 9##-###-####"), (1, "{phone} 9##.###.####"), (1, "{phone} 9## ### ####"), (1, "{phone} 0# ## ## ## ##"), (1, "{phone} 0### ######"),
+    (1, "{phone} 9#########"), (1, "{phone} 0## ### ####"), (1, "{phone} 0###-#######"), (1, "{phone} 0##.##.##.##.##"), (1, "{phone} ###-####"), (1, "{phone} 0#### ######"),
+    (1, "{phone} 0# ## ## ## ## 0# ## ## ## ##"), (1, "{phone} 9##-###-#### 9##-###-####"), (1, "{phone} 0## #### ####"), (1, "{phone} (0##) #### ####"), (1, "{phone} 1-9##-###-####"),
+    (1, "{plain} (9##) ###-####"), (1, "{plain} 9##-###-####"), (1, "{plain} 9##.###.####"), (1, "{plain} 0# ## ## ## ##"), (1, "{plain} ###-##-####"), (1, "{plain} (0##) #### ####"), (1, "{plain} 0## #### ####"), (1, "{plain} 0#### ######"), (1, "{plain} 1-9##-###-####"),
+    (1, "{account} ###-##-####"), (1, "{account} #########"), (1, "{account} ##########"), (1, "{account} #### ###### #####"), (1, "{account} ## #### #### #### ####"), (1, "{account} ############"), (1, "{account} ### ### ###"), (1, "{account} ##-##-## ########"),
+    *((1, "{secret}{set}" + x) for x in ("~" * 20, "~" * 32, "~" * 40, "~" * 64, "*" * 20, "*" * 24, "*" * 32, "*" * 40, "?#^?#^?#^?#^?#^?#", "^" * 4 + "#^" * 8, "*" * 22 + "==", "????-####-^^^^-*****")),
+    *((1, "{plain} " + x) for x in ("ghp_" + "*" * 36, "AKIA" + "^#" * 8, "sk_live_" + "*" * 24, "xoxb-##########-" + "*" * 24, "AIza" + "*" * 35, "glpat-" + "*" * 20, "eyJ" + "*" * 40, "npm_" + "*" * 36)),
+    *((1, "{secret}{set}" + x) for x in ("?????##", "^????##!", "??#?#??", "#??#^??#", "^??????#$", "????####", "?#?#?#?#?#", "^?????-##", "*********#")),
+    *((1, "{mail} " + x) for x in ("????? (at) ????? (dot) com", "????.??? [at] ?????? [dot] org", "?????? at ????? dot net", "????## (at) ????? dot com", "?.????? AT ??????? DOT com", "???? {at} ?????? {dot} io", "??????(at)?????.com", "???? at ????? dot co dot uk", "??_???? <at> ????? <dot> edu")),
+    *((1, "{plain} " + x) for x in ("????? (at) ????? (dot) com", "???? [at] ?????? [dot] org", "??????[at]?????.com", "???.???? at ??????? dot com", "???? {at} ?????? {dot} io")),
+    *((0, "{hash} " + x) for x in ("~" * 7 + "~" * 33, "~" * 32, "~" * 64, "~" * 20, "~" * 16)), *((0, "{plain} " + x) for x in ("~" * 40, "~" * 32, "~" * 64)),
+    *((0, "{plain} " + x) for x in ("~~~~~~~~-~~~~-~~~~-~~~~-~~~~~~~~~~~~", "?????????????????#", "????-?????-?????-####-????", "?????/??????/????##/???????", "?????_??????_##_???????", "????-####-##-##-??????", "??????????????????????##", "/???/????/??????#/?????")),
+    *((0, "{hash} " + x) for x in ("~~~~~~~~-~~~~-~~~~-~~~~-~~~~~~~~~~~~", "????-~~~~~~~~~~~~~~~~")), (0, "{other} ~~~~~~~~-~~~~-~~~~-~~~~-~~~~~~~~~~~~"), (0, "{plain} ?????.~~~~~~~~~~~~~~~~~~~~.js"), (0, "{plain} ?????-~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~.css"),
+    *((0, "{other} " + x) for x in ("9#########", "9.##.####.#", "####-####", "######## ", "#### #### ####", "####.## ####.##", "######-######", "##-####-##", "###-#-##-######-#", "### - ### - ###", "#######", "9######.##", "######## ########")),
+    *((0, "{plain} " + x) for x in ("9#########", "2###-0#-1#", "1#/0#/19##", "19##-20##", "####### #######", "9######.####", "#### #### ####", "1#.0#.20##", "20##-1#-2# 1#.##.##", "0.########", "########", "9## ### ###", "1## 2## 3## 4##", "##.###### ##.######", "9 ### ### ###", "2###.###.##", "20######", "#### - ####")),
+    *((0, "{secret}{set}" + x) for x in ("required", "changeme", "????????", "None,", "string;", "?????????", "os.environ", "???.????()", "length", "<?????>", "${???????}", "???????????????")), *((0, "{plain} " + x) for x in ("?????? at ???? dot ????", "???? at ???????.com", "???? at ????.??????", "????? at the ???.")), (0, "looked at the dot on maps"), (0, "at ????? dot plots show"), (0, "he was at ?????? dot ???? again"), (0, "{other} at ????? dot ????"),
 )
-#: Made sentences of each template; every fourth calibrates instead of fitting.
-EXAMPLES, ROUNDS, RATE, PRECISION = 40, 40, 0.3, 0.99
+#: Made sentences of each form; every fifth form of a label calibrates instead of fitting.
+EXAMPLES, ROUNDS, RATE, PRECISION, HELD = 24, 60, 0.3, 0.97, 5
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(values: Column, step) -> Column:
+    """The running result of an associative ``step`` over an array, by doubling."""
+    powers = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(2)))).cast("int") - F.lit(1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    turn = lambda acc, back: F.transform(acc, lambda x, i: F.when(i >= back, step(x, F.get(acc, i - back))).otherwise(x))
+    return let(values, lambda v: F.aggregate(powers(v), v, turn))
+
+
+def spans_of(view: Column, kind: str) -> Column:
+    """Structs start, end, body, before, next of the leftmost non-overlapping matches, in code points.
+
+    before: up to CONTEXT code points before the match, next: the one after it.
+    """
+    # What stands between the matches, and the matches; the last has none.
+    pairs = lambda m: F.zip_with(F.split(view, PATTERNS[kind], -1), m, lambda g, b: F.struct(g.alias("gap"), b.alias("body")))
+    size = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["body"]), F.lit(0))
 
+    def place(parts: Column) -> Column:
+        ended = F.zip_with(parts, scan(F.transform(parts, size), lambda x, y: x + y), lambda p, e: F.struct(p["body"].alias("body"), p["gap"].alias("gap"), e.alias("end")))
 
-def found(view: Column, kind: str) -> Column:
-    """Leftmost non-overlapping matches as structs of start and end, in code points."""
-    gaps = F.transform(F.split(view, PATTERNS[kind], -1), lambda g: F.length(g))
-    matches = F.transform(F.regexp_extract_all(view, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: F.length(m))
-    steps = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-    span = "struct<start:int,end:int>"
-    step = lambda acc, x: F.when(x["size"].isNull(), acc).otherwise(F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end")))).alias("spans")))
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(view.rlike(NEEDS[kind]), walked).otherwise(F.array().cast(f"array<{span}>"))
+        def one(x: Column, i: Column) -> Column:
+            earlier = F.coalesce(F.get(parts, i - 1)["body"], F.lit(""))
+            before, after = F.right(F.concat(earlier, x["gap"]), F.lit(CONTEXT)), F.left(F.get(parts, i + 1)["gap"], F.lit(1))
+            return F.struct((x["end"] - F.length(x["body"])).alias("start"), x["end"].alias("end"), x["body"].alias("body"), before.alias("before"), after.alias("next"))
+
+        return F.filter(F.transform(ended, one), lambda s: s["body"].isNotNull())
+
+    none = F.array().cast("array<struct<start:int,end:int,body:string,before:string,next:string>>")
+    matched = let(F.regexp_extract_all(view, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(pairs(m), place)).otherwise(none))
+    return F.when(view.rlike(NEEDS[kind]), matched).otherwise(none)
 
 
 def digits_of(body: Column) -> Column:
@@ -80,60 +138,78 @@ def luhn(digits: Column) -> Column:
     return (F.length(digits) > 0) & (total % 10 == 0)
 
 
-def body_of(text: Column, span: Column) -> Column:
-    return F.substring(text, span["start"] + F.lit(1), span["end"] - span["start"])
-
-
 def base_spans(text: Column) -> dict[str, Column]:
     """The four base formats, failing matches dropped."""
     dotted = F.regexp_replace(F.translate(text, DOT, OTHER), f"(?<=[{DOMAIN}])\\.(?=[{DOMAIN}])", DOT)
     joined = F.regexp_replace(F.translate(text, JOIN, OTHER), "(?<=[0-9])[ -](?=[0-9])", JOIN)
     part = lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255)
-    n = lambda s: F.length(digits_of(body_of(text, s)))
+    n = lambda s: F.length(digits_of(s["body"]))
+    gated = lambda needs, view, kind: F.when(needs, spans_of(view, kind)).otherwise(spans_of(F.lit(""), kind))
     return {
-        "email": F.when(text.contains("@"), found(dotted, "email")).otherwise(found(F.lit(""), "email")),
-        "ip": F.filter(found(text, "ip"), lambda s: F.forall(F.split(body_of(text, s), r"\."), part)),
-        "card": F.filter(F.filter(F.when(text.rlike(NEEDS["card"]), found(joined, "card")).otherwise(found(F.lit(""), "card")), lambda s: s["end"] - s["start"] >= 16), lambda s: F.when(n(s).between(16, 19), luhn(digits_of(body_of(text, s)))).otherwise(False)),
-        "phone": F.filter(found(text, "phone"), lambda s: n(s).between(8, 15)),
+        "email": gated(text.contains("@"), dotted, "email"),
+        "ip": F.filter(spans_of(text, "ip"), lambda s: F.forall(F.split(s["body"], r"\."), part)),
+        "card": F.filter(F.filter(gated(text.rlike(NEEDS["card"]), joined, "card"), lambda s: s["end"] - s["start"] >= 16), lambda s: F.when(n(s).between(16, 19), luhn(digits_of(s["body"]))).otherwise(False)),
+        "phone": F.filter(spans_of(text, "phone"), lambda s: n(s).between(8, 15)),
     }
 
 
-def candidate_features(text: Column, span: Column, kind: str) -> Column:
+def candidate_features(span: Column, kind: str) -> Column:
     """Format of the span and cues in the text before it."""
-    body = body_of(text, span)
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, begin + F.lit(1), span["start"] - begin)
+    body, before = span["body"], span["before"]
     count = lambda pattern: F.length(F.regexp_replace(body, f"[^{pattern}]", "")).cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    runs = F.filter(F.split(body, "[^0-9A-Za-z]+"), lambda g: F.length(g) > 0)
+    size = lambda g: F.coalesce(F.length(g), F.lit(0)).cast("double")
+    digits = digits_of(body)
     values = {f"is_{k}": F.lit(float(k == kind)) for k in ADDED} | {
-        "length": F.length(body).cast("double"), "digits": count("0-9"), "letters": count("A-Za-z"), "separators": count(r" ().\[\]_/-"), "groups": F.size(F.split(body, "[^0-9A-Za-z]+")).cast("double"),
-        "mixed": flag(body.rlike("[0-9][A-Za-z]") & body.rlike("[A-Za-z][0-9]")), "brackets": flag(body.rlike(r"[(\[]")), "luhn": flag(F.when(F.length(digits_of(body)).between(13, 19), luhn(digits_of(body))).otherwise(False)),
+        "length": F.length(body).cast("double"), "digits": count("0-9"), "upper": count("A-Z"), "lower": count("a-z"), "separators": count(r" ().\[\]_/-"), "spaces": count(" "), "dots": count("."),
+        "groups": F.size(runs).cast("double"), "first_group": size(F.get(runs, F.lit(0))), "last_group": size(F.get(runs, F.size(runs) - 1)),
+        "turns": F.regexp_count(body, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]")).cast("double"), "distinct": F.size(F.array_distinct(F.split(F.left(body, F.lit(256)), ""))).cast("double"), "vowels": count("aeiou"),
+        "hexadecimal": flag(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "uuid": flag(body.rlike("^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), "prefixed": flag(body.rlike(PREFIXED)), "date": flag(body.rlike(DATE)),
+        "zero": flag(body.rlike("^[(]?0")), "brackets": flag(body.rlike(r"[(\[{<]")), "luhn": flag(F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)), "inside": flag(span["next"].rlike("[A-Za-z0-9@_]")),
     } | {k: flag(before.rlike(p)) for k, p in CUES.items()}
     return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), *(values[f].alias(f) for f in FEATURES))
 
 
 def candidates(text: Column) -> Column:
     """Spans of all further generators, which may overlap, with their features."""
-    one = lambda kind: F.transform(found(text, kind), lambda s: candidate_features(text, s, kind))
+
+    def trimmed(kind: str, s: Column) -> Column:
+        ends = {"number": " ().-", "password": "."}.get(kind)
+        if ends is None:
+            return s
+        rest = F.rtrim(s["body"], F.lit(ends))
+        cut = F.length(s["body"]) - F.length(rest)
+        after = F.when(cut > 0, F.substring(s["body"], F.length(rest) + 1, F.lit(1))).otherwise(s["next"])
+        return F.struct(s["start"].alias("start"), (s["end"] - cut).alias("end"), rest.alias("body"), s["before"].alias("before"), after.alias("next"))
+
+    def one(kind: str) -> Column:
+        spans = F.transform(spans_of(text, kind), lambda s: trimmed(kind, s))
+        if kind == "number":
+            spans = F.filter(spans, lambda s: F.length(digits_of(s["body"])) >= 7)
+        return F.transform(spans, lambda s: candidate_features(s, kind))
+
     return F.concat(*map(one, ADDED))
 
 
-def training_rows(spark: SparkSession) -> DataFrame:
-    """Candidates of the made sentences with their labels: at most templates x EXAMPLES sentences."""
-    letters = {"#": "0123456789", "~": "0123456789abcdef", "?": "abcdefghijklmnopqrstuvwxyz"}
-    made = spark.range(len(TEMPLATES) * EXAMPLES).withColumn("t", (F.col("id") % len(TEMPLATES)).cast("int"))
-    made = made.withColumn("label", F.element_at(F.array(*(F.lit(y) for y, _ in TEMPLATES)), F.col("t") + 1)).withColumn("template", F.element_at(F.array(*(F.lit(x) for _, x in TEMPLATES)), F.col("t") + 1))
+def made_sentences(forms=FORMS, examples: int = EXAMPLES, seed: int = 1) -> list[tuple[int, int, str]]:
+    """Form, label and text: each form with drawn words, digits and letters. At most forms x examples."""
+    rng, marks = random.Random(seed), {"#": "0123456789", "9": "123456789", "~": "0123456789abcdef", "?": "abcdefghijklmnopqrstuvwxyz", "^": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "*": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    out = []
+    for k, (label, form) in enumerate(forms):
+        for _ in range(examples):
+            words = {w: rng.choice(choice.split("|")) for w, choice in WORDS.items()}
+            text = re.sub("{(" + "|".join(WORDS) + ")}|(.)", lambda m, words=words: words[m[1]] if m[1] else rng.choice(marks.get(m[2], m[2])), form)
+            out.append((k, label, f"{words['plain']} {text}{words['end']}"))
+    return out
 
-    def fill(ch: Column, i: Column) -> Column:
-        draw = F.xxhash64(F.col("id"), i)
-        out = ch
-        for mark, alphabet in letters.items():
-            out = F.when(ch == mark, F.substring(F.lit(alphabet), (F.pmod(draw, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
 
-    made = made.withColumn("text", F.array_join(F.transform(F.split("template", ""), fill), ""))
-    rows = made.select("id", "label", F.explode(candidates(F.col("text"))).alias("c"))
-    return rows.select("id", "label", "c.kind", *(f"c.{f}" for f in FEATURES))
+def labelled_rows(spark: SparkSession, sentences: list[tuple[int, int, str]]) -> DataFrame:
+    """Candidates of made sentences with their labels."""
+    listed = json.dumps([{"id": i, "form": k, "label": y, "text": t} for i, (k, y, t) in enumerate(sentences)])
+    made = spark.range(1).select(F.explode(F.from_json(F.lit(listed), "array<struct<id:int,form:int,label:int,text:string>>")).alias("s")).select("s.*")
+    rows = made.select("id", "form", "label", F.explode(candidates(F.col("text"))).alias("c"))
+    return rows.select("id", "form", "label", "c.kind", "c.start", *(f"c.{f}" for f in FEATURES))
 
 
 def _split(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray):
@@ -197,10 +273,16 @@ def calibrate(kinds: np.ndarray, scores: np.ndarray, y: np.ndarray, precision: f
     return out
 
 
+def held_forms() -> set[int]:
+    """Every HELD-th form of each label calibrates instead of fitting."""
+    return {k for y in (0, 1) for i, k in enumerate(k for k, (label, _) in enumerate(FORMS) if label == y) if i % HELD == HELD - 1}
+
+
 def train(spark: SparkSession) -> tuple[list, dict[str, float]]:
-    rows = training_rows(spark).orderBy("id", "kind").collect()
+    """Trees, and the threshold of each kind, from made sentences only."""
+    rows = labelled_rows(spark, made_sentences()).orderBy("id", "kind", "start").collect()  # of a fixed number of sentences
     x, y = np.array([[r[f] for f in FEATURES] for r in rows]), np.array([r["label"] for r in rows], float)
-    held = np.array([r["id"] // len(TEMPLATES) % 4 == 0 for r in rows])
+    held = np.isin([r["form"] for r in rows], list(held_forms()))
     trees = fit_trees(x[~held], y[~held])
     scores = sum(_value(t, x[held]) for t in trees)
     return trees, calibrate(np.array([r["kind"] for r in rows])[held], scores, y[held])
@@ -209,19 +291,27 @@ def train(spark: SparkSession) -> tuple[list, dict[str, float]]:
 def find_pii(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` columns in ``keep``, the whole text (null: empty), and ``pii``: structs kind, start, end by kind, then start.
 
-    Spans are in code points, end exclusive. Added spans never overlap a base span; of overlapping added spans the one
-    with the higher score stays, then the earlier. Empty texts and tables have no spans; repeated rows count each.
+    Spans are in code points, end exclusive. Added spans may overlap others, but one inside another span is left out
+    (of equal ones the kind listed first stays). Empty texts and tables have no spans; repeated rows count each; ids
+    may be null; columns not in ``keep`` play no part.
     """
     trees, thresholds = train(docs.sparkSession)
     text = F.col("pii_text")
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("pii_text"))
-    rows = rows.select("*", F.struct(*(c.alias(k) for k, c in base_spans(text).items())).alias("pii_base"))
-    taken = F.concat(*(F.col(f"pii_base.{k}") for k in BASE))
-    rows = rows.select("*", F.filter(candidates(text), lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))).alias("pii_wide"))
+    rows = rows.select("*", F.struct(*(c.alias(k) for k, c in base_spans(text).items())).alias("pii_base"), candidates(text).alias("pii_wide"))
     total = " + ".join(tree_sql(t, "c") for t in trees)
     bar = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {'double(\"Infinity\")' if v == float('inf') else f'{v:.6f}D'}" for k, v in thresholds.items()) + " END"
     rows = rows.withColumn("pii_scored", F.expr(f"filter(transform(pii_wide, c -> struct(c.kind AS kind, c.start AS start, c.`end` AS `end`, {total} AS score, {bar} AS bar)), s -> s.score >= s.bar)"))
-    rows = rows.withColumn("pii_added", F.expr("filter(pii_scored, a -> NOT exists(pii_scored, b -> b.start < a.`end` AND a.start < b.`end` AND (b.score > a.score OR b.score = a.score AND (b.start < a.start OR b.start = a.start AND b.kind < a.kind))))"))
+    rank = F.create_map(*(x for i, k in enumerate(BASE + ADDED) for x in (F.lit(k), F.lit(i))))
+    span = lambda s, kind: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), rank[kind].alias("rank"), kind.alias("kind"))
+    of_base = lambda k: F.transform(F.col(f"pii_base.{k}"), lambda s: span(s, F.lit(k)))
+    every = F.concat(*map(of_base, BASE), F.transform("pii_scored", lambda s: span(s, s["kind"])))
+    rows = rows.withColumn("pii_every", F.array_sort(every))
+    # Sorted by start, the longer first: a span lies inside another one if some earlier span ends as late.
+    reach = scan(F.transform("pii_every", lambda s: -s["back"]), F.greatest)
+    outer = lambda e: F.filter(F.transform("pii_every", lambda s, i: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end"), (s["rank"] >= len(BASE)).alias("added"), F.coalesce(F.get(e, i - 1) >= -s["back"], F.lit(False)).alias("inside"))), lambda s: s["added"] & ~s["inside"])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,added:boolean,inside:boolean>>")
+    rows = rows.withColumn("pii_added", F.when(F.size("pii_scored") > 0, let(reach, outer)).otherwise(none))
     named = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     spans = [named(F.col(f"pii_base.{k}"), k) for k in BASE] + [named(of_kind(F.col("pii_added"), k), k) for k in ADDED]
     return rows.select(*keep, text.alias("whole_text"), F.concat(*spans).alias("pii"))
@@ -234,18 +324,24 @@ def of_kind(spans: Column, *kinds: str) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    kind = "array<struct<start:int,end:int,kind:string>>"
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], -s["back"]).alias("end"), last["kind"].alias("kind"))
-        alone = F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(alone)))
-
-    merged = F.aggregate(ordered, F.array().cast(kind), merge)
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    parts = F.zip_with(merged, ends, lambda s, e: F.when(s.isNull(), F.substring(text, e + F.lit(1), F.length(text) - e)).otherwise(F.concat(F.substring(text, e + F.lit(1), s["start"] - e), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-    return F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(text)
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b of a text cut into blocks, so that no piece is searched for from the start."""
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        inner = F.concat(F.substring(block(i), a - i * BLOCK + F.lit(1), F.lit(BLOCK)), F.array_join(F.slice(blocks, i + F.lit(2), F.greatest(j - i - 1, F.lit(0))), ""), F.substring(block(j), F.lit(1), b - j * BLOCK))
+        return F.when(i == j, F.substring(block(i), a - i * BLOCK + F.lit(1), b - a)).otherwise(inner)
+
+    def replaced(blocks: Column, own: Column, reach: Column) -> Column:
+        heads = F.filter(F.transform(own, lambda s, i: F.struct(i.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"), F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("after"))), lambda s: (s["at"] == 0) | (s["after"] <= s["start"]))
+        parts = F.transform(heads, lambda s: F.concat(piece(blocks, s["after"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        last = F.element_at(reach, -1)
+        return F.concat(F.array_join(parts, ""), piece(blocks, last, F.greatest(last, F.length(text))))
+
+    ends = lambda own: scan(F.transform(own, lambda s: -s["back"]), F.greatest)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = let(ordered, lambda own: let(cut, lambda blocks: let(ends(own), lambda reach: replaced(blocks, own, reach))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def listed(spans: Column) -> Column:
