@@ -245,7 +245,8 @@ def test_scan(spark):
     assert [r["m"] for r in got] == [np.maximum.accumulate(x).tolist() if x else [] for x in data]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("sizes", [(60, 4, 1 << 20, 20), (100, 100, 300, 1 << 20), (8192, 200_000, 64 << 20, 1 << 22), (3, 2, 64 << 20, 1 << 22)])
+def test_top_k(spark, monkeypatch, sizes):
     from sluice.llm import topk
 
     rng = np.random.default_rng(2)
@@ -254,12 +255,9 @@ def test_top_k(spark):
     data += [(430, None), (431, [None] + [0.1] * 7), (450, [float("nan")] + [0.1] * 7), (433, [float("inf")] * 8), (None, [0.1] * 8), (500, [0.0] * 8)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>").withColumns({"shard": F.lit(1), "block": F.lit(2), "score": F.lit(3)})
     quant = topk.quantised(df)
-    before = topk.SHARD_ROWS, topk.BLOCK_QUERIES
-    try:
-        topk.SHARD_ROWS, topk.BLOCK_QUERIES = 60, 4
-        got = topk.top_k(quant, quant.where("vec_id % 50 = 0"), 5).collect()
-    finally:
-        topk.SHARD_ROWS, topk.BLOCK_QUERIES = before
+    for name, value in zip(("SHARD_ROWS", "TASK_QUERIES", "BOUND_BYTES", "CELLS"), sizes):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_k(quant, quant.where("vec_id % 50 = 0"), 5).collect()
     whole = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = set()
     for q in whole:
@@ -270,6 +268,25 @@ def test_top_k(spark):
     few = quant.where("vec_id IN (0, 50)")
     assert sorted((r["query_id"], r["vec_id"]) for r in topk.top_k(few, few, 5).collect()) == [(0, 50), (50, 0)]
     assert topk.top_k(few.where("false"), few.where("false"), 5).count() == 0
+    assert topk.top_k(few, few.where("false"), 5).count() == 0 and topk.top_k(few.where("false"), few, 5).count() == 0
+    with pytest.raises(ValueError, match="exact"):
+        topk.top_k(*[spark.createDataFrame([(1, [1 << 40]), (2, [1 << 40])], "vec_id bigint, embedding array<bigint>")] * 2)
+    uneven = spark.createDataFrame([(0, [1, 2, 3]), (1, [5]), (2, [-1, 4]), (2, [-1, 4])], "vec_id bigint, embedding array<bigint>")
+    assert sorted(map(tuple, topk.top_k(uneven, uneven.where("vec_id < 2"), 2).collect())) == [(0, 1, 2, 7), (0, 2, 2, 7), (1, 1, 0, 5), (1, 2, 2, -5)]
+
+
+def test_queries_skip_shards_that_cannot_reach_them():
+    from sluice.llm.topk import _route
+
+    class Held:
+        value = (np.array([4, 7, 9], np.int32), np.array([[-9.0, -9], [1, 1], [-9, -9]]), np.array([[-1.0, -1], [9, 9], [0, 2]]))
+
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([[1.0, 2.0], [-1.0, 0.0]]), pa.array([3.0, 5.0])], names=["query_id", "vector", "least"])
+    sent = [(r["query_id"], r["shard"]) for b in _route(iter([batch]), Held, False) for r in b.to_pylist()]
+    assert sent == [(1, 7), (1, 9), (2, 4), (2, 9)]
+    assert [(r["query_id"], r["shard"]) for b in _route(iter([batch]), Held, True) for r in b.to_pylist()] == [(1, 7), (2, 4)]
 
 
 def test_max_score_prunes_and_is_exact():
