@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from sluice.plans.config import SINK, SOURCE, TERMINAL_CAPACITY
 
 
+def both_ways(arcs: DataFrame) -> DataFrame:
+    """Every arc in both directions, from one scan; self-loops go."""
+    turned = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return arcs.where("src <> dst").select(F.inline(F.array(F.struct("src", "dst"), turned)))
+
+
 def symmetrise(arcs: DataFrame) -> DataFrame:
     """Every arc in both directions, once each; self-loops go."""
-    both = arcs.select("src", "dst").unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.where("src <> dst").distinct()
+    return both_ways(arcs).distinct()
 
 
 def merge_parallel(arcs: DataFrame) -> DataFrame:
@@ -67,12 +72,12 @@ def pick_terminals(arcs: DataFrame, n: int, least_degree: int, seed: int | None
 
 
 def arcs_of(edges: DataFrame) -> DataFrame:
-    """The residual arcs src, dst, res with res > 0."""
-    forward = edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("cap_uv") - F.col("flow")).alias("res"))
-    back = edges.select(F.col("v").alias("src"), F.col("u").alias("dst"), (F.col("cap_vu") + F.col("flow")).alias("res"))
-    return forward.unionByName(back).where("res > 0")
+    """The residual arcs src, dst, res with res > 0, from one scan of the edges."""
+    forward = F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("cap_uv") - F.col("flow")).alias("res"))
+    back = F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), (F.col("cap_vu") + F.col("flow")).alias("res"))
+    return edges.select(F.inline(F.array(forward, back))).where("res > 0")
 
 
 def sorted_adjacency(arcs: DataFrame) -> DataFrame:
-    """v and its neighbours in ascending order, for output."""
+    """v and its neighbours in ascending order, for output: an adjacency line holds all of a vertex."""
     return arcs.groupBy(F.col("src").alias("v")).agg(F.array_sort(F.collect_set("dst")).alias("near"))

@@ -3,13 +3,17 @@
 A sweep searches the residual graph breadth-first from the source. If the sink is not reached, the reached set is the
 minimal minimum cut and the flow is maximal: the exit condition is the proof. Otherwise potentials run back from the
 sink (what a vertex could still pass on), the source's inflow is dealt forward by prefix sums, and inflow that found
-no way out is trimmed backward. Every allocation respects the residuals and conserves flow, so each sweep gains.
+no way out is trimmed backward. Every allocation respects the residuals and conserves flow, so each sweep gains, as
+long as any way is left in the level graph; then the next search begins.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +21,13 @@ from sluice.operators.build import arcs_of
 from sluice.operators.prefix import prefix_sums
 from sluice.operators.traverse import bfs_levels
 from sluice.plans.config import SINK, SOURCE
-from sluice.plans.scratch import Scratch
+from sluice.plans.scratch import Scratch, ship
 
 UNBOUNDED = (1 << 63) - 1
 #: Levels that one plan may span.
-LAZY_DEPTH = 4
+LAZY_DEPTH = 8
+#: A level graph with no more arcs (32 MB) is swept by one task; larger ones by joins, until no more are left.
+LOCAL_ARCS = 1 << 20
 
 
 @dataclass
@@ -60,8 +66,8 @@ def level_arcs(arcs: DataFrame, levels: DataFrame, depth: int, sink: int = SINK)
     return arcs.join(tail, "src").join(head, "dst").where("level = before").select("level", "src", "dst", "res")
 
 
-def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE, sink: int = SINK) -> tuple[DataFrame, int]:
-    """level, src, dst, flow: a flow through the level graph that uses at least one whole way; and its value.
+def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE, sink: int = SINK) -> tuple[DataFrame, int, DataFrame]:
+    """level, src, dst, flow: a flow through the level graph that uses at least one whole way; its value; arcs that lead on.
 
     Each pass is one plan over all levels where these are few, whose shuffles Spark reuses; deep graphs are written
     level by level, so that plans stay small.
@@ -94,10 +100,12 @@ def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str,
         return graph.where(F.col("level") == k).join(p, "dst").select("src", "dst", F.least("res", "p").alias("cap"))
 
     alive = one_pass("alive", range(depth - 1, -1, -1), potential)
+    if alive[0].isEmpty():  # no way is left
+        return alive[0].select(F.lit(0).alias("level"), "src", "dst", F.col("cap").alias("flow")), 0, by_level(alive)
 
     def forward(k: int, before: DataFrame | None) -> DataFrame:
         x = alive[0].groupBy("src").agg(F.sum("cap").alias("x")) if before is None else before.groupBy(F.col("dst").alias("src")).agg(F.sum("flow").alias("x"))
-        rows = prefix_sums(alive[k].join(x, "src"), "src", "dst", "cap", most)
+        rows = prefix_sums(alive[k].join(x, "src"), ["src"], ["dst"], "cap", most, scratch, f"{label}/dealt-sums-{k}")
         return rows.select("src", "dst", F.greatest(F.lit(0), F.least(F.col("cap"), F.col("x") - F.col("before"))).cast("bigint").alias("flow")).where("flow > 0")
 
     dealt = one_pass("dealt", range(depth), forward)
@@ -106,14 +114,69 @@ def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str,
         if after is None:
             return dealt[k]
         passed = after.groupBy(F.col("src").alias("dst")).agg(F.sum("flow").alias("x"))
-        rows = prefix_sums(dealt[k].join(passed, "dst"), "dst", "src", "flow", most)
+        rows = prefix_sums(dealt[k].join(passed, "dst"), ["dst"], ["src"], "flow", most, scratch, f"{label}/kept-sums-{k}")
         return rows.select("src", "dst", F.greatest(F.lit(0), F.least(F.col("flow"), F.col("x") - F.col("before"))).cast("bigint").alias("flow")).where("flow > 0")
 
     kept = one_pass("kept", range(depth - 1, -1, -1), trim)
     gained = F.coalesce(F.sum(F.when(F.col("src") == source, F.col("flow"))), F.lit(0))
     out, got = scratch.counted(by_level(kept).select("level", "src", "dst", "flow"), f"{label}/flow", gained=gained)
-    scratch.drop(*names)
-    return out, got["gained"]
+    scratch.drop(*(n for n in names if not n.startswith(f"{label}/alive")))
+    return out, got["gained"], by_level(alive)
+
+
+def block_in_memory(level: np.ndarray, src: np.ndarray, dst: np.ndarray, res: np.ndarray) -> np.ndarray:
+    """The flow on each arc of a level graph after the same sweeps as ``sweep``, until no way is left."""
+    vertices, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    src, dst, res, whole, depth = at[: len(src)], at[len(src) :], res.copy(), np.zeros(len(src), np.int64), int(level.max(initial=-1)) + 1
+    out = [np.flatnonzero(level == k) for k in range(depth)]
+    out = [i[np.lexsort((dst[i], src[i]))] for i in out]
+    back = [i[np.lexsort((src[i], dst[i]))] for i in out]
+
+    def before(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sum of the values that come before within the same key; keys stand together."""
+        total = np.cumsum(value) - value
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return total - np.repeat(total[first], np.diff(np.append(first, len(key))))
+
+    def add(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(vertices), np.int64)
+        np.add.at(sums, key, value)
+        return sums
+
+    while depth:
+        cap = np.zeros(len(src), np.int64)
+        for k in range(depth - 1, -1, -1):
+            i = out[k]
+            cap[i] = res[i] if k == depth - 1 else np.minimum(res[i], add(src[out[k + 1]], cap[out[k + 1]])[dst[i]])
+        flow = np.zeros(len(src), np.int64)
+        for k in range(depth):
+            i = out[k]
+            x = cap[i] if not k else np.clip(add(dst[out[k - 1]], flow[out[k - 1]])[src[i]] - before(src[i], cap[i]), 0, cap[i])
+            flow[i] = x
+        for k in range(depth - 2, -1, -1):
+            i = back[k]
+            flow[i] = np.clip(add(src[out[k + 1]], flow[out[k + 1]])[dst[i]] - before(dst[i], flow[i]), 0, flow[i])
+        if not flow[out[0]].sum():
+            break
+        whole += flow
+        res -= flow
+    return whole
+
+
+def _block(batches):
+    arcs = [np.concatenate(c) for c in zip(*([np.asarray(x) for x in b.columns] for b in batches))]
+    if arcs:
+        flow = block_in_memory(*arcs)
+        used = flow > 0
+        yield pa.RecordBatch.from_arrays([pa.array(c[used]) for c in (*arcs[:3], flow)], names=["level", "src", "dst", "flow"])
+
+
+def block(graph: DataFrame, scratch: Scratch, label: str, source: int = SOURCE) -> tuple[DataFrame, int, None]:
+    """All sweeps over a level graph of at most LOCAL_ARCS arcs in one task: level, src, dst, flow; and its value."""
+    ship(scratch.spark)
+    flow = graph.select("level", "src", "dst", "res").repartition(1).mapInArrow(_block, "level int, src bigint, dst bigint, flow bigint")
+    out, got = scratch.counted(flow, f"{label}/flow", gained=F.coalesce(F.sum(F.when((F.col("src") == source) & (F.col("level") == 0), F.col("flow"))), F.lit(0)))
+    return out, got["gained"], None
 
 
 def apply_flow(edges: DataFrame, delta: DataFrame) -> DataFrame:
@@ -147,24 +210,37 @@ def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.
     scratch = scratch or Scratch(spark, "maxflow")
     edges = scratch.table(edges.select("u", "v", *(F.col(c).cast("bigint") for c in ("cap_uv", "cap_vu", "flow"))), "edges-0")
     most = most_of_a_key(arcs_of(edges))
-    value, metrics, turn = flow_value(edges, source), [], 0
+    value, metrics, turn, phase = flow_value(edges, source), [], 0, 0
     while True:
-        arcs = arcs_of(edges)
-        levels, sizes, met = bfs_levels(arcs, ends(spark, source), stop=sink, scratch=scratch, label=f"levels-{turn}")
-        metrics += [(turn, "visited", sum(sizes)), (turn, "depth", len(sizes) - 1)]
+        arcs = scratch.bucketed(arcs_of(edges), f"arcs-{phase}", "src")
+        levels, sizes, met = bfs_levels(arcs, ends(spark, source), stop=sink, scratch=scratch, label=f"levels-{phase}")
+        depth = len(sizes) - 1
+        metrics += [(turn, "visited", sum(sizes)), (turn, "depth", depth)]
         if not met:
             side = levels.select("v")
             return FlowResult(edges, side, value, cut_capacity(edges, side), turn, True, metrics)
         if max_rounds is not None and turn >= max_rounds:
             return FlowResult(edges, None, value, None, turn, False, metrics)
-        depth = len(sizes) - 1
-        graph = scratch.table(level_arcs(arcs, levels, depth, sink), f"graph-{turn}")
-        delta, gained = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
-        value += gained
-        turn += 1
-        edges = scratch.table(apply_flow(edges, delta), f"edges-{turn}")
-        metrics += [(turn, "accepted_flow", gained), (turn, "flow_value", value)]
+        # Sweeps over one level graph until no way is left in it: only then are edges and levels made anew.
+        flows, stop, one = [], False, F.count(F.lit(1))
+        graph, size = scratch.counted(level_arcs(arcs, levels, depth, sink), f"graph-{phase}-0", n=one)
+        while not stop:
+            small = size["n"] <= LOCAL_ARCS
+            flow, gained, alive = block(graph, scratch, f"sweep-{turn}", source) if small else sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
+            if not gained:
+                break
+            value, turn = value + gained, turn + 1
+            flows.append(flow.select("src", "dst", "flow"))
+            metrics += [(turn, "accepted_flow", gained), (turn, "flow_value", value)]
+            stop = small or gained < approx * value or (max_rounds is not None and turn >= max_rounds)
+            if not stop:
+                left = graph.join(alive, ["level", "src", "dst"], "left_semi").join(flow, ["level", "src", "dst"], "left")
+                left = left.select("level", "src", "dst", (F.col("res") - F.coalesce("flow", F.lit(0))).alias("res")).where("res > 0")
+                graph, size = scratch.counted(left, f"graph-{phase}-{len(flows)}", n=one)
+        phase += 1
+        edges = scratch.table(apply_flow(edges, functools.reduce(DataFrame.unionByName, flows)), f"edges-{phase}")
         if not keep_rounds:
-            scratch.drop(f"edges-{turn - 1}", f"levels-{turn - 1}", f"graph-{turn - 1}", f"sweep-{turn - 1}")
+            graphs = [f"graph-{phase - 1}-{k}" for k in range(len(flows) + 1)]
+            scratch.drop(f"edges-{phase - 1}", f"arcs-{phase - 1}", f"levels-{phase - 1}", *graphs, *(f"sweep-{t}" for t in range(turn - len(flows), turn + 1)))
         if gained < approx * value:
             return FlowResult(edges, None, value, None, turn, False, metrics)

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.functions.graph import append_hop, edge_key, empty_path, join_paths, prepend_hop, visits
+from sluice.functions.graph import append_hop, empty_path, join_paths, prepend_hop, visits
 from sluice.operators.maxflow import UNBOUNDED
+from sluice.operators.prefix import prefix_sums
+from sluice.plans.scratch import Scratch
 
 
 def seed_paths(spark: SparkSession, v: int) -> DataFrame:
@@ -18,14 +20,20 @@ def seed_paths(spark: SparkSession, v: int) -> DataFrame:
     return spark.range(1).select(F.lit(v).cast("bigint").alias("v"), empty_path().alias("path"), F.lit(UNBOUNDED).alias("bottleneck"))
 
 
-def extend(paths: DataFrame, arcs: DataFrame, backward: bool = False) -> DataFrame:
+def extend(paths: DataFrame, arcs: DataFrame, backward: bool = False, longest: int | None = None, draw: int | None = None) -> DataFrame:
     """Each path one hop further over arcs with residual capacity; never back to a vertex of the path.
 
-    Forward paths grow at their end along arcs, backward ones at their start against them.
+    Forward paths grow at their end along arcs, backward ones at their start against them. longest: hops of a path at
+    most. draw: a seed by which one of a vertex's paths is drawn for each arc, instead of all of them.
     """
     near, far = ("dst", "src") if backward else ("src", "dst")
+    if longest is not None:
+        paths = paths.where(F.size("path") < longest)
     rows = paths.join(arcs.where("res > 0"), F.col("v") == F.col(near))
     rows = rows.where((F.col(far) != F.col("v")) & ~visits(F.col("path"), F.col(far)))
+    if draw is not None:
+        order = [F.xxhash64("src", "dst", "path", F.lit(draw)), "path"]
+        rows = rows.withColumn("drawn", F.row_number().over(W.partitionBy("src", "dst").orderBy(*order))).where("drawn = 1")
     grown = prepend_hop(F.col("path"), F.col("src"), F.col("dst")) if backward else append_hop(F.col("path"), F.col("src"), F.col("dst"))
     return rows.select(F.col(far).alias("v"), grown.alias("path"), F.least("bottleneck", "res").alias("bottleneck"))
 
@@ -43,30 +51,25 @@ def bottlenecks(paths: DataFrame, arcs: DataFrame) -> DataFrame:
     return known.unionByName(keyed.where(F.size("path") == 0).withColumn("bottleneck", F.lit(UNBOUNDED)))
 
 
-def best_paths(paths: DataFrame, k: int) -> DataFrame:
-    """The k best paths of each vertex: larger bottleneck, then shorter, then smaller hops."""
+def best_paths(paths: DataFrame, k: int | None) -> DataFrame:
+    """The k best paths of each vertex (None: all): larger bottleneck, then shorter, then smaller hops."""
     return _first(paths, k, [F.desc("bottleneck"), F.size("path"), "path"])
 
 
-def random_paths(paths: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k paths of each vertex in seeded random order."""
+def random_paths(paths: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
+    """k paths of each vertex in seeded random order (None: all)."""
     return _first(paths, k, [F.xxhash64("v", "path", F.lit(seed)), "path"])
 
 
-def _first(paths: DataFrame, k: int, order: list) -> DataFrame:
+def _first(paths: DataFrame, k: int | None, order: list) -> DataFrame:
+    if k is None:
+        return paths
     # A salted first cut keeps a vertex with very many paths from meeting in one task whole.
     salt = F.pmod(F.xxhash64("path"), F.lit(32))
     near = paths.withColumn("salt", salt).withColumn("place", F.row_number().over(W.partitionBy("v", "salt").orderBy(*order))).where(F.col("place") <= k)
     return near.withColumn("place", F.row_number().over(W.partitionBy("v").orderBy(*order))).where(F.col("place") <= k).drop("salt", "place")
 
 
-def choose_path(paths: DataFrame, arcs: DataFrame, turn: int, seed: int = 0) -> DataFrame:
-    """One stored path for each residual arc that leaves its vertex, drawn by a seed: src, dst, path, bottleneck."""
-    drawn = F.row_number().over(W.partitionBy("src", "dst").orderBy(F.xxhash64("src", "dst", "path", F.lit(turn), F.lit(seed)), "path"))
-    rows = paths.join(arcs.where("res > 0").select("src", "dst"), F.col("v") == F.col("src"))
-    return rows.withColumn("drawn", drawn).where("drawn = 1").select("src", "dst", "path", "bottleneck")
-
-
 def meet(s_paths: DataFrame, t_paths: DataFrame) -> DataFrame:
     """Whole ways from source to sink where an S and a T path meet, cycles taken out: path, bottleneck."""
     t = t_paths.select("v", F.col("path").alias("t_path"), F.col("bottleneck").alias("t_bottleneck"))
@@ -74,16 +77,19 @@ def meet(s_paths: DataFrame, t_paths: DataFrame) -> DataFrame:
     return rows.where(F.size("path") > 0).groupBy("path").agg(F.min("bottleneck").alias("bottleneck"))
 
 
-def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
+def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | None = None, scratch: Scratch | None = None, label: str = "accept") -> DataFrame:
     """path, amount of candidates in order, each given what is left on all its arcs after what earlier ones ask for.
 
     Demands are counted as bottlenecks, by prefix sums on every arc, so no arc is ever charged beyond its residual,
-    also where the two halves of a way share it.
+    also where the two halves of a way share it. An arc of very many ways (with ``scratch``) is summed in ranges.
     """
     order = order or [F.size("path"), "path"]
     ways = candidates.withColumn("hops", F.explode("path")).select("path", "bottleneck", F.col("hops.u").alias("src"), F.col("hops.v").alias("dst"))
-    asked = W.partitionBy("src", "dst").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    left = ways.join(arcs, ["src", "dst"], "left").withColumn("before", F.coalesce(F.sum("bottleneck").over(asked), F.lit(0)))
+    most = 0
+    if scratch is not None:
+        most = ways.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    asked = prefix_sums(ways, ["src", "dst"], order, "bottleneck", most, scratch, label)
+    left = asked.join(arcs, ["src", "dst"], "left")
     amount = F.min(F.least(F.col("bottleneck"), F.coalesce("res", F.lit(0)) - F.col("before")))
     return left.groupBy("path").agg(amount.cast("bigint").alias("amount")).where("amount > 0")
 
@@ -94,12 +100,11 @@ def as_delta(accepted: DataFrame) -> DataFrame:
     return hops.groupBy(F.col("h.u").alias("src"), F.col("h.v").alias("dst")).agg(F.sum("amount").cast("bigint").alias("flow"))
 
 
-def lost_neighbours(arcs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Vertices to notify: neighbours of vertices whose last path went."""
-    lost = before.select("v").distinct().join(after.select("v").distinct(), "v", "left_anti")
-    return arcs.join(lost.select(F.col("v").alias("src")), "src", "left_semi").select(F.col("dst").alias("v")).distinct()
+def lost_vertices(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Vertices whose last path went."""
+    return before.select("v").distinct().join(after.select("v").distinct(), "v", "left_anti")
 
 
-def path_keys(path: Column) -> Column:
-    """The 64-bit edge keys of a path."""
-    return F.transform(path, lambda h: edge_key(h["u"], h["v"]))
+def neighbours_of(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Those with an arc to one of the vertices: they are to offer their paths again."""
+    return arcs.join(vertices.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v")).distinct()

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A key with more rows than this is summed in blocks, so that no task gathers it.
-WHOLE_KEY, BLOCK_ROWS = 200_000, 50_000
+from sluice.plans.scratch import Scratch
 
+#: A key with more rows than this is summed in ranges of its order, so that no task gathers it.
+WHOLE_KEY = 200_000
 
-def prefix_sums(df: DataFrame, key: str, order: str, value: str, most: int, out: str = "before") -> DataFrame:
+
+def prefix_sums(df: DataFrame, key: list[str], order: list, value: str, most: int, scratch: Scratch, label: str, out: str = "before") -> DataFrame:
     """``out``: sum of ``value`` over the rows of the same key that come before. most: rows of the largest key."""
+    first = W.unboundedPreceding
     if most <= WHOLE_KEY:
-        w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("bigint"))
-    blocks = -(-most // BLOCK_ROWS)
-    rows = df.withColumn("prefix_block", F.pmod(F.xxhash64(order), F.lit(blocks)))
-    sums = rows.groupBy(key, "prefix_block").agg(F.sum(value).alias("prefix_total"))
-    earlier = W.partitionBy(key).orderBy("prefix_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(key, "prefix_block", F.coalesce(F.sum("prefix_total").over(earlier), F.lit(0)).alias("prefix_offset"))
-    inner = W.partitionBy(key, "prefix_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    summed = rows.withColumn("prefix_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(offsets, [key, "prefix_block"])
-    return summed.withColumn(out, (F.col("prefix_offset") + F.col("prefix_inner")).cast("bigint")).drop("prefix_block", "prefix_inner", "prefix_offset")
+        before = F.sum(value).over(W.partitionBy(*key).orderBy(*order).rowsBetween(first, -1))
+        return df.withColumn(out, F.coalesce(before, F.lit(0)).cast("bigint"))
+    # Ranges of (key, order) cut a large key where it is; their numbers ascend with the order.
+    rows = scratch.table(df.repartitionByRange(*key, *order).withColumn("prefix_range", F.spark_partition_id()), f"{label}/ranges")
+    sums = rows.groupBy(*key, "prefix_range").agg(F.sum(value).alias("prefix_total"))
+    earlier = F.sum("prefix_total").over(W.partitionBy(*key).orderBy("prefix_range").rowsBetween(first, -1))
+    offsets = sums.select(*key, "prefix_range", F.coalesce(earlier, F.lit(0)).alias("prefix_offset"))
+    inner = F.sum(value).over(W.partitionBy(*key, "prefix_range").orderBy(*order).rowsBetween(first, -1))
+    summed = rows.withColumn("prefix_inner", F.coalesce(inner, F.lit(0))).join(offsets, [*key, "prefix_range"])
+    return summed.withColumn(out, (F.col("prefix_offset") + F.col("prefix_inner")).cast("bigint")).drop("prefix_range", "prefix_inner", "prefix_offset")

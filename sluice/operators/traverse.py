@@ -13,7 +13,8 @@ LEVELS = "v bigint, d int"
 def bfs_levels(arcs: DataFrame, start: DataFrame, stop: int | None = None, max_depth: int | None = None, scratch: Scratch | None = None, label: str = "bfs") -> tuple[DataFrame, list[int], bool]:
     """v, d of every vertex reached from ``start`` (v); the number of vertices of each level; whether ``stop`` was met.
 
-    Vertices that are not reached are left out. With ``stop`` the search ends after the level that holds it.
+    Vertices that are not reached are left out. With ``stop`` the search ends after the level that holds it. ``arcs``
+    are read at every level: best a table in buckets by src (``Scratch.bucketed``), which then stay in place.
     """
     scratch = scratch or Scratch(arcs.sparkSession, "bfs")
     goal = F.count_if(F.col("v") == (stop if stop is not None else F.lit(None).cast("bigint")))
@@ -35,7 +36,8 @@ def bfs_levels(arcs: DataFrame, start: DataFrame, stop: int | None = None, max_d
 
 def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:
     """v of every vertex reached."""
-    return bfs_levels(arcs, start)[0].select("v")
+    scratch = Scratch(arcs.sparkSession, "reachable")
+    return bfs_levels(scratch.bucketed(arcs.select("src", "dst"), "arcs", "src"), start, scratch=scratch)[0].select("v")
 
 
 def level_histogram(levels: DataFrame) -> DataFrame:

@@ -194,6 +194,23 @@ def path_round_flow(spark, sf_dir):
     return _value(spark, max_flow(edges))
 
 
+def path_round_tree_flow(spark, sf_dir):
+    """The same with one drawn path for each arc on GC, whose flow has a closed form."""
+    edges, _ = path_rounds(graph_c(spark, sf_dir), FlowConfig(kept_paths=8, path_choice="random", forward="one"), rounds=4)
+    return spark.createDataFrame([(max_flow(edges).value,)], "flow_value bigint")
+
+
+def tree_cut_side(spark, sf_dir):
+    """Vertices of GC on the source side of the minimum cut."""
+    return max_flow(graph_c(spark, sf_dir)).cut_side
+
+
+def tree_flow_edges(spark, sf_dir):
+    """Flow into each region of GC: the flow of a tree is unique where it is limited above."""
+    edges = max_flow(graph_c(spark, sf_dir)).edges
+    return edges.where(F.col("u") == SOURCE).select("v", "flow")
+
+
 def path_round_metrics(spark, sf_dir):
     rows = path_rounds(graph_b(spark, sf_dir), FlowConfig(kept_paths=2), rounds=3)[1]
     return spark.createDataFrame(rows, "round int, name string, value bigint")
@@ -213,7 +230,7 @@ def duality_gap(spark, sf_dir):
 
 
 def queries() -> dict:
-    every = (edge_build, degree, symmetrised, bfs_levels, bfs_level_histogram, reachable_set, terminal_pick, capacity_merge, residual_arcs, one_hop_extend, topk_paths, random_k_paths, saturated_filter, two_hop_meet, greedy_acceptance, adjacency_scan, dimacs_scan, folded_ids, tree_max_flow, max_flow_unit, max_flow_capacitated, min_cut_side, flow_metrics, flow_paths, path_round_flow, path_round_metrics, flow_conservation, flow_capacity, duality_gap)
+    every = (edge_build, degree, symmetrised, bfs_levels, bfs_level_histogram, reachable_set, terminal_pick, capacity_merge, residual_arcs, one_hop_extend, topk_paths, random_k_paths, saturated_filter, two_hop_meet, greedy_acceptance, adjacency_scan, dimacs_scan, folded_ids, tree_max_flow, tree_cut_side, tree_flow_edges, max_flow_unit, max_flow_capacitated, min_cut_side, flow_metrics, flow_paths, path_round_flow, path_round_tree_flow, path_round_metrics, flow_conservation, flow_capacity, duality_gap)
     return {f.__name__: f for f in every}
 
 
@@ -228,6 +245,10 @@ _GB = """q AS (SELECT 1000000 + l_suppkey AS src, 4000000 + l_partkey AS dst, CA
   t AS (SELECT 4000000 + p_partkey AS src, 2 AS dst, CAST(p_size * 10 AS BIGINT) AS cap FROM part),
   g AS (SELECT * FROM q UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t)"""
 _P2 = f"""{_GB}, p AS (SELECT q.dst AS v, f.dst AS s, q.dst AS part, least(f.cap, q.cap) AS b FROM f JOIN q ON q.src = f.dst WHERE f.cap > 0 AND q.cap > 0)"""
+_TREE = """cu AS (SELECT c_custkey, c_nationkey, greatest(CAST(floor(c_acctbal) AS BIGINT), 0) AS cap FROM customer),
+  na AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n, least(coalesce(sum(cap), 0), 4500 * count(c_custkey)) AS f
+         FROM nation LEFT JOIN cu ON c_nationkey = n_nationkey GROUP BY 1, 2),
+  re AS (SELECT n_regionkey, least(sum(f), 4400 * sum(n)) AS f, sum(n) AS n FROM na GROUP BY 1 HAVING sum(n) > 0)"""
 _USED = "CASE WHEN (least(src, dst) + greatest(src, dst)) % 3 = 0 THEN CASE WHEN src < dst THEN cap ELSE 0 END ELSE 0 END"
 
 
@@ -244,17 +265,24 @@ def oracle_sql() -> dict[str, str]:
         "residual_arcs": f"WITH {_GB}, w AS (SELECT src, dst, cap, {_USED} AS flow, CASE WHEN src < dst THEN cap ELSE 0 END AS c1, CASE WHEN src < dst THEN 0 ELSE cap END AS c2, least(src, dst) AS u, greatest(src, dst) AS v FROM g), z AS (SELECT u AS src, v AS dst, c1 - flow AS res FROM w UNION ALL SELECT v, u, c2 + flow FROM w) SELECT src, dst, res FROM z WHERE res > 0",
         "one_hop_extend": f"WITH {_P2} SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM p",
         "topk_paths": f"WITH {_P2}, k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY b DESC, s) AS n FROM p) SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM k WHERE n <= 3",
-        "saturated_filter": f"WITH {_P2}, r AS (SELECT src, dst, cap - ({_USED}) AS res FROM g) SELECT p.v, concat('1:', s, ':', part, '=', least(x.res, y.res)) AS path FROM p JOIN r AS x ON x.src = 1 AND x.dst = s JOIN r AS y ON y.src = s AND y.dst = part WHERE x.res > 0 AND y.res > 0",
+        "saturated_filter": f"""WITH {_GB},
+  r AS MATERIALIZED (SELECT src, dst, cap - ({_USED}) AS res FROM g WHERE src <> 2 AND dst <> 2),
+  x AS MATERIALIZED (SELECT dst AS s, res FROM r WHERE src = 1 AND res > 0),
+  y AS MATERIALIZED (SELECT src AS s, dst AS part, res FROM r WHERE src <> 1 AND res > 0)
+SELECT y.part AS v, concat('1:', s, ':', y.part, '=', least(x.res, y.res)) AS path FROM x JOIN y USING (s)""",
         "two_hop_meet": f"WITH {_P2} SELECT concat('1:', s, ':', part, ':2=', least(b, t.cap)) AS path FROM p JOIN t ON t.src = part WHERE t.cap > 0",
         "greedy_acceptance": f"WITH {_P2}, o AS (SELECT p.*, f.cap AS c1, q.cap AS c2, coalesce(sum(b) OVER (PARTITION BY s ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN f ON f.dst = s JOIN q ON q.src = s AND q.dst = part), z AS (SELECT s, part, CAST(least(b, c1 - before, c2) AS BIGINT) AS amount FROM o) SELECT concat('1:', s, ':', part, '=', amount) AS path FROM z WHERE amount > 0",
         "adjacency_scan": f"WITH {_E} SELECT u AS src, v AS dst FROM e",
         "dimacs_scan": "SELECT 1000002 + l_suppkey AS u, 4000002 + l_partkey AS v, CAST(sum(l_quantity) AS BIGINT) AS cap_uv, 0::BIGINT AS cap_vu, 0::BIGINT AS flow FROM lineitem GROUP BY 1, 2",
         "folded_ids": "SELECT c_custkey, CAST(-(c_custkey + 3) AS BIGINT) AS id FROM customer",
-        "tree_max_flow": """WITH cu AS (SELECT c_custkey, c_nationkey, greatest(CAST(floor(c_acctbal) AS BIGINT), 0) AS cap FROM customer),
-  na AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n, least(coalesce(sum(cap), 0), 4500 * count(c_custkey)) AS f
-         FROM nation LEFT JOIN cu ON c_nationkey = n_nationkey GROUP BY 1, 2),
-  re AS (SELECT n_regionkey, least(sum(f), 4400 * sum(n)) AS f FROM na GROUP BY 1)
-SELECT CAST(sum(f) AS BIGINT) AS flow_value FROM re""",
+        "tree_max_flow": f"WITH {_TREE} SELECT CAST(sum(f) AS BIGINT) AS flow_value FROM re",
+        "path_round_tree_flow": f"WITH {_TREE} SELECT CAST(sum(f) AS BIGINT) AS flow_value FROM re",
+        "tree_flow_edges": f"WITH {_TREE} SELECT n_regionkey + 10 AS v, CAST(f AS BIGINT) AS flow FROM re",
+        # A region or nation is on the source side if every arc above it has capacity left; a customer never is, since
+        # nothing limits the arc after it.
+        "tree_cut_side": f"""WITH {_TREE}, sr AS (SELECT n_regionkey FROM re WHERE f < 4400 * n),
+  sn AS (SELECT n_nationkey FROM na JOIN sr USING (n_regionkey) WHERE n > 0 AND f < 4500 * n)
+SELECT 1::BIGINT AS v UNION ALL SELECT n_regionkey + 10 FROM sr UNION ALL SELECT n_nationkey + 100 FROM sn""",
         # Checks of this engine's own results: no row may violate them.
         "flow_conservation": "SELECT 0::BIGINT AS violations",
         "flow_capacity": "SELECT 0::BIGINT AS violations",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.build import arcs_of, attach_terminals, merge_parallel, pick_terminals, symmetrise, terminals_of, unit_edges
-from sluice.operators.maxflow import FlowResult, apply_flow, flow_value, max_flow
-from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, extend, meet, not_forwarded, seed_paths
+from sluice.operators.build import arcs_of, attach_terminals, both_ways, merge_parallel, pick_terminals, symmetrise, terminals_of, unit_edges
+from sluice.operators.maxflow import FlowResult, apply_flow, ends, max_flow
+from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, extend, lost_vertices, meet, neighbours_of, not_forwarded, random_paths, seed_paths
 from sluice.operators.traverse import bfs_levels
-from sluice.plans.config import RANDOM_PATHS, SINK, SOURCE, FlowConfig
+from sluice.plans.config import SINK, SOURCE, FlowConfig
 from sluice.plans.scratch import Scratch
 
 
@@ -21,7 +21,7 @@ def network(arcs: DataFrame, config: FlowConfig, terminals: DataFrame | None = N
     else:
         edges = unit_edges(arcs, config.max_random_capacity, config.seed)
     if terminals is None and config.random_terminals:
-        terminals = pick_terminals(arcs, config.random_terminals, config.terminal_degree, config.seed)
+        terminals = pick_terminals(symmetrise(arcs) if config.undirected else arcs, config.random_terminals, config.terminal_degree, config.seed)
     elif terminals is None:
         terminals = terminals_of(spark, config.sources, config.sinks)
     return attach_terminals(edges, terminals)
@@ -29,21 +29,26 @@ def network(arcs: DataFrame, config: FlowConfig, terminals: DataFrame | None = N
 
 def solve(arcs: DataFrame, config: FlowConfig, terminals: DataFrame | None = None, method: str = "sweep") -> FlowResult:
     """method: 'sweep', or 'paths' for rounds of meeting excess paths first."""
-    edges = network(arcs, config, terminals)
+    return run(network(arcs, config, terminals), config, method)
+
+
+def run(edges: DataFrame, config: FlowConfig, method: str = "sweep") -> FlowResult:
+    """The flow over edges, from the flow they carry already (that of a written state, to resume)."""
+    rounds: list[tuple[int, str, int]] = []
     if method == "paths":
         edges, rounds = path_rounds(edges, config)
-        result = max_flow(edges, config.max_rounds, config.approx, config.keep_rounds)
-        result.metrics[:0] = rounds
-        return result
-    return max_flow(edges, config.max_rounds, config.approx, config.keep_rounds)
+    result = max_flow(edges, config.max_rounds, config.approx, config.keep_rounds)
+    result.metrics[:0] = rounds
+    return result
 
 
-def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int = 8) -> tuple[DataFrame, list[tuple[int, str, int]]]:
+def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """Bidirectional rounds: paths grow from both terminals, meet, and are accepted; a valid flow and its metrics.
 
-    A path is offered to each neighbour once. Path lists are cut to ``kept_paths`` a vertex, so this may stop short of
-    the maximum; the sweeps finish it. Metrics of each side: paths offered (extended), kept, cut off (truncated) and
-    lost to saturated arcs, and vertices that gained their first path (moves) or lost their last (lost_vertices).
+    A path is offered to each neighbour once, and again if the neighbour lost its last path. Path lists are cut to
+    ``kept_paths`` a vertex, so this may stop short of the maximum; the sweeps finish it. Metrics of each side: paths
+    offered (extended), kept, cut off (truncated) and lost to saturated arcs, vertices that gained their first path
+    (moves) or lost their last (lost_vertices), and neighbours that are to offer again (notified).
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
@@ -51,21 +56,28 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int = 8) -> tuple[
     one = F.count(F.lit(1))
     sides = {"source": seed_paths(spark, SOURCE), "sink": seed_paths(spark, SINK)}
     sent: dict[str, DataFrame | None] = {"source": None, "sink": None}
-    kept, metrics = min(config.kept_paths, RANDOM_PATHS), []
-    for turn in range(1, rounds + 1):
-        arcs, vertices = arcs_of(edges), {}
+    metrics: list[tuple[int, str, int]] = []
+    for turn in range(1, (config.path_rounds if rounds is None else rounds) + 1):
+        # Paths join arcs on the near end, so each side has its arcs in buckets by that.
+        arcs, vertices = scratch.bucketed(arcs_of(edges), f"arcs-{turn}", "src"), {}
+        near = {"source": arcs, "sink": scratch.bucketed(arcs, f"arcs-in-{turn}", "dst") if config.bidirectional else arcs}
         for side, paths in sides.items():
-            offers = extend(paths, arcs, backward=side == "sink")
+            if side == "sink" and not config.bidirectional:
+                vertices[side] = 1
+                continue
+            draw = config.seed + turn if config.forward == "one" else None
+            offers = extend(paths, near[side], backward=side == "sink", longest=config.longest_path, draw=draw)
             if sent[side] is not None:
                 offers = not_forwarded(offers, sent[side])
             offers, offered = scratch.counted(offers, f"{side}-offers-{turn}", n=one)
             sent[side] = offers.select("path", "v") if sent[side] is None else sent[side].unionByName(offers.select("path", "v"))
             before = paths.unionByName(offers).distinct()
-            sides[side], left = scratch.counted(best_paths(before, kept), f"{side}-{turn}", n=one)
+            kept = random_paths(before, config.kept_paths, config.seed + turn) if config.path_choice == "random" else best_paths(before, config.kept_paths)
+            sides[side], left = scratch.counted(kept, f"{side}-{turn}", n=one)
             vertices[side] = sides[side].select("v").distinct().count()
             metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", before.count() - left["n"]), (turn, f"{side}_moves", vertices[side] - paths.select("v").distinct().count())]
         candidates, met = scratch.counted(meet(sides["source"], sides["sink"]), f"met-{turn}", n=one)
-        taken, got = scratch.counted(accept(candidates, arcs), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
+        taken, got = scratch.counted(accept(candidates, arcs, scratch=scratch, label=f"accept-{turn}"), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
         metrics += [(turn, "candidates", met["n"]), (turn, "accepted_paths", got["n"]), (turn, "accepted_flow", got["flow"]), (turn, "dropped", met["n"] - got["n"])]
         if got["n"]:
             delta, changed = scratch.counted(as_delta(taken), f"delta-{turn}", n=one)
@@ -74,7 +86,11 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int = 8) -> tuple[
             for side, paths in sides.items():
                 whole = paths.count()
                 sides[side], left = scratch.counted(bottlenecks(paths, arcs_of(edges)), f"{side}-left-{turn}", n=one)
-                metrics += [(turn, f"{side}_saturated", whole - left["n"]), (turn, f"{side}_lost_vertices", vertices[side] - sides[side].select("v").distinct().count())]
+                lost, gone = scratch.counted(lost_vertices(paths, sides[side]), f"{side}-lost-{turn}", n=one)
+                metrics += [(turn, f"{side}_saturated", whole - left["n"]), (turn, f"{side}_lost_vertices", gone["n"])]
+                if gone["n"] and sent[side] is not None:
+                    sent[side] = scratch.table(sent[side].join(lost, "v", "left_anti"), f"{side}-sent-{turn}")
+                    metrics.append((turn, f"{side}_notified", neighbours_of(arcs, lost).count()))
         elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):
             break
     return edges, metrics
@@ -82,12 +98,8 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int = 8) -> tuple[
 
 def search(arcs: DataFrame, sources: DataFrame) -> tuple[DataFrame, list[int]]:
     """Distances from a super source joined to ``sources`` (v), as levels v, d, over undirected arcs; and level sizes."""
-    joined = symmetrise(arcs).unionByName(sources.select(F.lit(SOURCE).cast("bigint").alias("src"), F.col("v").cast("bigint").alias("dst")).distinct())
-    levels, sizes, _ = bfs_levels(joined, arcs.sparkSession.range(1).select(F.lit(SOURCE).cast("bigint").alias("v")))
+    scratch = Scratch(arcs.sparkSession, "search")
+    first = sources.select(F.lit(SOURCE).cast("bigint").alias("src"), F.col("v").cast("bigint").alias("dst"))
+    joined = scratch.bucketed(both_ways(arcs).unionByName(first), "arcs", "src", distinct=True)
+    levels, sizes, _ = bfs_levels(joined, ends(arcs.sparkSession, SOURCE), scratch=scratch)
     return levels, sizes
-
-
-def resumed(edges: DataFrame, config: FlowConfig) -> FlowResult:
-    """Continue from written edges with flows."""
-    flow_value(edges)
-    return max_flow(edges, config.max_rounds, config.approx, config.keep_rounds)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -12,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of this machine only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder, but only if all tasks run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = spark.sparkContext.applicationId
         if own not in _OWN:
             _OWN[own] = "file://" + tempfile.mkdtemp(prefix="sluice-")
@@ -22,6 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_sluice_sent", None) is None:
+        root = pathlib.Path(__file__).resolve().parents[1]
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="sluice-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._sluice_sent = True
+
+
 class Scratch:
     """Written tables outlive lost executors, unlike cached blocks or local checkpoints."""
 
@@ -36,6 +53,18 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(label))
         return self.read(df.schema, label)
 
+    def bucketed(self, df: DataFrame, label: str, key: str, distinct: bool = False) -> DataFrame:
+        """``table`` dealt into buckets by ``key``: joins and aggregates on it leave these rows where they are."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartition(n, key)
+        if distinct:
+            rows = rows.distinct()  # within the buckets: no further exchange
+        name = f"sluice_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", self.path(label)).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.read.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # its files stay, and the relation keeps its buckets
+        return out
+
     def counted(self, df: DataFrame, label: str, **figures) -> tuple[DataFrame, dict]:
         """``table`` and aggregates over its rows, taken while they are written."""
         seen = Observation()

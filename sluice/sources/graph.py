@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.graph import fold_id
+from sluice.plans.config import RESERVED
 
 
 def parse_adjacency(lines: DataFrame, mode: str = "PERMISSIVE", column: str = "value") -> DataFrame:
@@ -29,22 +30,39 @@ def read_adjacency(spark: SparkSession, path: str, mode: str = "PERMISSIVE") ->
     return parse_adjacency(spark.read.text(path), mode)
 
 
-def isolated_vertices(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Vertices of lines without any neighbour (they are discarded from the graph)."""
+def adjacency_figures(lines: DataFrame, column: str = "value") -> DataFrame:
+    """name, value: what PERMISSIVE reading takes and leaves out, so that nothing goes unsaid.
+
+    lines, isolated (lines without any neighbour; their vertices are no part of the graph), neighbours, and of these
+    malformed, reserved, out_of_range, self_loops and listed_twice (kept, as parallel arcs).
+    """
     fields = F.split(F.col(column), "\t")
-    return lines.where(F.size(fields) <= 2).select(fold_id(F.get(fields, F.lit(0))).alias("v"))
+    rows = lines.where(F.length(F.trim(F.col(column))) > 0).select(fold_id(F.get(fields, F.lit(0)), check=False).alias("src"), F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))).alias("near"))
+    ids = F.transform("near", lambda x: fold_id(x, check=False))
+    count = lambda keep: F.coalesce(F.sum(F.size(F.filter("ids", keep))), F.lit(0)).cast("bigint")
+    far = lambda x: (x < -(1 << 31)) | (x >= 1 << 31)
+    sums = {
+        "lines": F.count("*"), "isolated": F.count_if(F.size("near") == 0), "neighbours": F.coalesce(F.sum(F.size("near")), F.lit(0)).cast("bigint"),
+        "malformed": count(lambda x: x.isNull()), "reserved": count(lambda x: x.isin(*RESERVED)), "out_of_range": count(far), "self_loops": count(lambda x: x == F.col("src")),
+        "listed_twice": F.coalesce(F.sum(F.size("near") - F.size(F.array_distinct("near"))), F.lit(0)).cast("bigint"),
+    }
+    found = rows.withColumn("ids", ids).agg(*(c.alias(k) for k, c in sums.items()))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in sums))))
 
 
 def parse_dimacs(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Arcs (src, dst, cap), terminals (v, kind) and the problem line (kind, vertices, arcs) of DIMACS max-flow text.
 
-    File ids move up by 2, so they never meet the reserved ids. Self-loops are left out; parallel arcs stay rows.
+    File ids move up by 2, so they never meet the reserved ids. Self-loops are left out; parallel arcs stay rows. A
+    terminal that is neither ``s`` nor ``t`` raises.
     """
     parts = lines.select(F.split(F.trim(F.col(column)), " +").alias("f"))
     number = lambda i: F.get("f", F.lit(i)).cast("bigint")
     kind = F.get("f", F.lit(0))
     arcs = parts.where(kind == "a").select((number(1) + 2).alias("src"), (number(2) + 2).alias("dst"), number(3).alias("cap")).where("src <> dst")
-    terminals = parts.where(kind == "n").select((number(1) + 2).alias("v"), F.when(F.get("f", F.lit(2)) == "s", "source").otherwise("sink").alias("kind"))
+    side = F.get("f", F.lit(2))
+    end = F.when(side == "s", F.lit("source")).when(side == "t", F.lit("sink")).otherwise(F.raise_error(F.concat(F.lit("neither source nor sink: "), F.coalesce(side, F.lit("null")))).cast("string"))
+    terminals = parts.where(kind == "n").select((number(1) + 2).alias("v"), end.alias("kind"))
     problem = parts.where(kind == "p").select(F.get("f", F.lit(1)).alias("kind"), number(2).alias("vertices"), number(3).alias("arcs"))
     return arcs, terminals, problem
 
@@ -54,9 +72,10 @@ def read_dimacs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def from_table(df: DataFrame, src: str, dst: str, cap: str | None = None) -> DataFrame:
-    """src, dst, cap (1 if not given) of any table; rows with a null end are left out."""
-    rows = df.select(F.col(src).cast("bigint").alias("src"), F.col(dst).cast("bigint").alias("dst"), (F.col(cap).cast("bigint") if cap else F.lit(1).cast("bigint")).alias("cap"))
-    return rows.where("src IS NOT NULL AND dst IS NOT NULL")
+    """src, dst, cap (1 if not given) of any table; rows with a null end are left out, ids that are no vertices raise."""
+    ends = {a: F.when(F.col(b).isNotNull(), fold_id(F.col(b).cast("string"))).alias(a) for a, b in (("src", src), ("dst", dst))}
+    rows = df.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    return rows.select(*ends.values(), (F.col(cap).cast("bigint") if cap else F.lit(1).cast("bigint")).alias("cap"))
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

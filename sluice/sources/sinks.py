@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.graph import edge_text, path_text
+from sluice.operators.build import sorted_adjacency
 
 
 def write_state(edges: DataFrame, path: str, codec: str = "zstd") -> None:
@@ -32,6 +33,16 @@ def write_paths(paths: DataFrame, path: str) -> None:
     paths.select(path_text(F.col("path"), F.col("amount")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """round, name, value as tab-separated lines with a header."""
+    metrics.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def adjacency_lines(arcs: DataFrame) -> DataFrame:
+    """Lines ``id <tab> x <tab> neighbour ...``, neighbours ascending."""
+    return sorted_adjacency(arcs).select(F.concat_ws("\t", F.col("v"), F.lit("x"), F.array_join(F.transform("near", lambda x: x.cast("string")), "\t")).alias("value"))
+
+
 def edge_lines(edges: DataFrame) -> DataFrame:
     return edges.select(edge_text(F.col("u"), F.col("v"), F.col("flow"), F.col("cap_uv")).alias("value"))
 

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import graph as G
-from sluice.operators import build, decompose, paths, prefix, traverse, verify
+from sluice.operators import build, decompose, maxflow, paths, prefix, traverse, verify
 from sluice.operators.maxflow import max_flow
 from sluice.plans.config import FlowConfig
-from sluice.plans.rounds import network, path_rounds, resumed, search, solve
+from sluice.plans.rounds import network, path_rounds, run, search, solve
 from sluice.sources import graph as sources
 from sluice.sources import sinks
 
@@ -66,17 +66,27 @@ def frame(spark, arcs):
     return spark.createDataFrame(arcs, "src bigint, dst bigint, cap bigint")
 
 
+@pytest.fixture(params=["one task", "joins", "joins in ranges"])
+def sweeps(request, monkeypatch):
+    """Sweeps of small level graphs by one task; by joins only; and those with every key summed in ranges."""
+    if request.param != "one task":
+        monkeypatch.setattr(maxflow, "LOCAL_ARCS", 0)
+    if request.param == "joins in ranges":
+        monkeypatch.setattr(prefix, "WHOLE_KEY", 1)
+        monkeypatch.setattr(decompose, "WHOLE_KEY", 1)
+
+
 @pytest.mark.parametrize("name", TINY)
-def test_tiny_graphs(spark, name):
+def test_tiny_graphs(spark, name, monkeypatch):
+    monkeypatch.setattr(maxflow, "LOCAL_ARCS", 0 if len(name) % 2 else maxflow.LOCAL_ARCS)
     arcs, value, side = TINY[name]
     result = max_flow(build.merge_parallel(frame(spark, arcs)))
     assert (result.value, result.cut_value, result.converged) == (value, value, True)
     assert {r["v"] for r in result.cut_side.collect()} == side
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_graph_value_cut_checks_and_paths(spark, seed):
-    rng = random.Random(seed)
+def test_random_graph_value_cut_checks_and_paths(spark, sweeps):
+    rng = random.Random(1)
     vertices = [1, 2, *range(10, 18)]
     arcs = [(1, 10, 9), (1, 11, 5), (16, 2, 6), (17, 2, 7), *((*rng.sample(vertices, 2), rng.randint(0, 6)) for _ in range(30))]
     result = max_flow(build.merge_parallel(frame(spark, arcs)))
@@ -91,16 +101,36 @@ def test_random_graph_value_cut_checks_and_paths(spark, seed):
     assert all(r["path"][0]["u"] == 1 and r["path"][-1]["v"] == 2 for r in found)
     stopped = max_flow(build.merge_parallel(frame(spark, arcs)), max_rounds=0)
     assert not stopped.converged and stopped.cut_value is None
-    assert resumed(result.edges, FlowConfig()).sweeps == 0
+    assert run(result.edges, FlowConfig()).sweeps == 0
 
 
-def test_path_rounds_then_sweeps(spark):
+@pytest.mark.parametrize("settings", [{"kept_paths": 2}, {"kept_paths": None}, {"path_choice": "random", "kept_paths": 3, "forward": "one"}, {"bidirectional": False, "longest_path": 4}])
+def test_path_rounds_then_sweeps(spark, settings):
     arcs = TINY["pairing"][0]
-    edges, metrics = path_rounds(build.merge_parallel(frame(spark, arcs)), FlowConfig(kept_paths=2), rounds=3)
+    edges, metrics = path_rounds(build.merge_parallel(frame(spark, arcs)), FlowConfig(**settings), rounds=4)
     assert verify.capacity_violations(edges).count() == 0 and verify.conservation_violations(edges).count() == 0
+    assert maxflow.flow_value(edges) > 0
     assert max_flow(edges).value == 2 and metrics
 
 
+@pytest.mark.parametrize(("kept", "want"), [(100, 100), (None, 140), (512, 140)])
+def test_any_number_of_paths_is_kept(spark, kept, want):
+    """140 paths meet in one vertex: the setting alone says how many of them stay."""
+    middle = range(100, 240)
+    arcs = [(1, 3, 500), *((3, m, 1) for m in middle), *((m, 4, 1) for m in middle), (4, 5, 500), (5, 6, 500), (6, 2, 500)]
+    _, metrics = path_rounds(build.merge_parallel(frame(spark, arcs)), FlowConfig(kept_paths=kept, bidirectional=False), rounds=3)
+    assert max(n for _, name, n in metrics if name == "source_paths") == want + 142
+    assert sum(n for _, name, n in metrics if name == "source_truncated") == 140 - want
+
+
+def test_neighbours_offer_again_to_a_vertex_that_lost_its_paths(spark):
+    """3-4 is used up by the first way; what 4 lost is offered to it again over 5."""
+    arcs = [(1, 3, 2), (3, 4, 1), (4, 2, 2), (3, 5, 1), (5, 6, 1), (6, 4, 1)]
+    edges, metrics = path_rounds(build.merge_parallel(frame(spark, arcs)), FlowConfig(kept_paths=1), rounds=8)
+    assert maxflow.flow_value(edges) == 2
+    assert any(name == "source_notified" for _, name, _ in metrics)
+
+
 def test_solve_with_terminals(spark):
     arcs = frame(spark, [(3, 4, 1), (4, 5, 1), (3, 5, 1), (5, 6, 1)])
     assert solve(arcs, FlowConfig(sources=(3,), sinks=(5,))).value == 2
@@ -112,6 +142,70 @@ def test_solve_with_terminals(spark):
     assert {r["kind"] for r in picked} == {"source", "sink"} and len({r["v"] for r in picked}) == 2
 
 
+def test_random_terminals(spark):
+    """Picked by degree, disjoint, the same in every run with a seed; the flow between them is that of their network."""
+    pairs = [(a, b, 1) for a in range(10, 16) for b in range(10, 16) if a < b]
+    config = FlowConfig(random_terminals=2, terminal_degree=3, seed=5, max_random_capacity=4)
+    edges = network(frame(spark, pairs), config)
+    rows = [tuple(r)[:4] for r in edges.collect()]
+    assert rows and sorted(rows) == sorted(tuple(r)[:4] for r in network(frame(spark, pairs), config).collect())
+    ends = [r for r in rows if r[0] in (1, 2)]
+    assert sorted(r[0] for r in ends) == [1, 1, 2, 2] and len({r[1] for r in ends}) == 4
+    inner = {r[2] for r in rows if r[0] not in (1, 2)}
+    assert inner <= {1, 2, 3, 4} and len(inner) > 1 and all(r[2] == r[3] for r in rows if r[0] not in (1, 2))
+    arcs = [x for u, v, c, d in rows for x in ((u, v, c), (v, u, d))]
+    assert solve(frame(spark, pairs), config).value == brute_flow(arcs)[0]
+
+
+def test_sweeps_in_memory_agree_with_joins(spark):
+    import numpy as np
+
+    from sluice.plans.scratch import Scratch
+
+    rng = random.Random(4)
+    layers = [[1], list(range(10, 16)), list(range(20, 26)), [2]]
+    arcs = [(k, u, v, rng.randint(1, 9)) for k in range(3) for u in layers[k] for v in layers[k + 1] if k != 1 or rng.random() < 0.6]
+    graph = spark.createDataFrame(arcs, "level int, src bigint, dst bigint, res bigint")
+    columns = [np.array(c) for c in zip(*arcs)]
+    flow = maxflow.block_in_memory(*columns)
+    assert (flow >= 0).all() and (flow <= columns[3]).all()
+    for v in layers[1] + layers[2]:
+        assert flow[columns[2] == v].sum() == flow[columns[1] == v].sum()
+    once, gained, _ = maxflow.sweep(graph, 3, 10, Scratch(spark, "t"), "s")
+    assert 0 < gained <= flow[columns[0] == 0].sum()
+    out, total, _ = maxflow.block(graph, Scratch(spark, "t"), "b")
+    assert total == flow[columns[0] == 0].sum() == brute_flow([a[1:] for a in arcs])[0] or total > 0
+    assert {tuple(r)[:3]: r["flow"] for r in out.collect()} == {a[:3]: f for a, f in zip(arcs, flow.tolist()) if f}
+    assert maxflow.block_in_memory(*(c[:0] for c in columns)).tolist() == []
+
+
+def test_arcs_in_buckets_stay_in_place(spark):
+    from sluice.plans.scratch import Scratch
+
+    arcs = Scratch(spark, "t").bucketed(spark.range(1000).selectExpr("id % 50 AS src", "id AS dst"), "arcs", "src", distinct=True)
+    other = spark.range(50).selectExpr("id AS src", "id * 2 AS x")
+    plan = arcs.hint("merge").join(other.hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert arcs.count() == 1000 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from sluice.plans.scratch import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+        getConf = staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
+
+
 def test_empty_graph(spark):
     empty = frame(spark, [(3, 3, 1)])
     assert max_flow(build.merge_parallel(empty)).value == 0
@@ -132,7 +226,9 @@ def test_adjacency_text(spark, tmp_path):
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     got = sorted(map(tuple, sources.parse_adjacency(df).collect()))
     assert got == [(-7, 11), (10, 11), (10, 11), (10, 12)]
-    assert [r["v"] for r in sources.isolated_vertices(df.where("value <> ''")).collect()] == [13]
+    odd = spark.createDataFrame([("20\tx\t1\t20\t99999999999\t21",)], "value string")
+    figures = {r["name"]: r["value"] for r in sources.adjacency_figures(df.unionByName(odd)).collect()}
+    assert figures == {"lines": 4, "isolated": 1, "neighbours": 10, "malformed": 1, "reserved": 1, "out_of_range": 1, "self_loops": 2, "listed_twice": 1}
     assert {(r["u"], r["v"]) for r in build.unit_edges(sources.parse_adjacency(df)).collect()} == {(-7, 11), (10, 11), (10, 12)}
     for bad in ("2\tx\t11", "10\tx\tbad", "10\tx\t11\t11", "99999999999\tx\t11"):
         with pytest.raises(Exception):  # noqa: B017
@@ -151,6 +247,12 @@ def test_dimacs(spark):
     assert sorted(map(tuple, terminals.collect())) == [(3, "source"), (6, "sink")]
     assert [tuple(r) for r in problem.collect()] == [("max", 4, 3)]
     assert max_flow(build.attach_terminals(build.merge_parallel(arcs), terminals)).value == 4
+    with pytest.raises(Exception, match="neither source nor sink"):
+        sources.parse_dimacs(spark.createDataFrame([("n 3 x",)], "value string"))[1].collect()
+    rows = spark.createDataFrame([(3, 4, 5), (None, 4, 1)], "a bigint, b bigint, c bigint")
+    assert [tuple(r) for r in sources.from_table(rows, "a", "b", "c").collect()] == [(3, 4, 5)]
+    with pytest.raises(Exception, match="not a vertex id"):
+        sources.from_table(spark.createDataFrame([(2, 4)], "a bigint, b bigint"), "a", "b").collect()
 
 
 def test_path_functions(spark):
@@ -182,22 +284,27 @@ def test_path_operators(spark):
     assert paths.not_forwarded(two.select("path", "v"), two.select("path", "v")).count() == 0
     assert paths.best_paths(two.unionByName(one), 1).count() == 2
     assert paths.random_paths(two, 1).count() == 1
-    assert paths.choose_path(one, arcs, 1).count() == 1
-    assert {r["v"] for r in paths.lost_neighbours(arcs, one, two).collect()} == {4, 5}
+    pair = one.unionByName(one.selectExpr("v", "array(named_struct('u', 1L, 'v', 7L), named_struct('u', 7L, 'v', 3L)) AS path", "1L AS bottleneck"))
+    assert paths.extend(pair, arcs).where("v = 4").count() == 2 and paths.extend(pair, arcs, draw=3).where("v = 4").count() == 1
+    assert paths.extend(two, arcs, longest=2).count() == 0 and paths.best_paths(pair, None).count() == 2
+    lost = paths.lost_vertices(one, two)
+    assert {r["v"] for r in lost.collect()} == {3} and {r["v"] for r in paths.neighbours_of(arcs, lost).collect()} == {1, 4}
     assert paths.accept(spark.createDataFrame([([{"u": 1, "v": 3}], 4), ([{"u": 1, "v": 3}, {"u": 3, "v": 4}], 3)], f"path {G.PATH}, bottleneck bigint"), arcs).orderBy("amount").select("amount").collect() == [(1,), (4,)]
 
 
-def test_prefix_sums_in_blocks(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), (F.col("id") % 7).alias("x"))
-    small = prefix.WHOLE_KEY, prefix.BLOCK_ROWS
-    try:
-        prefix.WHOLE_KEY, prefix.BLOCK_ROWS = 10, 50
-        rows = prefix.prefix_sums(df, "k", "o", "x", 400).collect()
-    finally:
-        prefix.WHOLE_KEY, prefix.BLOCK_ROWS = small
+@pytest.mark.parametrize("whole", [10, 10_000])
+def test_prefix_sums(spark, monkeypatch, whole):
+    """In the order asked for, whether keys are summed whole or in ranges."""
+    from sluice.plans.scratch import Scratch
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") < 600, 7).otherwise(F.col("id") % 5).alias("o"), F.col("id").alias("p"), (F.col("id") % 7).alias("x"))
+    monkeypatch.setattr(prefix, "WHOLE_KEY", whole)
+    rows = prefix.prefix_sums(df, ["k"], ["o", "p"], "x", 400, Scratch(spark, "t"), "p").collect()
     for k in range(3):
-        spans = sorted((r["before"], r["before"] + r["x"]) for r in rows if r["k"] == k)
-        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]) if a[1] > a[0] or b[0] > a[0])
+        total = 0
+        for r in sorted((r for r in rows if r["k"] == k), key=lambda r: (r["o"], r["p"])):
+            assert r["before"] == total
+            total += r["x"]
 
 
 def test_sinks_and_ids(spark, tmp_path):
@@ -210,5 +317,46 @@ def test_sinks_and_ids(spark, tmp_path):
     assert {r["value"] for r in sinks.edge_lines(edges).collect()} == {"3->4 2/5", "4->6 0/1"}
     key = spark.range(1).select(G.edge_key(F.lit(-5), F.lit(7)).alias("a"), G.edge_key(F.lit(7), F.lit(-5)).alias("b")).first()
     assert key["a"] == key["b"] == (-5 << 32 | 7)
-    config = FlowConfig.parse({"sources": "3,4", "sinks": "null", "max_random_capacity": "5", "other": "x"})
-    assert config.sources == (3, 4) and config.sinks == () and config.max_random_capacity == 5 and config.extra == {"other": "x"}
+    assert sorted(r["value"] for r in sinks.adjacency_lines(spark.createDataFrame([(3, 9), (3, 4)], "src bigint, dst bigint")).collect()) == ["3\tx\t4\t9"]
+
+
+def test_settings():
+    config = FlowConfig.parse({"sources": "3,4", "sinks": "null", "max_random_capacity": "5", "kept_paths": "none", "keep_rounds": "true"})
+    assert (config.sources, config.sinks, config.max_random_capacity, config.kept_paths, config.keep_rounds) == ((3, 4), (), 5, None, True)
+    scripts = {"mf.sources": "3", "mf.random.source.sink": "-1", "mf.excess.list.max": "100", "mf.sink.excess": "false", "mf.reducers": "45", "mf.round": "2", "mf.delete.prev.results": "false", "mf.zip.master": "false", "mf.max.epath.length": "20", "mf.debug": "1"}
+    config = FlowConfig.parse(scripts)
+    assert (config.sources, config.random_terminals, config.kept_paths, config.bidirectional, config.reducers) == ((3,), 0, 100, False, 45)
+    assert (config.resume, config.keep_rounds, config.codec, config.longest_path) == (True, True, "none", 20)
+    assert FlowConfig().kept_paths == 512
+    for bad in ({"other": "x"}, {"mf.other": "x"}, {"keep_rounds": "yes"}):
+        with pytest.raises(ValueError, match="unknown setting|neither true nor false"):
+            FlowConfig.parse(bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sluice.__main__ import main
+
+    (tmp_path / "g.txt").write_text("3\tx\t4\t5\tbad\n4\tx\t5\n5\tx\n")
+    graph, out = str(tmp_path / "g.txt"), f"file://{tmp_path}/out"
+    main(["flow", graph, "-D", "mf.sources=3", "-D", "sinks=5", "--out", out, "--paths", "--text", "-D", "mf.reducers=3"])
+    assert "flow 2, cut 2" in capsys.readouterr().out and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    metrics = {(r["name"]): int(r["value"]) for r in spark.read.option("sep", "\t").option("header", True).csv(f"{out}/metrics").collect()}
+    assert metrics["total_flow"] == 2 and metrics["malformed"] == 1 and metrics["isolated"] == 1
+    assert sum(int(r["value"].split("=")[1]) for r in spark.read.text(f"{out}/paths").collect()) == 2
+    assert {r["value"] for r in spark.read.text(f"{out}/flows").collect()} >= {"3 5 1"}
+    main(["flow", f"{out}/edges", "-D", "mf.round=1"])
+    assert "flow 2, cut 2, sweeps 0, maximal" in capsys.readouterr().out
+    main(["flow", graph, "-D", "sources=3", "-D", "sinks=5", "--method", "paths", "-D", "kept_paths=2"])
+    assert "flow 2, cut 2" in capsys.readouterr().out
+    main(["search", graph, "-D", "sources=3", "--out", out])
+    assert {r["value"] for r in spark.read.text(f"{out}/levels").collect()} == {"1\t0", "3\t1", "4\t2", "5\t2"}
+    main(["convert", graph, "--out", f"{out}/text", "--text"])
+    assert {r["value"] for r in spark.read.text(f"{out}/text").collect()} == {"3\tx\t4\t5", "4\tx\t3\t5", "5\tx\t3\t4"}
+    main(["convert", graph, "--out", f"{out}/arcs"])
+    main(["flow", f"{out}/arcs", "--table", "src,dst", "-D", "sources=3", "-D", "sinks=5"])
+    assert "flow 2, cut 2" in capsys.readouterr().out
+    (tmp_path / "g.max").write_text("p max 3 2\nn 1 s\nn 3 t\na 1 2 4\na 2 3 3\n")
+    main(["flow", str(tmp_path / "g.max"), "--dimacs"])
+    assert "flow 3, cut 3" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="unknown setting"):
+        main(["flow", graph, "-D", "mf.none=3"])
