@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; a set is the distinct shingles of ``size`` words, or the whole
     sequence where there are fewer. Sets link when 100 * intersection >= percent * union. Rows without words or text
     have no shingle and link with nothing. Rows with a null id are kept, link with nothing and have a null component.
-    Repeated rows are each returned; an empty table gives no rows.
+    Repeated rows are each returned; an empty table gives no rows; other columns play no part. Shingles are known by
+    64-bit hashes and equal sets by their size and two 64-bit sums, so the join is exact as far as those don't collide.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -103,6 +103,12 @@ def test_links_are_counted(docs, rows, size, percent, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_links"]) for r in got.collect()) == collections.Counter((i, n_links.get(i, 0)) for i, *_ in rows)
 
 
+def test_near_duplicates_of_an_empty_table(empty):
+    from sluice.llm.jaccard import near_duplicates
+
+    assert near_duplicates(empty).count() == 0 and near_duplicates(empty, count_links=True).count() == 0
+
+
 def test_near_duplicates_long_chain(spark):
     """Components are followed along a chain of links, whatever group a document falls into."""
     from sluice.llm.jaccard import near_duplicates
@@ -861,6 +867,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == seen[3]
 
 
+def test_pipeline_stages_with_empty_and_clashing_tables(spark, docs, empty, tmp_path):
+    """Empty tables give empty ones; columns named like those used inside change nothing; equal rows stay once or go."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "some words of an item that no document holds")], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    names = {c: F.lit(5) for c in ("hash", "key", "other", "least", "row", "score", "lang_pred", "pii", "whole_text", "pii_text", "component_id", "copies")}
+    plain, clashing, none = docs.select(*corpus_pipeline.COLUMNS), docs.withColumns(names), empty
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = [stage(spark, d, f"file://{tmp_path}") for d in (plain, clashing, none)]
+        rows = [collections.Counter(map(str, d.drop("sequence_id", "offset").collect())) for d in out]
+        assert rows[0] == rows[1] and rows[0] and not rows[2]
+        if k == 4:
+            break
+        assert all(d.columns == list(corpus_pipeline.COLUMNS) for d in out)
+        out[0].write.parquet(f"file://{tmp_path}/out-{k}")
+        plain, none = spark.read.parquet(f"file://{tmp_path}/out-{k}"), out[2]
+        clashing = plain.withColumns(names)
+        if k == 1:
+            assert max(collections.Counter(r["text"] for r in plain.where("doc_id IS NOT NULL").collect()).values()) == 1
+
+
 def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     import corpus_pipeline
 
