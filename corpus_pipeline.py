@@ -1,7 +1,8 @@
 """Corpus preparation as stages that each call one operator; every stage works on all its predecessor kept.
 
 Stages but the last return the columns of documents; the last returns the packing of what remains. A row stays or goes
-by its own text, also where its id is null or repeats with another text.
+by its own text, also where its id is null or repeats with another text. Empty tables give empty ones; columns beside
+those of documents are dropped, whatever their names; texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language, or without one that labels half of their letters, go; texts are known by their hash."""
+    """Documents without a determined language, or without one that labels half of their letters, go.
+
+    Null, empty and letterless texts go. Rows with a null id are judged like any (the model learns nothing from them);
+    rows with equal texts stay or go together, since texts are known by their 64-bit hash. Of languages that label as
+    many letters the first by name counts.
+    """
     hashed = docs.withColumn("hash", F.xxhash64("text"))
     found = identify(hashed, carry=("hash",)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.hash").distinct()
     return hashed.join(found, "hash", "left_semi").select(*COLUMNS)
@@ -33,7 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id, once.
 
-    Rows with a null id link with nothing and stay. Different texts of one id are documents of their own; all but one
+    Groups are components of links between sets of five-word shingles with a similarity of 0.8 or more, so a near copy
+    below that stays. Rows without words have no shingle, link with nothing and stay; of repeated rows one stays. Rows with a null id link with nothing and stay. Different texts of one id are documents of their own; all but one
     of them (that with the least hash) rank behind every id.
     """
     named, key = keyed(spark, docs.where("doc_id IS NOT NULL"))
@@ -57,20 +64,31 @@ def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go; texts are known by their hash."""
+    """Documents that hold a passage of a benchmark item go.
+
+    Rows with equal texts stay or go together, whatever their ids, null ones included, since texts are known by their
+    64-bit hash; null and empty texts stay, as does all where the benchmark is empty.
+    """
     hashed = docs.withColumn("hash", F.xxhash64("text"))
     found = find_contamination(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="hash").select(F.col("doc_id").alias("hash")).distinct()
     return hashed.join(found, "hash", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets; every row stays.
+
+    Null texts become empty ones. Overlapping spans become one, named by the first; n_chars is counted anew.
+    """
     found = find_pii(docs, keep=("doc_id", "lang", "source"))
     text = redact(F.col("whole_text"), F.col("pii"))
     return found.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens in as few sequences as the plan finds.
+
+    Null and empty texts are the end id alone; null ids are kept, and repeated rows are packed each by itself.
+    """
     return pack_documents(docs)
 
 
