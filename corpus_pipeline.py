@@ -68,8 +68,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows with equal texts stay or go together, whatever their ids, null ones included, since texts are known by their
     64-bit hash; null and empty texts stay, as does all where the benchmark is empty.
     """
-    hashed = docs.withColumn("hash", F.xxhash64("text"))
-    found = find_contamination(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="hash").select(F.col("doc_id").alias("hash")).distinct()
+    hashed, items = docs.withColumn("hash", F.xxhash64("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_contamination(hashed, items, id_col="hash").select(F.col("doc_id").alias("hash")).distinct()
+    # Written first, so that Spark knows how few they are and leaves the documents where they stand.
+    found = Scratch(spark, "decontaminate").table(found, "found")
     return hashed.join(found, "hash", "left_anti").select(*COLUMNS)
 
 
