@@ -27,12 +27,16 @@ LEAST_SHARE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determined language, or without one that labels half of their letters, go.
 
-    Null, empty and letterless texts go. Rows with a null id are judged like any (the model learns nothing from them),
-    repeated rows each alike. Of languages that label as many letters the first by name counts. A row comes along with
-    its own decision, so nothing is joined, however many rows share a text.
+    Null, empty and letterless texts go. Rows with a null id are judged like any (the model learns nothing from them);
+    rows with equal texts stay or go together, since texts are known by their 64-bit hash. Of languages that label as
+    many letters the first by name counts.
     """
-    found = identify(docs, carry=COLUMNS)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)
+    rejected = identify(hashed, carry=("hash",)).where(~sure).select("row.hash").distinct()
+    # Those that go are few; written first, Spark knows it and leaves the documents where they stand.
+    rejected = Scratch(spark, "language").table(rejected, "rejected")
+    return hashed.join(rejected, "hash", "left_anti").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
