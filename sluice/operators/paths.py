@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.functions.graph import append_hop, empty_path, join_paths, prepend_hop, visits
+from sluice.functions.graph import append_hop, empty_path, join_paths, prepend_hop, vertices_of, visits
 from sluice.operators.maxflow import UNBOUNDED
 from sluice.operators.prefix import prefix_sums
 from sluice.plans.scratch import Scratch
@@ -57,8 +57,9 @@ def best_paths(paths: DataFrame, k: int | None) -> DataFrame:
 
 
 def random_paths(paths: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
-    """k paths of each vertex in seeded random order (None: all)."""
-    return _first(paths, k, [F.xxhash64("v", "path", F.lit(seed)), "path"])
+    """k paths of each vertex (None: all) in seeded random order: that of the MD5 of ``seed:v0:v1:...``."""
+    vertices = F.array_join(F.transform(vertices_of(F.col("path")), lambda v: v.cast("string")), ":")
+    return _first(paths, k, [F.md5(F.concat(F.lit(f"{seed}:"), vertices)), "path"])
 
 
 def _first(paths: DataFrame, k: int | None, order: list) -> DataFrame:

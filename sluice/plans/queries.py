@@ -265,6 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "residual_arcs": f"WITH {_GB}, w AS (SELECT src, dst, cap, {_USED} AS flow, CASE WHEN src < dst THEN cap ELSE 0 END AS c1, CASE WHEN src < dst THEN 0 ELSE cap END AS c2, least(src, dst) AS u, greatest(src, dst) AS v FROM g), z AS (SELECT u AS src, v AS dst, c1 - flow AS res FROM w UNION ALL SELECT v, u, c2 + flow FROM w) SELECT src, dst, res FROM z WHERE res > 0",
         "one_hop_extend": f"WITH {_P2} SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM p",
         "topk_paths": f"WITH {_P2}, k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY b DESC, s) AS n FROM p) SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM k WHERE n <= 3",
+        "random_k_paths": f"WITH {_P2}, k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY md5(concat('7:1:', s, ':', part)), s) AS n FROM p) SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM k WHERE n <= 2",
         "saturated_filter": f"""WITH {_GB},
   r AS MATERIALIZED (SELECT src, dst, cap - ({_USED}) AS res FROM g WHERE src <> 2 AND dst <> 2),
   x AS MATERIALIZED (SELECT dst AS s, res FROM r WHERE src = 1 AND res > 0),
