@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.functions.graph import PATH, append_hop, empty_path
-from sluice.operators.maxflow import ends, level_arcs, most_of_a_key, sweep
+from sluice.operators import maxflow
+from sluice.operators.maxflow import block, ends, level_arcs, most_of_a_key, sweep
 from sluice.operators.prefix import WHOLE_KEY, prefix_sums
 from sluice.operators.traverse import bfs_levels
 from sluice.plans.config import SINK, SOURCE
@@ -54,8 +55,11 @@ def decompose(edges: DataFrame, source: int = SOURCE, sink: int = SINK) -> DataF
         if not met:
             return found
         depth = len(sizes) - 1
-        graph = scratch.table(level_arcs(arcs, levels, depth, sink), f"graph-{turn}")
-        flow, _, _ = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
+        graph, size = scratch.counted(level_arcs(arcs, levels, depth, sink), f"graph-{turn}", n=F.count(F.lit(1)))
+        if size["n"] <= maxflow.LOCAL_ARCS:
+            flow, _, _ = block(graph, scratch, f"sweep-{turn}", source)
+        else:
+            flow, _, _ = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
         paths = scratch.table(split_level_flow(flow, depth, most, scratch, f"split-{turn}", source).withColumn("round", F.lit(turn)).select("round", "path", "amount"), f"paths-{turn}")
         found = found.unionByName(paths)
         used = flow.select("src", "dst", "flow")

@@ -88,7 +88,7 @@ def test_tiny_graphs(spark, name, monkeypatch):
 def test_random_graph_value_cut_checks_and_paths(spark, sweeps):
     rng = random.Random(1)
     vertices = [1, 2, *range(10, 18)]
-    arcs = [(1, 10, 9), (1, 11, 5), (16, 2, 6), (17, 2, 7), *((*rng.sample(vertices, 2), rng.randint(0, 6)) for _ in range(30))]
+    arcs = [(1, 10, 9), (1, 11, 5), (16, 2, 6), (17, 2, 7), *((*rng.sample(vertices, 2), rng.randint(0, 6)) for _ in range(18))]
     result = max_flow(build.merge_parallel(frame(spark, arcs)))
     value, side = brute_flow(arcs)
     assert value
