@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.functions.graph import PATH, append_hop, empty_path
-from sluice.operators import maxflow
+from sluice.operators import maxflow, prefix
 from sluice.operators.maxflow import block, ends, level_arcs, most_of_a_key, sweep
-from sluice.operators.prefix import WHOLE_KEY, prefix_sums
+from sluice.operators.prefix import carried, prefix_sums
 from sluice.operators.traverse import bfs_levels
 from sluice.plans.config import SINK, SOURCE
 from sluice.plans.scratch import Scratch
 
 
-def split_level_flow(flow: DataFrame, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE) -> DataFrame:
+def split_level_flow(flow: DataFrame, depth: int, most: int, size: int, scratch: Scratch, label: str, source: int = SOURCE) -> DataFrame:
     """path, amount of a flow through a level graph.
 
     Every vertex lays its inflow and its outflow along one line, cut where either begins a new piece; each piece of
     inflow goes where the outflow on the same stretch goes. So there are no more pieces than inflows and outflows.
+    most: the largest degree; size: arcs of the level graph, so pieces of a vertex at most.
     """
     total = flow.where((F.col("level") == 0) & (F.col("src") == source)).agg(F.sum("flow").alias("amount"))
     parts = total.where("amount > 0").select(F.lit(source).cast("bigint").alias("src"), empty_path().alias("path"), "amount")
     none = F.lit(None)
     for k in range(depth):
         out = prefix_sums(flow.where(F.col("level") == k).select("src", "dst", "flow"), ["src"], ["dst"], "flow", most, scratch, f"{label}/out-{k}")
-        if most > WHOLE_KEY:
+        if size > prefix.WHOLE_KEY:
             parts = scratch.table(parts, f"{label}/parts-{k}")
             widest = parts.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         else:
@@ -35,8 +35,7 @@ def split_level_flow(flow: DataFrame, depth: int, most: int, scratch: Scratch, l
         cuts = line.select("src", F.col("before").alias("at"), (F.col("before") + F.col("amount")).alias("end"), "path", none.cast("bigint").alias("dst"))
         cuts = cuts.unionByName(out.select("src", F.col("before").alias("at"), (F.col("before") + F.col("flow")).alias("end"), none.cast(PATH).alias("path"), "dst"))
         cuts = cuts.groupBy("src", "at").agg(F.max("end").alias("end"), F.max("dst").alias("dst"), F.first("path", ignorenulls=True).alias("path"))
-        w = W.partitionBy("src").orderBy("at")
-        held = cuts.select("src", "at", F.coalesce(F.lead("at").over(w), "end").alias("next"), F.last("path", ignorenulls=True).over(w).alias("path"), F.last("dst", ignorenulls=True).over(w).alias("dst"))
+        held = carried(cuts, ["src"], "at", ["path", "dst"], widest + most, scratch, f"{label}/held-{k}").withColumn("next", F.coalesce("next", "end"))
         parts = held.select(F.col("dst").alias("src"), append_hop(F.col("path"), F.col("src"), F.col("dst")).alias("path"), (F.col("next") - F.col("at")).alias("amount"))
     return parts.select("path", "amount")
 
@@ -60,7 +59,7 @@ def decompose(edges: DataFrame, source: int = SOURCE, sink: int = SINK) -> DataF
             flow, _, _ = block(graph, scratch, f"sweep-{turn}", source)
         else:
             flow, _, _ = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
-        paths = scratch.table(split_level_flow(flow, depth, most, scratch, f"split-{turn}", source).withColumn("round", F.lit(turn)).select("round", "path", "amount"), f"paths-{turn}")
+        paths = scratch.table(split_level_flow(flow, depth, most, size["n"], scratch, f"split-{turn}", source).withColumn("round", F.lit(turn)).select("round", "path", "amount"), f"paths-{turn}")
         found = found.unionByName(paths)
         used = flow.select("src", "dst", "flow")
         turn += 1

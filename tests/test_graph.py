@@ -73,7 +73,6 @@ def sweeps(request, monkeypatch):
         monkeypatch.setattr(maxflow, "LOCAL_ARCS", 0)
     if request.param == "joins in ranges":
         monkeypatch.setattr(prefix, "WHOLE_KEY", 1)
-        monkeypatch.setattr(decompose, "WHOLE_KEY", 1)
 
 
 @pytest.mark.parametrize("name", TINY)
@@ -307,6 +306,24 @@ def test_prefix_sums(spark, monkeypatch, whole):
             total += r["x"]
 
 
+@pytest.mark.parametrize("whole", [10, 10_000])
+def test_carried(spark, monkeypatch, whole):
+    """The last value so far and the next place, whether keys are taken whole or in ranges."""
+    from sluice.plans.scratch import Scratch
+
+    data = [(0, i, i if i % 50 == 49 else None, None) for i in range(0, 600, 3)] + [(1, i, None, [i] if i in (2, 7, 300) else None) for i in range(400)] + [(2, 5, 1, [1])]
+    monkeypatch.setattr(prefix, "WHOLE_KEY", whole)
+    df = spark.createDataFrame(data, "k int, at bigint, x int, y array<int>").repartition(5)
+    got = sorted(map(tuple, prefix.carried(df, ["k"], "at", ["x", "y"], 400, Scratch(spark, "t"), "c").select("k", "at", "x", "y", "next").collect()), key=lambda r: r[:2])
+    want, x, y, data = [], None, None, sorted(data, key=lambda r: r[:2])
+    for i, (k, at, new_x, new_y) in enumerate(data):
+        if i == 0 or data[i - 1][0] != k:
+            x = y = None
+        x, y = x if new_x is None else new_x, y if new_y is None else new_y
+        want.append((k, at, x, y, data[i + 1][1] if i + 1 < len(data) and data[i + 1][0] == k else None))
+    assert got == want
+
+
 def test_sinks_and_ids(spark, tmp_path):
     edges = spark.createDataFrame([(3, 4, 5, 5, 2), (4, 6, 1, 1, 0)], "u bigint, v bigint, cap_uv bigint, cap_vu bigint, flow bigint")
     sinks.write_flows(edges, str(tmp_path / "f"), text=True)
