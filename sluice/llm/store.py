@@ -236,6 +236,8 @@ def _rebuild(batches):
             crc = total = 0
             leaves = []
             for c in sorted(found, key=lambda c: c["pos"]):
+                if c["n"] < 0:
+                    raise ValueError(f"document {d} does not match its recipe: chunk {c['key'].hex()} is missing")
                 leaves.append(c["key"])
                 crc = crc_join(crc, c["crc"], 4 * c["n"])
                 total += c["n"]
