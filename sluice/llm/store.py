@@ -26,6 +26,8 @@ from sluice.llm.tokens import Encoder
 VOCABULARY = "byte_bpe_50k.json"
 #: Tokens seen by the rolling hash; a cut where its low bits are 0; bounds of a chunk in tokens.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
+#: Chunks in more than one of so many places of all recipes are joined by broadcast: that many of them at most.
+COMMON = 10_000
 #: Digests that a writing task remembers; a chunk it meets again after that is dropped by the exchange instead.
 SEEN = 500_000
 END = np.zeros(1, "<u4")
@@ -265,17 +267,26 @@ def verify_manifest(spark: SparkSession, path: str, root: str | None = None) ->
 def read_store(spark: SparkSession, path: str, vocabulary: str = VOCABULARY, root: str | None = None) -> DataFrame:
     """One row for each document of the store: doc_id, start, n_tokens, ids_crc32, all from the files, verified.
 
-    Raises where the recipes differ from the manifest or the store's root from ``root``; the rows raise where a chunk
-    or a document is not what its name or root says.
+    Raises where the recipes differ from the manifest, the store's root from ``root`` or a chunk from its name; the
+    rows raise where a document is not what its root says.
     """
     prepare(spark)
     parts = verify_manifest(spark, path, root)
     width = "<u2" if Encoder.get(vocabulary, True).tool.get_vocab_size() <= 1 << 16 else "<u4"
     objects = spark.read.schema("key binary, payload binary, kind int").parquet(f"{path}/objects").where("kind = 0").select("key", "payload")
-    chunks = objects.mapInArrow(partial(_check, width=width), "key binary, n long, crc long")
+    scratch = Scratch(spark, "read")
+    chunks = scratch.table(objects.mapInArrow(partial(_check, width=width), "key binary, n long, crc long"), "chunks")
     recipes = spark.read.schema(RECIPE_ROWS).parquet(f"{path}/recipes")
-    steps = recipes.select("part", "local_start", "doc_id", "n_tokens", "root", F.posexplode(F.expr("transform(sequence(0, length(digests) div 32 - 1), i -> substring(digests, i * 32 + 1, 32))")).alias("pos", "key"))
-    found = steps.join(chunks, "key", "left").groupBy("part", "local_start", "doc_id", "n_tokens", "root").agg(F.collect_list(F.struct("pos", "key", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))).alias("chunks"))
+    digests = F.expr("transform(sequence(0, length(digests) div 32 - 1), i -> substring(digests, i * 32 + 1, 32))")
+    steps = recipes.select("part", "local_start", "doc_id", "n_tokens", "root", F.posexplode(digests).alias("pos", "key"))
+    # A chunk that stands in very many documents would meet all of them in one task.
+    places = recipes.agg(F.sum(F.expr("length(digests) div 32"))).first()[0] or 0
+    common = scratch.table(steps.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") * COMMON > places).select("key"), "common")
+    known = F.broadcast(common.join(chunks.join(F.broadcast(common), "key", "left_semi"), "key", "left"))
+    joined = steps.join(known, "key").unionByName(steps.join(F.broadcast(common), "key", "left_anti").join(chunks, "key", "left"))
+    document = ["part", "local_start", "doc_id", "n_tokens", "root"]
+    chunk = F.struct("pos", "key", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))
+    found = joined.groupBy(*document).agg(F.collect_list(chunk).alias("chunks"))
     rebuilt = found.select("part", "local_start", "doc_id", "n_tokens", "root", "chunks").mapInArrow(_rebuild, "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long")
     starts = np.cumsum([0, *(n for _, _, n, _ in parts)]).tolist()
     before = spark.createDataFrame([(p[0], at) for p, at in zip(parts, starts)], "part int, before long")

@@ -506,9 +506,10 @@ def ids_of(name, text, whole):
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    tool = whole.setdefault(name, Tokenizer.from_file(public_tokenizers.path(name)))
-    tool.encode_special_tokens = True
-    return tool.encode(text or "", add_special_tokens=False).ids + [0]
+    if name not in whole:
+        whole[name] = Tokenizer.from_file(public_tokenizers.path(name))
+        whole[name].encode_special_tokens = True
+    return whole[name].encode(text or "", add_special_tokens=False).ids + [0]
 
 
 ODD = ["a  b  c", "  lead and trail \n", "it's we'll don't,x. A'S 'st,", "Σας ΣΑΣ. é, x", "\x1c a\x1cb", "日本語,text.1234", "<|endoftext|> a<|startoftext|>", "a\t\tb\r\n c", "!!! ,,, a,.b", "é,́x ﬁ", "é×,÷. a_b c≠d", "a   b", " ", "\n\n", "x  　y", "don't.Stop"]
@@ -542,6 +543,33 @@ def test_content_store(spark, docs, rows, empty):
     assert store.read_store(spark, bare).count() == 0
 
 
+@pytest.mark.parametrize("share", [1, 10_000])
+def test_store_with_a_chunk_in_most_documents(spark, monkeypatch, share):
+    """The same rows whether no chunk counts as common or nearly all do; a common chunk that is missing raises."""
+    from sluice.llm import store
+
+    monkeypatch.setattr(store, "COMMON", share)
+    shared = " ".join(f"word{i * 7919 % 1000}" for i in range(300))
+    data = [(i, shared if i % 7 else f"{shared} tail {i}") for i in range(30)] + [(30, ""), (31, None)]
+    path, tools = store.store_path(spark), {}
+    store.write_store(spark.createDataFrame(data, "doc_id bigint, text string").repartition(4), path)
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in store.read_store(spark, path).collect())
+    want = {t: ids_of(store.VOCABULARY, t, tools) for _, t in data}
+    assert got == [(i, len(want[t]), crc(want[t])) for i, t in data]
+    if share == 1:
+        return
+    objects = spark.read.parquet(f"{path}/objects")
+    recipe = spark.read.parquet(f"{path}/recipes").where("doc_id = 1").first()["digests"]
+    objects.where(F.col("key") != F.lit(recipe[:32])).write.partitionBy("kind").parquet(f"{path}/objects2")
+    monkeypatch.setattr(store, "verify_manifest", lambda spark, path, root: store.manifest_of(spark, path))
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    system = files(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(files(f"{path}/objects"), True)
+    system.rename(files(f"{path}/objects2"), files(f"{path}/objects"))
+    with pytest.raises(Exception, match="does not match its recipe"):
+        store.read_store(spark, path).collect()
+
+
 def test_store_notices_damage(spark, tmp_path):
     from sluice.llm import store
 
