@@ -15,6 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.common import TABLE_ROWS, U64, Scratch, byte_rows, mix, pack, pieces, prepare, ragged, span_hash, sum_tables, table_batches, task, word_spans
@@ -24,6 +25,8 @@ from sluice.llm.components import components, forest
 COUNTERS = 1 << 22
 #: Tokens of a group's members and queries that a task compares with it at a time; larger ones are split, none is cut.
 MEMBER_TOKENS, QUERIES = 200_000, 1024
+#: Ids that are broadcast (some 64 MB) to leave out texts that meet no other; more of them take a join of all texts.
+BROADCAST_IDS = 1_000_000
 SETS = "doc_id long, n int, d1 long, d2 long, least long, prefix array<long>"
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -108,7 +111,6 @@ def _sets(batches, size: int, percent: int, classes):
             yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(least, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "least", "prefix"])
 
 
-@task
 def _with_sets(batches, size: int):
     """Rows (gid, part, member, doc_id, d1, text, copies) with the whole token set; rows whose text is not of that class go."""
     for batch in batches:
@@ -157,7 +159,6 @@ def link_counts(links: list[tuple[int, int]], queries: set[int], copies: dict[in
     return out
 
 
-@task
 def _verify(batches, percent: int):
     """Spanning links (a, b) of each part of a group, and rows (a, a, n) with the number of documents that a is linked with."""
     key, members, queries, copies, seen, found = None, [], [], {}, set(), []
@@ -187,6 +188,11 @@ def _verify(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=["a", "b", "n"])
 
 
+@task
+def _open(batches, size: int, percent: int):
+    yield from _verify(_with_sets(batches, size), percent)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included) of every row.
 
@@ -207,8 +213,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = scratch.table(rows.mapInArrow(partial(_sets, size=size, percent=percent, classes=classes), SETS), "sets")
 
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.count_distinct("doc_id").alias("copies"), F.first("least").alias("least"), F.first("prefix").alias("prefix"))
+    # Counted apart: a distinct count beside them would shuffle the prefixes twice.
+    copies = known.select("n", "d1", "d2", "doc_id").distinct().groupBy("n", "d1", "d2").agg(F.count("*").alias("copies"))
+    reps = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("least").alias("least"), F.first("prefix").alias("prefix")).join(copies, ["n", "d1", "d2"])
     reps = scratch.table(reps, "classes")
+    sets = scratch.table(sets.drop("least", "prefix"), "keys")
+    scratch.drop("sets")
     # Groups of more than MEMBER_TOKENS are dealt into blocks; their list is broadcast only if its size allows.
     large = scratch.table(reps.groupBy("least").agg(F.sum("n").alias("size"), F.count("*").alias("sets")).where(f"size > {MEMBER_TOKENS} AND sets > 1").drop("sets"), "large")
     large = F.broadcast(large) if large.count() <= 100_000 else large
@@ -217,10 +227,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     grouped = scratch.table(grouped, "grouped")
     scratch.drop("classes", "large")
 
-    posts = grouped.select(F.explode("prefix").alias("token"), "doc", "n", "gid")
-    shared = posts.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("token")
-    matrix = posts.join(shared, "token").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # Dealt by token once: both the aggregate and the window stay in place.
+    posts = grouped.select(F.explode("prefix").alias("token"), "n", "gid").repartition("token")
+    matrix = posts.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = matrix.withColumn("groups", F.count("*").over(W.partitionBy("token"))).where("groups > 1").drop("groups")
     matrix = scratch.table(matrix, "matrix")
+    grouped = scratch.table(grouped.drop("prefix"), "members")
+    scratch.drop("grouped")
     other = matrix.toDF("token", "target", "t_low", "t_high")
     near = matrix.join(other, "token").where(f"gid > target AND 100 * high >= {percent} * t_low AND {percent} * low <= 100 * t_high")
     hits = near.groupBy("gid", "target").agg(F.count("*").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("t_low").alias("t_low"), F.max("t_high").alias("t_high"))
@@ -243,9 +256,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     members = grouped.select("doc", "d1", "copies", "gid").join(info, "gid").select("gid", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(True).alias("member"), "doc", "d1", "copies")
     queries = opened.withColumnRenamed("target", "gid").join(info, "gid").join(grouped.select("doc", "d1", "copies"), "doc")
     queries = queries.select("gid", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.lit(False).alias("member"), "doc", "d1", "copies")
-    work = members.unionByName(queries).join(rows.withColumnRenamed("doc_id", "doc"), "doc").select("gid", "part", "member", "doc", "d1", "text", "copies")
-    filled = work.mapInArrow(partial(_with_sets, size=size), "gid long, part int, member boolean, doc_id long, tokens binary, copies long")
-    links = filled.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(partial(_verify, percent=percent), "a long, b long, n long")
+    work = scratch.table(members.unionByName(queries), "work")
+    # Only texts that are compared are shuffled, while the list of their ids may be broadcast; and texts, not their sets.
+    wanted = scratch.table(work.select("doc").distinct(), "wanted")
+    texts = rows.withColumnRenamed("doc_id", "doc")
+    if wanted.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
+    work = work.join(texts, "doc").select("gid", "part", "member", "doc", "d1", "text", "copies")
+    links = work.repartition("gid", "part").sortWithinPartitions("gid", "part").mapInArrow(partial(_open, size=size, percent=percent), "a long, b long, n long")
     if count_links:
         links = scratch.table(links, "links")
     found = components(links, scratch)

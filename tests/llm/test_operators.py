@@ -797,6 +797,32 @@ def test_resampling(spark, docs, rows, empty):
     assert [kth_largest(df, "x", k) for k in range(1, 9)] == [1e9, 5, 5, 2, 1, 1, 1, -3]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    stages = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    return sum(x.shuffleWriteBytes() for x in stages)
+
+
+def test_jaccard_shuffles_little(spark, tmp_path):
+    """Prefixes are dealt twice (to their class, by token), texts only where they are compared: disk is a multiple of the input."""
+    from sluice.llm.jaccard import near_duplicates
+
+    rng = random.Random(11)
+    texts = [[f"{rng.getrandbits(24):x}" for _ in range(300)] for _ in range(3000)]
+    texts += [t[:150] + ["other"] + t[151:] for t in texts[:30]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    before, broadcast = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        got = near_duplicates(spark.read.parquet(str(tmp_path / "docs")), 4, 85, count_links=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    used = (shuffled(spark) - before) / sum(len(t) for _, t in rows)
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == {i: (i % 3000, int(i % 3000 < 30)) for i in range(3030)}
+    assert used < 1.2, used
+
+
 def test_packing(spark, docs, rows, empty):
     from sluice.llm.packing import CAPACITY, VOCABULARY, pack_documents
 
