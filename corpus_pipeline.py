@@ -89,7 +89,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the end id alone; null ids are kept, and repeated rows are packed each by itself.
     """
-    return pack_documents(docs)
+    return pack_documents(docs, frugal=True)  # by now the JVM of an executor holds its whole heap
 
 
 STAGES = [("language_id", language_id), ("near_duplicate", near_duplicate), ("decontaminate", decontaminate), ("pii", pii), ("pack", pack)]

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, byte_rows, pieces, prepare, task
-from sluice.llm.tokens import Encoder
+from sluice.llm.tokens import MEMO_SEGMENTS, Encoder
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
+#: Segments that a worker keeps and text bytes that it encodes at a time; the second where memory is short.
+ENCODING = {False: (MEMO_SEGMENTS, 4 << 20), True: (200_000, 1 << 20)}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
 
@@ -146,11 +148,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
 
 
 @task
-def _cut(batches, vocabulary: str, capacity: int):
-    encoder, seen, task = Encoder.get(vocabulary, False), defaultdict(int), TaskContext.get().partitionId()
+def _cut(batches, vocabulary: str, capacity: int, frugal: bool = False):
+    most, size = ENCODING[frugal]
+    encoder, seen, task = Encoder.get(vocabulary, False, most), defaultdict(int), TaskContext.get().partitionId()
     for batch in batches:
         ids, rows = batch.column(0).to_pylist(), byte_rows(batch.column(1))
-        for first, last in pieces(rows, 4 << 20):
+        for first, last in pieces(rows, size):
             out = []
             for doc, coded in zip(ids[first:last], encoder.encode(rows[first:last])):
                 coded = coded.tobytes() + b"\0\0\0\0"
@@ -175,17 +178,18 @@ def _place(batches, runs: dict[str, np.ndarray]):
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(runs["offset"][at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, frugal: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and an end id 0; only longer ones than ``capacity`` are cut. Null and empty texts
     are the end id alone; equal rows are packed each by itself; an empty table gives no rows; a null id is kept.
+    frugal: workers take some 150 MB less and longer, for executors whose memory operators before have taken.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = scratch.table(rows.mapInArrow(partial(_cut, vocabulary=vocabulary, capacity=capacity), PIECES), "pieces")
+    cut = scratch.table(rows.mapInArrow(partial(_cut, vocabulary=vocabulary, capacity=capacity, frugal=frugal), PIECES), "pieces")
     # Ranks within a size: those of the task, after the counts of the tasks before it (tasks x sizes rows).
     counts = scratch.table(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -7,6 +7,7 @@ encodes a segment when a worker first meets it.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
@@ -54,20 +55,21 @@ def segment_spans(data: np.ndarray, row_starts: np.ndarray, blanks: bool) -> tup
 class Encoder:
     """Ids of whole texts. ``blanks``: whether blanks are part of segments (byte-level BPE)."""
 
-    def __init__(self, vocabulary: str, blanks: bool):
+    def __init__(self, vocabulary: str, blanks: bool, most: int = MEMO_SEGMENTS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tool = Tokenizer.from_file(vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary))
         self.tool.encode_special_tokens = True
-        self.blanks, self.memo = blanks, {}
+        self.blanks, self.most, self.memo = blanks, most, {}
 
     @classmethod
-    def get(cls, vocabulary: str, blanks: bool) -> Encoder:
-        """The worker's own encoder, kept between tasks."""
-        if (vocabulary, blanks) not in _OPEN:
-            _OPEN[vocabulary, blanks] = cls(vocabulary, blanks)
-        return _OPEN[vocabulary, blanks]
+    def get(cls, vocabulary: str, blanks: bool, most: int = MEMO_SEGMENTS) -> Encoder:
+        """The worker's own encoder, kept between tasks. most: segments that it remembers."""
+        key = vocabulary, blanks, most
+        if key not in _OPEN:
+            _OPEN[key] = cls(*key)
+        return _OPEN[key]
 
     def _whole(self, row: bytes) -> np.ndarray:
         return np.array(self.tool.encode(row.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
@@ -78,8 +80,8 @@ class Encoder:
             part = segments[at : at + 50_000]
             for s, e in zip(part, self.tool.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)):
                 new[s] = array("I", e.ids).tobytes()
-        if len(self.memo) < MEMO_SEGMENTS:
-            self.memo.update(new)
+        if (room := self.most - len(self.memo)) > 0:
+            self.memo.update(itertools.islice(new.items(), room))
         return new
 
     @staticmethod

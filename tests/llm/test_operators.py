@@ -823,6 +823,34 @@ def test_jaccard_shuffles_little(spark, tmp_path):
     assert used < 1.2, used
 
 
+def test_packing_memory(monkeypatch):
+    """A pipeline's worker that packs keeps few segments and encodes little text at a time; what it forgot is encoded again."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from sluice.llm import packing, tokens
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda docs, **settings: asked.append(settings))
+    corpus_pipeline.pack(None, None, "")
+    texts = [" ".join(f"w{i * 60_000 + k}" for k in range(60_000)) for i in range(6)]
+    largest, encode = [], tokens.Encoder.encode
+    monkeypatch.setattr(tokens.Encoder, "encode", lambda self, rows: largest.append(sum(map(len, rows))) or encode(self, rows))
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts * 2)], names=["doc_id", "text"])
+    tokens.forget()
+    pieces = [r for b in packing._cut(iter([batch]), packing.VOCABULARY, packing.CAPACITY, **asked[0]) for r in b.to_pylist()]
+    (encoder,) = tokens._OPEN.values()
+    assert len(encoder.memo) <= 200_000 and max(largest) <= 1 << 20
+    crcs = collections.defaultdict(list)
+    for r in pieces:
+        crcs[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert all(crcs[i] == crcs[i + 6] for i in range(6))
+    whole = np.append(encoder._whole(texts[5].encode()), 0).astype("<u4")
+    assert crcs[5] == [(a, len(whole[a : a + 2048]), zlib.crc32(whole[a : a + 2048].tobytes())) for a in range(0, len(whole), 2048)]
+    tokens.forget()
+
+
 def test_packing(spark, docs, rows, empty):
     from sluice.llm.packing import CAPACITY, VOCABULARY, pack_documents
 
