@@ -190,7 +190,7 @@ def flow_paths(spark, sf_dir):
 
 def path_round_flow(spark, sf_dir):
     """Bidirectional path rounds on GA, finished by sweeps; the value must equal that of max_flow_unit."""
-    edges, _ = path_rounds(graph_a(spark, sf_dir), FlowConfig(kept_paths=4), rounds=3)
+    edges, _ = path_rounds(graph_a(spark, sf_dir), FlowConfig(kept_paths=4), rounds=3, measured=False)
     return _value(spark, max_flow(edges))
 
 

@@ -42,13 +42,14 @@ def run(edges: DataFrame, config: FlowConfig, method: str = "sweep") -> FlowResu
     return result
 
 
-def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None) -> tuple[DataFrame, list[tuple[int, str, int]]]:
+def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None, measured: bool = True) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """Bidirectional rounds: paths grow from both terminals, meet, and are accepted; a valid flow and its metrics.
 
     A path is offered to each neighbour once, and again if the neighbour lost its last path. Path lists are cut to
     ``kept_paths`` a vertex, so this may stop short of the maximum; the sweeps finish it. Metrics of each side: paths
     offered (extended), kept, cut off (truncated) and lost to saturated arcs, vertices that gained their first path
-    (moves) or lost their last (lost_vertices), and neighbours that are to offer again (notified).
+    (moves) or lost their last (lost_vertices), and neighbours that are to offer again (notified). Without ``measured``
+    what only metrics of the last turn need is left out; the flow is the same.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
@@ -57,7 +58,8 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None)
     sides = {"source": seed_paths(spark, SOURCE), "sink": seed_paths(spark, SINK)}
     sent: dict[str, DataFrame | None] = {"source": None, "sink": None}
     metrics: list[tuple[int, str, int]] = []
-    for turn in range(1, (config.path_rounds if rounds is None else rounds) + 1):
+    last = config.path_rounds if rounds is None else rounds
+    for turn in range(1, last + 1):
         # Paths join arcs on the near end, so each side has its arcs in buckets by that.
         arcs, vertices = scratch.bucketed(arcs_of(edges), f"arcs-{turn}", "src"), {}
         near = {"source": arcs, "sink": scratch.bucketed(arcs, f"arcs-in-{turn}", "dst") if config.bidirectional else arcs}
@@ -66,16 +68,22 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None)
                 vertices[side] = 1
                 continue
             draw = config.seed + turn if config.forward == "one" else None
-            offers = extend(paths, near[side], backward=side == "sink", longest=config.longest_path, draw=draw)
-            if sent[side] is not None:
-                offers = not_forwarded(offers, sent[side])
+            grow = lambda some: extend(some, near[side], backward=side == "sink", longest=config.longest_path, draw=draw)  # noqa: B023, E731
+            if sent[side] is None:
+                offers = grow(paths)
+            elif draw is not None:
+                offers = not_forwarded(grow(paths), sent[side])
+            else:  # what was sent before this turn has fewer hops than what its longest paths offer now
+                newest = F.size("path") == turn - 1
+                offers = grow(paths.where(newest)).unionByName(not_forwarded(grow(paths.where(~newest)), sent[side]).select("v", "path", "bottleneck"))
             offers, offered = scratch.counted(offers, f"{side}-offers-{turn}", n=one)
             sent[side] = offers.select("path", "v") if sent[side] is None else sent[side].unionByName(offers.select("path", "v"))
-            before = paths.unionByName(offers).distinct()
+            # No path is twice among these: those kept were sent before, and each arc makes another path of each.
+            before, whole = paths.unionByName(offers), paths.count() + offered["n"]
             kept = random_paths(before, config.kept_paths, config.seed + turn) if config.path_choice == "random" else best_paths(before, config.kept_paths)
             sides[side], left = scratch.counted(kept, f"{side}-{turn}", n=one)
             vertices[side] = sides[side].select("v").distinct().count()
-            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", before.count() - left["n"]), (turn, f"{side}_moves", vertices[side] - paths.select("v").distinct().count())]
+            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", whole - left["n"]), (turn, f"{side}_moves", vertices[side] - paths.select("v").distinct().count())]
         candidates, met = scratch.counted(meet(sides["source"], sides["sink"]), f"met-{turn}", n=one)
         taken, got = scratch.counted(accept(candidates, arcs, scratch=scratch, label=f"accept-{turn}"), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
         metrics += [(turn, "candidates", met["n"]), (turn, "accepted_paths", got["n"]), (turn, "accepted_flow", got["flow"]), (turn, "dropped", met["n"] - got["n"])]
@@ -83,13 +91,16 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None)
             delta, changed = scratch.counted(as_delta(taken), f"delta-{turn}", n=one)
             metrics.append((turn, "changed_arcs", changed["n"]))
             edges = scratch.table(apply_flow(edges, delta), f"edges-{turn}")
+            if turn == last and not measured:
+                break
             for side, paths in sides.items():
                 whole = paths.count()
                 sides[side], left = scratch.counted(bottlenecks(paths, arcs_of(edges)), f"{side}-left-{turn}", n=one)
                 lost, gone = scratch.counted(lost_vertices(paths, sides[side]), f"{side}-lost-{turn}", n=one)
                 metrics += [(turn, f"{side}_saturated", whole - left["n"]), (turn, f"{side}_lost_vertices", gone["n"])]
                 if gone["n"] and sent[side] is not None:
-                    sent[side] = scratch.table(sent[side].join(lost, "v", "left_anti"), f"{side}-sent-{turn}")
+                    if turn < last:
+                        sent[side] = scratch.table(sent[side].join(lost, "v", "left_anti"), f"{side}-sent-{turn}")
                     metrics.append((turn, f"{side}_notified", neighbours_of(arcs, lost).count()))
         elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):
             break

@@ -130,6 +130,24 @@ def test_neighbours_offer_again_to_a_vertex_that_lost_its_paths(spark):
     assert any(name == "source_notified" for _, name, _ in metrics)
 
 
+def test_path_rounds_compare_only_what_may_have_been_sent(spark, monkeypatch):
+    """The longest offers of a turn are new; no path stands twice where paths are chosen; unmeasured turns give the same flow."""
+    from sluice.plans import rounds
+
+    rng, compared, twice = random.Random(4), [], []
+    arcs = [(u, v, rng.randint(1, 3)) for u in range(1, 14) for v in range(1, 14) if u != v and rng.random() < 0.3]
+    edges = build.merge_parallel(frame(spark, arcs))
+    known, best = rounds.not_forwarded, rounds.best_paths
+    longest = lambda df: df.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
+    with monkeypatch.context() as m:
+        m.setattr(rounds, "not_forwarded", lambda offers, sent: compared.append((longest(offers), longest(sent))) or known(offers, sent))
+        m.setattr(rounds, "best_paths", lambda rows, k: twice.append(rows.count() - rows.distinct().count()) or best(rows, k))
+        flow, _ = path_rounds(edges, FlowConfig(kept_paths=3), rounds=4)
+    assert compared and all(a <= b for a, b in compared) and not any(twice)
+    again, _ = path_rounds(edges, FlowConfig(kept_paths=3), rounds=4, measured=False)
+    assert sorted(map(tuple, flow.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_solve_with_terminals(spark):
     arcs = frame(spark, [(3, 4, 1), (4, 5, 1), (3, 5, 1), (5, 6, 1)])
     assert solve(arcs, FlowConfig(sources=(3,), sinks=(5,))).value == 2
