@@ -78,8 +78,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing)}
+    every = (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing, op12_filter_audit)
+    return {f.__name__: f for f in every}
 
 
 TOP_K_SQL = """
@@ -121,5 +128,35 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r G
   LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY 1) AS d USING (doc_id)"""
 
 
+AUDIT_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+w AS (
+  SELECT t.*, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+          100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM w JOIN f USING (text) LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+c(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+p(o) AS (SELECT '' UNION ALL SELECT p.o || c.c FROM p JOIN c ON NOT contains(p.o, c.c)),
+o AS (SELECT o AS filter_order, s AS step, instr('ABCDE', substr(o, s, 1)) AS own,
+             list_transform(range(1, s), lambda i: instr('ABCDE', substr(o, i, 1))) AS before
+      FROM p, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5),
+x AS (SELECT g.*, o.*, fails[own] AS hit, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS k FROM g, o)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (hit AND k = 1), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // greatest(k, 1))) FILTER (hit), 0) AS BIGINT) AS shapley
+FROM x GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD_SQL, "op3_exact_top_k": TOP_K_SQL, "op7_warc": WARC_SQL}
+    return {"op1_jaccard_join": JACCARD_SQL, "op3_exact_top_k": TOP_K_SQL, "op7_warc": WARC_SQL, "op12_filter_audit": AUDIT_SQL}
