@@ -84,8 +84,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.bpe import decode_ids, encode_texts
+
+    decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    every = (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing, op12_filter_audit)
+    every = (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing, op12_filter_audit, op13_byte_bpe)
     return {f.__name__: f for f in every}
 
 
