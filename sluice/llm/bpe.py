@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from sluice.llm.common import PIECE_BYTES, byte_rows, pieces, prepare, ragged, task
 
@@ -239,7 +239,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", pat
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = StructType([rows.schema["doc_id"]]).add("ids", "array<int>")
+    schema = StructType([rows.schema["doc_id"]]).add("ids", ArrayType(IntegerType()))
     return rows.mapInArrow(partial(_encode, vocabulary=vocabulary, pattern=pattern), schema)
 
 
@@ -250,5 +250,5 @@ def decode_ids(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", pa
     """
     prepare(encoded.sparkSession)
     rows = encoded.withColumn("ids", F.col("ids").cast("array<int>"))
-    schema = StructType([*rows.schema.fields]).add("bytes", "binary")
+    schema = StructType([*rows.schema.fields]).add("bytes", BinaryType())
     return rows.mapInArrow(partial(_decode, vocabulary=vocabulary, pattern=pattern), schema)

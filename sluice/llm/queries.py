@@ -78,6 +78,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.mining import hard_negatives
+    from sluice.llm.topk import quantised
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+    return hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.audit import audit_filters
 
@@ -93,7 +102,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing, op12_filter_audit, op13_byte_bpe)
+    every = (op1_jaccard_join, op2_pii, op3_exact_top_k, op4_deleted_interpolation, op5_decontamination, op6_content_store, op7_warc, op8_language_id, op9_importance_resampling, op10_best_fit_packing, op11_hard_negatives, op12_filter_audit, op13_byte_bpe)
     return {f.__name__: f for f in every}
 
 
@@ -136,6 +145,24 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM r G
   LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY 1) AS d USING (doc_id)"""
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+         CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+r AS (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score WHERE n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10"""
+
 AUDIT_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 f AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
@@ -167,4 +194,4 @@ FROM x GROUP BY ALL"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": JACCARD_SQL, "op3_exact_top_k": TOP_K_SQL, "op7_warc": WARC_SQL, "op12_filter_audit": AUDIT_SQL}
+    return {"op1_jaccard_join": JACCARD_SQL, "op3_exact_top_k": TOP_K_SQL, "op7_warc": WARC_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_filter_audit": AUDIT_SQL}
