@@ -31,6 +31,7 @@ BLOCK_ROWS, ANCHOR_ROWS, LEAF, ANCHOR_LEAF, SIGNS = 32_768, 1_024, 256, 32, 8
 BOUND_BYTES, TASK_BLOCKS = 64 << 20, 256
 #: Every score is below this, so that doubles add them exactly; also the ends of a window without limits.
 EXACT = 1 << 53
+NO_ID = (1 << 63) - 1
 PACKED = "block long, ids binary, labels binary, matrix binary, width int, centre binary, radius double, first_label long, last_label long, slots array<array<long>>"
 FOUND = "anchor_id long, tag long, vec_id long, score long"
 
@@ -78,20 +79,25 @@ class Tree:
 
 @dataclass
 class Slots:
-    """Windows of anchors in the order of their tree, and the k best found for each: score, then smaller id."""
+    """Windows of anchors in the order of their tree, and the k best found for each: score, then smaller id.
+
+    A score of ``low`` fits up to the id ``last`` only.
+    """
 
     anchor: np.ndarray  # ascending
     low: np.ndarray
+    last: np.ndarray
     high: np.ndarray
     k: int
 
     def __post_init__(self):
         n = len(self.anchor)
-        self.scores, self.ids = np.full((n, self.k), -EXACT, np.int64), np.full((n, self.k), np.iinfo(np.int64).max)
+        self.scores, self.ids = np.full((n, self.k), -EXACT, np.int64), np.full((n, self.k), NO_ID)
 
-    def least(self, a: int, b: int) -> np.ndarray:
-        """What a score must reach for each slot: the window, or the k-th best."""
-        return np.maximum(self.low[a:b], self.scores[a:b, -1])
+    def least(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a candidate must reach for each slot, the window or the k-th best, and its greatest id if it is no better."""
+        low, last, kth, own = self.low[a:b], self.last[a:b], self.scores[a:b, -1], self.ids[a:b, -1]
+        return np.maximum(low, kth), np.where(kth > low, own, np.where(kth == low, np.minimum(own, last), last))
 
     def offer(self, slot: int, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.append(self.scores[slot], scores), np.append(self.ids[slot], ids)
@@ -109,7 +115,7 @@ def dual_search(anchors: Tree, rows: Tree, a_points: np.ndarray, a_ids: np.ndarr
         (f, g), (h, i) = anchors.labels[a], rows.labels[c]
         if s == e or (same and (g < h or i < f)) or (not same and f == g == h == i):
             continue
-        need = slots.least(s, e)
+        need, last = slots.least(s, e)
         if not ((high >= need) & (low <= slots.high[s:e])).any():
             continue
         down_a, down_c = anchors.children[a], rows.children[c]
@@ -126,10 +132,11 @@ def dual_search(anchors: Tree, rows: Tree, a_points: np.ndarray, a_ids: np.ndarr
         if same:
             fits &= a_ids[own, None] != c_ids[None, span]
         of = slots.anchor[s:e] - anchors.begin[a]
-        hits = fits[of] & (score[of] >= need[:, None]) & (score[of] <= slots.high[s:e, None])
+        own = score[of]
+        hits = fits[of] & ((own > need[:, None]) | ((own == need[:, None]) & (c_ids[None, span] <= last[:, None]))) & (own <= slots.high[s:e, None])
         for j in np.flatnonzero(hits.any(axis=1)).tolist():
             at = np.flatnonzero(hits[j])
-            slots.offer(s + j, score[of[j], at].astype(np.int64), c_ids[span][at])
+            slots.offer(s + j, own[j, at].astype(np.int64), c_ids[span][at])
     return scored
 
 
@@ -174,9 +181,10 @@ def _pack(batches, rows: int):
 def blocks(rows: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
     """vec_id, label, vector, slots in blocks of at most ``size`` rows, neighbours by label and signs together."""
     signs = F.concat(*(F.when(F.get("vector", F.lit(i)) >= 0, "1").otherwise("0") for i in range(SIGNS)))
-    laid = rows.select("*", signs.alias("signs"), F.xxhash64("vec_id", "vector").alias("deal"))
-    # Ranges end anywhere within a label, so a label of a third of all rows is dealt over many of them.
-    laid = laid.repartitionByRange("label", "signs", "deal").sortWithinPartitions("label", "signs", "deal").select("vec_id", "label", "vector", "slots")
+    laid = rows.select("*", signs.alias("signs"), F.xxhash64("vector").alias("deal"))
+    # Ranges end anywhere within a label or a group of copies, so one of a third of all rows is dealt over many of them.
+    order = ["label", "signs", "deal", "vec_id"]
+    laid = laid.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "label", "vector", "slots")
     return scratch.table(laid.mapInArrow(partial(_pack, rows=size), PACKED), name)
 
 
@@ -196,7 +204,7 @@ def _meet(batches, bounds, same: bool, home: bool):
     for batch in batches:
         columns = batch.to_pydict()
         for i, block in enumerate(columns["block"]):
-            windows = np.array(columns["slots"][i], np.int64).reshape(-1, 4)
+            windows = np.array(columns["slots"][i], np.int64).reshape(-1, 5)
             centre, first, last = np.frombuffer(columns["centre"][i]), columns["first_label"][i], columns["last_label"][i]
             out = []
             for target, other, radius, h, j in held:
@@ -204,8 +212,8 @@ def _meet(batches, bounds, same: bool, home: bool):
                 low, high = interval((_pad(centre, width), columns["radius"][i]), (_pad(other, width), radius))
                 label_fits = not (last < h or j < first) if same else not first == last == h == j
                 if label_fits and ((high >= windows[:, 1]) & (low <= windows[:, 2])).any():
-                    out.append((high, target))
-            out = [max(out)] if home and out else out
+                    out.append((-high, target))
+            out = [min(out)] if home and out else out
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([t for _, t in out], pa.int64()), pa.array([block] * len(out), pa.int64())], names=["target", "block"])
 
@@ -234,12 +242,12 @@ def _search(batches, k: int, same: bool, width: int):
             if row["target"] != number:
                 raise ValueError("an anchor block without its block of candidates")
             asked = _Block(row, ANCHOR_LEAF, width)
-            windows = np.array(row["slots"], np.int64).reshape(-1, 4)  # anchor's place, low, high, tag
+            windows = np.array(row["slots"], np.int64).reshape(-1, 5)  # anchor's place, low, high, tag, last
             place = np.empty(len(asked.ids), np.int64)
             place[asked.tree.order] = np.arange(len(asked.ids))
             by = np.argsort(place[windows[:, 0]], kind="stable")
             windows, anchor = windows[by], place[windows[by, 0]]
-            slots = Slots(anchor, windows[:, 1], windows[:, 2], k)
+            slots = Slots(anchor, windows[:, 1], windows[:, 4], windows[:, 2], k)
             dual_search(asked.tree, own.tree, asked.points, asked.ids, asked.labels, own.points, own.ids, own.labels, slots, same)
             slot, rank = np.nonzero(slots.scores > -EXACT)
             yield pa.RecordBatch.from_arrays([pa.array(asked.ids[anchor[slot]]), pa.array(windows[slot, 3]), pa.array(slots.ids[slot, rank]), pa.array(slots.scores[slot, rank])], names=["anchor_id", "tag", "vec_id", "score"])
@@ -270,12 +278,14 @@ def best(anchors: DataFrame, slots: DataFrame, held: DataFrame, k: int, same: bo
     """``search`` for slots vec_id, low, high, tag; what the most promising block holds is each slot's first bound."""
 
     def laid(some: DataFrame, label: str) -> DataFrame:
-        of_anchor = some.groupBy("vec_id").agg(F.collect_list(F.array("low", "high", "tag")).alias("slots"))
+        of_anchor = some.groupBy("vec_id").agg(F.collect_list(F.array("low", "high", "tag", "last")).alias("slots"))
         return blocks(anchors.join(of_anchor, "vec_id"), ANCHOR_ROWS, scratch, f"{name}/{label}")
 
+    slots = slots.withColumn("last", F.lit(NO_ID))
     home = search(laid(slots, "first"), held, k, same, width, home=True)
-    kth = home.where(F.col("rank") == k).select(F.col("anchor_id").alias("vec_id"), "tag", F.col("score").alias("kth"))
-    bounded = slots.join(kth, ["vec_id", "tag"], "left").select("vec_id", F.greatest("low", "kth").alias("low"), "high", "tag")
+    kth = home.where(F.col("rank") == k).select(F.col("anchor_id").alias("anchor"), "tag", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id")).withColumnRenamed("anchor", "vec_id")
+    bounded = slots.join(kth, ["vec_id", "tag"], "left")
+    bounded = bounded.select("vec_id", F.greatest("low", "kth").alias("low"), "high", "tag", F.coalesce("kth_id", "last").alias("last"))
     return scratch.table(search(laid(bounded, "then"), held, k, same, width), f"{name}/found")
 
 
