@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.graph import PATH, append_hop, empty_path
-from sluice.operators import maxflow, prefix
-from sluice.operators.maxflow import block, ends, level_arcs, most_of_a_key, sweep
+from sluice.operators import prefix
+from sluice.operators.maxflow import ends, level_arcs, level_flow, most_of_a_key
 from sluice.operators.prefix import carried, prefix_sums
 from sluice.operators.traverse import bfs_levels
 from sluice.plans.config import SINK, SOURCE
@@ -55,10 +55,7 @@ def decompose(edges: DataFrame, source: int = SOURCE, sink: int = SINK) -> DataF
             return found
         depth = len(sizes) - 1
         graph, size = scratch.counted(level_arcs(arcs, levels, depth, sink), f"graph-{turn}", n=F.count(F.lit(1)))
-        if size["n"] <= maxflow.LOCAL_ARCS:
-            flow, _, _ = block(graph, scratch, f"sweep-{turn}", source)
-        else:
-            flow, _, _ = sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
+        flow, _, _ = level_flow(graph, size["n"], depth, most, scratch, f"flow-{turn}", source, sink)
         paths = scratch.table(split_level_flow(flow, depth, most, size["n"], scratch, f"split-{turn}", source).withColumn("round", F.lit(turn)).select("round", "path", "amount"), f"paths-{turn}")
         found = found.unionByName(paths)
         used = flow.select("src", "dst", "flow")

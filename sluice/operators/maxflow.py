@@ -5,6 +5,10 @@ minimal minimum cut and the flow is maximal: the exit condition is the proof. Ot
 sink (what a vertex could still pass on), the source's inflow is dealt forward by prefix sums, and inflow that found
 no way out is trimmed backward. Every allocation respects the residuals and conserves flow, so each sweep gains, as
 long as any way is left in the level graph; then the next search begins.
+
+A level graph is swept by joins, or, where it is small, by one task; sweep for sweep the two give the same flow, so
+values, counts, limits and figures do not depend on which of them ran. The arcs of a run are exchanged once (``ArcLog``);
+what a level graph gained is added to their log.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ from pyspark.sql import functions as F
 from sluice.operators.build import arcs_of
 from sluice.operators.prefix import prefix_sums
 from sluice.operators.traverse import bfs_levels
+from sluice.plans.arcs import ArcLog
 from sluice.plans.config import SINK, SOURCE
 from sluice.plans.scratch import Scratch, ship
 
 UNBOUNDED = (1 << 63) - 1
 #: Levels that one plan may span.
 LAZY_DEPTH = 8
-#: A level graph with no more arcs (32 MB) is swept by one task; larger ones by joins, until no more are left.
+#: A level graph with no more arcs (32 MB) is swept by one task; larger ones by joins, until no more are left. Either
+#: way the sweeps are the same.
 LOCAL_ARCS = 1 << 20
 
 
@@ -49,6 +55,18 @@ class FlowResult:
         return spark.createDataFrame(self.metrics, "round int, name string, value bigint")
 
 
+@dataclass(frozen=True)
+class Limit:
+    """When sweeps end early: after so many, or once one gains less than a share of the value (counted from ``value``)."""
+
+    sweeps: int | None = None
+    approx: float = 0.0
+    value: int = 0
+
+    def reached(self, gains: list[int]) -> bool:
+        return (self.sweeps is not None and len(gains) >= self.sweeps) or gains[-1] < self.approx * (self.value + sum(gains))
+
+
 def ends(spark: SparkSession, v: int) -> DataFrame:
     return spark.range(1).select(F.lit(v).cast("bigint").alias("v"))
 
@@ -59,11 +77,12 @@ def most_of_a_key(arcs: DataFrame) -> int:
     return either[0].unionByName(either[1]).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
-def level_arcs(arcs: DataFrame, levels: DataFrame, depth: int, sink: int = SINK) -> DataFrame:
+def level_arcs(arcs: DataFrame | ArcLog, levels: DataFrame, depth: int, sink: int = SINK) -> DataFrame:
     """level, src, dst, res of the arcs from each level to the next; into the last level only those to the sink."""
-    tail = levels.select(F.col("v").alias("src"), F.col("d").alias("level"))
+    tail = levels.where(F.col("d") < depth).select(F.col("v").alias("src"), F.col("d").alias("level"))
     head = levels.where((F.col("d") < depth) | (F.col("v") == sink)).select(F.col("v").alias("dst"), (F.col("d") - 1).alias("before"))
-    return arcs.join(tail, "src").join(head, "dst").where("level = before").select("level", "src", "dst", "res")
+    leaving = arcs.rows(tail) if isinstance(arcs, ArcLog) else arcs.join(tail, "src")
+    return leaving.join(head, "dst").where("level = before").select("level", "src", "dst", "res")
 
 
 def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE, sink: int = SINK) -> tuple[DataFrame, int, DataFrame]:
@@ -124,8 +143,9 @@ def sweep(graph: DataFrame, depth: int, most: int, scratch: Scratch, label: str,
     return out, got["gained"], by_level(alive)
 
 
-def block_in_memory(level: np.ndarray, src: np.ndarray, dst: np.ndarray, res: np.ndarray) -> np.ndarray:
-    """The flow on each arc of a level graph after the same sweeps as ``sweep``, until no way is left."""
+def block_in_memory(level: np.ndarray, src: np.ndarray, dst: np.ndarray, res: np.ndarray, limit: Limit | None = None) -> tuple[np.ndarray, list[int]]:
+    """The flow on each arc of a level graph after the same sweeps as ``sweep``, and what each gained."""
+    limit, gains = limit or Limit(), []
     vertices, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
     src, dst, res, whole, depth = at[: len(src)], at[len(src) :], res.copy(), np.zeros(len(src), np.int64), int(level.max(initial=-1)) + 1
     out = [np.flatnonzero(level == k) for k in range(depth)]
@@ -156,27 +176,59 @@ def block_in_memory(level: np.ndarray, src: np.ndarray, dst: np.ndarray, res: np
         for k in range(depth - 2, -1, -1):
             i = back[k]
             flow[i] = np.clip(add(src[out[k + 1]], flow[out[k + 1]])[dst[i]] - before(dst[i], flow[i]), 0, flow[i])
-        if not flow[out[0]].sum():
+        gained = int(flow[out[0]].sum())
+        if not gained:
             break
         whole += flow
         res -= flow
-    return whole
+        gains.append(gained)
+        if limit.reached(gains):
+            break
+    return whole, gains
 
 
-def _block(batches):
+def _block(batches, limit: Limit):
+    """Used arcs, then what each sweep gained, as level -1."""
     arcs = [np.concatenate(c) for c in zip(*([np.asarray(x) for x in b.columns] for b in batches))]
     if arcs:
-        flow = block_in_memory(*arcs)
-        used = flow > 0
-        yield pa.RecordBatch.from_arrays([pa.array(c[used]) for c in (*arcs[:3], flow)], names=["level", "src", "dst", "flow"])
+        flow, gains = block_in_memory(*arcs, limit)
+        used, turns = flow > 0, np.arange(len(gains))
+        rows = [*(c[used] for c in arcs[:3]), flow[used]], [np.full(len(gains), -1), turns, turns, np.array(gains, np.int64)]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for columns in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["level", "src", "dst", "flow"])
 
 
-def block(graph: DataFrame, scratch: Scratch, label: str, source: int = SOURCE) -> tuple[DataFrame, int, None]:
-    """All sweeps over a level graph of at most LOCAL_ARCS arcs in one task: level, src, dst, flow; and its value."""
-    ship(scratch.spark)
-    flow = graph.select("level", "src", "dst", "res").repartition(1).mapInArrow(_block, "level int, src bigint, dst bigint, flow bigint")
-    out, got = scratch.counted(flow, f"{label}/flow", gained=F.coalesce(F.sum(F.when((F.col("src") == source) & (F.col("level") == 0), F.col("flow"))), F.lit(0)))
-    return out, got["gained"], None
+def level_flow(graph: DataFrame, size: int, depth: int, most: int, scratch: Scratch, label: str, source: int = SOURCE, sink: int = SINK, limit: Limit | None = None, local_arcs: int | None = None) -> tuple[DataFrame, int, list[int]]:
+    """level, src, dst, flow: what sweeps send through a level graph of ``size`` arcs; its rows; what each sweep gained.
+
+    The sweeps end when no way is left or the limit is reached. most: the largest degree.
+    """
+    limit, gains = limit or Limit(), []
+    if size <= (LOCAL_ARCS if local_arcs is None else local_arcs):
+        ship(scratch.spark)
+        rows = graph.select("level", "src", "dst", "res").repartition(1).mapInArrow(functools.partial(_block, limit=limit), "level int, src bigint, dst bigint, flow bigint")
+        rows, seen = scratch.counted(rows, f"{label}/block", n=F.count_if(F.col("level") >= 0))
+        gains = [r["flow"] for r in rows.where("level < 0").orderBy("src").select("flow").collect()]
+        return rows.where("level >= 0"), seen["n"], gains
+    flows, left = [], graph
+    while True:
+        turn = len(gains)
+        flow, gained, alive = sweep(left, depth, most, scratch, f"{label}/{turn}", source, sink)
+        if gained:
+            gains.append(gained)
+            flows.append(flow)
+        if not gained or limit.reached(gains):
+            break
+        keys = ["level", "src", "dst"]
+        left = left.join(alive, keys, "left_semi").join(flow, keys, "left").select(*keys, (F.col("res") - F.coalesce("flow", F.lit(0))).alias("res"))
+        left = scratch.table(left.where("res > 0"), f"{label}/{turn}/left")
+    if not flows:
+        return flow, 0, gains
+    whole = functools.reduce(DataFrame.unionByName, flows).groupBy("level", "src", "dst").agg(F.sum("flow").alias("flow"))
+    whole, seen = scratch.counted(whole, f"{label}/whole", n=F.count(F.lit(1)))
+    scratch.drop(*(f"{label}/{turn}" for turn in range(len(gains) + 1)))
+    return whole, seen["n"], gains
 
 
 def apply_flow(edges: DataFrame, delta: DataFrame) -> DataFrame:
@@ -201,46 +253,51 @@ def cut_capacity(edges: DataFrame, side: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(leaving), F.lit(0))).first()[0]
 
 
-def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.0, keep_rounds: bool = False, source: int = SOURCE, sink: int = SINK, scratch: Scratch | None = None) -> FlowResult:
+def with_residuals(edges: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The edges with the flow that their residual arcs show."""
+    left = arcs.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "res")
+    flow = F.col("cap_uv") - F.coalesce("res", F.lit(0))
+    return edges.join(left, ["u", "v"], "left").select("u", "v", "cap_uv", "cap_vu", flow.cast("bigint").alias("flow"))
+
+
+def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.0, keep_rounds: bool = False, source: int = SOURCE, sink: int = SINK, scratch: Scratch | None = None, local_arcs: int | None = None) -> FlowResult:
     """Maximum flow from ``source`` to ``sink`` over edges u, v, cap_uv, cap_vu, flow, starting from the flow given.
 
-    max_rounds or approx may stop earlier; the result then is a valid flow but not converged, without a cut.
+    max_rounds or approx may stop earlier, after a sweep; the result then is a valid flow but not converged, without a
+    cut. keep_rounds: keep the level graphs and flows of all phases. local_arcs: in place of LOCAL_ARCS; 0 for joins only.
     """
     spark = edges.sparkSession
     scratch = scratch or Scratch(spark, "maxflow")
     edges = scratch.table(edges.select("u", "v", *(F.col(c).cast("bigint") for c in ("cap_uv", "cap_vu", "flow"))), "edges-0")
-    most = most_of_a_key(arcs_of(edges))
+    # Arcs back may open later, so both directions of an edge count for the largest degree.
+    most = most_of_a_key(edges.select(F.inline(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))))
+    arcs = ArcLog(scratch, "arcs", arcs_of(edges))
     value, metrics, turn, phase = flow_value(edges, source), [], 0, 0
+
+    def result(side: DataFrame | None) -> FlowResult:
+        with scratch.in_buckets():
+            final = scratch.table(with_residuals(edges, arcs.rows()), "edges") if turn else edges
+        arcs.close()
+        return FlowResult(final, side, value, None if side is None else cut_capacity(edges, side), turn, side is not None, metrics)
+
     while True:
-        arcs = scratch.bucketed(arcs_of(edges), f"arcs-{phase}", "src")
         levels, sizes, met = bfs_levels(arcs, ends(spark, source), stop=sink, scratch=scratch, label=f"levels-{phase}")
         depth = len(sizes) - 1
         metrics += [(turn, "visited", sum(sizes)), (turn, "depth", depth)]
         if not met:
-            side = levels.select("v")
-            return FlowResult(edges, side, value, cut_capacity(edges, side), turn, True, metrics)
+            return result(levels.select("v"))
         if max_rounds is not None and turn >= max_rounds:
-            return FlowResult(edges, None, value, None, turn, False, metrics)
-        # Sweeps over one level graph until no way is left in it: only then are edges and levels made anew.
-        flows, stop, one = [], False, F.count(F.lit(1))
-        graph, size = scratch.counted(level_arcs(arcs, levels, depth, sink), f"graph-{phase}-0", n=one)
-        while not stop:
-            small = size["n"] <= LOCAL_ARCS
-            flow, gained, alive = block(graph, scratch, f"sweep-{turn}", source) if small else sweep(graph, depth, most, scratch, f"sweep-{turn}", source, sink)
-            if not gained:
-                break
+            return result(None)
+        # Sweeps over one level graph until no way is left in it: only then are levels made anew.
+        graph, size = scratch.counted(level_arcs(arcs, levels, depth, sink), f"graph-{phase}", n=F.count(F.lit(1)))
+        limit = Limit(None if max_rounds is None else max_rounds - turn, approx, value)
+        flow, used, gains = level_flow(graph, size["n"], depth, most, scratch, f"flow-{phase}", source, sink, limit, local_arcs)
+        for gained in gains:
             value, turn = value + gained, turn + 1
-            flows.append(flow.select("src", "dst", "flow"))
             metrics += [(turn, "accepted_flow", gained), (turn, "flow_value", value)]
-            stop = small or gained < approx * value or (max_rounds is not None and turn >= max_rounds)
-            if not stop:
-                left = graph.join(alive, ["level", "src", "dst"], "left_semi").join(flow, ["level", "src", "dst"], "left")
-                left = left.select("level", "src", "dst", (F.col("res") - F.coalesce("flow", F.lit(0))).alias("res")).where("res > 0")
-                graph, size = scratch.counted(left, f"graph-{phase}-{len(flows)}", n=one)
-        phase += 1
-        edges = scratch.table(apply_flow(edges, functools.reduce(DataFrame.unionByName, flows)), f"edges-{phase}")
+        arcs.change(flow.select("src", "dst", "flow"), used)
         if not keep_rounds:
-            graphs = [f"graph-{phase - 1}-{k}" for k in range(len(flows) + 1)]
-            scratch.drop(f"edges-{phase - 1}", f"arcs-{phase - 1}", f"levels-{phase - 1}", *graphs, *(f"sweep-{t}" for t in range(turn - len(flows), turn + 1)))
-        if gained < approx * value:
-            return FlowResult(edges, None, value, None, turn, False, metrics)
+            scratch.drop(f"levels-{phase}", f"graph-{phase}", f"flow-{phase}")
+        phase += 1
+        if gains[-1] < approx * value:
+            return result(None)

@@ -5,13 +5,15 @@ Path tables have v (the growing end), path (array of hops) and bottleneck.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.functions.graph import append_hop, empty_path, join_paths, prepend_hop, vertices_of, visits
+from sluice.functions.graph import PATH, append_hop, empty_path, join_paths, prepend_hop, vertices_of, visits
 from sluice.operators.maxflow import UNBOUNDED
-from sluice.operators.prefix import prefix_sums
+from sluice.operators.prefix import carried, prefix_sums
 from sluice.plans.scratch import Scratch
 
 
@@ -38,6 +40,24 @@ def extend(paths: DataFrame, arcs: DataFrame, backward: bool = False, longest: i
     return rows.select(F.col(far).alias("v"), grown.alias("path"), F.least("bottleneck", "res").alias("bottleneck"))
 
 
+def promising_arcs(paths: DataFrame, arcs: DataFrame, k: int, scratch: Scratch, label: str, backward: bool = False, longest: int | None = None, newest: int = 0) -> tuple[DataFrame, int]:
+    """The arcs over which the k best offers of every vertex come; and all offers of paths of ``newest`` hops.
+
+    Of each arc only the best offer is looked at: an offer that is among the k best of its vertex comes over one of
+    the k arcs with the best such offers. So an arc costs one narrow row, not one for each path of its vertex.
+    """
+    near, far = ("dst", "src") if backward else ("src", "dst")
+    lists = paths.groupBy(F.col("v").alias(near)).agg(F.collect_list(F.struct("bottleneck", "path")).alias("paths"))
+    fits = F.filter("paths", lambda p: ~visits(p["path"], F.col(far)) & (F.size(p["path"]) < (longest if longest is not None else UNBOUNDED)))
+    order = F.transform("fits", lambda p: F.struct((-F.least(p["bottleneck"], F.col("res"))).alias("o1"), F.size(p["path"]).alias("o2"), F.xxhash64(p["path"], F.col(far)).alias("o3")))
+    new = F.size(F.filter("fits", lambda p: F.size(p["path"]) == newest)).cast("bigint")
+    rows = arcs.where("res > 0 AND src <> dst").join(lists, near).select("src", "dst", "res", fits.alias("fits")).where("size(fits) > 0")
+    rows = rows.select("src", "dst", "res", new.alias("new"), F.array_min(order).alias("o"))
+    seen = Observation()
+    rows = scratch.table(_first(rows.observe(seen, F.coalesce(F.sum("new"), F.lit(0)).alias("n")), k, ["o", near], far), label)
+    return rows.select("src", "dst", "res"), seen.get["n"]
+
+
 def not_forwarded(offers: DataFrame, sent: DataFrame) -> DataFrame:
     """Offers (path, v) that the same path has not made to the same vertex before."""
     return offers.join(sent.select("path", "v").distinct(), ["path", "v"], "left_anti")
@@ -62,15 +82,15 @@ def random_paths(paths: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
     return _first(paths, k, [F.md5(F.concat(F.lit(f"{seed}:"), vertices)), "path"])
 
 
-def _first(paths: DataFrame, k: int | None, order: list) -> DataFrame:
+def _first(rows: DataFrame, k: int | None, order: list, key: str = "v") -> DataFrame:
     if k is None:
-        return paths
-    if k <= int(paths.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):  # Spark cuts before it shuffles
-        return paths.withColumn("place", F.row_number().over(W.partitionBy("v").orderBy(*order))).where(F.col("place") <= k).drop("place")
-    # A salted first cut keeps a vertex with very many paths from meeting in one task whole.
-    salt = F.pmod(F.xxhash64("path"), F.lit(32))
-    near = paths.withColumn("salt", salt).withColumn("place", F.row_number().over(W.partitionBy("v", "salt").orderBy(*order))).where(F.col("place") <= k)
-    return near.withColumn("place", F.row_number().over(W.partitionBy("v").orderBy(*order))).where(F.col("place") <= k).drop("salt", "place")
+        return rows
+    if k <= int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):  # Spark cuts before it shuffles
+        return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= k).drop("place")
+    # A salted first cut keeps a vertex with very many rows from meeting in one task whole.
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(32))
+    near = rows.withColumn("salt", salt).withColumn("place", F.row_number().over(W.partitionBy(key, "salt").orderBy(*order))).where(F.col("place") <= k)
+    return near.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= k).drop("salt", "place")
 
 
 def meet(s_paths: DataFrame, t_paths: DataFrame) -> DataFrame:
@@ -80,21 +100,71 @@ def meet(s_paths: DataFrame, t_paths: DataFrame) -> DataFrame:
     return rows.where(F.size("path") > 0).groupBy("path").agg(F.min("bottleneck").alias("bottleneck"))
 
 
+def meet_along_lines(s_paths: DataFrame, t_paths: DataFrame, scratch: Scratch, label: str = "lines", most: int | None = None) -> DataFrame:
+    """path, bottleneck of whole ways from source to sink where S and T paths meet, cycles taken out.
+
+    At a vertex the S paths lie along one line and the T paths along another, each as long as its bottleneck, best
+    first. Where stretches overlap the two become a way of that much flow, so a vertex gives fewer ways than it has
+    paths, and no path more flow than it has. A way that several vertices give counts once, with its most flow. most:
+    paths of a vertex on a side at most, if that is known.
+    """
+    both = s_paths.select("v").distinct().join(t_paths.select("v").distinct(), "v")
+    lines = []
+    for side, paths in (("s", s_paths), ("t", t_paths)):
+        own, seen = scratch.counted(paths.join(both, "v", "left_semi"), f"{label}/{side}", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return own.select("path", "bottleneck")
+        widest = most if most is not None else own.groupBy("v").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        lines.append((widest, prefix_sums(own, ["v"], [F.desc("bottleneck"), F.size("path"), "path"], "bottleneck", widest, scratch, f"{label}/{side}-line", out="at")))
+    end, none = (F.col("at") + F.col("bottleneck")).alias("end"), F.lit(None)
+    (s_most, s), (t_most, t) = lines
+    cuts = s.select("v", "at", "path", end, none.cast(PATH).alias("t_path"), none.cast("bigint").alias("t_end"))
+    cuts = cuts.unionByName(t.select("v", "at", none.cast(PATH).alias("path"), none.cast("bigint").alias("end"), F.col("path").alias("t_path"), end.alias("t_end")))
+    columns = ["path", "end", "t_path", "t_end"]
+    cuts = cuts.groupBy("v", "at").agg(*(F.first(c, ignorenulls=True).alias(c) for c in columns))
+    held = carried(cuts, ["v"], "at", columns, s_most + t_most, scratch, f"{label}/held").where("at < end AND at < t_end")
+    amount = F.least("next", "end", "t_end") - F.col("at")  # least leaves nulls out
+    ways = held.select(join_paths(F.col("path"), F.col("t_path")).alias("path"), amount.alias("bottleneck"))
+    return ways.where(F.size("path") > 0).groupBy("path").agg(F.max("bottleneck").alias("bottleneck"))
+
+
 def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | None = None, scratch: Scratch | None = None, label: str = "accept") -> DataFrame:
-    """path, amount of candidates in order, each given what is left on all its arcs after what earlier ones ask for.
+    """path, amount of candidates in order, each given what those accepted before it leave on all its arcs.
 
-    Demands are counted as bottlenecks, by prefix sums on every arc, so no arc is ever charged beyond its residual,
-    also where the two halves of a way share it. An arc of very many ways (with ``scratch``) is summed in ranges.
+    What a candidate gets lies between two bounds: all before it take the most they still may, or the least they are
+    sure of. Both come from prefix sums on every arc, and each turn narrows them; the first candidate that is open is
+    settled by the next turn at the latest, and mostly all are after a few. One that gets nothing charges nothing.
+    Paths are simple; an arc of very many ways is summed in ranges.
     """
+    scratch = scratch or Scratch(candidates.sparkSession, "accept")
     order = order or [F.size("path"), "path"]
-    ways = candidates.withColumn("hops", F.explode("path")).select("path", "bottleneck", F.col("hops.u").alias("src"), F.col("hops.v").alias("dst"))
-    most = 0
-    if scratch is not None:
-        most = ways.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    asked = prefix_sums(ways, ["src", "dst"], order, "bottleneck", most, scratch, label)
-    left = asked.join(arcs, ["src", "dst"], "left")
-    amount = F.min(F.least(F.col("bottleneck"), F.coalesce("res", F.lit(0)) - F.col("before")))
-    return left.groupBy("path").agg(amount.cast("bigint").alias("amount")).where("amount > 0")
+    # Ranges in order, and places within them: the ids ascend with the order.
+    ranked = candidates.select("path", "bottleneck").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = scratch.table(ranked.withColumn("rank", F.monotonically_increasing_id()), f"{label}/ranked")
+    hops = ranked.select("rank", "bottleneck", F.explode("path").alias("h")).select("rank", "bottleneck", F.col("h.u").alias("src"), F.col("h.v").alias("dst"))
+    with scratch.in_buckets():
+        hops = hops.join(arcs, ["src", "dst"], "left").withColumn("res", F.coalesce("res", F.lit(0).cast("bigint")))
+        zero, of_path = F.lit(0).cast("bigint"), W.partitionBy("rank")
+        hops = hops.withColumns({"low": zero, "high": F.min(F.least("bottleneck", "res")).over(of_path)}).where("high > 0")
+        hops, seen = scratch.counted(hops, f"{label}/turn-0", open=F.count(F.lit(1)))
+    most = hops.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if seen["open"] else 0
+    is_open, settled = F.col("low") < F.col("high"), []
+    while seen["open"]:
+        turn = len(settled) + 1
+        # Only arcs of candidates that are open matter; those settled on them stay as they are.
+        rows = hops.join(hops.where(is_open).select("src", "dst").distinct(), ["src", "dst"], "left_semi").withColumn("was_open", is_open)
+        for bound in ("low", "high"):
+            rows = prefix_sums(rows, ["src", "dst"], ["rank"], bound, most, scratch, f"{label}/{bound}-{turn}", out=f"{bound}_before")
+        left = lambda other: F.greatest(zero, F.min(F.least("bottleneck", F.col("res") - F.col(f"{other}_before"))).over(of_path))
+        narrowed = {name: F.when(F.col("was_open"), left(other)).otherwise(F.col(name)) for name, other in (("low", "high"), ("high", "low"))}
+        rows = rows.withColumns(narrowed).where("high > 0").drop("low_before", "high_before")
+        hops, seen = scratch.counted(rows, f"{label}/turn-{turn}", open=F.count_if(is_open))
+        settled.append(hops.where(F.col("was_open") & ~is_open).select("rank", "low"))
+        hops = hops.drop("was_open")
+    if not settled:
+        return ranked.select("path", F.col("bottleneck").alias("amount")).limit(0)
+    taken = functools.reduce(DataFrame.unionByName, settled).groupBy("rank").agg(F.min("low").alias("amount"))
+    return ranked.join(taken, "rank").select("path", F.col("amount").cast("bigint").alias("amount"))
 
 
 def as_delta(accepted: DataFrame) -> DataFrame:

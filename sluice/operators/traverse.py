@@ -5,33 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.plans.scratch import Scratch
+from sluice.plans.arcs import ArcLog
+from sluice.plans.scratch import Dealt, Scratch
 
 LEVELS = "v bigint, d int"
 
 
-def bfs_levels(arcs: DataFrame, start: DataFrame, stop: int | None = None, max_depth: int | None = None, scratch: Scratch | None = None, label: str = "bfs") -> tuple[DataFrame, list[int], bool]:
+def bfs_levels(arcs: DataFrame | ArcLog, start: DataFrame, stop: int | None = None, max_depth: int | None = None, scratch: Scratch | None = None, label: str = "bfs") -> tuple[DataFrame, list[int], bool]:
     """v, d of every vertex reached from ``start`` (v); the number of vertices of each level; whether ``stop`` was met.
 
     Vertices that are not reached are left out. With ``stop`` the search ends after the level that holds it. ``arcs``
-    are read at every level: best a table in buckets by src (``Scratch.bucketed``), which then stay in place.
+    are read at every level: best a table in buckets by src (``Scratch.bucketed``) or an ``ArcLog``, which then stay
+    in place.
     """
     scratch = scratch or Scratch(arcs.sparkSession, "bfs")
     goal = F.count_if(F.col("v") == (stop if stop is not None else F.lit(None).cast("bigint")))
     first = start.select(F.col("v").cast("bigint").alias("v"), F.lit(0).alias("d")).distinct()
-    frontier, got = scratch.counted(first, f"{label}/d=0", n=F.count(F.lit(1)), met=goal)
-    schema, sizes, depth = frontier.schema, [got["n"]], 0
+    seen, depth = Dealt(scratch, label, "v"), 0
+    got = seen.counted(first, n=F.count(F.lit(1)), met=goal)
+    sizes = [got["n"]]
     while sizes[-1] and not got["met"] and (max_depth is None or depth < max_depth):
-        seen = scratch.spark.read.schema("v bigint").option("recursiveFileLookup", "true").parquet(scratch.path(label))
+        levels = seen.read()
+        tails = levels.where(F.col("d") == depth).select(F.col("v").alias("src"))
         depth += 1
-        near = arcs.join(frontier.select(F.col("v").alias("src")), "src").select(F.col("dst").alias("v")).distinct()
-        new = near.join(seen, "v", "left_anti").withColumn("d", F.lit(depth))
-        frontier, got = scratch.counted(new, f"{label}/d={depth}", n=F.count(F.lit(1)), met=goal)
+        leaving = arcs.rows(tails) if isinstance(arcs, ArcLog) else arcs.join(tails, "src")
+        # What is new comes to the buckets of what was seen, which stay; the arcs stay in theirs.
+        near = leaving.select(F.col("dst").alias("v")).distinct().join(levels.select("v"), "v", "left_anti")
+        got = seen.counted(near.withColumn("d", F.lit(depth)), in_place=True, n=F.count(F.lit(1)), met=goal)
         sizes.append(got["n"])
     if not sizes[-1] and len(sizes) > 1:
         sizes.pop()
-    found = scratch.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(scratch.path(label))
-    return found, sizes, got["met"] > 0
+    return seen.close(), sizes, got["met"] > 0
 
 
 def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:

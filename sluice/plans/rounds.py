@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.build import arcs_of, attach_terminals, both_ways, merge_parallel, pick_terminals, symmetrise, terminals_of, unit_edges
-from sluice.operators.maxflow import FlowResult, apply_flow, ends, max_flow
-from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, extend, lost_vertices, meet, neighbours_of, not_forwarded, random_paths, seed_paths
+from sluice.operators.maxflow import FlowResult, ends, max_flow, with_residuals
+from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, extend, lost_vertices, meet_along_lines, neighbours_of, not_forwarded, promising_arcs, random_paths, seed_paths
 from sluice.operators.traverse import bfs_levels
+from sluice.plans.arcs import ArcLog
 from sluice.plans.config import SINK, SOURCE, FlowConfig
 from sluice.plans.scratch import Scratch
 
@@ -45,65 +46,86 @@ def run(edges: DataFrame, config: FlowConfig, method: str = "sweep") -> FlowResu
 def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None, measured: bool = True) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """Bidirectional rounds: paths grow from both terminals, meet, and are accepted; a valid flow and its metrics.
 
-    A path is offered to each neighbour once, and again if the neighbour lost its last path. Path lists are cut to
-    ``kept_paths`` a vertex, so this may stop short of the maximum; the sweeps finish it. Metrics of each side: paths
-    offered (extended), kept, cut off (truncated) and lost to saturated arcs, vertices that gained their first path
-    (moves) or lost their last (lost_vertices), and neighbours that are to offer again (notified). Without ``measured``
-    what only metrics of the last turn need is left out; the flow is the same.
+    Arcs are dealt twice, by their starts and by their ends, and stay there; accepted flow goes to their logs. A path
+    is offered to each neighbour once, and again if the neighbour lost its last path; only offers that a neighbour may
+    keep are made. Path lists are cut to ``kept_paths`` a vertex, so this may stop short of the maximum; the sweeps
+    finish it. Metrics of each side: paths that might be offered (extended), kept, cut off (truncated) and lost to
+    saturated arcs, vertices that gained their first path (moves) or lost their last (lost_vertices), and neighbours
+    that are to offer again (notified). Without ``measured`` what only metrics of the last turn need is left out; the
+    flow is the same.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
     edges = scratch.table(edges, "edges-0")
     one = F.count(F.lit(1))
+    ends_of = {"source": "src", "sink": "dst"}  # a path grows over arcs that have this end at it
+    logs = {side: ArcLog(scratch, f"arcs-{key}", arcs_of(edges), key) for side, key in ends_of.items() if side == "source" or config.bidirectional}
     sides = {"source": seed_paths(spark, SOURCE), "sink": seed_paths(spark, SINK)}
     sent: dict[str, DataFrame | None] = {"source": None, "sink": None}
     metrics: list[tuple[int, str, int]] = []
-    last = config.path_rounds if rounds is None else rounds
+    held, seen = dict.fromkeys(sides, 1), dict.fromkeys(sides, 1)  # paths and vertices of each side
+    last, flowed, most = config.path_rounds if rounds is None else rounds, False, config.kept_paths
     for turn in range(1, last + 1):
-        # Paths join arcs on the near end, so each side has its arcs in buckets by that.
-        arcs, vertices = scratch.bucketed(arcs_of(edges), f"arcs-{turn}", "src"), {}
-        near = {"source": arcs, "sink": scratch.bucketed(arcs, f"arcs-in-{turn}", "dst") if config.bidirectional else arcs}
         for side, paths in sides.items():
-            if side == "sink" and not config.bidirectional:
-                vertices[side] = 1
+            if side not in logs:
                 continue
-            draw = config.seed + turn if config.forward == "one" else None
-            grow = lambda some: extend(some, near[side], backward=side == "sink", longest=config.longest_path, draw=draw)  # noqa: B023, E731
+            near = logs[side].rows(paths.select(F.col("v").alias(ends_of[side])).distinct())
+            draw, back = config.seed + turn if config.forward == "one" else None, side == "sink"
+            possible = None
+            if draw is None and most is not None:
+                near, possible = promising_arcs(paths, near, most, scratch, f"{side}-arcs-{turn}", back, config.longest_path, turn - 1)
+            grow = lambda some: extend(some, near, backward=back, longest=config.longest_path, draw=draw)  # noqa: B023, E731
+            older = None
             if sent[side] is None:
                 offers = grow(paths)
             elif draw is not None:
                 offers = not_forwarded(grow(paths), sent[side])
             else:  # what was sent before this turn has fewer hops than what its longest paths offer now
                 newest = F.size("path") == turn - 1
-                offers = grow(paths.where(newest)).unionByName(not_forwarded(grow(paths.where(~newest)), sent[side]).select("v", "path", "bottleneck"))
-            offers, offered = scratch.counted(offers, f"{side}-offers-{turn}", n=one)
+                offers, older = grow(paths.where(newest)), not_forwarded(grow(paths.where(~newest)), sent[side]).select("v", "path", "bottleneck")
+                offers = offers.unionByName(older)
+            offers, offered = scratch.counted(offers, f"{side}-offers-{turn}", n=one, old=F.count_if(F.size("path") < turn))
+            if possible is not None:
+                offered["n"] = possible + offered["old"]
             sent[side] = offers.select("path", "v") if sent[side] is None else sent[side].unionByName(offers.select("path", "v"))
             # No path is twice among these: those kept were sent before, and each arc makes another path of each.
-            before, whole = paths.unionByName(offers), paths.count() + offered["n"]
-            kept = random_paths(before, config.kept_paths, config.seed + turn) if config.path_choice == "random" else best_paths(before, config.kept_paths)
+            before, whole = paths.unionByName(offers), held[side] + offered["n"]
+            kept = random_paths(before, most, config.seed + turn) if config.path_choice == "random" else best_paths(before, most)
             sides[side], left = scratch.counted(kept, f"{side}-{turn}", n=one)
-            vertices[side] = sides[side].select("v").distinct().count()
-            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", whole - left["n"]), (turn, f"{side}_moves", vertices[side] - paths.select("v").distinct().count())]
-        candidates, met = scratch.counted(meet(sides["source"], sides["sink"]), f"met-{turn}", n=one)
-        taken, got = scratch.counted(accept(candidates, arcs, scratch=scratch, label=f"accept-{turn}"), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
+            reached = sides[side].select("v").distinct().count()
+            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", whole - left["n"]), (turn, f"{side}_moves", reached - seen[side])]
+            held[side], seen[side] = left["n"], reached
+        candidates, met = scratch.counted(meet_along_lines(sides["source"], sides["sink"], scratch, f"lines-{turn}", most), f"met-{turn}", n=one)
+        got = {"n": 0, "flow": 0}
+        if met["n"]:
+            taken, got = scratch.counted(accept(candidates, logs["source"].rows(), scratch=scratch, label=f"accept-{turn}"), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
         metrics += [(turn, "candidates", met["n"]), (turn, "accepted_paths", got["n"]), (turn, "accepted_flow", got["flow"]), (turn, "dropped", met["n"] - got["n"])]
         if got["n"]:
+            flowed = True
             delta, changed = scratch.counted(as_delta(taken), f"delta-{turn}", n=one)
             metrics.append((turn, "changed_arcs", changed["n"]))
-            edges = scratch.table(apply_flow(edges, delta), f"edges-{turn}")
+            for log in logs.values():
+                log.change(delta, changed["n"])
             if turn == last and not measured:
                 break
             for side, paths in sides.items():
-                whole = paths.count()
-                sides[side], left = scratch.counted(bottlenecks(paths, arcs_of(edges)), f"{side}-left-{turn}", n=one)
+                with scratch.in_buckets():
+                    sides[side], left = scratch.counted(bottlenecks(paths, logs["source"].rows()), f"{side}-left-{turn}", n=one)
                 lost, gone = scratch.counted(lost_vertices(paths, sides[side]), f"{side}-lost-{turn}", n=one)
-                metrics += [(turn, f"{side}_saturated", whole - left["n"]), (turn, f"{side}_lost_vertices", gone["n"])]
+                metrics += [(turn, f"{side}_saturated", held[side] - left["n"]), (turn, f"{side}_lost_vertices", gone["n"])]
+                held[side], seen[side] = left["n"], seen[side] - gone["n"]
                 if gone["n"] and sent[side] is not None:
                     if turn < last:
                         sent[side] = scratch.table(sent[side].join(lost, "v", "left_anti"), f"{side}-sent-{turn}")
-                    metrics.append((turn, f"{side}_notified", neighbours_of(arcs, lost).count()))
+                    metrics.append((turn, f"{side}_notified", neighbours_of(logs["source"].rows(), lost).count()))
         elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):
             break
+        scratch.drop(*(f"{name}-{turn}" for name in ("lines", "met", "accept", "source-arcs", "sink-arcs")))
+    if flowed:
+        with scratch.in_buckets():
+            edges = scratch.table(with_residuals(edges, logs["source"].rows()), "edges")
+    for log in logs.values():
+        log.close()
     return edges, metrics
 
 
