@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 from sluice.functions.graph import PATH, append_hop, empty_path, join_paths, prepend_hop, vertices_of, visits
 from sluice.operators.maxflow import UNBOUNDED
 from sluice.operators.prefix import carried, prefix_sums
-from sluice.plans.scratch import Scratch
+from sluice.plans.scratch import Scratch, ship
+
+#: Hops on the arcs of open candidates that one task settles in order, at most.
+LOCAL_HOPS = 1 << 20
 
 
 def seed_paths(spark: SparkSession, v: int) -> DataFrame:
@@ -128,12 +133,39 @@ def meet_along_lines(s_paths: DataFrame, t_paths: DataFrame, scratch: Scratch, l
     return ways.where(F.size("path") > 0).groupBy("path").agg(F.max("bottleneck").alias("bottleneck"))
 
 
+def _in_order(batches):
+    """rank, amount of the open candidates, one after the other; settled ones (``asked`` -1) only charge their arcs."""
+    columns = [np.concatenate(c) for c in zip(*([np.asarray(x) for x in b.columns] for b in batches))]
+    if not columns:
+        return
+    rank, src, dst, res, low, asked = columns
+    order = np.argsort(rank, kind="stable")
+    arcs, arc = np.unique(np.stack([src, dst]), axis=1, return_inverse=True)
+    left = np.zeros(arcs.shape[1], np.int64)
+    left[arc] = res
+    left, arc, open_ = left.tolist(), arc[order].tolist(), asked[order] >= 0
+    first = np.flatnonzero(np.diff(rank[order], prepend=-1))
+    ranks, amounts = [], []
+    for begin, end, number in zip(first.tolist(), [*first[1:].tolist(), len(order)], rank[order][first].tolist()):
+        amount = int(low[order[begin]])
+        if open_[begin]:
+            amount = max(0, min(int(asked[order[begin]]), *(left[a] for a in arc[begin:end])))
+            ranks.append(number)
+            amounts.append(amount)
+        for a in arc[begin:end]:
+            left[a] -= amount
+    taken = np.array(amounts, np.int64) > 0
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(ranks, np.int64)[taken]), pa.array(np.array(amounts, np.int64)[taken])], names=["rank", "low"])
+
+
 def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | None = None, scratch: Scratch | None = None, label: str = "accept") -> DataFrame:
     """path, amount of candidates in order, each given what those accepted before it leave on all its arcs.
 
     What a candidate gets lies between two bounds: all before it take the most they still may, or the least they are
     sure of. Both come from prefix sums on every arc, and each turn narrows them; the first candidate that is open is
     settled by the next turn at the latest, and mostly all are after a few. One that gets nothing charges nothing.
+    Once the arcs of open candidates have at most LOCAL_HOPS hops on them, one task settles these one after the other:
+    chains, where each waits for the one before, then cost no turns. What is accepted is the same either way.
     Paths are simple; an arc of very many ways is summed in ranges.
     """
     scratch = scratch or Scratch(candidates.sparkSession, "accept")
@@ -147,18 +179,25 @@ def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | N
         zero, of_path = F.lit(0).cast("bigint"), W.partitionBy("rank")
         hops = hops.withColumns({"low": zero, "high": F.min(F.least("bottleneck", "res")).over(of_path)}).where("high > 0")
         hops, seen = scratch.counted(hops, f"{label}/turn-0", open=F.count(F.lit(1)))
-    most = hops.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if seen["open"] else 0
+    seen["hops"] = seen["open"]
+    most = hops.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if seen["open"] > LOCAL_HOPS else 0
     is_open, settled = F.col("low") < F.col("high"), []
     while seen["open"]:
         turn = len(settled) + 1
         # Only arcs of candidates that are open matter; those settled on them stay as they are.
-        rows = hops.join(hops.where(is_open).select("src", "dst").distinct(), ["src", "dst"], "left_semi").withColumn("was_open", is_open)
+        rows = hops.join(hops.where(is_open).select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+        if seen["hops"] <= LOCAL_HOPS:
+            ship(scratch.spark)
+            columns = ["rank", "src", "dst", "res", "low", F.when(is_open, F.col("bottleneck")).otherwise(-1).alias("asked")]
+            settled.append(rows.select(*columns).repartition(1).mapInArrow(_in_order, "rank bigint, low bigint"))
+            break
+        rows = rows.withColumn("was_open", is_open)
         for bound in ("low", "high"):
             rows = prefix_sums(rows, ["src", "dst"], ["rank"], bound, most, scratch, f"{label}/{bound}-{turn}", out=f"{bound}_before")
         left = lambda other: F.greatest(zero, F.min(F.least("bottleneck", F.col("res") - F.col(f"{other}_before"))).over(of_path))
         narrowed = {name: F.when(F.col("was_open"), left(other)).otherwise(F.col(name)) for name, other in (("low", "high"), ("high", "low"))}
         rows = rows.withColumns(narrowed).where("high > 0").drop("low_before", "high_before")
-        hops, seen = scratch.counted(rows, f"{label}/turn-{turn}", open=F.count_if(is_open))
+        hops, seen = scratch.counted(rows, f"{label}/turn-{turn}", open=F.count_if(is_open), hops=F.count(F.lit(1)))
         settled.append(hops.where(F.col("was_open") & ~is_open).select("rank", "low"))
         hops = hops.drop("was_open")
     if not settled:

@@ -14,11 +14,13 @@ from sluice.functions.graph import fold_id, path_text
 from sluice.operators.build import arcs_of, attach_terminals, degrees, merge_parallel, pick_terminals, symmetrise, unit_edges
 from sluice.operators.decompose import decompose
 from sluice.operators.maxflow import FlowResult, max_flow
-from sluice.operators.paths import accept, best_paths, bottlenecks, extend, meet, random_paths, seed_paths
+from sluice.operators.paths import accept, best_paths, bottlenecks, extend, meet, meet_along_lines, random_paths, seed_paths
 from sluice.operators.traverse import level_histogram, reachable
 from sluice.operators.verify import capacity_violations, conservation_violations
+from sluice.plans.arcs import ArcLog
 from sluice.plans.config import SINK, SOURCE, TERMINAL_CAPACITY, FlowConfig
 from sluice.plans.rounds import path_rounds, search
+from sluice.plans.scratch import Scratch
 from sluice.sources.graph import parse_adjacency, parse_dimacs
 
 SUPPLIER, CUSTOMER, PART = 1_000_000, 2_000_000, 4_000_000
@@ -146,6 +148,34 @@ def greedy_acceptance(spark, sf_dir):
     return accept(_two_hops(spark, sf_dir), arcs).select(path_text(F.col("path"), F.col("amount")).alias("path"))
 
 
+def exact_acceptance(spark, sf_dir):
+    """Whole ways of GB, by supplier and part, each given what those accepted before it leave on all its arcs."""
+    arcs = arcs_of(graph_b(spark, sf_dir))
+    ways = meet(_two_hops(spark, sf_dir), extend(seed_paths(spark, SINK), arcs, backward=True))
+    return accept(ways, arcs).select(path_text(F.col("path"), F.col("amount")).alias("path"))
+
+
+def two_line_meet(spark, sf_dir):
+    """Ways of GB where the paths to a part share, best first, what its way to the sink can carry."""
+    arcs = arcs_of(graph_b(spark, sf_dir))
+    ways = meet_along_lines(_two_hops(spark, sf_dir), extend(seed_paths(spark, SINK), arcs, backward=True), Scratch(spark, "meet"))
+    return ways.select(path_text(F.col("path"), F.col("bottleneck")).alias("path"))
+
+
+def tree_flow_by_joins(spark, sf_dir):
+    """The flow of GC with every sweep by joins, whatever the size of its level graphs; edges of the two upper levels."""
+    edges = max_flow(graph_c(spark, sf_dir), local_arcs=0).edges
+    return edges.where((F.col("u") == SOURCE) | (F.col("v") < CUSTOMER) & (F.col("u") > SINK)).groupBy((F.col("u") == SOURCE).alias("upper")).agg(F.sum("flow").alias("flow_value"))
+
+
+def arc_log_scan(spark, sf_dir):
+    """Residual arcs of GB as its log shows them after every third edge took what it can: base and changes, in place."""
+    log = ArcLog(Scratch(spark, "log"), "arcs", arcs_of(graph_b(spark, sf_dir)))
+    used = _half_used(spark, sf_dir).where("flow > 0").select(F.col("u").alias("src"), F.col("v").alias("dst"), "flow")
+    log.change(used, used.count())
+    return log.rows()
+
+
 def adjacency_scan(spark, sf_dir):
     lines = _ids(spark, sf_dir).groupBy("src").agg(F.concat_ws("\t", F.collect_set(F.col("dst").cast("string"))).alias("near"))
     return parse_adjacency(lines.select(F.concat_ws("\t", "src", F.lit("x"), "near", "src", F.lit("bad")).alias("value")))
@@ -230,7 +260,7 @@ def duality_gap(spark, sf_dir):
 
 
 def queries() -> dict:
-    every = (edge_build, degree, symmetrised, bfs_levels, bfs_level_histogram, reachable_set, terminal_pick, capacity_merge, residual_arcs, one_hop_extend, topk_paths, random_k_paths, saturated_filter, two_hop_meet, greedy_acceptance, adjacency_scan, dimacs_scan, folded_ids, tree_max_flow, tree_cut_side, tree_flow_edges, max_flow_unit, max_flow_capacitated, min_cut_side, flow_metrics, flow_paths, path_round_flow, path_round_tree_flow, path_round_metrics, flow_conservation, flow_capacity, duality_gap)
+    every = (edge_build, degree, symmetrised, bfs_levels, bfs_level_histogram, reachable_set, terminal_pick, capacity_merge, residual_arcs, one_hop_extend, topk_paths, random_k_paths, saturated_filter, two_hop_meet, greedy_acceptance, exact_acceptance, two_line_meet, tree_flow_by_joins, arc_log_scan, adjacency_scan, dimacs_scan, folded_ids, tree_max_flow, tree_cut_side, tree_flow_edges, max_flow_unit, max_flow_capacitated, min_cut_side, flow_metrics, flow_paths, path_round_flow, path_round_tree_flow, path_round_metrics, flow_conservation, flow_capacity, duality_gap)
     return {f.__name__: f for f in every}
 
 
@@ -251,6 +281,22 @@ _TREE = """cu AS (SELECT c_custkey, c_nationkey, greatest(CAST(floor(c_acctbal)
   re AS (SELECT n_regionkey, least(sum(f), 4400 * sum(n)) AS f, sum(n) AS n FROM na GROUP BY 1 HAVING sum(n) > 0)"""
 _USED = "CASE WHEN (least(src, dst) + greatest(src, dst)) % 3 = 0 THEN CASE WHEN src < dst THEN cap ELSE 0 END ELSE 0 END"
 
+_RESIDUAL = f"WITH {_GB}, w AS (SELECT src, dst, cap, {_USED} AS flow, CASE WHEN src < dst THEN cap ELSE 0 END AS c1, CASE WHEN src < dst THEN 0 ELSE cap END AS c2, least(src, dst) AS u, greatest(src, dst) AS v FROM g), z AS (SELECT u AS src, v AS dst, c1 - flow AS res FROM w UNION ALL SELECT v, u, c2 + flow FROM w) SELECT src, dst, res FROM z WHERE res > 0"
+# One supplier after the other: its parts take from what is left at each, in order, until its own arc is used up.
+_EXACT = f"""WITH RECURSIVE {_P2},
+  c AS (SELECT p.s, p.part, p.b, f.cap AS own, t.cap AS last FROM p JOIN f ON f.dst = p.s JOIN t ON t.src = p.part WHERE t.cap > 0),
+  n AS (SELECT s, row_number() OVER (ORDER BY s) AS k FROM (SELECT DISTINCT s FROM c)),
+  d AS MATERIALIZED (SELECT n.k, c.* FROM c JOIN n USING (s)),
+  r(k, s, part, amount, room) AS (
+    SELECT 0::BIGINT, NULL::BIGINT, part, 0::BIGINT, min(last) FROM d GROUP BY part
+    UNION ALL
+    SELECT z.k + 1, z.s, z.part, z.x, z.room - z.x FROM (
+      SELECT r.k, d.s, r.part, r.room,
+             CAST(CASE WHEN d.s IS NULL THEN 0 ELSE greatest(0, least(least(d.b, r.room), d.own - coalesce(sum(least(d.b, r.room)) OVER (PARTITION BY d.s ORDER BY r.part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS BIGINT) AS x
+      FROM r LEFT JOIN d ON d.k = r.k + 1 AND d.part = r.part) AS z
+    WHERE z.k < (SELECT max(k) FROM n))
+SELECT concat('1:', s, ':', part, ':2=', amount) AS path FROM r WHERE amount > 0"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -262,7 +308,8 @@ def oracle_sql() -> dict[str, str]:
         "reachable_set": f"WITH RECURSIVE {_GB}, r(v) AS (SELECT 1000001::BIGINT UNION SELECT g.dst FROM r JOIN g ON g.src = r.v WHERE g.cap > 0) SELECT v FROM r",
         "terminal_pick": f"WITH {_A}, d AS (SELECT src AS v FROM a GROUP BY 1 HAVING count(*) > 5 ORDER BY 1 LIMIT 20), n AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM d) SELECT v, CASE WHEN k % 2 = 1 THEN 'source' ELSE 'sink' END AS kind FROM n",
         "capacity_merge": "SELECT 1000000 + l_suppkey AS u, 4000000 + l_partkey AS v, CAST(sum(l_quantity) AS BIGINT) AS cap_uv, 0::BIGINT AS cap_vu, 0::BIGINT AS flow FROM lineitem GROUP BY 1, 2",
-        "residual_arcs": f"WITH {_GB}, w AS (SELECT src, dst, cap, {_USED} AS flow, CASE WHEN src < dst THEN cap ELSE 0 END AS c1, CASE WHEN src < dst THEN 0 ELSE cap END AS c2, least(src, dst) AS u, greatest(src, dst) AS v FROM g), z AS (SELECT u AS src, v AS dst, c1 - flow AS res FROM w UNION ALL SELECT v, u, c2 + flow FROM w) SELECT src, dst, res FROM z WHERE res > 0",
+        "residual_arcs": _RESIDUAL,
+        "arc_log_scan": _RESIDUAL,
         "one_hop_extend": f"WITH {_P2} SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM p",
         "topk_paths": f"WITH {_P2}, k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY b DESC, s) AS n FROM p) SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM k WHERE n <= 3",
         "random_k_paths": f"WITH {_P2}, k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY md5(concat('7:1:', s, ':', part)), s) AS n FROM p) SELECT v, concat('1:', s, ':', part, '=', b) AS path FROM k WHERE n <= 2",
@@ -273,6 +320,9 @@ def oracle_sql() -> dict[str, str]:
 SELECT y.part AS v, concat('1:', s, ':', y.part, '=', least(x.res, y.res)) AS path FROM x JOIN y USING (s)""",
         "two_hop_meet": f"WITH {_P2} SELECT concat('1:', s, ':', part, ':2=', least(b, t.cap)) AS path FROM p JOIN t ON t.src = part WHERE t.cap > 0",
         "greedy_acceptance": f"WITH {_P2}, o AS (SELECT p.*, f.cap AS c1, q.cap AS c2, coalesce(sum(b) OVER (PARTITION BY s ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN f ON f.dst = s JOIN q ON q.src = s AND q.dst = part), z AS (SELECT s, part, CAST(least(b, c1 - before, c2) AS BIGINT) AS amount FROM o) SELECT concat('1:', s, ':', part, '=', amount) AS path FROM z WHERE amount > 0",
+        "exact_acceptance": _EXACT,
+        "two_line_meet": f"WITH {_P2}, o AS (SELECT p.*, t.cap AS room, coalesce(sum(b) OVER (PARTITION BY part ORDER BY b DESC, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN t ON t.src = part) SELECT concat('1:', s, ':', part, ':2=', CAST(least(b, room - before) AS BIGINT)) AS path FROM o WHERE room > before",
+        "tree_flow_by_joins": f"WITH {_TREE} SELECT true AS upper, CAST(sum(f) AS BIGINT) AS flow_value FROM re UNION ALL SELECT false, CAST(sum(f) AS BIGINT) FROM re",
         "adjacency_scan": f"WITH {_E} SELECT u AS src, v AS dst FROM e",
         "dimacs_scan": "SELECT 1000002 + l_suppkey AS u, 4000002 + l_partkey AS v, CAST(sum(l_quantity) AS BIGINT) AS cap_uv, 0::BIGINT AS cap_vu, 0::BIGINT AS flow FROM lineitem GROUP BY 1, 2",
         "folded_ids": "SELECT c_custkey, CAST(-(c_custkey + 3) AS BIGINT) AS id FROM customer",

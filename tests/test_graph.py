@@ -174,26 +174,160 @@ def test_random_terminals(spark):
     assert solve(frame(spark, pairs), config).value == brute_flow(arcs)[0]
 
 
+def layered(seed):
+    rng = random.Random(seed)
+    layers = [[1], list(range(10, 16)), list(range(20, 26)), [2]]
+    return layers, [(k, u, v, rng.randint(1, 9)) for k in range(3) for u in layers[k] for v in layers[k + 1] if k != 1 or rng.random() < 0.6]
+
+
 def test_sweeps_in_memory_agree_with_joins(spark):
+    """The same flow on every arc and the same gain of every sweep, also where a limit ends them."""
     import numpy as np
 
     from sluice.plans.scratch import Scratch
 
-    rng = random.Random(4)
-    layers = [[1], list(range(10, 16)), list(range(20, 26)), [2]]
-    arcs = [(k, u, v, rng.randint(1, 9)) for k in range(3) for u in layers[k] for v in layers[k + 1] if k != 1 or rng.random() < 0.6]
-    graph = spark.createDataFrame(arcs, "level int, src bigint, dst bigint, res bigint")
-    columns = [np.array(c) for c in zip(*arcs)]
-    flow = maxflow.block_in_memory(*columns)
-    assert (flow >= 0).all() and (flow <= columns[3]).all()
-    for v in layers[1] + layers[2]:
-        assert flow[columns[2] == v].sum() == flow[columns[1] == v].sum()
-    once, gained, _ = maxflow.sweep(graph, 3, 10, Scratch(spark, "t"), "s")
-    assert 0 < gained <= flow[columns[0] == 0].sum()
-    out, total, _ = maxflow.block(graph, Scratch(spark, "t"), "b")
-    assert total == flow[columns[0] == 0].sum() == brute_flow([a[1:] for a in arcs])[0] or total > 0
-    assert {tuple(r)[:3]: r["flow"] for r in out.collect()} == {a[:3]: f for a, f in zip(arcs, flow.tolist()) if f}
-    assert maxflow.block_in_memory(*(c[:0] for c in columns)).tolist() == []
+    several = 0
+    for seed in (4, 5):
+        layers, arcs = layered(seed)
+        graph = spark.createDataFrame(arcs, "level int, src bigint, dst bigint, res bigint")
+        columns = [np.array(c) for c in zip(*arcs)]
+        flow, gains = maxflow.block_in_memory(*columns)
+        several += len(gains) > 1
+        assert (flow >= 0).all() and (flow <= columns[3]).all()
+        for v in layers[1] + layers[2]:
+            assert flow[columns[2] == v].sum() == flow[columns[1] == v].sum()
+        assert sum(gains) == flow[columns[0] == 0].sum() <= brute_flow([a[1:] for a in arcs])[0]
+        for limit in (None, maxflow.Limit(sweeps=1), maxflow.Limit(approx=0.5)):
+            found = [maxflow.level_flow(graph, len(arcs), 3, 10, Scratch(spark, "t"), "f", limit=limit, local_arcs=n) for n in (None, 0)]
+            (one, used, got), (joined, also_used, also_got) = found
+            assert got == also_got and used == also_used == one.count()
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, joined.select(one.columns).collect()))
+            assert limit is not None or got == gains
+    assert several
+    assert maxflow.block_in_memory(*(c[:0] for c in columns))[1] == []
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_rounds": 1}, {"approx": 0.3}])
+def test_a_run_means_the_same_at_every_size(spark, limits):
+    rng = random.Random(11)
+    arcs = [(1, v, rng.randint(1, 9)) for v in range(10, 16)] + [(v, 2, rng.randint(1, 9)) for v in range(20, 26)]
+    arcs += [(u, v, rng.randint(1, 5)) for u in range(10, 16) for v in range(20, 26) if rng.random() < 0.5] + [(10, 11, 3), (21, 20, 4)]
+    runs = [max_flow(build.merge_parallel(frame(spark, arcs)), local_arcs=n, **limits) for n in (None, 0)]
+    assert runs[0].metrics == runs[1].metrics and runs[0].sweeps == runs[1].sweeps and runs[0].value == runs[1].value
+    assert sorted(map(tuple, runs[0].edges.collect())) == sorted(map(tuple, runs[1].edges.collect()))
+    if not limits:
+        assert runs[0].converged and runs[0].value == brute_flow(arcs)[0] and runs[0].sweeps > 1
+    else:
+        assert runs[0].sweeps == 1 or "approx" in limits
+
+
+@pytest.mark.parametrize("merged", [False, True])
+def test_arc_log(spark, monkeypatch, merged):
+    """Residuals after changes as a dictionary has them; no exchange of what the log holds, also when it is merged."""
+    from sluice.plans import arcs as A
+    from sluice.plans.scratch import Scratch
+
+    monkeypatch.setattr(A, "LOG_SHARE", 0 if merged else 100)
+    rng = random.Random(2)
+    held = {(u, v): rng.randint(1, 9) for u in range(20) for v in range(20) if u != v and rng.random() < 0.3}
+    log = A.ArcLog(Scratch(spark, "log"), "arcs", spark.createDataFrame([(*k, r) for k, r in held.items()], "src bigint, dst bigint, res bigint"))
+    for _ in range(3):
+        flow = {k: rng.randint(1, r) for k, r in held.items() if r > 0 and rng.random() < 0.4 and k[0] < k[1]}
+        for (u, v), f in flow.items():
+            held[u, v] -= f
+            held[v, u] = held.get((v, u), 0) + f
+        log.change(spark.createDataFrame([(*k, f) for k, f in flow.items()], "src bigint, dst bigint, flow bigint"), len(flow))
+    assert {(r["src"], r["dst"]): r["res"] for r in log.rows().collect()} == {k: r for k, r in held.items() if r}
+    near = spark.createDataFrame([(3, "x"), (4, "y"), (99, "z")], "src bigint, tag string")
+    assert {(r["src"], r["dst"]): (r["res"], r["tag"]) for r in log.rows(near).collect()} == {k: (r, "xy"[k[0] - 3]) for k, r in held.items() if r and k[0] in (3, 4)}
+    plan = log.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and log.generation == (3 if merged else 0)
+    log.close()
+
+
+def serial(candidates, left):
+    """Amounts of paths taken one after the other, shorter first."""
+    left, out = dict(left), {}
+    for path, most in sorted(candidates.items(), key=lambda x: (len(x[0]), x[0])):
+        amount = min([most] + [left.get(hop, 0) for hop in path])
+        if amount > 0:
+            out[path] = amount
+            for hop in path:
+                left[hop] -= amount
+    return out
+
+
+def as_paths(spark, rows):
+    return spark.createDataFrame([([{"u": u, "v": v} for u, v in p], b) for p, b in rows], f"path {G.PATH}, bottleneck bigint")
+
+
+@pytest.mark.parametrize("local", [0, 30, 1 << 20])
+@pytest.mark.parametrize("ranges", [False, True])
+def test_acceptance_is_greedy_one_after_the_other(spark, monkeypatch, local, ranges):
+    monkeypatch.setattr(paths, "LOCAL_HOPS", local)
+    if ranges:
+        monkeypatch.setattr(prefix, "WHOLE_KEY", 3)
+    rng = random.Random(local + ranges)
+    left = {(u, u + 10 * k + v): rng.randint(0, 5) for u in range(4) for v in range(3) for k in range(3)}
+    candidates = {tuple(rng.sample(list(left), rng.randint(1, 4))): rng.randint(1, 4) for _ in range(60)}
+    # What is turned down charges nothing: the third way is free where the second one fails.
+    chain = {((100, 101),): 1, ((100, 101), (102, 103)): 1, ((102, 103), (104, 105), (106, 107)): 1}
+    candidates, left = candidates | chain, left | {(100, 101): 1, (102, 103): 1, (104, 105): 1, (106, 107): 1}
+    arcs = spark.createDataFrame([(*k, r) for k, r in left.items() if r], "src bigint, dst bigint, res bigint")
+    got = {tuple((h["u"], h["v"]) for h in r["path"]): r["amount"] for r in paths.accept(as_paths(spark, candidates.items()), arcs).collect()}
+    assert got == serial(candidates, left) and len([p for p in chain if p in got]) == 2
+    assert paths.accept(as_paths(spark, []), arcs).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [False, True])
+def test_paths_meet_along_two_lines(spark, monkeypatch, ranges):
+    from sluice.plans.scratch import Scratch
+
+    if ranges:
+        monkeypatch.setattr(prefix, "WHOLE_KEY", 2)
+    rng = random.Random(8)
+    rows = {"s": [], "t": []}
+    for v in range(100, 106):
+        for k in range(rng.randint(1, 5) if v < 105 else 0):
+            rows["s"].append((v, [{"u": 1, "v": 10 + k}, {"u": 10 + k, "v": v}], rng.randint(1, 6)))
+        for k in range(rng.randint(1, 5)):
+            rows["t"].append((v, [{"u": v, "v": 200 + k}, {"u": 200 + k, "v": 2}], rng.randint(1, 6)))
+    sides = [spark.createDataFrame(r, f"v bigint, path {G.PATH}, bottleneck bigint") for r in rows.values()]
+    want = {}
+    for v in range(100, 106):
+        s, t = ([[list(map(lambda h: (h["u"], h["v"]), p)), b] for w, p, b in sorted(rows[k], key=lambda x: (-x[2], [(h["u"], h["v"]) for h in x[1]])) if w == v] for k in "st")
+        while s and t:
+            amount = min(s[0][1], t[0][1])
+            want[tuple(s[0][0] + t[0][0])] = amount
+            for line in (s, t):
+                line[0][1] -= amount
+                if not line[0][1]:
+                    line.pop(0)
+    got = {tuple((h["u"], h["v"]) for h in r["path"]): r["bottleneck"] for r in paths.meet_along_lines(*sides, Scratch(spark, "m")).collect()}
+    assert got == want and len(got) < len(rows["s"]) + len(rows["t"])
+    ends = paths.meet_along_lines(paths.seed_paths(spark, 1), spark.createDataFrame([(1, [{"u": 1, "v": 2}], 3), (1, [{"u": 1, "v": 5}, {"u": 5, "v": 2}], 4)], f"v bigint, path {G.PATH}, bottleneck bigint"), Scratch(spark, "m"))
+    assert sorted(r["bottleneck"] for r in ends.collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_promising_arcs_hold_the_best_offers(spark, backward):
+    """Offers over them give each vertex as good a list as offers over all arcs."""
+    from sluice.plans.scratch import Scratch
+
+    rng = random.Random(3)
+    near, far = range(10, 18), range(30, 34)
+    turn = lambda hops: [{"u": b, "v": a} for a, b in hops[::-1]] if backward else [{"u": a, "v": b} for a, b in hops]
+    rows = [(v, turn([(1, rng.choice(far)), (40 + k, v)] if rng.random() < 0.5 else [(1, v)]), rng.randint(1, 9)) for v in near for k in range(rng.randint(1, 4))]
+    some = spark.createDataFrame(rows, f"v bigint, path {G.PATH}, bottleneck bigint").dropDuplicates(["v", "path"])
+    ends = [(a, b) for a in near for b in far if rng.random() < 0.8]
+    arcs = spark.createDataFrame([((b, a) if backward else (a, b)) + (rng.randint(0, 9),) for a, b in ends], "src bigint, dst bigint, res bigint")
+    for k in (1, 3):
+        chosen, n = paths.promising_arcs(some, arcs, k, Scratch(spark, "p"), "p", backward, newest=1)
+        every = paths.extend(some, arcs, backward)
+        assert n == paths.extend(some.where(F.size("path") == 1), arcs, backward).count()
+        key = lambda df: sorted((r["v"], -r["bottleneck"], len(r["path"])) for r in paths.best_paths(df, k).collect())
+        assert key(paths.extend(some, chosen, backward)) == key(every)
+        assert max(r["n"] for r in chosen.groupBy("src" if backward else "dst").agg(F.count("*").alias("n")).collect()) <= k
 
 
 def test_arcs_in_buckets_stay_in_place(spark):
