@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import pathlib
 import sys
-import tempfile
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.plans.scratch import Scratch, shared_dir  # noqa: F401
+from sluice.plans.scratch import Scratch, shared_dir, ship  # noqa: F401
 
 U64 = np.uint64
 #: Text bytes hashed at a time; bounds the numpy temporaries of a Python worker (about 40 bytes each).
@@ -27,15 +24,7 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, and lower Arrow batches to what they hold comfortably."""
-    context = spark.sparkContext
-    if getattr(context, "_sluice_sent", None) is None:
-        root = pathlib.Path(__file__).resolve().parents[1]
-        archive = pathlib.Path(tempfile.mkdtemp(prefix="sluice-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        context._sluice_sent = True
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:

@@ -180,11 +180,11 @@ def _score(docs: pa.Table, replies: pa.Table, n: int, v: int, weights: np.ndarra
     return pa.table([*arrays, docs.column("copies")], names=[*(f.split()[0] for f in SCORED.split(", ")), "copies"])
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, held: int = 0, tuning: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, held: int = 0, tuning: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every row.
 
-    Learns from rows whose crc32(id as text) mod ``fold`` is not ``held``; those with remainder ``tuning`` (all of
-    them, if none has it) also give the deleted counts that the weights are learned from. Words are
+    Learns from rows whose crc32(id as text) mod ``fold`` is not ``held``; all of these give the deleted counts that the
+    weights are learned from, or only those with remainder ``tuning`` if it is given and some row has it. Words are
     ``[^\\x20\\x09-\\x0D]+`` with A-Z folded. Null and empty texts are the end token alone. A row with a null id is
     scored, not learned from. Repeated rows count each and get a row each; an empty table gives no rows. Other columns
     play no part. A document, however long, is scored by one task.
@@ -194,7 +194,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sizes = rows.groupBy(F.xxhash64("doc_id", "text").alias("hash"), "doc_id").agg(F.count("*").alias("copies"), F.sum(F.octet_length("text") + 1).alias("size"))
-    found = sizes.agg(F.max("copies").alias("copies"), F.sum("size").alias("size"), F.count_if(remainder_of("doc_id", fold) == tuning).alias("tuning")).first()
+    found = sizes.agg(F.max("copies").alias("copies"), F.sum("size").alias("size"), F.count_if(remainder_of("doc_id", fold) == F.lit(tuning).cast("long")).alias("tuning")).first()
     if (found["copies"] or 0) > 1:  # repeated rows are scored once, or one task would gather them
         rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     else:
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flags = {"held_out": left == held, "learned": left != held, "tuning": tunes}
     rows = rows.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in flags.items()})
     chunks = max(1, -(-(found["size"] or 0) // CHUNK_BYTES))
-    # The rows that tune have chunks of their own, so that the weights need only those.
+    # The rows that tune have chunks of their own; the others are few where all that is learned from tunes.
     apart = max(1, chunks // fold if found["tuning"] else chunks)
     place = F.xxhash64("doc_id", "text")
     chunk = F.when(F.col("tuning"), -1 - F.pmod(place, F.lit(apart))).otherwise(F.pmod(place, F.lit(chunks)))

@@ -308,8 +308,8 @@ def test_max_score_prunes_and_is_exact():
         assert rows.tolist() == want.tolist() and scores.tolist() == (query @ terms)[want].tolist()
 
 
-@pytest.mark.parametrize(("size", "direct", "only"), [(4000, 1024, None), (1500, 3, None), (1 << 20, 1024, None), (4000, 1024, range(60, 75))])
-def test_language_model(docs, rows, empty, monkeypatch, size, direct, only):
+@pytest.mark.parametrize(("size", "direct", "only", "tuning"), [(4000, 1024, None, 1), (1500, 3, None, 1), (1 << 20, 1024, None, 1), (4000, 1024, range(60, 75), 1), (4000, 1024, None, None), (1500, 3, None, None)])
+def test_language_model(docs, rows, empty, monkeypatch, size, direct, only, tuning):
     """Counts, weights and scores against token-by-token versions; one or many chunks, asking in one step or two."""
     from sluice.llm import lm
 
@@ -321,7 +321,7 @@ def test_language_model(docs, rows, empty, monkeypatch, size, direct, only):
     if only is not None:  # none of these has the remainder that tunes
         only = [i for i in only if zlib.crc32(str(i).encode()) % 10 != 1]
         docs, rows = docs.where(F.col("doc_id").isin(only)), [r for r in rows if r[0] in only]
-    got = collections.Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm.score_documents(docs).collect())
+    got = collections.Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm.score_documents(docs, **({} if tuning is None else {"tuning": tuning})).collect())
     weights = seen[-1]
     tokens = [(i, [*words(t), "\n"]) for i, t, *_ in rows]
     left = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 10
@@ -330,7 +330,7 @@ def test_language_model(docs, rows, empty, monkeypatch, size, direct, only):
     pairs = collections.Counter(p for _, w in learned for p in zip(["\n", *w], w))
     n, v = sum(count.values()), len(count)
     kind = lambda c: min(int(math.log2(c)) + 1, lm.CONTEXTS - 1) if c > 0 else 0
-    tune = [w for i, w in learned if left(i) == 1] or [w for _, w in learned]
+    tune = [w for i, w in learned if left(i) == tuning] or [w for _, w in learned]
     cells = [(kind(count[h] - 1), (pairs[h, x] - 1) / max(count[h] - 1, 1), (count[x] - 1) / (n - 1)) for w in tune for h, x in zip(["\n", *w], w)]
     want = learn(np.array([c[0] for c in cells]), np.array([[p, s, 1 / (v + 1)] for _, p, s in cells]), np.ones(len(cells)))
     assert np.abs(weights - want).max() < 0.01 and np.allclose(weights.sum(axis=1), 1)
