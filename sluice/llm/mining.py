@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Scratch, prepare, task
 
 #: Rows of a block of candidates and of anchors, rows of a leaf of either, and components whose signs order the rows.
-BLOCK_ROWS, ANCHOR_ROWS, LEAF, ANCHOR_LEAF, SIGNS = 32_768, 1_024, 256, 32, 8
+BLOCK_ROWS, ANCHOR_ROWS, LEAF, ANCHOR_LEAF, SIGNS = 8_192, 1_024, 256, 32, 8
 #: Blocks of candidates whose bounds workers hold at a time, by their bytes; anchor blocks that one task takes.
 BOUND_BYTES, TASK_BLOCKS = 64 << 20, 256
 #: Every score is below this, so that doubles add them exactly; also the ends of a window without limits.
@@ -184,7 +184,8 @@ def blocks(rows: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame
     laid = rows.select("*", signs.alias("signs"), F.xxhash64("vector").alias("deal"))
     # Ranges end anywhere within a label or a group of copies, so one of a third of all rows is dealt over many of them.
     order = ["label", "signs", "deal", "vec_id"]
-    laid = laid.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "label", "vector", "slots")
+    # Their number follows the rows: many small blocks would each hold k candidates of a slot that has better ones elsewhere.
+    laid = laid.repartitionByRange(max(1, -(-rows.count() // size)), *order).sortWithinPartitions(*order).select("vec_id", "label", "vector", "slots")
     return scratch.table(laid.mapInArrow(partial(_pack, rows=size), PACKED), name)
 
 
