@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from sluice.operators.build import both_ways, terminals_of
 from sluice.operators.decompose import decompose
 from sluice.plans.config import FlowConfig
+from sluice.plans.journal import Journal
 from sluice.plans.rounds import network, run, search
 from sluice.sources import sinks
-from sluice.sources.graph import adjacency_figures, from_table, parse_adjacency, read_dimacs, read_state
+from sluice.sources.graph import adjacency_figures, dimacs_figures, from_table, parse_adjacency, read_dimacs, read_state
 
 METRICS = "round int, name string, value bigint"
 
@@ -53,14 +54,20 @@ def main(argv: list[str] | None = None) -> None:
 def _graph(spark: SparkSession, args: argparse.Namespace, config: FlowConfig) -> tuple[DataFrame, DataFrame | None, FlowConfig, list]:
     """Arcs, terminals if the file names them, the settings, and figures of what was read."""
     if args.dimacs:
+        figures = [(0, r["name"], r["value"]) for r in dimacs_figures(spark.read.text(args.graph), args.mode).collect()]
         arcs, terminals, _ = read_dimacs(spark, args.graph)
-        return arcs, terminals, replace(config, undirected=False), []
+        return arcs, terminals, replace(config, undirected=False), figures
     if args.table:
         return from_table(spark.read.parquet(args.graph), *args.table.split(",")), None, replace(config, undirected=False), []
     lines = spark.read.text(args.graph)
     return parse_adjacency(lines, args.mode), None, config, [(0, r["name"], r["value"]) for r in adjacency_figures(lines).collect()]
 
 
+def progress(kind: str, turn: int, figures: dict[str, int], seconds: float) -> None:
+    """One line for each round, as it ends."""
+    print(f"{kind} {turn}, {seconds:.1f} s:", ", ".join(f"{name} {n}" for name, n in figures.items()), flush=True)
+
+
 def _run(spark: SparkSession, args: argparse.Namespace, config: FlowConfig) -> None:
     resume = args.program == "flow" and config.resume
     if resume:
@@ -80,8 +87,11 @@ def _run(spark: SparkSession, args: argparse.Namespace, config: FlowConfig) -> N
         if args.out:
             sinks.level_lines(levels).write.mode("overwrite").text(f"{args.out}/levels")
     else:
+        journal = Journal(spark, f"{args.out}/journal" if args.out and config.commit_every else None, max(1, config.commit_every), config.keep_rounds, config.codec, progress)
+        if journal.path and not resume:
+            journal.clear()
         edges = read_state(spark, args.graph) if resume else network(arcs, config, terminals)
-        result = run(edges, config, args.method)
+        result = run(edges, config, args.method, journal)
         print(f"flow {result.value}, cut {result.cut_value}, sweeps {result.sweeps}, {'maximal' if result.converged else 'stopped early'}")
         figures += [*result.metrics, (result.sweeps, "total_flow", result.value)]
         if args.out:

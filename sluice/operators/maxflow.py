@@ -26,6 +26,7 @@ from sluice.operators.prefix import prefix_sums
 from sluice.operators.traverse import bfs_levels
 from sluice.plans.arcs import ArcLog
 from sluice.plans.config import SINK, SOURCE
+from sluice.plans.journal import Journal
 from sluice.plans.scratch import Scratch, ship
 
 UNBOUNDED = (1 << 63) - 1
@@ -260,23 +261,32 @@ def with_residuals(edges: DataFrame, arcs: DataFrame) -> DataFrame:
     return edges.join(left, ["u", "v"], "left").select("u", "v", "cap_uv", "cap_vu", flow.cast("bigint").alias("flow"))
 
 
-def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.0, keep_rounds: bool = False, source: int = SOURCE, sink: int = SINK, scratch: Scratch | None = None, local_arcs: int | None = None) -> FlowResult:
+def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.0, keep_rounds: bool = False, source: int = SOURCE, sink: int = SINK, scratch: Scratch | None = None, local_arcs: int | None = None, journal: Journal | None = None) -> FlowResult:
     """Maximum flow from ``source`` to ``sink`` over edges u, v, cap_uv, cap_vu, flow, starting from the flow given.
 
     max_rounds or approx may stop earlier, after a sweep; the result then is a valid flow but not converged, without a
     cut. keep_rounds: keep the level graphs and flows of all phases. local_arcs: in place of LOCAL_ARCS; 0 for joins only.
+    journal: takes every phase, and gives back the last whole one of an earlier run, to go on from.
     """
     spark = edges.sparkSession
     scratch = scratch or Scratch(spark, "maxflow")
+    before = journal.last("sweeps") if journal is not None else None
+    if before is not None:
+        edges = before["tables"]["edges"]
     edges = scratch.table(edges.select("u", "v", *(F.col(c).cast("bigint") for c in ("cap_uv", "cap_vu", "flow"))), "edges-0")
     # Arcs back may open later, so both directions of an edge count for the largest degree.
     most = most_of_a_key(edges.select(F.inline(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))))
     arcs = ArcLog(scratch, "arcs", arcs_of(edges))
     value, metrics, turn, phase = flow_value(edges, source), [], 0, 0
+    if before is not None:
+        metrics, turn = before["figures"], before["turn"]
+
+    def now() -> DataFrame:
+        return with_residuals(edges, arcs.rows())
 
     def result(side: DataFrame | None) -> FlowResult:
         with scratch.in_buckets():
-            final = scratch.table(with_residuals(edges, arcs.rows()), "edges") if turn else edges
+            final = scratch.table(now(), "edges") if phase else edges
         arcs.close()
         return FlowResult(final, side, value, None if side is None else cut_capacity(edges, side), turn, side is not None, metrics)
 
@@ -299,5 +309,8 @@ def max_flow(edges: DataFrame, max_rounds: int | None = None, approx: float = 0.
         if not keep_rounds:
             scratch.drop(f"levels-{phase}", f"graph-{phase}", f"flow-{phase}")
         phase += 1
+        if journal is not None:
+            with scratch.in_buckets():
+                journal.done("sweeps", turn, metrics, lambda: {"edges": now()})
         if gains[-1] < approx * value:
             return result(None)

@@ -26,7 +26,8 @@ class FlowConfig:
     kept_paths: paths kept at a vertex, None for all. path_choice: keep the 'best' or 'random' ones. forward: offer
     'all' paths of a vertex over each arc, or 'one' drawn. bidirectional: paths grow from the sink too. path_rounds:
     rounds of paths before the sweeps. longest_path: hops of a path at most, None for any. resume: begin from the
-    written state of a run. reducers: shuffle partitions of the run, None for the session's. codec: of written state.
+    written state of a run. commit_every: rounds from one commit to the next in the journal of --out, 0 for none.
+    reducers: shuffle partitions of the run, None for the session's. codec: of written state.
     """
 
     sources: tuple[int, ...] = ()
@@ -46,6 +47,7 @@ class FlowConfig:
     path_rounds: int = 8
     longest_path: int | None = None
     resume: bool = False
+    commit_every: int = 0
     reducers: int | None = None
     codec: str = "zstd"
 
@@ -81,7 +83,7 @@ def _most(x: str) -> int | None:
 
 KEYS = {
     "sources": _ids, "sinks": _ids, "random_terminals": int, "terminal_degree": int, "max_random_capacity": int, "undirected": _flag, "max_rounds": _most, "approx": float, "keep_rounds": _flag, "seed": int,
-    "kept_paths": _most, "path_choice": str, "forward": str, "bidirectional": _flag, "path_rounds": int, "longest_path": _most, "resume": _flag, "reducers": _most, "codec": str,
+    "kept_paths": _most, "path_choice": str, "forward": str, "bidirectional": _flag, "path_rounds": int, "longest_path": _most, "resume": _flag, "commit_every": int, "reducers": _most, "codec": str,
 }
 #: Names of the settings in the scripts of earlier systems, and how their values read here.
 MF_KEYS = {

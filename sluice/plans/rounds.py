@@ -11,6 +11,7 @@ from sluice.operators.paths import accept, as_delta, best_paths, bottlenecks, ex
 from sluice.operators.traverse import bfs_levels
 from sluice.plans.arcs import ArcLog
 from sluice.plans.config import SINK, SOURCE, FlowConfig
+from sluice.plans.journal import Journal
 from sluice.plans.scratch import Scratch
 
 
@@ -33,17 +34,20 @@ def solve(arcs: DataFrame, config: FlowConfig, terminals: DataFrame | None = Non
     return run(network(arcs, config, terminals), config, method)
 
 
-def run(edges: DataFrame, config: FlowConfig, method: str = "sweep") -> FlowResult:
-    """The flow over edges, from the flow they carry already (that of a written state, to resume)."""
+def run(edges: DataFrame, config: FlowConfig, method: str = "sweep", journal: Journal | None = None) -> FlowResult:
+    """The flow over edges, from the flow they carry already (that of a written state, to resume).
+
+    With the journal of a run that broke off, this goes on from its last whole round, of paths or of sweeps.
+    """
     rounds: list[tuple[int, str, int]] = []
-    if method == "paths":
-        edges, rounds = path_rounds(edges, config)
-    result = max_flow(edges, config.max_rounds, config.approx, config.keep_rounds)
+    if method == "paths" and (journal is None or journal.last("sweeps") is None):
+        edges, rounds = path_rounds(edges, config, journal=journal)
+    result = max_flow(edges, config.max_rounds, config.approx, config.keep_rounds, journal=journal)
     result.metrics[:0] = rounds
     return result
 
 
-def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None, measured: bool = True) -> tuple[DataFrame, list[tuple[int, str, int]]]:
+def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None, measured: bool = True, journal: Journal | None = None) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """Bidirectional rounds: paths grow from both terminals, meet, and are accepted; a valid flow and its metrics.
 
     Arcs are dealt twice, by their starts and by their ends, and stay there; accepted flow goes to their logs. A path
@@ -52,10 +56,14 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
     finish it. Metrics of each side: paths that might be offered (extended), kept, cut off (truncated) and lost to
     saturated arcs, vertices that gained their first path (moves) or lost their last (lost_vertices), and neighbours
     that are to offer again (notified). Without ``measured`` what only metrics of the last turn need is left out; the
-    flow is the same.
+    flow is the same. journal: takes every turn with its path lists and what was sent, and gives back the last whole
+    one, to go on from.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
+    before = journal.last("paths") if journal is not None else None
+    if before is not None:
+        edges = before["tables"]["edges"]
     edges = scratch.table(edges, "edges-0")
     one = F.count(F.lit(1))
     ends_of = {"source": "src", "sink": "dst"}  # a path grows over arcs that have this end at it
@@ -64,8 +72,13 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
     sent: dict[str, DataFrame | None] = {"source": None, "sink": None}
     metrics: list[tuple[int, str, int]] = []
     held, seen = dict.fromkeys(sides, 1), dict.fromkeys(sides, 1)  # paths and vertices of each side
+    begun = 0
+    if before is not None:
+        tables, begun, metrics, held, seen = before["tables"], before["turn"], before["figures"], before["held"], before["seen"]
+        tables = {name: scratch.table(df, f"{name}-{begun}") for name, df in tables.items() if name != "edges"}
+        sides, sent = {side: tables[side] for side in sides}, {side: tables.get(f"{side}_sent") for side in sides}
     last, flowed, most = config.path_rounds if rounds is None else rounds, False, config.kept_paths
-    for turn in range(1, last + 1):
+    for turn in range(begun + 1, last + 1):
         for side, paths in sides.items():
             if side not in logs:
                 continue
@@ -120,6 +133,10 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
                     metrics.append((turn, f"{side}_notified", neighbours_of(logs["source"].rows(), lost).count()))
         elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):
             break
+        if journal is not None:
+            with scratch.in_buckets():
+                state = lambda: {"edges": with_residuals(edges, logs["source"].rows()), **sides, **{f"{side}_sent": df for side, df in sent.items() if df is not None}}  # noqa: B023, E731
+                journal.done("paths", turn, metrics, state, held=held, seen=seen)
         scratch.drop(*(f"{name}-{turn}" for name in ("lines", "met", "accept", "source-arcs", "sink-arcs")))
     if flowed:
         with scratch.in_buckets():

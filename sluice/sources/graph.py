@@ -67,6 +67,27 @@ def parse_dimacs(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Da
     return arcs, terminals, problem
 
 
+def dimacs_figures(lines: DataFrame, mode: str = "PERMISSIVE", column: str = "value") -> DataFrame:
+    """name, value: what the problem line states beside what the file holds; FAILFAST raises where they differ.
+
+    problem_lines, vertices_stated and arcs_stated (0 without a problem line), arcs (lines, self-loops included), and
+    vertex_largest, the largest id of the file.
+    """
+    f = F.split(F.trim(F.col(column)), " +")
+    number, kind = lambda i: F.get(f, F.lit(i)).cast("bigint"), F.get(f, F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    sums = {
+        "problem_lines": F.count_if(kind == "p"), "vertices_stated": F.coalesce(F.max(F.when(kind == "p", number(2))), zero), "arcs_stated": F.coalesce(F.max(F.when(kind == "p", number(3))), zero),
+        "arcs": F.count_if(kind == "a"), "vertex_largest": F.coalesce(F.max(F.when(kind == "a", F.greatest(number(1), number(2))).when(kind == "n", number(1))), zero),
+    }
+    found = lines.agg(*(c.alias(k) for k, c in sums.items()))
+    if mode.upper() == "FAILFAST":
+        wrong = (F.col("problem_lines") != 1) | (F.col("arcs") != F.col("arcs_stated")) | (F.col("vertex_largest") > F.col("vertices_stated"))
+        told = F.format_string("the problem line states %d vertices and %d arcs, the file has %d arcs and vertices up to %d", "vertices_stated", "arcs_stated", "arcs", "vertex_largest")
+        found = found.withColumn("arcs", F.when(wrong, F.raise_error(told).cast("bigint")).otherwise(F.col("arcs")))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in sums))))
+
+
 def read_dimacs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return parse_dimacs(spark.read.text(path))
 

@@ -148,6 +148,57 @@ def test_path_rounds_compare_only_what_may_have_been_sent(spark, monkeypatch):
     assert sorted(map(tuple, flow.collect())) == sorted(map(tuple, again.collect()))
 
 
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("kind", "after"), [("paths", 2), ("sweeps", 1)])
+def test_a_run_goes_on_from_its_last_whole_round(spark, tmp_path, kind, after):
+    """Broken off after a commit, with a later round half written: the rest gives what an unbroken run gives."""
+    from sluice.plans.journal import Journal
+
+    rng = random.Random(12)
+    arcs = [(1, v, rng.randint(1, 9)) for v in range(10, 15)] + [(v, 2, rng.randint(1, 9)) for v in range(20, 25)]
+    arcs += [(u, v, rng.randint(1, 5)) for u in range(10, 15) for v in range(20, 25) if rng.random() < 0.6] + [(10, 11, 3), (21, 20, 4), (24, 10, 2)]
+    edges, config = build.merge_parallel(frame(spark, arcs)), FlowConfig(kept_paths=2, path_rounds=4)
+    method = "paths" if kind == "paths" else "sweep"
+    told = []
+    whole = run(edges, config, method, Journal(spark, None, report=lambda *a: told.append(a)))
+    assert {k for k, *_ in told} >= {kind} and all(seconds >= 0 for *_, seconds in told) and any("flow_value" in f for _, _, f, _ in told)
+
+    def lose(name, turn, figures, seconds):
+        if name == kind and len(told) == after:
+            raise Lost
+        told.append(name)
+
+    told, path = [], f"file://{tmp_path}/journal"
+    with pytest.raises(Lost):
+        run(edges, config, method, Journal(spark, path, report=lose))
+    committed = Journal(spark, path).last()
+    assert committed["kind"] == kind
+    edges.limit(1).write.parquet(f"{path}/commit-000099/edges")  # no manifest: this round never was
+    again = run(edges.limit(0), config, method, Journal(spark, path))
+    assert (again.value, again.cut_value, again.converged) == (whole.value, whole.cut_value, True) == (brute_flow(arcs)[0],) * 2 + (True,)
+    assert sorted(map(tuple, again.edges.collect())) == sorted(map(tuple, whole.edges.collect()))
+    if kind == "sweeps":
+        assert again.metrics == whole.metrics
+    kept = [p.name for p in (tmp_path / "journal").iterdir() if (p / "manifest").exists()]
+    assert len(kept) == 1  # earlier rounds went with the later commits
+    Journal(spark, path).clear()
+    assert Journal(spark, path).last() is None
+
+
+def test_dimacs_sizes_are_compared(spark):
+    from sluice.sources.graph import dimacs_figures
+
+    lines = spark.createDataFrame([("c x",), ("p max 4 3",), ("n 1 s",), ("n 4 t",), ("a 1 2 5",), ("a 2 2 1",), ("a 2 4 3",)], "value string")
+    assert {r["name"]: r["value"] for r in dimacs_figures(lines, "FAILFAST").collect()} == {"problem_lines": 1, "vertices_stated": 4, "arcs_stated": 3, "arcs": 3, "vertex_largest": 4}
+    more = lines.unionByName(spark.createDataFrame([("a 3 9 1",)], "value string"))
+    assert {r["name"]: r["value"] for r in dimacs_figures(more).collect()}["vertex_largest"] == 9
+    with pytest.raises(Exception, match="states 4 vertices and 3 arcs"):
+        dimacs_figures(more, "FAILFAST").collect()
+
+
 def test_solve_with_terminals(spark):
     arcs = frame(spark, [(3, 4, 1), (4, 5, 1), (3, 5, 1), (5, 6, 1)])
     assert solve(arcs, FlowConfig(sources=(3,), sinks=(5,))).value == 2
