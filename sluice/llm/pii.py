@@ -33,16 +33,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"(?<![A-Za-z0-9.])[(]?[0-9][0-9 ().-]{6,}+",
     "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
-    "password": r"""(?i)(?<![A-Za-z0-9!#-&*+./?@^_~-])(?=[A-Za-z0-9!#-&*+./?@^_~-]{6})(?<=(?:pass|word|wd|phrase|secret|key|token|code|pin)["']{0,1} {0,1}(?:[:=]|is) {0,1}["']{0,1})[A-Za-z0-9!#-&*+./?@^_~-]++""",
+    # After an assignment anything, after a blank alone what holds a digit.
+    "password": r"""(?i)(?<![A-Za-z0-9!#-&*+./?@^_~-])(?=[A-Za-z0-9!#-&*+./?@^_~-]{6})(?:(?<=(?:pass|word|wd|phrase|secret|key|token|code|pin)["']{0,1} {0,1}(?:[:=]|is) {0,1}["']{0,1})|(?<=(?:pass|word|wd|phrase|secret|key|token|code|pin) ["']{0,1})(?=[A-Za-z!#-&*+./?@^_~-]*+[0-9]))[A-Za-z0-9!#-&*+./?@^_~-]++""",
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + _AT + "[A-Za-z0-9-]++(?:(?:" + _DOT + r"|\.)[A-Za-z0-9-]++){1,8}+",
 }
 #: A text needs a match of this before the pattern itself is tried; every match of the pattern holds one.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "number": "[0-9][0-9 ().-]{6}", "secret": "[0-9]", "password": r"(?i)(?:pass|word|wd|phrase|secret|key|token|code|pin)[\"']? ?(?:[:=]|is)", "address": r"(?i)[ (\[{<]at[ )\]}>]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "number": "[0-9][0-9 ().-]{6}", "secret": "[0-9]", "password": r"(?i)(?:pass|word|wd|phrase|secret|key|token|code|pin)(?:[\"']? ?(?:[:=]|is)| [\"']?[A-Za-z!#-&*+./?@^_~-]*+[0-9])", "address": r"(?i)[ (\[{<]at[ )\]}>]"}
 #: Code points of context; of a block of text in ``redact``.
 CONTEXT, BLOCK = 40, 4096
 CUES = {
     "about_phone": r"(?i)\b(?:phone|tel|telephone|call|called|mobile|mob|cell|fax|sms|text|whatsapp|contact|ring|rang|dial|hotline|reach|number)\b",
-    "about_account": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|account|acct|iban|ssn|social security|passport|tax id|national id|licen[cs]e no|routing|sort code)\b",
+    "about_account": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|account|acct|iban|ssn|social security|passport|tax id|national id|licen[cs]e no|routing|sort code|member(?:ship)?|customer|client|patient|policy|employee|subscriber|beneficiary)\b",
     "about_secret": r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|\bkey\b|auth|bearer|credential)",
     "about_hash": r"(?i)(?:\b(?:commit|checksum|digest|hash|revision|rev|blob|tree|etag|uuid|guid|fingerprint|object|request|trace|session)\b|sha-?[0-9]|md5|/)",
     "about_other": r"(?i)\b(?:version|build|isbn|issn|order|invoice|pages?|years?|sku|part|figure|lines?|items?|price|total|score|from|between|ticket|issue|section|lot|serial|id|ids|values?|population|since|until|dated?)\b",
@@ -50,16 +51,20 @@ CUES = {
     "assigned": r"""(?:[:=]|=>|\bis) ?["'`]?$""",
     "quoted": r"""["'`]$""",
 }
-FORMAT = ("length", "digits", "upper", "lower", "separators", "spaces", "dots", "groups", "first_group", "last_group", "turns", "distinct", "vowels", "hexadecimal", "uuid", "prefixed", "date", "zero", "brackets", "luhn", "inside")
+FORMAT = ("length", "digits", "upper", "lower", "separators", "spaces", "dots", "groups", "first_group", "last_group", "turns", "distinct", "vowels", "hexadecimal", "uuid", "prefixed", "date", "zero", "brackets", "luhn", "inside", "identifier", "camel", "marks")
 FEATURES = (*(f"is_{k}" for k in ADDED), *FORMAT, *CUES)
 #: Public prefixes of access keys.
 PREFIXED = r"^(?:gh[pousr]_|github_pat_|glpat-|AKIA|ASIA|AIza|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|npm_|eyJ|ya29)"
 DATE = r"^(?:[12][0-9]{3}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ][0-9]{4}|[12][0-9]{3} ?- ?[12][0-9]{3})(?:[ .-].*)?$"
+#: Names as code has them: words, abbreviations and short numbers joined by signs, or by capitals.
+IDENTIFIER = "^[/_-]*(?:[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[A-Z][a-z]+|[0-9]{1,4}[a-z]{0,4}|[a-z]+[0-9][a-z]{1,8})(?:[/_-]+(?:[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[A-Z][a-z]+|[0-9]{1,4}[a-z]{0,4}|[a-z]+[0-9][a-z]{1,8}))+[/_-]*$"
+CAMEL = "^[A-Za-z]?[a-z]+(?:[0-9]{0,3}[A-Z][a-z]+)+[0-9]{0,4}$"
 #: Forms of labelled sentences, by kind: 1 are to be redacted, 0 are not. '#' a digit, '9' one of 1-9, '~' a hexadecimal
 #: digit, '?' a lower-case letter, '^' an upper-case letter, '*' a letter or digit. '|' parts alternatives, {word} draws from WORDS.
 WORDS = {
     "phone": "call|phone:|tel|my mobile|fax|ring|dial|text me on|reach us at|contact|sms|the number is|hotline|whatsapp",
-    "account": "ssn|account no|card number|passport|social security|tax id|national id|acct|sort code|iban|credit card",
+    "account": "ssn|account no|card number|passport|social security|tax id|national id|acct|sort code|iban|credit card|membership|policy no|employee|client|subscriber",
+    "bare": "password|passphrase|my password|the password|secret|pwd|wifi password",
     "secret": "password|api key|api_key|secret|access_key|auth token|client_secret|private key|bearer|credential|passphrase|secret key",
     "set": " = | = '|: |=|: '| is |=\"| ",
     "hash": "commit|sha1|md5|checksum|digest|hash|revision|blob|etag|fingerprint|object|sha256:|tree",
@@ -77,6 +82,9 @@ FORMS = (
     *((1, "{secret}{set}" + x) for x in ("~" * 20, "~" * 32, "~" * 40, "~" * 64, "*" * 20, "*" * 24, "*" * 32, "*" * 40, "?#^?#^?#^?#^?#^?#", "^" * 4 + "#^" * 8, "*" * 22 + "==", "????-####-^^^^-*****")),
     *((1, "{plain} " + x) for x in ("ghp_" + "*" * 36, "AKIA" + "^#" * 8, "sk_live_" + "*" * 24, "xoxb-##########-" + "*" * 24, "AIza" + "*" * 35, "glpat-" + "*" * 20, "eyJ" + "*" * 40, "npm_" + "*" * 36)),
     *((1, "{secret}{set}" + x) for x in ("?????##", "^????##!", "??#?#??", "#??#^??#", "^??????#$", "????####", "?#?#?#?#?#", "^?????-##", "*********#")),
+    *((1, "{bare} " + x) for x in ("?????##", "^????##!", "??#?#??", "#??#^??#", "^??????#$", "?#?#?#?#?#", "#########^", "?##^?##^?##^", "^?##!?##", "????####")),
+    *((0, "{bare} " + x) for x in ("????_???????_v#", "????????_20##", "?????-????-##", "2###-0#-1#", "v#.##.#", "section#", "????_##", "?????_???????_????_##")), *((0, "{secret}{set}" + x) for x in ("???_?????_???_#", "?????_?????_v##_????????")),
+    *((0, "{plain} " + x) for x in ("???_????_??_????_#_?#", "????_???_????_##_??????", "?????#_????##?_?????_####_?", "??????-????-????-####-?????", "^^^^_^^^^_^^^^_####_^^", "^^^_^^^^^^_####", "?????^?????^??????#", "????^????????^?????##", "?????#^??????^???????^????", "?????^???????^?????#^??????", "????_#???_??????_???_#", "__????_????__#_????", "??#?????_????_????_#", "^????^???????^????####", "^^_^^^^^_##_^^^^^^^", "????-?????-????????-?#-?????", "/????/????_####/?????_??")),
     *((1, "{mail} " + x) for x in ("????? (at) ????? (dot) com", "????.??? [at] ?????? [dot] org", "?????? at ????? dot net", "????## (at) ????? dot com", "?.????? AT ??????? DOT com", "???? {at} ?????? {dot} io", "??????(at)?????.com", "???? at ????? dot co dot uk", "??_???? <at> ????? <dot> edu")),
     *((1, "{plain} " + x) for x in ("????? (at) ????? (dot) com", "???? [at] ?????? [dot] org", "??????[at]?????.com", "???.???? at ??????? dot com", "???? {at} ?????? {dot} io")),
     *((0, "{hash} " + x) for x in ("~" * 7 + "~" * 33, "~" * 32, "~" * 64, "~" * 20, "~" * 16)), *((0, "{plain} " + x) for x in ("~" * 40, "~" * 32, "~" * 64)),
@@ -167,6 +175,7 @@ def candidate_features(span: Column, kind: str) -> Column:
         "turns": F.regexp_count(body, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]")).cast("double"), "distinct": F.size(F.array_distinct(F.split(F.left(body, F.lit(256)), ""))).cast("double"), "vowels": count("aeiou"),
         "hexadecimal": flag(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "uuid": flag(body.rlike("^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), "prefixed": flag(body.rlike(PREFIXED)), "date": flag(body.rlike(DATE)),
         "zero": flag(body.rlike("^[(]?0")), "brackets": flag(body.rlike(r"[(\[{<]")), "luhn": flag(F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)), "inside": flag(span["next"].rlike("[A-Za-z0-9@_]")),
+        "identifier": flag(body.rlike(IDENTIFIER)), "camel": flag(body.rlike(CAMEL)), "marks": count("!#$%&*+?@^~"),
     } | {k: flag(before.rlike(p)) for k, p in CUES.items()}
     return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), *(values[f].alias(f) for f in FEATURES))
 

@@ -207,6 +207,30 @@ UNSEEN = (
 )
 
 
+#: Code that must stay, and personal data without the usual separators; also absent from fitting and calibration.
+PLAIN = (
+    (0, "def get_user_by_name_4#_v2(self)"), (0, "call to_utf8_string_16bit_v3 here"), (0, "import parse_http2_header_lines_v1"), (0, "the kebab-case-module-name-2#24-final file"), (0, "MAX_BUFFER_SIZE_1#24_BYTES is set"),
+    (0, "camelCaseIdentifierNumber2Handler runs"), (0, "layer3_conv2d_batch_norm_1 output"), (0, "test_foo_bar_baz_case_1# fails"), (0, "key word2vec_embedding_layer_## of it"), (0, "token bucket_rate_limiter_v# works"),
+    (0, "the password policy of the house"), (0, "key signature_block_##"), (0, "code review_of_2#24 is open"), (0, "src-main-resources-static-v##-build"), (0, "a member since 2###"),
+    (1, "log in with password ??##??##!"), (1, "use password ^????##??# for it"), (1, "the wifi password #?#?#?#?"), (1, "passphrase ???##???#?? opens it"), (1, "secret ^^##??##^^?? was sent"),
+    (1, "member #########"), (1, "her policy number is ##########"), (1, "customer ######### called"), (1, "patient ######### came in"),
+)
+
+
+def test_pii_leaves_code_and_finds_bare_forms(spark):
+    from sluice.llm.pii import ADDED, FORMS, find_pii, made_sentences, of_kind
+
+    assert not {f for _, f in PLAIN} & {f for _, f in FORMS}
+    made = made_sentences(PLAIN, 20, seed=78)
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(made)], "doc_id int, text string")
+    found = {r["doc_id"] for r in find_pii(df, keep=("doc_id",)).where(F.size(of_kind(F.col("pii"), *ADDED)) > 0).select("doc_id").collect()}
+    right = sum(y and i in found for i, (_, y, _) in enumerate(made))
+    wrong = collections.Counter(PLAIN[k][1] for i, (k, y, _) in enumerate(made) if y != (i in found))
+    recall, precision = right / sum(y for _, y, _ in made), right / max(1, len(found))
+    print(f"recall {recall:.3f} precision {precision:.3f}", wrong)
+    assert recall >= 0.9 and precision >= 0.9, wrong
+
+
 def test_pii_on_unseen_forms(spark):
     """Recall and precision of the added spans on forms absent from fitting and calibration: the figures of the README."""
     from sluice.llm.pii import ADDED, FORMS, find_pii, made_sentences, of_kind
