@@ -56,7 +56,9 @@ FEATURES = (*(f"is_{k}" for k in ADDED), *FORMAT, *CUES)
 #: Public prefixes of access keys.
 PREFIXED = r"^(?:gh[pousr]_|github_pat_|glpat-|AKIA|ASIA|AIza|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|npm_|eyJ|ya29)"
 DATE = r"^(?:[12][0-9]{3}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ][0-9]{4}|[12][0-9]{3} ?- ?[12][0-9]{3})(?:[ .-].*)?$"
-#: Names as code has them: words, abbreviations and short numbers joined by signs, or by capitals.
+#: Names as code has them: words, abbreviations and short numbers joined by signs, or by capitals; of so many code points
+#: at most (these patterns repeat groups, which recurses).
+NAME = 128
 IDENTIFIER = "^[/_-]*(?:[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[A-Z][a-z]+|[0-9]{1,4}[a-z]{0,4}|[a-z]+[0-9][a-z]{1,8})(?:[/_-]+(?:[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[A-Z][a-z]+|[0-9]{1,4}[a-z]{0,4}|[a-z]+[0-9][a-z]{1,8}))+[/_-]*$"
 CAMEL = "^[A-Za-z]?[a-z]+(?:[0-9]{0,3}[A-Z][a-z]+)+[0-9]{0,4}$"
 #: Forms of labelled sentences, by kind: 1 are to be redacted, 0 are not. '#' a digit, '9' one of 1-9, '~' a hexadecimal
@@ -175,7 +177,7 @@ def candidate_features(span: Column, kind: str) -> Column:
         "turns": F.regexp_count(body, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]")).cast("double"), "distinct": F.size(F.array_distinct(F.split(F.left(body, F.lit(256)), ""))).cast("double"), "vowels": count("aeiou"),
         "hexadecimal": flag(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "uuid": flag(body.rlike("^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), "prefixed": flag(body.rlike(PREFIXED)), "date": flag(body.rlike(DATE)),
         "zero": flag(body.rlike("^[(]?0")), "brackets": flag(body.rlike(r"[(\[{<]")), "luhn": flag(F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)), "inside": flag(span["next"].rlike("[A-Za-z0-9@_]")),
-        "identifier": flag(body.rlike(IDENTIFIER)), "camel": flag(body.rlike(CAMEL)), "marks": count("!#$%&*+?@^~"),
+        "identifier": flag((F.length(body) <= NAME) & F.left(body, F.lit(NAME)).rlike(IDENTIFIER)), "camel": flag((F.length(body) <= NAME) & F.left(body, F.lit(NAME)).rlike(CAMEL)), "marks": count("!#$%&*+?@^~"),
     } | {k: flag(before.rlike(p)) for k, p in CUES.items()}
     return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), *(values[f].alias(f) for f in FEATURES))
 
