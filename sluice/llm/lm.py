@@ -146,10 +146,11 @@ def _cells(docs: pa.Table, replies: pa.Table, n: int) -> pa.Table:
     one, context, two = one - 1, context - 1, two - 1
     pair, single = two / np.maximum(context, 1), one / max(n - 1, 1)
     level = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-30)) * CELL), -999).astype(np.int64)
-    cell, which = np.unique(np.stack([context_class(context), level(pair), level(single)], axis=1), axis=0, return_inverse=True)
+    # One number for the three (levels are -999 to 0, in steps of 2048), which sorts many times faster than rows.
+    cell, which = np.unique((context_class(context) * 2048 + level(pair) + 1000) * 2048 + level(single) + 1000, return_inverse=True)
     add = lambda x: np.bincount(which.ravel(), x * times, len(cell))
     sums = {"times": add(np.ones(len(times))).astype(np.int64), "pairs": add(pair), "singles": add(single)}
-    return pa.table({"context": cell[:, 0], "pair": cell[:, 1], "single": cell[:, 2], **sums})
+    return pa.table({"context": cell >> 22, "pair": (cell >> 11) % 2048 - 1000, "single": cell % 2048 - 1000, **sums})
 
 
 def expectation_maximisation(context: np.ndarray, estimates: np.ndarray, times: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
