@@ -283,10 +283,11 @@ def best(anchors: DataFrame, slots: DataFrame, held: DataFrame, k: int, same: bo
         return blocks(anchors.join(of_anchor, "vec_id"), ANCHOR_ROWS, scratch, f"{name}/{label}")
 
     slots = slots.withColumn("last", F.lit(NO_ID))
-    home = search(laid(slots, "first"), held, k, same, width, home=True)
+    # Written, since laying out what comes of it reads it several times.
+    home = scratch.table(search(laid(slots, "first"), held, k, same, width, home=True), f"{name}/home")
     kth = home.where(F.col("rank") == k).select(F.col("anchor_id").alias("anchor"), "tag", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id")).withColumnRenamed("anchor", "vec_id")
     bounded = slots.join(kth, ["vec_id", "tag"], "left")
-    bounded = bounded.select("vec_id", F.greatest("low", "kth").alias("low"), "high", "tag", F.coalesce("kth_id", "last").alias("last"))
+    bounded = scratch.table(bounded.select("vec_id", F.greatest("low", "kth").alias("low"), "high", "tag", F.coalesce("kth_id", "last").alias("last")), f"{name}/slots")
     return scratch.table(search(laid(bounded, "then"), held, k, same, width), f"{name}/found")
 
 
