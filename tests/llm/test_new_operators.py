@@ -207,3 +207,41 @@ def test_ranks_that_are_out_of_order(tmp_path):
         parts = [p for p in parts if p not in tool.ranks]
         assert [np.frombuffer(x, "<i4").tolist() for x in tool.merge(parts)] == [naive(tool.ranks, p) for p in parts]
         assert not tool.queue.top and not any(tool.queue.low) and not tool.queue.buckets
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice("the of and to in that with by for this which here there were have not".split()) + rng.choice(["", "a", "e", "ing"]) for _ in range(n))
+
+
+def test_decontamination_without_ids(spark):
+    """Rows of a null id are found by their own text, repeated ones each; items of a null id are no evidence."""
+    from sluice.llm.decontam import find_contamination
+
+    rng = random.Random(21)
+    item, other, clean = sentence(rng, 30), sentence(rng, 30), sentence(rng, 60)
+    docs = spark.createDataFrame([(None, f"x {item} y"), (None, f"x {item} y"), (None, clean), (None, None), (7, other), (8, f"{clean} {item}")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (None, other)], "item_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in find_contamination(docs, bench).collect()) == [(0, 1), (0, 1), (8, 1)]
+
+
+def test_pipeline_stages_take_very_long_texts(spark, tmp_path):
+    """A text of a megabyte goes through every stage whole, or goes by what stands at its very end."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    item = sentence(rng, 40)
+    long = sentence(rng, 160_000)
+    rows = [(i, sentence(rng, 60), "en", "s", 1) for i in range(30)] + [(50, f"{long} call me at +1 212 555 0100", "en", "s", 1), (51, f"{long} also {item}", "en", "s", 1), (52, sentence(rng, 150_000) + f" {item}", "en", "s", 1)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{folder}/out-{k}")
+        docs = spark.read.parquet(f"{folder}/out-{k}")
+        seen.append({r["doc_id"] for r in docs.select("doc_id").distinct().collect()})
+    assert [s & {50, 51, 52} for s in seen] == [{50, 51, 52}, {50, 52}, {50}, {50}, {50}]
+    safe = spark.read.parquet(f"{folder}/out-3").where("doc_id = 50").first()["text"]
+    assert safe == f"{long} call me at [PHONE]"
+    pieces = docs.where("doc_id = 50").orderBy("piece").collect()
+    assert [p["length"] for p in pieces[:-1]] == [2048] * (len(pieces) - 1) and len(pieces) > 50
