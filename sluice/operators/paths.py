@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from sluice.functions.graph import PATH, append_hop, empty_path, join_paths, prepend_hop, vertices_of, visits
 from sluice.operators.maxflow import UNBOUNDED
 from sluice.operators.prefix import carried, prefix_sums
-from sluice.plans.scratch import Scratch, ship
+from sluice.plans.scratch import Dealt, Scratch, ship
 
-#: Hops on the arcs of open candidates that one task settles in order, at most.
+#: Hops of the candidates that one task goes through in order, about.
 LOCAL_HOPS = 1 << 20
 
 
@@ -133,77 +133,88 @@ def meet_along_lines(s_paths: DataFrame, t_paths: DataFrame, scratch: Scratch, l
     return ways.where(F.size("path") > 0).groupBy("path").agg(F.max("bottleneck").alias("bottleneck"))
 
 
-def _in_order(batches):
-    """rank, amount of the open candidates, one after the other; settled ones (``asked`` -1) only charge their arcs."""
-    columns = [np.concatenate(c) for c in zip(*([np.asarray(x) for x in b.columns] for b in batches))]
-    if not columns:
-        return
-    rank, src, dst, res, low, asked = columns
-    order = np.argsort(rank, kind="stable")
-    arcs, arc = np.unique(np.stack([src, dst]), axis=1, return_inverse=True)
-    left = np.zeros(arcs.shape[1], np.int64)
-    left[arc] = res
-    left, arc, open_ = left.tolist(), arc[order].tolist(), asked[order] >= 0
-    first = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    ranks, amounts = [], []
-    for begin, end, number in zip(first.tolist(), [*first[1:].tolist(), len(order)], rank[order][first].tolist()):
-        amount = int(low[order[begin]])
-        if open_[begin]:
-            amount = max(0, min(int(asked[order[begin]]), *(left[a] for a in arc[begin:end])))
-            ranks.append(number)
-            amounts.append(amount)
-        for a in arc[begin:end]:
-            left[a] -= amount
-    taken = np.array(amounts, np.int64) > 0
-    yield pa.RecordBatch.from_arrays([pa.array(np.array(ranks, np.int64)[taken]), pa.array(np.array(amounts, np.int64)[taken])], names=["rank", "low"])
+#: What a task of ``accept`` gives back: 0, its number of open candidates (low); 1, what an arc's candidates use at
+#: least and at most; 2, the rank (src) of a candidate and its amount (low), once none of its range is open.
+_TURN = "range bigint, kind int, src bigint, dst bigint, low bigint, high bigint"
+
+
+def _in_order(hops: pa.Table, before: pa.Table) -> pa.Table:
+    """One range of candidates, one after the other, from what all before it use at least and at most (``_TURN``)."""
+    rank, src, dst, res, asked = (hops[c].to_numpy() for c in ("rank", "src", "dst", "res", "bottleneck"))
+    number, order = hops["range"][0].as_py(), np.argsort(rank, kind="stable")
+    (_, u), (ends, v) = (np.unique(np.concatenate([x, before[c].to_numpy()]), return_inverse=True) for x, c in ((src, "src"), (dst, "dst")))
+    _, first_of, arc = np.unique(u * len(ends) + v, return_index=True, return_inverse=True)
+    arc, earlier, full = arc[: len(src)], arc[len(src) :], res[first_of]
+    most, least = full.copy(), full.copy()  # what is left of each arc, at most and at least
+    most[earlier] -= before["low"].to_numpy()
+    least[earlier] -= before["high"].to_numpy()
+    most_left, least_left, arc = most.tolist(), least.tolist(), arc[order].tolist()
+    begin = np.flatnonzero(np.diff(rank[order], prepend=-1))
+    amounts, open_ = [], 0
+    for i, j, want in zip(begin.tolist(), [*begin[1:].tolist(), len(arc)], asked[order][begin].tolist()):
+        own, low, high = arc[i:j], want, want
+        for a in own:
+            if most_left[a] < high:
+                high = most_left[a]
+            if least_left[a] < low:
+                low = least_left[a]
+        low = max(low, 0)
+        open_ += low < high
+        amounts.append(low)
+        for a in own:
+            most_left[a] -= low
+            least_left[a] -= high
+    rows = [[0], [0], [0], [open_], [0]], [np.full(len(full), 1), src[first_of], dst[first_of], most - np.array(most_left), np.minimum(least - np.array(least_left), full)]
+    if not open_:
+        rows = *rows, [np.full(len(begin), 2), rank[order][begin], np.zeros(len(begin)), amounts, np.zeros(len(begin))]
+    kind, *columns = (np.concatenate(c).astype(np.int64) for c in zip(*rows))
+    return pa.table([pa.array(np.full(len(kind), number)), pa.array(kind, pa.int32()), *map(pa.array, columns)], names=["range", "kind", "src", "dst", "low", "high"])
 
 
 def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | None = None, scratch: Scratch | None = None, label: str = "accept") -> DataFrame:
     """path, amount of candidates in order, each given what those accepted before it leave on all its arcs.
 
-    What a candidate gets lies between two bounds: all before it take the most they still may, or the least they are
-    sure of. Both come from prefix sums on every arc, and each turn narrows them; the first candidate that is open is
-    settled by the next turn at the latest, and mostly all are after a few. One that gets nothing charges nothing.
-    Once the arcs of open candidates have at most LOCAL_HOPS hops on them, one task settles these one after the other:
-    chains, where each waits for the one before, then cost no turns. What is accepted is the same either way.
-    Paths are simple; an arc of very many ways is summed in ranges.
+    The order is cut into ranges of LOCAL_HOPS hops, a task each. In a turn each range goes through its candidates one
+    after the other with two bounds of what every arc has left: all ranges before it take the most they still may, or
+    the least they are sure of. So a chain within a range costs no turn, and the first range that is open is settled by
+    the next turn at the latest; mostly all are after a few. From turn to turn only what the ranges use of each arc
+    goes on; the hops stay in their buckets. An arc that has enough for all who ask binds nobody and is left out. One
+    that gets nothing charges nothing. Paths are simple.
     """
     scratch = scratch or Scratch(candidates.sparkSession, "accept")
     order = order or [F.size("path"), "path"]
+    found, seen = scratch.counted(candidates.select("path", "bottleneck").where(F.size("path") > 0), f"{label}/candidates", hops=F.coalesce(F.sum(F.size("path")), F.lit(0)))
+    if not seen["hops"]:
+        return found.select("path", F.col("bottleneck").alias("amount"))
     # Ranges in order, and places within them: the ids ascend with the order.
-    ranked = candidates.select("path", "bottleneck").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = -(-seen["hops"] // max(1, LOCAL_HOPS))
+    ranked = found.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     ranked = scratch.table(ranked.withColumn("rank", F.monotonically_increasing_id()), f"{label}/ranked")
     hops = ranked.select("rank", "bottleneck", F.explode("path").alias("h")).select("rank", "bottleneck", F.col("h.u").alias("src"), F.col("h.v").alias("dst"))
+    ship(scratch.spark)
+    held, arc, of_range = Dealt(scratch, f"{label}/hops", "range"), ["src", "dst"], F.shiftright("rank", 33).alias("range")
     with scratch.in_buckets():
-        hops = hops.join(arcs, ["src", "dst"], "left").withColumn("res", F.coalesce("res", F.lit(0).cast("bigint")))
-        zero, of_path = F.lit(0).cast("bigint"), W.partitionBy("rank")
-        hops = hops.withColumns({"low": zero, "high": F.min(F.least("bottleneck", "res")).over(of_path)}).where("high > 0")
-        hops, seen = scratch.counted(hops, f"{label}/turn-0", open=F.count(F.lit(1)))
-    seen["hops"] = seen["open"]
-    most = hops.groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if seen["open"] > LOCAL_HOPS else 0
-    is_open, settled = F.col("low") < F.col("high"), []
-    while seen["open"]:
-        turn = len(settled) + 1
-        # Only arcs of candidates that are open matter; those settled on them stay as they are.
-        rows = hops.join(hops.where(is_open).select("src", "dst").distinct(), ["src", "dst"], "left_semi")
-        if seen["hops"] <= LOCAL_HOPS:
-            ship(scratch.spark)
-            columns = ["rank", "src", "dst", "res", "low", F.when(is_open, F.col("bottleneck")).otherwise(-1).alias("asked")]
-            settled.append(rows.select(*columns).repartition(1).mapInArrow(_in_order, "rank bigint, low bigint"))
-            break
-        rows = rows.withColumn("was_open", is_open)
-        for bound in ("low", "high"):
-            rows = prefix_sums(rows, ["src", "dst"], ["rank"], bound, most, scratch, f"{label}/{bound}-{turn}", out=f"{bound}_before")
-        left = lambda other: F.greatest(zero, F.min(F.least("bottleneck", F.col("res") - F.col(f"{other}_before"))).over(of_path))
-        narrowed = {name: F.when(F.col("was_open"), left(other)).otherwise(F.col(name)) for name, other in (("low", "high"), ("high", "low"))}
-        rows = rows.withColumns(narrowed).where("high > 0").drop("low_before", "high_before")
-        hops, seen = scratch.counted(rows, f"{label}/turn-{turn}", open=F.count_if(is_open), hops=F.count(F.lit(1)))
-        settled.append(hops.where(F.col("was_open") & ~is_open).select("rank", "low"))
-        hops = hops.drop("was_open")
-    if not settled:
-        return ranked.select("path", F.col("bottleneck").alias("amount")).limit(0)
-    taken = functools.reduce(DataFrame.unionByName, settled).groupBy("rank").agg(F.min("low").alias("amount"))
-    return ranked.join(taken, "rank").select("path", F.col("amount").cast("bigint").alias("amount"))
+        tight = hops.groupBy(*arc).agg(F.sum("bottleneck").alias("asked")).join(arcs, arc, "left").withColumn("res", F.coalesce("res", F.lit(0).cast("bigint")))
+        tight = scratch.table(tight.where("asked > res").select(*arc, "res"), f"{label}/tight")
+    held.add(hops.join(tight, arc).select(of_range, "rank", *arc, "res", "bottleneck"))
+    zero, settled, turn = F.lit(0).cast("bigint"), [], 0
+    used = held.read().groupBy("range", *arc).agg(zero.alias("low"), F.least(F.sum("bottleneck"), F.max("res")).alias("high"))
+    done, open_ = used.where("false"), None
+    while open_ is None or open_:
+        turn += 1
+        rows, earlier = held.read(), W.partitionBy(*arc).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+        before = done.unionByName(used).select("range", *arc, *(F.sum(c).over(earlier).alias(c) for c in ("low", "high"))).where("high > 0")
+        if open_ is not None:
+            rows, before = rows.where(F.col("range").isin(open_)), before.where(F.col("range").isin(open_))
+        out = scratch.table(rows.groupBy("range").cogroup(before.groupBy("range")).applyInArrow(_in_order, _TURN), f"{label}/turn-{turn}")
+        left = {r["range"]: r["low"] for r in out.where("kind = 0").select("range", "low").collect()}
+        open_ = [number for number, n in left.items() if n]
+        used, ended = out.where("kind = 1").select("range", *arc, "low", "high"), ~F.col("range").isin(open_)
+        done, used = done.unionByName(used.where(ended)), used.where(~ended)
+        settled.append(out.where("kind = 2").select(F.col("src").alias("rank"), F.col("low").alias("amount")))
+    held.close(delete=True)
+    taken = functools.reduce(DataFrame.unionByName, settled)
+    return ranked.join(taken, "rank", "left").select("path", F.coalesce("amount", "bottleneck").alias("amount")).where("amount > 0")
 
 
 def as_delta(accepted: DataFrame) -> DataFrame:

@@ -115,9 +115,14 @@ def _text(paths: DataFrame) -> DataFrame:
     return paths.select("v", path_text(F.col("path"), F.col("bottleneck")).alias("path"))
 
 
-def _two_hops(spark, sf_dir) -> DataFrame:
+def _arcs_b(spark, sf_dir) -> DataFrame:
+    """GB's arcs, written once for all steps that read them."""
+    return Scratch(spark, "gb").table(arcs_of(graph_b(spark, sf_dir)), "arcs")
+
+
+def _two_hops(spark, sf_dir, arcs: DataFrame | None = None) -> DataFrame:
     """Excess paths from the source over the supplier to each part of GB."""
-    arcs = arcs_of(graph_b(spark, sf_dir))
+    arcs = arcs_of(graph_b(spark, sf_dir)) if arcs is None else arcs
     return extend(extend(seed_paths(spark, SOURCE), arcs), arcs)
 
 
@@ -138,27 +143,27 @@ def saturated_filter(spark, sf_dir):
 
 
 def two_hop_meet(spark, sf_dir):
-    arcs = arcs_of(graph_b(spark, sf_dir))
-    ways = meet(_two_hops(spark, sf_dir), extend(seed_paths(spark, SINK), arcs, backward=True))
+    arcs = _arcs_b(spark, sf_dir)
+    ways = meet(_two_hops(spark, sf_dir, arcs), extend(seed_paths(spark, SINK), arcs, backward=True))
     return ways.select(path_text(F.col("path"), F.col("bottleneck")).alias("path"))
 
 
 def greedy_acceptance(spark, sf_dir):
-    arcs = arcs_of(graph_b(spark, sf_dir))
-    return accept(_two_hops(spark, sf_dir), arcs).select(path_text(F.col("path"), F.col("amount")).alias("path"))
+    arcs = _arcs_b(spark, sf_dir)
+    return accept(_two_hops(spark, sf_dir, arcs), arcs).select(path_text(F.col("path"), F.col("amount")).alias("path"))
 
 
 def exact_acceptance(spark, sf_dir):
     """Whole ways of GB, by supplier and part, each given what those accepted before it leave on all its arcs."""
-    arcs = arcs_of(graph_b(spark, sf_dir))
-    ways = meet(_two_hops(spark, sf_dir), extend(seed_paths(spark, SINK), arcs, backward=True))
+    arcs = _arcs_b(spark, sf_dir)
+    ways = meet(_two_hops(spark, sf_dir, arcs), extend(seed_paths(spark, SINK), arcs, backward=True))
     return accept(ways, arcs).select(path_text(F.col("path"), F.col("amount")).alias("path"))
 
 
 def two_line_meet(spark, sf_dir):
     """Ways of GB where the paths to a part share, best first, what its way to the sink can carry."""
-    arcs = arcs_of(graph_b(spark, sf_dir))
-    ways = meet_along_lines(_two_hops(spark, sf_dir), extend(seed_paths(spark, SINK), arcs, backward=True), Scratch(spark, "meet"))
+    arcs = _arcs_b(spark, sf_dir)
+    ways = meet_along_lines(_two_hops(spark, sf_dir, arcs), extend(seed_paths(spark, SINK), arcs, backward=True), Scratch(spark, "meet"))
     return ways.select(path_text(F.col("path"), F.col("bottleneck")).alias("path"))
 
 

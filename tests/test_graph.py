@@ -330,6 +330,21 @@ def test_acceptance_is_greedy_one_after_the_other(spark, monkeypatch, local, ran
     assert paths.accept(as_paths(spark, []), arcs).count() == 0
 
 
+def test_a_chain_of_candidates_takes_a_turn_for_each_range_at_most(spark, monkeypatch):
+    """Each way waits for the one before: one turn after the other for every way, before ranges were gone through in order."""
+    from sluice.plans.scratch import Scratch
+
+    monkeypatch.setattr(paths, "LOCAL_HOPS", 20)
+    labels, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, label, *more: labels.append(label) or table(self, df, label, *more))
+    candidates = {((k, k + 1), (k + 1, k + 2)): 1 for k in range(10, 50)}
+    left = {(k, k + 1): 1 for k in range(10, 51)}
+    arcs = spark.createDataFrame([(*k, r) for k, r in left.items()], "src bigint, dst bigint, res bigint")
+    got = {tuple((h["u"], h["v"]) for h in r["path"]): r["amount"] for r in paths.accept(as_paths(spark, candidates.items()), arcs).collect()}
+    assert got == serial(candidates, left) and len(got) == 20
+    assert 1 < len([x for x in labels if "/turn-" in x]) <= 5
+
+
 @pytest.mark.parametrize("ranges", [False, True])
 def test_paths_meet_along_two_lines(spark, monkeypatch, ranges):
     from sluice.plans.scratch import Scratch
