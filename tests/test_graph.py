@@ -258,6 +258,27 @@ def test_sweeps_in_memory_agree_with_joins(spark):
     assert maxflow.block_in_memory(*(c[:0] for c in columns))[1] == []
 
 
+def test_sweeps_by_joins_end_in_one_task(spark, monkeypatch):
+    """Arcs that the source no longer reaches go between sweeps, and what is small then needs no more joins; the flow is the same."""
+    from sluice.plans.scratch import Scratch
+
+    rng = random.Random(238)
+    arcs = [(0, 1, 100 + k, rng.randint(1, 9)) for k in range(6)] + [(1, 100 + i, 200 + j, rng.randint(1, 4)) for i in range(6) for j in range(8) if rng.random() < 0.6]
+    arcs += [(2, 200 + j, 300 + k, rng.randint(1, 3)) for j in range(8) for k in range(6) if rng.random() < 0.5] + [(3, 300 + k, 2, rng.randint(1, 5)) for k in range(6)]
+    graph = spark.createDataFrame(arcs, "level int, src bigint, dst bigint, res bigint")
+    swept, sweep = [], maxflow.sweep
+    monkeypatch.setattr(maxflow, "sweep", lambda graph, *more: swept[-1].append(graph.count()) or sweep(graph, *more))
+    results = []
+    for local in (0, len(arcs) - 1, len(arcs)):
+        swept.append([])
+        flow, _, gains = maxflow.level_flow(graph, len(arcs), 4, 10, Scratch(spark, "f"), f"local-{local}", local_arcs=local)
+        results.append((sorted(map(tuple, flow.collect())), gains))
+    assert results[0] == results[1] == results[2] and len(results[0][1]) > 2
+    by_joins, one, none = swept
+    assert by_joins[0] == len(arcs) and len(by_joins) - len(results[0][1]) in (0, 1) and by_joins == sorted(set(by_joins), reverse=True)
+    assert one == [len(arcs)] and none == []
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_rounds": 1}, {"approx": 0.3}])
 def test_a_run_means_the_same_at_every_size(spark, limits):
     rng = random.Random(11)
