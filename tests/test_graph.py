@@ -279,6 +279,24 @@ def test_sweeps_by_joins_end_in_one_task(spark, monkeypatch):
     assert one == [len(arcs)] and none == []
 
 
+def test_a_hub_sends_no_other_level_through_ranges(spark, monkeypatch):
+    """Only the levels at which a hub stands are summed in ranges, and what the sink gathers is summed nowhere; arcs left to a level graph stay in buckets."""
+    from sluice.plans.scratch import Scratch
+
+    arcs = [(1, 10 + i, 5) for i in range(4)] + [(10 + i, 20 + j, 2) for j in range(12) for i in (j % 4, (j + 1) % 4) if j % 3 or i % 2] + [(20 + j, 2, 2) for j in range(12)]
+    monkeypatch.setattr(prefix, "WHOLE_KEY", 10)
+    widest = []
+    for module in (maxflow, decompose):
+        monkeypatch.setattr(module, "prefix_sums", lambda df, key, order, value, most, *more, **named: widest.append(most) or prefix.prefix_sums(df, key, order, value, most, *more, **named))
+    result = max_flow(build.merge_parallel(frame(spark, arcs)), local_arcs=0)
+    assert (result.value, result.cut_value) == (brute_flow(arcs)[0],) * 2
+    assert decompose.decompose(result.edges).agg(F.sum("amount")).first()[0] == result.value
+    assert widest and max(widest) <= prefix.WHOLE_KEY
+    graph = spark.createDataFrame([(0, 10 + i % 3, 20 + i % 7, 1 + i) for i in range(21)], "level int, src bigint, dst bigint, res bigint")
+    held, size = maxflow.reached_arcs(graph, 1, Scratch(spark, "reached"), "r")
+    assert size == 21 and "Exchange" not in held.groupBy("dst").count()._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_rounds": 1}, {"approx": 0.3}])
 def test_a_run_means_the_same_at_every_size(spark, limits):
     rng = random.Random(11)
