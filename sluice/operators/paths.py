@@ -20,6 +20,8 @@ from sluice.plans.scratch import Dealt, Scratch, ship
 
 #: Hops of the candidates that one task goes through in order, about.
 LOCAL_HOPS = 1 << 20
+#: Paths that one task of ``meet`` joins or groups, about; so its memory does not grow with the input.
+TASK_PATHS = 1 << 19
 
 
 def seed_paths(spark: SparkSession, v: int) -> DataFrame:
@@ -98,11 +100,14 @@ def _first(rows: DataFrame, k: int | None, order: list, key: str = "v") -> DataF
     return near.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= k).drop("salt", "place")
 
 
-def meet(s_paths: DataFrame, t_paths: DataFrame) -> DataFrame:
+def meet(s_paths: DataFrame, t_paths: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Whole ways from source to sink where an S and a T path meet, cycles taken out: path, bottleneck."""
-    t = t_paths.select("v", F.col("path").alias("t_path"), F.col("bottleneck").alias("t_bottleneck"))
-    rows = s_paths.join(t, "v").select(join_paths(F.col("path"), F.col("t_path")).alias("path"), F.least("bottleneck", "t_bottleneck").alias("bottleneck"))
-    return rows.where(F.size("path") > 0).groupBy("path").agg(F.min("bottleneck").alias("bottleneck"))
+    scratch, n = scratch or Scratch(s_paths.sparkSession, "meet"), F.count(F.lit(1))
+    s, s_seen = scratch.counted(s_paths.select("v", "path", "bottleneck"), "s", n=n)
+    t, t_seen = scratch.counted(t_paths.select("v", F.col("path").alias("t_path"), F.col("bottleneck").alias("t_bottleneck")), "t", n=n)
+    tasks = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-(s_seen["n"] + t_seen["n"]) // TASK_PATHS))
+    rows = s.repartition(tasks, "v").join(t.repartition(tasks, "v"), "v").select(join_paths(F.col("path"), F.col("t_path")).alias("path"), F.least("bottleneck", "t_bottleneck").alias("bottleneck"))
+    return rows.where(F.size("path") > 0).repartition(tasks, "path").groupBy("path").agg(F.min("bottleneck").alias("bottleneck"))
 
 
 def meet_along_lines(s_paths: DataFrame, t_paths: DataFrame, scratch: Scratch, label: str = "lines", most: int | None = None) -> DataFrame:

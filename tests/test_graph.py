@@ -548,6 +548,17 @@ def test_path_operators(spark):
     assert paths.accept(spark.createDataFrame([([{"u": 1, "v": 3}], 4), ([{"u": 1, "v": 3}, {"u": 3, "v": 4}], 3)], f"path {G.PATH}, bottleneck bigint"), arcs).orderBy("amount").select("amount").collect() == [(1,), (4,)]
 
 
+def test_meet_takes_more_tasks_for_more_paths(spark, monkeypatch):
+    """A task joins and groups so many paths, whatever the session's number of partitions."""
+    s = spark.range(40).select((F.col("id") % 5).alias("v"), F.expr("array(named_struct('u', 100 + id, 'v', id % 5))").alias("path"), (F.col("id") + 1).alias("bottleneck"))
+    t = spark.range(5).select(F.col("id").alias("v"), F.expr("array(named_struct('u', id, 'v', 2L))").alias("path"), F.lit(7).cast("bigint").alias("bottleneck"))
+    few = paths.meet(s, t)
+    monkeypatch.setattr(paths, "TASK_PATHS", 3)
+    many = paths.meet(s, t)
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 15
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect())) and many.count() == 40
+
+
 @pytest.mark.parametrize("whole", [10, 10_000])
 def test_prefix_sums(spark, monkeypatch, whole):
     """In the order asked for, whether keys are summed whole or in ranges."""
