@@ -51,7 +51,7 @@ def length_of(path: Column) -> Column:
 
 def vertices_of(path: Column) -> Column:
     """All vertices, the start first."""
-    return F.when(F.size(path) == 0, F.array().cast("array<bigint>")).otherwise(F.concat(F.array(start_of(path)), F.transform(path, lambda h: h["v"])))
+    return F.when(F.size(path) == 0, F.array().cast("array<bigint>")).otherwise(F.concat(F.array(start_of(path)), path["v"]))
 
 
 def visits(path: Column, v: Column) -> Column:
@@ -81,7 +81,10 @@ def join_paths(first: Column, second: Column) -> Column:
         seen = F.array_position(F.transform(done, lambda x: x["u"]), h["v"])
         return F.when(seen > 0, F.when(seen == 1, empty_path()).otherwise(F.slice(done, F.lit(1), F.greatest((seen - 1).cast("int"), F.lit(0))))).otherwise(F.concat(done, F.array(h)))
 
-    return F.aggregate(F.concat(first, second), empty_path(), step)
+    whole = F.concat(first, second)
+    vertices = vertices_of(whole)
+    # Most have no loop: what Spark would interpret hop by hop is left to those that have one.
+    return F.when(F.size(F.array_distinct(vertices)) == F.size(vertices), whole).otherwise(F.aggregate(whole, empty_path(), step))
 
 
 def edge_text(u: Column, v: Column, flow: Column, capacity: Column) -> Column:
@@ -90,4 +93,4 @@ def edge_text(u: Column, v: Column, flow: Column, capacity: Column) -> Column:
 
 def path_text(path: Column, amount: Column) -> Column:
     """v0:v1:...=amount."""
-    return F.concat(F.array_join(F.transform(vertices_of(path), lambda v: v.cast("string")), ":"), F.lit("="), amount.cast("string"))
+    return F.concat(F.array_join(vertices_of(path).cast("array<string>"), ":"), F.lit("="), amount.cast("string"))

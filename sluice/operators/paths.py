@@ -20,6 +20,8 @@ from sluice.plans.scratch import Dealt, Scratch, ship
 
 #: Hops of the candidates that one task goes through in order, about.
 LOCAL_HOPS = 1 << 20
+#: Stretches of a line at a vertex that each stretch of the other is compared with, at most; longer lines are merged.
+FEW_STRETCHES = 8
 #: Paths that one task of ``meet`` joins or groups, about; so its memory does not grow with the input.
 TASK_PATHS = 1 << 19
 
@@ -118,24 +120,35 @@ def meet_along_lines(s_paths: DataFrame, t_paths: DataFrame, scratch: Scratch, l
     paths, and no path more flow than it has. A way that several vertices give counts once, with its most flow. most:
     paths of a vertex on a side at most, if that is known.
     """
-    both = s_paths.select("v").distinct().join(t_paths.select("v").distinct(), "v")
-    lines = []
-    for side, paths in (("s", s_paths), ("t", t_paths)):
-        own, seen = scratch.counted(paths.join(both, "v", "left_semi"), f"{label}/{side}", n=F.count(F.lit(1)))
+    lines, other = [], t_paths
+    for side, paths in (("s", s_paths), ("t", t_paths)):  # each of them is made once: the second meets what is left of the first
+        own, seen = scratch.counted(paths.join(other.select("v").distinct(), "v", "left_semi"), f"{label}/{side}", n=F.count(F.lit(1)))
+        other = own
         if not seen["n"]:
             return own.select("path", "bottleneck")
         widest = most if most is not None else own.groupBy("v").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         lines.append((widest, prefix_sums(own, ["v"], [F.desc("bottleneck"), F.size("path"), "path"], "bottleneck", widest, scratch, f"{label}/{side}-line", out="at")))
-    end, none = (F.col("at") + F.col("bottleneck")).alias("end"), F.lit(None)
+    end = (F.col("at") + F.col("bottleneck")).alias("end")
     (s_most, s), (t_most, t) = lines
+    if min(s_most, t_most) <= FEW_STRETCHES:  # lines lie as they were summed, and nothing is sorted anew
+        t = t.select("v", F.col("path").alias("t_path"), F.col("at").alias("t_at"), end.alias("t_end"))
+        held = s.select("v", "path", "at", end).join(t, "v").where("at < t_end AND t_at < end")
+        amount = F.least("end", "t_end") - F.greatest("at", "t_at")
+    else:
+        held, amount = _merged(s, t, s_most + t_most, scratch, label)
+    ways = held.select(join_paths(F.col("path"), F.col("t_path")).alias("path"), amount.alias("bottleneck"))
+    return ways.where(F.size("path") > 0).groupBy("path").agg(F.max("bottleneck").alias("bottleneck"))
+
+
+def _merged(s: DataFrame, t: DataFrame, most: int, scratch: Scratch, label: str) -> tuple[DataFrame, Column]:
+    """Overlapping stretches of two lines at each vertex, in one pass over both; and how long the overlap is."""
+    end, none = (F.col("at") + F.col("bottleneck")).alias("end"), F.lit(None)
     cuts = s.select("v", "at", "path", end, none.cast(PATH).alias("t_path"), none.cast("bigint").alias("t_end"))
     cuts = cuts.unionByName(t.select("v", "at", none.cast(PATH).alias("path"), none.cast("bigint").alias("end"), F.col("path").alias("t_path"), end.alias("t_end")))
     columns = ["path", "end", "t_path", "t_end"]
     cuts = cuts.groupBy("v", "at").agg(*(F.first(c, ignorenulls=True).alias(c) for c in columns))
-    held = carried(cuts, ["v"], "at", columns, s_most + t_most, scratch, f"{label}/held").where("at < end AND at < t_end")
-    amount = F.least("next", "end", "t_end") - F.col("at")  # least leaves nulls out
-    ways = held.select(join_paths(F.col("path"), F.col("t_path")).alias("path"), amount.alias("bottleneck"))
-    return ways.where(F.size("path") > 0).groupBy("path").agg(F.max("bottleneck").alias("bottleneck"))
+    held = carried(cuts, ["v"], "at", columns, most, scratch, f"{label}/held").where("at < end AND at < t_end")
+    return held, F.least("next", "end", "t_end") - F.col("at")  # least leaves nulls out
 
 
 #: What a task of ``accept`` gives back: 0, its number of open candidates (low); 1, what an arc's candidates use at

@@ -414,6 +414,23 @@ def test_paths_meet_along_two_lines(spark, monkeypatch, ranges):
     assert sorted(r["bottleneck"] for r in ends.collect()) == [3, 4]
 
 
+@pytest.mark.parametrize("ranges", [False, True])
+def test_lines_of_few_stretches_meet_like_merged_ones(spark, monkeypatch, ranges):
+    """Short lines are compared in place, long ones merged: the same ways; and S paths are made once."""
+    from sluice.plans.scratch import Scratch
+
+    plans, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, *a, **k: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), table(self, df, *a, **k))[1])
+    if ranges:
+        monkeypatch.setattr(prefix, "WHOLE_KEY", 2)
+    s = spark.range(60).select((F.col("id") % 7).alias("v"), F.expr("array(named_struct('u', 100 + id, 'v', id % 7))").alias("path"), (F.col("id") % 5 + 1).alias("bottleneck"))
+    t = spark.range(20, 50, 2).select((F.col("id") % 6).alias("v"), F.expr("array(named_struct('u', id % 6, 'v', 200 + id), named_struct('u', 200 + id, 'v', 2L))").alias("path"), (F.col("id") % 4 + 2).alias("bottleneck"))
+    few = sorted(map(str, paths.meet_along_lines(s, t, Scratch(spark, "m")).collect()))
+    assert sum("Range (0, 60" in p for p in plans) == 1 and max(p.count("Range (0, 60") for p in plans) == 1
+    monkeypatch.setattr(paths, "FEW_STRETCHES", 0)
+    assert few == sorted(map(str, paths.meet_along_lines(s, t, Scratch(spark, "m")).collect())) and len(few) > 15
+
+
 @pytest.mark.parametrize("backward", [False, True])
 def test_promising_arcs_hold_the_best_offers(spark, backward):
     """Offers over them give each vertex as good a list as offers over all arcs."""
