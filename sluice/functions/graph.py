@@ -55,7 +55,7 @@ def vertices_of(path: Column) -> Column:
 
 
 def visits(path: Column, v: Column) -> Column:
-    return F.exists(path, lambda h: (h["u"] == v) | (h["v"] == v))
+    return F.array_contains(path["u"], v) | F.array_contains(path["v"], v)
 
 
 def append_hop(path: Column, u: Column, v: Column) -> Column:

@@ -6,6 +6,7 @@ Path tables have v (the growing end), path (array of hops) and bottleneck.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from sluice.functions.graph import PATH, append_hop, empty_path, join_paths, prepend_hop, vertices_of, visits
 from sluice.operators.maxflow import UNBOUNDED
 from sluice.operators.prefix import carried, prefix_sums
+from sluice.plans.arcs import ArcLog
 from sluice.plans.scratch import Dealt, Scratch, ship
 
 #: Hops of the candidates that one task goes through in order, about.
@@ -49,6 +51,18 @@ def extend(paths: DataFrame, arcs: DataFrame, backward: bool = False, longest: i
     return rows.select(F.col(far).alias("v"), grown.alias("path"), F.least("bottleneck", "res").alias("bottleneck"))
 
 
+def _least(paths: Column, fits: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """The least value of those of ``paths`` that fit, null if none does. Up to two, as most lists have, take no lambda: Spark interprets those."""
+    two = F.least(*(F.when(fits(p), value(p)) for p in (F.get(paths, F.lit(0)), F.get(paths, F.lit(1)))))
+    return F.when(F.size(paths) <= 2, two).otherwise(F.array_min(F.transform(F.filter(paths, fits), value)))
+
+
+def _count(paths: Column, fits: Callable[[Column], Column]) -> Column:
+    """How many of ``paths`` fit."""
+    first, second = (F.when(fits(p), 1).otherwise(0) for p in (F.get(paths, F.lit(0)), F.get(paths, F.lit(1))))
+    return F.when(F.size(paths) <= 2, first + second).otherwise(F.size(F.filter(paths, fits))).cast("bigint")
+
+
 def promising_arcs(paths: DataFrame, arcs: DataFrame, k: int, scratch: Scratch, label: str, backward: bool = False, longest: int | None = None, newest: int = 0) -> tuple[DataFrame, int]:
     """The arcs over which the k best offers of every vertex come; and all offers of paths of ``newest`` hops.
 
@@ -57,13 +71,17 @@ def promising_arcs(paths: DataFrame, arcs: DataFrame, k: int, scratch: Scratch,
     """
     near, far = ("dst", "src") if backward else ("src", "dst")
     lists = paths.groupBy(F.col("v").alias(near)).agg(F.collect_list(F.struct("bottleneck", "path")).alias("paths"))
-    fits = F.filter("paths", lambda p: ~visits(p["path"], F.col(far)) & (F.size(p["path"]) < (longest if longest is not None else UNBOUNDED)))
-    order = F.transform("fits", lambda p: F.struct((-F.least(p["bottleneck"], F.col("res"))).alias("o1"), F.size(p["path"]).alias("o2"), F.xxhash64(p["path"], F.col(far)).alias("o3")))
-    new = F.size(F.filter("fits", lambda p: F.size(p["path"]) == newest)).cast("bigint")
-    rows = arcs.where("res > 0 AND src <> dst").join(lists, near).select("src", "dst", "res", fits.alias("fits")).where("size(fits) > 0")
-    rows = rows.select("src", "dst", "res", new.alias("new"), F.array_min(order).alias("o"))
+
+    def fits(p: Column) -> Column:
+        return ~visits(p["path"], F.col(far)) & (F.size(p["path"]) < (longest if longest is not None else UNBOUNDED))
+
+    order = _least(F.col("paths"), fits, lambda p: F.struct((-F.least(p["bottleneck"], F.col("res"))).alias("o1"), F.size(p["path"]).alias("o2"), F.xxhash64(p["path"], F.col(far)).alias("o3")))
+    new = _count(F.col("paths"), lambda p: fits(p) & (F.size(p["path"]) == newest))
+    rows = arcs.where("res > 0 AND src <> dst").join(lists, near).select("src", "dst", "res", new.alias("new"), order.alias("o"))
     seen = Observation()
-    rows = scratch.table(_first(rows.observe(seen, F.coalesce(F.sum("new"), F.lit(0)).alias("n")), k, ["o", near], far), label)
+    # Arcs without an offer come last and go after the cut: a filter before it would be pushed down and look at every list twice.
+    first = _first(rows.observe(seen, F.coalesce(F.sum("new"), F.lit(0)).alias("n")), k, [F.asc_nulls_last("o"), near], far)
+    rows = scratch.table(first.where("o IS NOT NULL"), label)
     return rows.select("src", "dst", "res"), seen.get["n"]
 
 
@@ -72,10 +90,12 @@ def not_forwarded(offers: DataFrame, sent: DataFrame) -> DataFrame:
     return offers.join(sent.select("path", "v").distinct(), ["path", "v"], "left_anti")
 
 
-def bottlenecks(paths: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Paths with their least residual capacity now; paths with a saturated hop are gone."""
+def bottlenecks(paths: DataFrame, arcs: DataFrame | ArcLog, most: int = UNBOUNDED) -> DataFrame:
+    """Paths with their least residual capacity now; paths with a saturated hop are gone. most: hops of all paths at most."""
     keyed = paths.select("v", "path").distinct()
     hops = keyed.select("v", "path", F.explode("path").alias("h")).select("v", "path", F.col("h.u").alias("src"), F.col("h.v").alias("dst"))
+    if isinstance(arcs, ArcLog):
+        arcs = arcs.among(hops.select("src", "dst").distinct(), most)
     known = hops.join(arcs, ["src", "dst"], "left").groupBy("v", "path").agg(F.min(F.coalesce("res", F.lit(0))).alias("bottleneck")).where("bottleneck > 0")
     return known.unionByName(keyed.where(F.size("path") == 0).withColumn("bottleneck", F.lit(UNBOUNDED)))
 
@@ -189,7 +209,7 @@ def _in_order(hops: pa.Table, before: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.full(len(kind), number)), pa.array(kind, pa.int32()), *map(pa.array, columns)], names=["range", "kind", "src", "dst", "low", "high"])
 
 
-def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | None = None, scratch: Scratch | None = None, label: str = "accept") -> DataFrame:
+def accept(candidates: DataFrame, arcs: DataFrame | ArcLog, order: list[Column | str] | None = None, scratch: Scratch | None = None, label: str = "accept") -> DataFrame:
     """path, amount of candidates in order, each given what those accepted before it leave on all its arcs.
 
     The order is cut into ranges of LOCAL_HOPS hops, a task each. In a turn each range goes through its candidates one
@@ -212,7 +232,8 @@ def accept(candidates: DataFrame, arcs: DataFrame, order: list[Column | str] | N
     ship(scratch.spark)
     held, arc, of_range = Dealt(scratch, f"{label}/hops", "range"), ["src", "dst"], F.shiftright("rank", 33).alias("range")
     with scratch.in_buckets():
-        tight = hops.groupBy(*arc).agg(F.sum("bottleneck").alias("asked")).join(arcs, arc, "left").withColumn("res", F.coalesce("res", F.lit(0).cast("bigint")))
+        tight = hops.groupBy(*arc).agg(F.sum("bottleneck").alias("asked"))
+        tight = arcs.among(tight, seen["hops"]) if isinstance(arcs, ArcLog) else tight.join(arcs, arc, "left").withColumn("res", F.coalesce("res", F.lit(0).cast("bigint")))
         tight = scratch.table(tight.where("asked > res").select(*arc, "res"), f"{label}/tight")
     held.add(hops.join(tight, arc).select(of_range, "rank", *arc, "res", "bottleneck"))
     zero, settled, turn = F.lit(0).cast("bigint"), [], 0

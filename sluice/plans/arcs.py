@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.plans.scratch import Dealt, Scratch
 
+#: Arcs asked for in a bucket up to which a task may hold them in a hash table (some 200 MB).
+ASKED_ARCS = 1 << 21
 #: A log of more rows than this share of the base's, or of more additions, is merged into a new base.
 LOG_SHARE, LOG_ADDITIONS = 0.5, 24
 
@@ -54,5 +56,15 @@ class ArcLog:
             rows = rows.groupBy("src", "dst", *extra).agg(F.sum("res").alias("res"))
         return rows.where("res > 0").select("src", "dst", "res", *extra)
 
+    def among(self, asked: DataFrame, most: int) -> DataFrame:
+        """``asked`` (src, dst, once each, and further columns; ``most`` rows at most) with the res of each arc now, 0 if it has none.
+
+        Only the rows of these arcs are added up. Within ``in_buckets`` the arcs stay where they are.
+        """
+        if most <= ASKED_ARCS * self.held.buckets:
+            asked = asked.hint("shuffle_hash")
+        rows, extra = self.held.read().join(asked, ["src", "dst"], "right"), [c for c in asked.columns if c not in ("src", "dst")]
+        return rows.groupBy("src", "dst", *extra).agg(F.coalesce(F.sum("res"), F.lit(0)).cast("bigint").alias("res"))
+
     def close(self) -> None:
         self.held.close(delete=True)

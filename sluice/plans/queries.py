@@ -247,7 +247,7 @@ def tree_flow_edges(spark, sf_dir):
 
 
 def path_round_metrics(spark, sf_dir):
-    rows = path_rounds(graph_b(spark, sf_dir), FlowConfig(kept_paths=2), rounds=3)[1]
+    rows = path_rounds(graph_b(spark, sf_dir), FlowConfig(kept_paths=2), rounds=3, finished=False)[1]
     return spark.createDataFrame(rows, "round int, name string, value bigint")
 
 

@@ -47,7 +47,7 @@ def run(edges: DataFrame, config: FlowConfig, method: str = "sweep", journal: Jo
     return result
 
 
-def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None, measured: bool = True, journal: Journal | None = None) -> tuple[DataFrame, list[tuple[int, str, int]]]:
+def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None, measured: bool = True, journal: Journal | None = None, finished: bool = True) -> tuple[DataFrame, list[tuple[int, str, int]]]:
     """Bidirectional rounds: paths grow from both terminals, meet, and are accepted; a valid flow and its metrics.
 
     Arcs are dealt twice, by their starts and by their ends, and stay there; accepted flow goes to their logs. A path
@@ -56,7 +56,7 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
     finish it. Metrics of each side: paths that might be offered (extended), kept, cut off (truncated) and lost to
     saturated arcs, vertices that gained their first path (moves) or lost their last (lost_vertices), and neighbours
     that are to offer again (notified). Without ``measured`` what only metrics of the last turn need is left out; the
-    flow is the same. journal: takes every turn with its path lists and what was sent, and gives back the last whole
+    flow is the same. Without ``finished`` the edges come back as they were, for who asks for the metrics alone. journal: takes every turn with its path lists and what was sent, and gives back the last whole
     one, to go on from.
     """
     spark = edges.sparkSession
@@ -111,7 +111,7 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
         candidates, met = scratch.counted(meet_along_lines(sides["source"], sides["sink"], scratch, f"lines-{turn}", most), f"met-{turn}", n=one)
         got = {"n": 0, "flow": 0}
         if met["n"]:
-            taken, got = scratch.counted(accept(candidates, logs["source"].rows(), scratch=scratch, label=f"accept-{turn}"), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
+            taken, got = scratch.counted(accept(candidates, logs["source"], scratch=scratch, label=f"accept-{turn}"), f"accepted-{turn}", n=one, flow=F.coalesce(F.sum("amount"), F.lit(0)))
         metrics += [(turn, "candidates", met["n"]), (turn, "accepted_paths", got["n"]), (turn, "accepted_flow", got["flow"]), (turn, "dropped", met["n"] - got["n"])]
         if got["n"]:
             flowed = True
@@ -123,14 +123,15 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
                 break
             for side, paths in sides.items():
                 with scratch.in_buckets():
-                    sides[side], left = scratch.counted(bottlenecks(paths, logs["source"].rows()), f"{side}-left-{turn}", n=one)
+                    sides[side], left = scratch.counted(bottlenecks(paths, logs["source"], held[side] * turn), f"{side}-left-{turn}", n=one)
                 lost, gone = scratch.counted(lost_vertices(paths, sides[side]), f"{side}-lost-{turn}", n=one)
                 metrics += [(turn, f"{side}_saturated", held[side] - left["n"]), (turn, f"{side}_lost_vertices", gone["n"])]
                 held[side], seen[side] = left["n"], seen[side] - gone["n"]
                 if gone["n"] and sent[side] is not None:
                     if turn < last:
                         sent[side] = scratch.table(sent[side].join(lost, "v", "left_anti"), f"{side}-sent-{turn}")
-                    metrics.append((turn, f"{side}_notified", neighbours_of(logs["source"].rows(), lost).count()))
+                    into = logs["sink"].rows(lost.select(F.col("v").alias("dst"))) if "sink" in logs else logs["source"].rows()
+                    metrics.append((turn, f"{side}_notified", neighbours_of(into, lost).count()))
         elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):
             break
         if journal is not None:
@@ -138,7 +139,7 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
                 state = lambda: {"edges": with_residuals(edges, logs["source"].rows()), **sides, **{f"{side}_sent": df for side, df in sent.items() if df is not None}}  # noqa: B023, E731
                 journal.done("paths", turn, metrics, state, held=held, seen=seen)
         scratch.drop(*(f"{name}-{turn}" for name in ("lines", "met", "accept", "source-arcs", "sink-arcs")))
-    if flowed:
+    if flowed and finished:
         with scratch.in_buckets():
             edges = scratch.table(with_residuals(edges, logs["source"].rows()), "edges")
     for log in logs.values():

@@ -431,6 +431,29 @@ def test_lines_of_few_stretches_meet_like_merged_ones(spark, monkeypatch, ranges
     assert few == sorted(map(str, paths.meet_along_lines(s, t, Scratch(spark, "m")).collect())) and len(few) > 15
 
 
+@pytest.mark.parametrize("held", [0, 1 << 21])
+def test_only_arcs_asked_for_are_added_up(spark, monkeypatch, held):
+    """A log tells the residuals of some arcs as its whole would, and leaves its buckets where they are."""
+    from sluice.plans import arcs as A
+    from sluice.plans.scratch import Scratch
+
+    monkeypatch.setattr(A, "ASKED_ARCS", held)
+    scratch = Scratch(spark, "asked")
+    rows = [(u, 100 + v, 1 + (u + v) % 5) for u in range(10) for v in range(10)]
+    log = A.ArcLog(scratch, "arcs", spark.createDataFrame(rows, "src bigint, dst bigint, res bigint"))
+    used = spark.createDataFrame([(u, 100 + v, 1) for u, v, _ in ((u, v, 0) for u in range(10) for v in range(0, 10, 3))], "src bigint, dst bigint, flow bigint")
+    log.change(used, 4)
+    asked = spark.createDataFrame([(u, 100 + v, u) for u in range(0, 12, 2) for v in range(5)], "src bigint, dst bigint, tag bigint")
+    whole = {(r["src"], r["dst"]): r["res"] for r in log.rows().collect()}
+    with scratch.in_buckets():
+        got = log.among(asked, 30)
+        assert {(r["src"], r["dst"]): (r["res"], r["tag"]) for r in got.collect()} == {(u, 100 + v): (whole.get((u, 100 + v), 0), u) for u in range(0, 12, 2) for v in range(5)}
+        assert ("ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == bool(held)
+        want = paths.bottlenecks(some := spark.createDataFrame([(103, [{"u": 2, "v": 103}], 9), (100, [{"u": 4, "v": 100}], 9), (77, [{"u": 4, "v": 77}], 9)], f"v bigint, path {G.PATH}, bottleneck bigint"), log.rows())
+        assert sorted(map(str, paths.bottlenecks(some, log, 3).collect())) == sorted(map(str, want.collect()))
+    log.close()
+
+
 @pytest.mark.parametrize("backward", [False, True])
 def test_promising_arcs_hold_the_best_offers(spark, backward):
     """Offers over them give each vertex as good a list as offers over all arcs."""
