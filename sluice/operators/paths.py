@@ -33,18 +33,25 @@ def seed_paths(spark: SparkSession, v: int) -> DataFrame:
     return spark.range(1).select(F.lit(v).cast("bigint").alias("v"), empty_path().alias("path"), F.lit(UNBOUNDED).alias("bottleneck"))
 
 
-def extend(paths: DataFrame, arcs: DataFrame, backward: bool = False, longest: int | None = None, draw: int | None = None) -> DataFrame:
+def extend(paths: DataFrame, arcs: DataFrame, backward: bool = False, longest: int | None = None, draw: int | None = None, most: int | None = None) -> DataFrame:
     """Each path one hop further over arcs with residual capacity; never back to a vertex of the path.
 
     Forward paths grow at their end along arcs, backward ones at their start against them. longest: hops of a path at
-    most. draw: a seed by which one of a vertex's paths is drawn for each arc, instead of all of them.
+    most. draw: a seed by which one of a vertex's paths is drawn for each arc, instead of all of them. most: paths of a
+    vertex at most, if that is known; the draw then looks at lists of them, and arcs stay where they are.
     """
     near, far = ("dst", "src") if backward else ("src", "dst")
     if longest is not None:
         paths = paths.where(F.size("path") < longest)
-    rows = paths.join(arcs.where("res > 0"), F.col("v") == F.col(near))
-    rows = rows.where((F.col(far) != F.col("v")) & ~visits(F.col("path"), F.col(far)))
-    if draw is not None:
+    if draw is not None and most is not None:
+        lists = paths.groupBy(F.col("v").alias(near)).agg(F.collect_list(F.struct("path", "bottleneck")).alias("paths"))
+        lot = lambda p: F.struct(F.xxhash64("src", "dst", p["path"], F.lit(draw)).alias("lot"), p["path"].alias("path"), p["bottleneck"].alias("bottleneck"))
+        drawn = _least(F.col("paths"), lambda p: ~visits(p["path"], F.col(far)), lot)
+        rows = arcs.where("res > 0 AND src <> dst").join(lists, near).select("src", "dst", "res", drawn.alias("drawn")).where("drawn IS NOT NULL").select("src", "dst", "res", "drawn.path", "drawn.bottleneck")
+    else:
+        rows = paths.join(arcs.where("res > 0"), F.col("v") == F.col(near))
+        rows = rows.where((F.col(far) != F.col("v")) & ~visits(F.col("path"), F.col(far)))
+    if draw is not None and most is None:
         order = [F.xxhash64("src", "dst", "path", F.lit(draw)), "path"]
         rows = rows.withColumn("drawn", F.row_number().over(W.partitionBy("src", "dst").orderBy(*order))).where("drawn = 1")
     grown = prepend_hop(F.col("path"), F.col("src"), F.col("dst")) if backward else append_hop(F.col("path"), F.col("src"), F.col("dst"))
@@ -87,7 +94,9 @@ def promising_arcs(paths: DataFrame, arcs: DataFrame, k: int, scratch: Scratch,
 
 def not_forwarded(offers: DataFrame, sent: DataFrame) -> DataFrame:
     """Offers (path, v) that the same path has not made to the same vertex before."""
-    return offers.join(sent.select("path", "v").distinct(), ["path", "v"], "left_anti")
+    before = sent.select(F.xxhash64("path").alias("sent_hash"), F.col("v").alias("sent_v"), F.col("path").alias("sent_path"))
+    same = (F.xxhash64("path") == F.col("sent_hash")) & (F.col("v") == F.col("sent_v")) & (F.col("path") == F.col("sent_path"))  # sorted by the hash, not hop by hop
+    return offers.join(before, same, "left_anti")
 
 
 def bottlenecks(paths: DataFrame, arcs: DataFrame | ArcLog, most: int = UNBOUNDED) -> DataFrame:

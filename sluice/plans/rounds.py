@@ -55,8 +55,9 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
     keep are made. Path lists are cut to ``kept_paths`` a vertex, so this may stop short of the maximum; the sweeps
     finish it. Metrics of each side: paths that might be offered (extended), kept, cut off (truncated) and lost to
     saturated arcs, vertices that gained their first path (moves) or lost their last (lost_vertices), and neighbours
-    that are to offer again (notified). Without ``measured`` what only metrics of the last turn need is left out; the
-    flow is the same. Without ``finished`` the edges come back as they were, for who asks for the metrics alone. journal: takes every turn with its path lists and what was sent, and gives back the last whole
+    that are to offer again (notified). Without ``measured`` what only metrics need is left out (moves, notified, the
+    last turn's losses); the flow is the same. Without ``finished`` the edges come back as they were, for who asks for
+    the metrics alone. journal: takes every turn with its path lists and what was sent, and gives back the last whole
     one, to go on from.
     """
     spark = edges.sparkSession
@@ -87,7 +88,7 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
             possible = None
             if draw is None and most is not None:
                 near, possible = promising_arcs(paths, near, most, scratch, f"{side}-arcs-{turn}", back, config.longest_path, turn - 1)
-            grow = lambda some: extend(some, near, backward=back, longest=config.longest_path, draw=draw)  # noqa: B023, E731
+            grow = lambda some: extend(some, near, backward=back, longest=config.longest_path, draw=draw, most=most)  # noqa: B023, E731
             older = None
             if sent[side] is None:
                 offers = grow(paths)
@@ -105,8 +106,9 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
             before, whole = paths.unionByName(offers), held[side] + offered["n"]
             kept = random_paths(before, most, config.seed + turn) if config.path_choice == "random" else best_paths(before, most)
             sides[side], left = scratch.counted(kept, f"{side}-{turn}", n=one)
-            reached = sides[side].select("v").distinct().count()
-            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", whole - left["n"]), (turn, f"{side}_moves", reached - seen[side])]
+            reached = sides[side].select("v").distinct().count() if measured else 0
+            metrics += [(turn, f"{side}_extended", offered["n"]), (turn, f"{side}_paths", left["n"]), (turn, f"{side}_truncated", whole - left["n"])]
+            metrics += [(turn, f"{side}_moves", reached - seen[side])] if measured else []
             held[side], seen[side] = left["n"], reached
         candidates, met = scratch.counted(meet_along_lines(sides["source"], sides["sink"], scratch, f"lines-{turn}", most), f"met-{turn}", n=one)
         got = {"n": 0, "flow": 0}
@@ -130,6 +132,7 @@ def path_rounds(edges: DataFrame, config: FlowConfig, rounds: int | None = None,
                 if gone["n"] and sent[side] is not None:
                     if turn < last:
                         sent[side] = scratch.table(sent[side].join(lost, "v", "left_anti"), f"{side}-sent-{turn}")
+                if gone["n"] and measured:
                     into = logs["sink"].rows(lost.select(F.col("v").alias("dst"))) if "sink" in logs else logs["source"].rows()
                     metrics.append((turn, f"{side}_notified", neighbours_of(into, lost).count()))
         elif not any(n for t, name, n in metrics if t == turn and name.endswith("_extended")):

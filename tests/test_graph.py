@@ -431,6 +431,20 @@ def test_lines_of_few_stretches_meet_like_merged_ones(spark, monkeypatch, ranges
     assert few == sorted(map(str, paths.meet_along_lines(s, t, Scratch(spark, "m")).collect())) and len(few) > 15
 
 
+def test_a_draw_from_lists_is_that_of_all_offers(spark):
+    """Where a vertex's paths are few, one is drawn for each arc without an exchange of the arcs."""
+    rng = random.Random(5)
+    rows = [(v, [{"u": 1, "v": rng.choice((30, 31, 50 + k))}, {"u": 50 + k, "v": v}], rng.randint(1, 9)) for v in range(10, 18) for k in range(v % 5)]
+    some = spark.createDataFrame(rows, f"v bigint, path {G.PATH}, bottleneck bigint")
+    for backward in (False, True):
+        ends = [(a, b) for a in range(10, 18) for b in range(30, 36)]
+        arcs = spark.createDataFrame([((b, a) if backward else (a, b)) + (rng.randint(0, 9),) for a, b in ends], "src bigint, dst bigint, res bigint")
+        key = lambda df: sorted(map(str, df.collect()))
+        drawn = paths.extend(some, arcs, backward, draw=4, most=4)
+        assert key(drawn) == key(paths.extend(some, arcs, backward, draw=4)) and drawn.count() > 20
+        assert "Window" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("held", [0, 1 << 21])
 def test_only_arcs_asked_for_are_added_up(spark, monkeypatch, held):
     """A log tells the residuals of some arcs as its whole would, and leaves its buckets where they are."""
