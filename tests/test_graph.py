@@ -3,11 +3,12 @@
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import graph as G
-from sluice.operators import build, decompose, maxflow, paths, prefix, traverse, verify
+from sluice.operators import blocks, build, decompose, maxflow, paths, prefix, traverse, verify
 from sluice.operators.maxflow import max_flow
 from sluice.plans.config import FlowConfig
 from sluice.plans.rounds import network, path_rounds, run, search, solve
@@ -699,3 +700,53 @@ def test_command_line(spark, tmp_path, capsys):
     assert "flow 3, cut 3" in capsys.readouterr().out
     with pytest.raises(ValueError, match="unknown setting"):
         main(["flow", graph, "-D", "mf.none=3"])
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_blocks_add_up_to_a_flow_that_sweeps_finish(spark, monkeypatch, seed):
+    """Whatever the blocks: what they find is a flow, and the run ends with the value and the cut of augmenting paths."""
+    from sluice.plans.scratch import Scratch
+
+    rng = random.Random(seed)
+    names = range(3, 24)
+    arcs = [(rng.choice(names), rng.choice(names), rng.randint(1, 9)) for _ in range(90)]
+    arcs += [(1, v, rng.randint(1, 40)) for v in rng.sample(names, 6)] + [(v, 2, rng.randint(1, 40)) for v in rng.sample(names, 6)] + [(1, 2, 5), (7, 1, 3), (2, 9, 4)]
+    value, side = brute_flow(arcs)
+    monkeypatch.setattr(maxflow, "WHOLE_EDGES", 0)
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 20)
+    edges = build.merge_parallel(frame(spark, arcs)).cache()
+    found, gains = blocks.flow_in_blocks(edges, edges.count(), Scratch(spark, "b"), "b")
+    assert verify.capacity_violations(found).isEmpty() and verify.conservation_violations(found).isEmpty()
+    assert found.drop("flow").exceptAll(edges.drop("flow")).isEmpty() and found.count() == edges.count()
+    assert 0 < maxflow.flow_value(found) == sum(gains) <= value
+    result = max_flow(edges)
+    assert (result.value, result.cut_value, {r["v"] for r in result.cut_side.collect()}, result.converged) == (value, value, side, True)
+    assert verify.capacity_violations(result.edges).isEmpty() and verify.conservation_violations(result.edges).isEmpty()
+    assert sum(n for _, name, n in result.metrics if name in ("accepted_flow", "block_flow")) == value
+
+
+def test_a_hub_is_spread_over_blocks_and_its_arc_is_dealt_out(spark):
+    """A star: source to hub to 40 leaves to sink. Leaves lie in many blocks, so the hub's arc is shared, and no flow is lost."""
+    from sluice.plans.scratch import Scratch
+
+    arcs = [(1, 3, 60), *((3, v, 2) for v in range(10, 50)), *((v, 2, 1 + v % 2) for v in range(10, 50))]
+    edges = build.merge_parallel(frame(spark, arcs)).cache()
+    scratch = Scratch(spark, "b")
+    dealt = blocks.with_lower_end(edges.where("u > 2 AND v > 2"), scratch, "d")
+    assert not dealt.where("by_u").count()  # leaves have one edge each
+    dealt = dealt.withColumn("block", (F.col("v") % 7).cast("int"))
+    parts = blocks.shares(dealt, spark.createDataFrame([(3, True, 60), (11, False, 2)], "x bigint, is_source boolean, cap bigint")).collect()
+    assert sum(r["share"] for r in parts if r["is_source"]) == 60 and len({r["block"] for r in parts if r["is_source"]}) == 7
+    assert [(r["block"], r["share"]) for r in parts if not r["is_source"]] == [(4, 2)]
+    assert brute_flow(arcs)[0] == 60 and max_flow(edges).value == 60
+
+
+def test_a_block_is_solved_to_its_maximum():
+    for seed in range(20):
+        rng = random.Random(seed)
+        arcs = {(u, v): rng.randint(1, 9) for u, v in ((rng.randint(1, 12), rng.randint(1, 12)) for _ in range(50)) if u < v}
+        u, v, cap = (np.array(c, np.int64) for c in zip(*((*e, c) for e, c in arcs.items())))
+        flow = blocks.solve_block(u, v, cap, np.zeros(len(u), np.int64))
+        out = [int(flow[u == x].sum() - flow[v == x].sum()) for x in range(1, 13)]
+        assert (out[0], out[1]) == (brute_flow([(*e, c) for e, c in arcs.items()])[0], -out[0]) and not any(out[2:])
+        assert ((0 <= flow) & (flow <= cap)).all()
