@@ -49,7 +49,7 @@ def decompose(edges: DataFrame, source: int = SOURCE, sink: int = SINK) -> DataF
     scratch = Scratch(spark, "decompose")
     turned = F.col("flow") < 0
     used = edges.where("flow <> 0").select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("src"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("dst"), F.abs("flow").alias("res"))
-    used = scratch.table(used, "flow")
+    used, held = scratch.counted(used, "flow", n=F.count(F.lit(1)))
     arcs, degrees, turn = ArcLog(scratch, "arcs", used), hubs(used), 0
     found = spark.createDataFrame([], "round int, path array<struct<u:bigint,v:bigint>>, amount bigint")
     while True:
@@ -60,8 +60,15 @@ def decompose(edges: DataFrame, source: int = SOURCE, sink: int = SINK) -> DataF
         depth = len(sizes) - 1
         dealt, most = Dealt(scratch, f"graph-{turn}", "dst"), most_by_level(levels, degrees)
         size = dealt.counted(level_arcs(arcs, levels, depth, sink), in_place=True, n=F.count(F.lit(1)))
-        flow, used, _ = level_flow(dealt.close(), size["n"], depth, most, scratch, f"flow-{turn}", source, sink)
+        graph, whole = dealt.close(), not turn and size["n"] == held["n"]
+        if whole:  # all of the flow lies between the levels, so it is what sweeps would send
+            flow, used = graph.select("level", "src", "dst", F.col("res").alias("flow")), size["n"]
+        else:
+            flow, used, _ = level_flow(graph, size["n"], depth, most, scratch, f"flow-{turn}", source, sink)
         paths = scratch.table(split_level_flow(flow, depth, most, size["n"], scratch, f"split-{turn}", source).withColumn("round", F.lit(turn)).select("round", "path", "amount"), f"paths-{turn}")
         found = found.unionByName(paths)
+        if whole:
+            arcs.close()
+            return found
         arcs.change(flow.select("src", "dst", "flow"), used, back=False)
         turn += 1

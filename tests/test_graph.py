@@ -750,3 +750,20 @@ def test_a_block_is_solved_to_its_maximum():
         out = [int(flow[u == x].sum() - flow[v == x].sum()) for x in range(1, 13)]
         assert (out[0], out[1]) == (brute_flow([(*e, c) for e, c in arcs.items()])[0], -out[0]) and not any(out[2:])
         assert ((0 <= flow) & (flow <= cap)).all()
+
+
+def test_a_flow_that_lies_between_levels_is_taken_without_sweeps(spark, monkeypatch):
+    """All arcs of the first flow lie between its levels; the second has a way of another length and takes sweeps."""
+    asked = []
+    held = decompose.level_flow
+    monkeypatch.setattr(decompose, "level_flow", lambda *a, **b: asked.append(1) or held(*a, **b))
+    flow = [(1, 3, 4), (1, 4, 2), (3, 5, 3), (3, 6, 1), (4, 6, 2), (2, 5, -3), (2, 6, -3)]
+    for extra, value, sweeps in (([], 6, 0), ([(1, 7, 1), (2, 7, -1)], 7, 2)):
+        edges = spark.createDataFrame([(u, v, 9, 9, n) for u, v, n in flow + extra], "u bigint, v bigint, cap_uv bigint, cap_vu bigint, flow bigint")
+        rows = decompose.decompose(edges).collect()
+        on = defaultdict(int)
+        for r in rows:
+            for h in r["path"]:
+                on[h["u"], h["v"]] += r["amount"]
+        assert sum(r["amount"] for r in rows) == value and len(asked) == sweeps
+        assert on == {(u, v) if n > 0 else (v, u): abs(n) for u, v, n in flow + extra}
